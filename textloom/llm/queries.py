@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, line_dedup, packing, toxicity
+from . import codec, jaccard, licenses, line_dedup, media, packing, topk, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -18,15 +18,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.encode_and_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
+def op8_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,6 +61,34 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_exact_top_k": """
+            WITH v AS (
+              SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+              WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), s AS (
+              SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+              FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0
+            )
+            SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+            FROM s QUALIFY rank <= 20
+        """,
+        "op7_warc": """
+            WITH p AS (
+              SELECT page_id, url, coalesce(html, '') AS html FROM pages
+            ), w AS (
+              SELECT *, max(page_id) OVER (PARTITION BY html) AS newest, sha1(html) AS h FROM p
+            ), bits AS (
+              SELECT *, list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                (CAST('0x' || substr(h, (5 * k // 4 + 1)::INT, 1) AS INT) * 16
+                 + coalesce(TRY_CAST('0x' || nullif(substr(h, (5 * k // 4 + 2)::INT, 1), '') AS INT), 0))
+                // (CASE 5 * k % 4 WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END)::INT % 32 + 1, 1)) AS letters FROM w
+            )
+            SELECT page_id, url, strlen(html)::BIGINT AS payload_bytes, array_to_string(letters, '') AS payload_digest,
+                   CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN page_id <> newest THEN newest END AS refers_to
+            FROM bits
+        """,
         "op6_line_dedup": """
             WITH l AS (
               SELECT doc_id, source, trim(line, ' ') AS line
