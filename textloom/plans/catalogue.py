@@ -1,9 +1,19 @@
 """All queries over the driver tables and their SQL twins."""
 
+from __future__ import annotations
+
+from .registry import ORACLE, QUERIES
+
+
+def _load() -> None:
+    from . import corpus, drift, forms, linked, reports, senses, vectors  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLE)
