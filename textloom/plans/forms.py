@@ -1 +1,139 @@
-"""Queries."""
+"""Word-form counts and decisions over ``documents``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import forms
+from .registry import query
+
+#: Glue is put in where a sentence ends: its stop and the space go, and the next sentence's first word joins on.
+_GLUED_SQL = "SELECT doc_id, regexp_replace(text, '(\\p{Ll}{2})[.] (\\p{Lu})', '\\1\\2', 'g') AS text FROM documents"
+
+
+def _glued(t):
+    return t.documents.select("doc_id", F.regexp_replace("text", r"(\p{Ll}{2})[.] (\p{Lu})", "$1$2").alias("text"))
+
+
+def _dictionary(t):
+    """The benchmark's words stand in for a dictionary."""
+    return forms.vocabulary(t.benchmark).select("word")
+
+
+_FORMS = """
+  p AS (SELECT list_filter(string_split(regexp_replace(lower(text), '[^{kept}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM x),
+  f AS (SELECT form, count(*) AS n FROM (
+    SELECT unnest(w) AS form FROM p UNION ALL
+    SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p WHERE len(w) > 1) GROUP BY form)
+"""
+_TWO = _FORMS.replace("{kept}", "\\p{L}\\p{N}")
+_HYPHENS = _FORMS.replace("{kept}", "\\p{L}\\p{N} -")
+
+_FORM_LIST = ["the", "of the", "in the", "der", "und der", "license", "licensed under", "et la", "de la", "not there at all"]
+
+
+@query("form_counts", f"""
+  WITH x AS (SELECT text FROM documents), {_HYPHENS}, q AS (SELECT unnest([{', '.join(f"'{x}'" for x in _FORM_LIST)}]) AS form)
+  SELECT form, coalesce(n, 0) AS n FROM q LEFT JOIN f USING (form)
+""")
+def form_counts(t):
+    return forms.count_forms(t.documents, t.spark.createDataFrame([(x,) for x in _FORM_LIST], "form string"))
+
+
+_GLUE = f"""
+  x AS ({_GLUED_SQL}), {_TWO},
+  g AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '\\p{{L}}+'), lambda w: len(regexp_extract_all(w, '\\p{{Ll}}\\p{{Lu}}')) = 1)) AS word FROM x),
+  c AS (SELECT word, count(DISTINCT doc_id) AS works, count(*) AS occurrences, regexp_extract(word, '^(\\p{{L}}*\\p{{Ll}})(\\p{{Lu}}\\p{{L}}*)$', 1) AS "left",
+               regexp_extract(word, '^(\\p{{L}}*\\p{{Ll}})(\\p{{Lu}}\\p{{L}}*)$', 2) AS "right" FROM g GROUP BY word),
+  o AS (SELECT opener, rank() OVER (ORDER BY count(*) DESC) AS opener_rank FROM (SELECT unnest(regexp_extract_all(text, '(?:^|[.!?][ \n]+)(\\p{{Lu}}\\p{{L}}*)', 1)) AS opener FROM x) GROUP BY opener),
+  t AS (SELECT word, "left", "right", works, occurrences, coalesce(a.n, 0) AS joined, coalesce(b.n, 0) AS apart, coalesce(d.n, 0) AS left_alone, opener_rank
+        FROM c LEFT JOIN f a ON a.form = lower(word) LEFT JOIN f b ON b.form = lower("left") || ' ' || lower("right") LEFT JOIN f d ON d.form = lower("left") LEFT JOIN o ON o.opener = c."right"
+        WHERE length("left") >= 2)
+"""
+
+
+@query("glued_counts", f"WITH {_GLUE} SELECT * FROM t")
+def glued_counts(t):
+    return forms.count_glued_words(_glued(t), "doc_id")
+
+
+@query("glued_decisions", f"""
+  WITH {_GLUE}, r AS (SELECT word, CASE WHEN lower(word) IN ('theof') THEN 'kept_joined' WHEN apart >= 10 * greatest(joined, 1) THEN 'apart'
+    WHEN opener_rank <= 30 AND length("left") >= 3 AND length("right") >= 2 THEN 'sentence_opener' END AS reason FROM t)
+  SELECT word, reason, coalesce(reason IN ('apart', 'sentence_opener'), false) AS split FROM r
+""")
+def glued_decisions(t):
+    return forms.decide_glued_splits(forms.count_glued_words(_glued(t), "doc_id"), 10, 30, 3, 2, ["theOf"]).select("word", "reason", "split")
+
+
+_SPLIT = f"""
+  x AS (SELECT text FROM documents), {_HYPHENS},
+  v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents) GROUP BY word),
+  k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark),
+  cuts AS (SELECT word, n AS joined, left(word, i::INT) AS "left", substr(word, i::INT + 1) AS "right" FROM v, unnest(range(1, length(word))) AS u(i) WHERE length(word) >= 4 AND n >= 3),
+  c AS (SELECT *, "left" IN (SELECT word FROM k) AS left_is_word, "right" IN (SELECT word FROM k) AS right_is_word FROM cuts
+        WHERE "left" IN (SELECT word FROM v) AND "right" IN (SELECT word FROM v)),
+  t AS (SELECT c.*, coalesce(a.n, 0) AS space, coalesce(b.n, 0) AS hyphen_space, coalesce(d.n, 0) AS hyphen
+        FROM c LEFT JOIN f a ON a.form = "left" || ' ' || "right" LEFT JOIN f b ON b.form = "left" || '- ' || "right" LEFT JOIN f d ON d.form = "left" || '-' || "right"
+        WHERE NOT (left_is_word AND right_is_word) AND coalesce(a.n, 0) + coalesce(b.n, 0) + coalesce(d.n, 0) > 0)
+"""
+
+
+@query("split_counts", f"WITH {_SPLIT} SELECT word, \"left\", \"right\", left_is_word, right_is_word, joined, space, hyphen_space, hyphen FROM t")
+def split_counts(t):
+    return forms.count_split_words(t.documents, _dictionary(t), 3)
+
+
+@query("split_decisions", f"""
+  WITH {_SPLIT} SELECT word, "left", "right", joined >= 2 * (space + hyphen_space + hyphen) AS "join",
+    joined >= 4 * (space + hyphen_space + hyphen) AND NOT right_is_word AND length("left") >= 2 AND length("right") >= 2 AS join_hyphenated FROM t
+""")
+def split_decisions(t):
+    return forms.decide_split_joins(forms.count_split_words(t.documents, _dictionary(t), 3), 2, 4, []).select("word", "left", "right", "join", "join_hyphenated")
+
+
+@query("lower_glue", f"""
+  WITH x AS (SELECT text FROM documents), {_HYPHENS},
+  v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents) GROUP BY word),
+  k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark),
+  cuts AS (SELECT word, n AS joined, i, left(word, i::INT) AS "left", substr(word, i::INT + 1) AS "right" FROM v, unnest(range(2, length(word) - 1)) AS u(i)
+           WHERE length(word) >= 4 AND n >= 3 AND word NOT IN (SELECT word FROM k)),
+  c AS (SELECT cuts.*, coalesce(f.n, 0) AS apart FROM cuts LEFT JOIN f ON f.form = "left" || ' ' || "right" WHERE "left" IN (SELECT word FROM k) AND "right" IN (SELECT word FROM k))
+  SELECT word, joined, "left", "right", apart, apart >= joined AS split FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY apart DESC, i) = 1
+""")
+def lower_glue(t):
+    return forms.decide_lower_glue(forms.count_lower_glue(t.documents, _dictionary(t), 3), 1, [])
+
+
+@query("phrase_npmi", """
+  WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
+  s AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM w) GROUP BY x),
+  p AS (SELECT a, b, count(*) AS n FROM (SELECT w[i] AS a, w[i + 1] AS b FROM w, unnest(range(1, len(w))) AS u(i)) GROUP BY a, b HAVING count(*) >= 20),
+  z AS (SELECT sum(n)::DOUBLE AS total FROM s)
+  SELECT p.a, p.b, p.n, round(ln(p.n * total / (x.n * y.n)) / -ln(p.n / total), 6) AS npmi FROM p JOIN s x ON x.x = p.a JOIN s y ON y.x = p.b, z
+  WHERE ln(p.n * total / (x.n * y.n)) / -ln(p.n / total) >= 0.3
+""")
+def phrase_npmi(t):
+    out = forms.bigram_npmi(t.documents, T.latin_words(F.col("text")), 20, 0.3)
+    return out.withColumn("npmi", F.round("npmi", 6))
+
+
+@query("lemma_map", """
+  WITH v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents) GROUP BY word),
+  s AS (SELECT word, CASE WHEN regexp_matches(word, '(ches|shes|sses|xes|zes)$') THEN left(word, length(word) - 2)
+    WHEN regexp_matches(word, '[^aeiou]ies$') THEN left(word, length(word) - 3) || 'y' WHEN regexp_matches(word, '[^siu]s$') THEN left(word, length(word) - 1) END AS lemma FROM v WHERE length(word) > 3)
+  SELECT word, lemma FROM s WHERE lemma IN (SELECT word FROM v WHERE n >= 5)
+""")
+def lemma_map(t):
+    return forms.lemma_candidates(forms.vocabulary(t.documents), 5)
+
+
+@query("plain_repair", """
+  WITH a AS (SELECT doc_id, text FROM documents), s AS (SELECT doc_id, regexp_replace(text, '[ \t\r\n]+', ' ', 'g') AS text FROM a),
+  p AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([\\p{L}\\p{N})\\]]) +([,;])', '\\1\\2', 'g'), '([\\p{L})\\]]) +:', '\\1:', 'g'), '([(\\[]) +([\\p{L}\\p{N}])', '\\1\\2', 'g') AS text FROM s),
+  q AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([a-z0-9)\\]])([.?!])([A-Z][a-z])', '\\1\\2 \\3', 'g'), '([A-Za-z]{2}),([A-Za-z])', '\\1, \\2', 'g'), '([A-Za-z0-9)\\]]);([A-Za-z])', '\\1; \\2', 'g') AS text FROM p)
+  SELECT doc_id, md5(trim(text, ' ')) AS repaired FROM q
+""")
+def plain_repair(t):
+    return t.documents.select("doc_id", F.md5(T.plain_repair(F.col("text"))).alias("repaired"))
