@@ -102,7 +102,7 @@ def adjusted_shares(matrix: DataFrame, observed: DataFrame) -> DataFrame:
                     x[i] = max(0.0, x[i] - (g[i] @ x - m[:, i] @ y) / g[i, i])
         return pd.DataFrame({"label": labels, "share": x / x.sum() if x.sum() > 0 else y})
 
-    return rows.groupBy(F.lit(1)).applyInPandas(solve, "label string, share double")
+    return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda group: solve(group.drop(columns="one")), schema="label string, share double")
 
 
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -1 +1,173 @@
-"""Queries."""
+"""Linked records, record types, text repair and patterns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..checks import unmatched
+from ..functions import bibliographic as B
+from ..functions import text as T
+from ..operators import patterns, records, repair
+from ..operators.records import RecordKind
+from .registry import query
+
+KINDS = [
+    RecordKind("brushed", "drop", types=("ECONOMY BRUSHED COPPER",), title_patterns=("^forest",)),
+    RecordKind("steel", "flag", tags_together=("STEEL", "LARGE")),
+    RecordKind("tin", "keep", tags=("TIN",)),
+    RecordKind("small", "flag", max_pages=5),
+    RecordKind("copper", "drop", title_patterns=("copper", "(?-i:Metallic)")),
+]
+
+
+def _signals(t):
+    return t.part.select(
+        F.col("p_partkey").alias("work"), F.col("p_type").alias("record_type_source"), F.split("p_type", " ").alias("tags"), F.col("p_name").alias("title"), F.col("p_size").alias("page_count"),
+    )
+
+
+_TYPES = """
+  r AS (SELECT p_partkey AS work, CASE WHEN p_type = 'ECONOMY BRUSHED COPPER' OR regexp_matches(lower(p_name), '^forest') THEN 'brushed'
+    WHEN list_contains(string_split(p_type, ' '), 'STEEL') AND list_contains(string_split(p_type, ' '), 'LARGE') THEN 'steel' WHEN list_contains(string_split(p_type, ' '), 'TIN') THEN 'tin'
+    WHEN p_size <= 5 THEN 'small' WHEN lower(p_name) LIKE '%copper%' OR p_name LIKE '%Metallic%' THEN 'copper' END AS record_type FROM part)
+"""
+
+
+@query("record_types", f"WITH {_TYPES} SELECT work, record_type FROM r")
+def record_types(t):
+    return _signals(t).select("work", records.decide_record_types(KINDS).alias("record_type"))
+
+
+@query("record_actions", f"WITH {_TYPES} SELECT work, CASE WHEN record_type IN ('brushed', 'copper') THEN record_type END AS dropped_reason, CASE WHEN record_type IN ('steel', 'small') THEN record_type ELSE '' END AS flags FROM r")
+def record_actions(t):
+    works = record_types(t).withColumns({"flags": F.array().cast("array<string>"), "dropped_reason": F.lit(None).cast("string")})
+    return records.apply_record_types(works, "record_type", KINDS).select("work", "dropped_reason", F.array_join("flags", ",").alias("flags"))
+
+
+@query("join_signals", """
+  WITH a AS (SELECT l_partkey AS work, min(l_linenumber) AS pages FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_partkey AS work, max(l_linenumber) AS pages FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+  SELECT p_partkey AS work, coalesce(a.pages, b.pages) AS pages, CASE WHEN a.pages IS NOT NULL THEN 'first' WHEN b.pages IS NOT NULL THEN 'second' END AS page_count_source
+  FROM part LEFT JOIN a ON a.work = p_partkey LEFT JOIN b ON b.work = p_partkey
+""")
+def join_signals(t):
+    of = lambda flag, f: t.lineitem.where(F.col("l_returnflag") == flag).groupBy(F.col("l_partkey").alias("work")).agg(f("l_linenumber").alias("pages"))
+    return records.join_signals(t.part.select(F.col("p_partkey").alias("work")), "work", of("R", F.min), of("A", F.max), "pages")
+
+
+@query("referential_check", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def referential_check(t):
+    return unmatched(t.orders, t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"]).select("o_orderkey")
+
+
+@query("metadata_flags", """
+  SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 40 THEN 'repository_only' END, CASE WHEN p_brand LIKE '%1' THEN 'paratext' END, CASE WHEN p_retailprice > 1500 THEN 'retracted' END, CASE WHEN p_type NOT LIKE 'S%' THEN 'other_language' END], lambda x: x IS NOT NULL), ',') AS flags FROM part
+""")
+def metadata_flags(t):
+    language = F.when(F.col("p_type").startswith("S"), "en").otherwise("xx")
+    flags = records.metadata_flags(F.col("p_size") > 40, F.col("p_brand").endswith("1"), F.col("p_retailprice") > 1500, language)
+    return t.part.select("p_partkey", F.array_join(flags, ",").alias("flags"))
+
+
+@query("page_counts", """
+  WITH p AS (SELECT p_partkey, (p_partkey + 100)::VARCHAR AS s, right((p_partkey + 100 + p_size)::VARCHAR, 2) AS e FROM part),
+  f AS (SELECT p_partkey, s, left(s, greatest(length(s) - length(e), 0)) || e AS stop FROM p)
+  SELECT p_partkey, CASE WHEN stop::BIGINT - s::BIGINT + 1 BETWEEN 1 AND 2000 THEN stop::BIGINT - s::BIGINT + 1 END AS pages FROM f
+""")
+def page_counts(t):
+    shown = F.concat(F.col("p_partkey") + 100, F.lit("-"), F.right((F.col("p_partkey") + 100 + F.col("p_size")).cast("string"), F.lit(2)))
+    return t.part.select("p_partkey", B.page_count(shown).alias("pages"))
+
+
+@query("issn_check", """
+  WITH d AS (SELECT c_custkey, lpad((c_custkey * 7919 % 10000000)::VARCHAR, 7, '0') AS d, (c_nationkey % 11)::INT AS k FROM customer),
+  w AS (SELECT *, (11 - list_sum(list_transform(range(1, 8), lambda i: substr(d, i::INT, 1)::INT * (9 - i)))::INT % 11) % 11 AS c FROM d)
+  SELECT c_custkey, c = k AS is_valid FROM w
+""")
+def issn_check(t):
+    digits = F.lpad((F.col("c_custkey") * 7919 % 10000000).cast("string"), 7, "0")
+    k = F.col("c_nationkey") % 11
+    issn = F.concat(F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 3), F.when(k == 10, "X").otherwise(k.cast("string")))
+    return t.customer.select("c_custkey", B.is_valid_issn(issn).alias("is_valid"))
+
+
+@query("flatten_json", """
+  SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys, length(props)::BIGINT AS n FROM events
+""")
+def flatten_json(t):
+    return t.events.select("event_id", F.array_join(F.array_sort(F.json_object_keys("props")), ",").alias("keys"), F.length("props").cast("bigint").alias("n"))
+
+
+@query("inverted_index_roundtrip", """
+  SELECT doc_id, md5(array_to_string(list_filter(string_split_regex(text, '[ \n]+'), lambda w: w <> ''), ' ')) AS words FROM documents
+""")
+def inverted_index_roundtrip(t):
+    """Each text as an object {word: positions}, as services ship abstracts, and back."""
+    placed = t.documents.select("doc_id", F.posexplode(T.words(F.col("text"))).alias("at", "w"))
+    by_word = placed.groupBy("doc_id", "w").agg(F.collect_list(F.col("at").cast("int")).alias("p"))
+    index = by_word.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("w", "p")))).alias("index"))
+    return index.select("doc_id", F.md5(T.from_inverted_index(F.col("index"))).alias("words"))
+
+
+@query("markup_text")
+def markup_text(t):
+    return t.pages.select("page_id", repair.column(repair.markup_text)(F.col("html")).alias("text"))
+
+
+@query("repair_text")
+def repair_text(t):
+    return t.documents.select("doc_id", repair.column(repair.repair_text)(F.col("text")).alias("text"))
+
+
+@query("preprocess_text")
+def preprocess_text(t):
+    return t.documents.select("doc_id", repair.column(repair.preprocess_text, {"licence": "license"})(F.col("text")).alias("text"))
+
+
+#: The tables hold no mis-decoded text: every é is made one.
+_BAD = "(SELECT doc_id, replace(text, 'é', 'Ã©') AS text FROM documents)"
+
+
+@query("mojibake", f"SELECT doc_id FROM {_BAD} WHERE text LIKE '%ï¿½%' OR regexp_matches(text, 'â€[™œ“”˜¦]') OR regexp_matches(text, 'Â[ °±²³·»«]') OR regexp_matches(text, 'Ã[©¨¡¢¤§ª«¬®¯°±²³´µ¶·¸¹º»¼½¾]')")
+def mojibake(t):
+    bad = t.documents.select("doc_id", F.replace("text", F.lit("é"), F.lit("Ã©")).alias("text"))
+    return bad.where(repair.has_mojibake(F.col("text"))).select("doc_id")
+
+
+@query("pattern_spans", """
+  SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:[.][A-Za-z0-9_-]+)+'))::BIGINT AS contacts FROM documents
+  WHERE len(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:[.][A-Za-z0-9_-]+)+')) > 0
+""")
+def pattern_spans(t):
+    email = [p for p in patterns.PATTERNS if p["id"] == "email"]
+    found = t.documents.select("doc_id", patterns.pattern_spans(F.col("text"), email).alias("s"))
+    return found.select("doc_id", F.size("s").cast("bigint").alias("contacts")).where("contacts > 0")
+
+
+@query("pattern_removals")
+def pattern_removals(t):
+    """Every pattern's ranges by scope, and how many words stay outside them."""
+    rows = t.documents.select("doc_id", "text", T.sentence_spans(F.col("text")).alias("sentences"), patterns.pattern_spans(F.col("text")).alias("spans"))
+    marked = rows.select("doc_id", "text", patterns.removals_of(F.col("spans"), F.col("sentences"), F.length("text").cast("bigint")).alias("r"))
+    kept = patterns.drop_nested(F.col("r"))
+    return marked.select("doc_id", F.size(kept).alias("removals"), F.array_join(F.transform(kept, lambda x: F.concat_ws(":", x["start"], x["end"], x["reason"])), " ").alias("ranges"), F.length(T.kept_text(F.col("text"), kept)).alias("kept_chars"))
+
+
+PROFILES = {"en": T.ENGLISH, "de": "der die und das von zu ist nicht ein eine mit für auf".split(), "fr": "le la les et un une du dans que qui pour".split(), "es": "el los las una por con para del se lo que".split()}
+_CASES = ", ".join(f"{{'score': len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in ws)}))) / greatest(len(w), 1), 'lang': '{lang}'}}" for lang, ws in PROFILES.items())
+
+
+@query("sentence_languages", f"""
+  WITH s AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '([.!?])[ \n]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')) AS sentence FROM documents),
+  w AS (SELECT doc_id, regexp_extract_all(lower(sentence), '\\p{{L}}+') AS w FROM s), c AS (SELECT doc_id, list_reverse_sort([{_CASES}]) AS r FROM w)
+  SELECT doc_id, CASE WHEN r[1].score > 0 AND r[1].score - r[2].score >= 0.1 THEN r[1].lang ELSE 'und' END AS language, count(*) AS sentences FROM c GROUP BY 1, 2
+""")
+def sentence_languages(t):
+    s = t.documents.select("doc_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
+    words = s.select("doc_id", F.regexp_extract_all(F.lower("sentence"), F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
+    return words.groupBy("doc_id", patterns.sentence_language(F.col("w"), PROFILES).alias("language")).agg(F.count("*").alias("sentences"))
+
+
+@query("token_view")
+def token_view(t):
+    v = patterns.token_view(t.documents, "doc_id")
+    return v.select("doc_id", F.size("tokens").alias("tokens"), F.size(F.filter("tokens", lambda x: x["is_word"])).alias("words"), F.size(F.filter("tokens", lambda x: x["sent_start"])).alias("sentences"))
