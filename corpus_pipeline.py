@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm import jaccard, line_dedup, packing, toxicity
 from textloom.llm.queries import tokenizer_path
@@ -17,11 +18,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sources share stay in one document only; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
-    out = line_dedup.dedup_lines(docs)
+    total, removed = line_dedup.fresh("n_lines", docs), line_dedup.fresh("n_removed", docs)
+    out = line_dedup.dedup_lines(docs, n_lines=total, n_removed=removed)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

@@ -54,27 +54,35 @@ def boilerplate_lines(documents: DataFrame, site: str = "source", min_sites: int
     )
 
 
-def dedup_lines(documents: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """``documents`` with two more columns, ``n_lines`` and ``n_removed``, and their text without boilerplate.
+def fresh(name: str, documents: DataFrame) -> str:
+    """A column name that ``documents`` doesn't have."""
+    while name.lower() in (c.lower() for c in documents.columns):
+        name = "_" + name
+    return name
+
+
+def dedup_lines(documents: DataFrame, site: str = "source", min_sites: int = MIN_SITES, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """``documents`` with their text without boilerplate, and two columns (named by parameters) with counts of lines.
 
     A line on at least ``min_sites`` sites stays in the document with the least doc_id that has it and goes
     from all others; the order of what stays is kept. Texts that lose nothing, nulls among them, are unchanged.
     Rows are never dropped: a document all of whose lines go keeps an empty text. Rows with a null
-    doc_id keep their text. Repeated rows stay repeated.
+    doc_id keep their text. Repeated rows stay repeated. Other columns stay as they are, unless they have the names of the counts.
     """
     bad = boilerplate_lines(documents, site, min_sites)
+    doc, hit = fresh("_doc", documents), fresh("_hits", documents)
     hits = (
         documents.where("doc_id is not null")
-        .select(F.col("doc_id").alias("_doc"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _pair))).alias("_line"))
-        .select("_doc", "_line.a", "_line.b")
+        .select(F.col("doc_id").alias(doc), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _pair))).alias("line"))
+        .select(doc, "line.a", "line.b")
         .join(bad, ["a", "b"])
-        .where(F.col("_doc") != F.col("first_doc"))
-        .groupBy("_doc")
-        .agg(F.collect_set(F.struct("a", "b")).alias("_hits"))
+        .where(F.col(doc) != F.col("first_doc"))
+        .groupBy(doc)
+        .agg(F.collect_set(F.struct("a", "b")).alias(hit))
     )
-    joined = documents.join(hits, documents["doc_id"] == hits["_doc"], "left").drop("_doc")
+    joined = documents.join(hits, documents["doc_id"] == hits[doc], "left").drop(doc)
     lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_hits"), _pair(x)))
-    rebuilt = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("_hits").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
-    return joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": removed, "text": rebuilt}).drop("_hits")
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(hit), _pair(x)))
+    rebuilt = F.when(F.col(hit).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(F.col(hit).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
+    return joined.withColumns({n_lines: F.size(lines).cast("long"), n_removed: removed, "text": rebuilt}).drop(hit)

@@ -90,8 +90,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tu
         memo, seen = WordHashes(), {}
         for batch in batches:
             for doc, text, label in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "toxic_label"))):
-                seen[doc] = (np.unique(feature_indices(text, memo)), int(label > 0))
-        at, w, bias = learn([seen[k] for k in sorted(seen, key=lambda k: (k * 2654435761 % 4294967296, k))])
+                if doc not in seen or (text or "") < seen[doc][2]:  # of rows that repeat an id, the least text counts
+                    seen[doc] = (np.unique(feature_indices(text, memo)), int(label > 0), text or "")
+        at, w, bias = learn([seen[k][:2] for k in sorted(seen, key=lambda k: mixed(np.array([k], np.int64).view(np.uint64))[0])])
         yield pa.RecordBatch.from_pydict({"at": [at.tobytes()], "w": [w.tobytes()], "bias": [bias]})
 
     got = rows.mapInArrow(train, "at binary, w binary, bias double").collect()
