@@ -147,3 +147,24 @@ def test_report(table):
     assert {r.metric: r.change for r in report.compare_metrics(report.metrics(a), report.metrics(b)).collect()} == {}
     assert "| 3 | 1 | 2 |" in report.markdown("Totals", report.totals(a))
     assert report.first_difference("same text", "same test").startswith("'same text'")
+
+
+def test_auc_and_segments(table):
+    from textloom.operators import instruments
+
+    df = table("s double, p boolean", [(1.0, False), (2.0, True), (2.0, False), (3.0, True)])
+    assert instruments.auc(df, "s", F.col("p")).first().auc == 0.875
+    counts = {"the": 50, "cat": 10, "sat": 5, "thec": 1, "a": 3}
+    assert instruments.segment("thecatsat", counts, 100, 5) == ["the", "cat", "sat"]
+    assert instruments.segment("dog", counts, 100, 5) == ["dog"]
+    v = table("t double, p array<double>, b array<double>", [(0.9, [0.1] * 19, [0.8, 1.0]), (0.9, [0.95] + [0.1] * 18, [0.8]), (0.2, [0.1] * 19, [0.8])])
+    assert [r[0] for r in v.select(instruments.verdict(F.col("t"), F.col("p"), F.col("b"))).collect()] == [True, False, False]
+
+
+def test_classifier(table):
+    from textloom.operators import instruments
+
+    seeds = table("name string, v array<double>", [("x", [1.0, 0.1]), ("x", [2.0, 0.0]), ("y", [0.0, 1.0])])
+    rows = table("v array<double>", [([3.0, 0.2],), ([0.1, 5.0],)])
+    assert [r.prediction for r in instruments.classify(seeds, "name", rows, "v").collect()] == ["x", "y"]
+    assert {r.prediction for r in instruments.classify(seeds.where("name = 'x'"), "name", rows, "v").collect()} == {"x"}
