@@ -68,9 +68,9 @@ def leave_one_out_bars(t):
     return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
 
 
-@query("majority_lemmas", "SELECT p_brand, round(sum(p_size * (p_type LIKE '%STEEL%')::INT) / sum(p_size), 6) AS share FROM part GROUP BY p_brand HAVING sum(p_size * (p_type LIKE '%STEEL%')::INT) / sum(p_size) >= 0.15")
+@query("majority_lemmas", "SELECT p_brand, round(sum(p_size * (p_type = 'LARGE')::INT) / sum(p_size), 6) AS share FROM part GROUP BY p_brand HAVING sum(p_size * (p_type = 'LARGE')::INT) / sum(p_size) >= 0.15")
 def majority_lemmas(t):
-    return instruments.majority_lemmas(t.part, "p_brand", "p_size", F.col("p_type").contains("STEEL"), 0.15).withColumn("share", F.round("share", 6))
+    return instruments.majority_lemmas(t.part, "p_brand", "p_size", F.col("p_type") == "LARGE", 0.15).withColumn("share", F.round("share", 6))
 
 
 @query("thin_cells", "SELECT source, lang, count(*) FILTER (WHERE regexp_matches(lower(text), '(^|[^\\p{L}])license([^\\p{L}]|$)')) AS lines FROM documents GROUP BY source, lang HAVING count(*) FILTER (WHERE regexp_matches(lower(text), '(^|[^\\p{L}])license([^\\p{L}]|$)')) < 2")

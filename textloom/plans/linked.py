@@ -12,11 +12,11 @@ from ..operators.records import RecordKind
 from .registry import query
 
 KINDS = [
-    RecordKind("brushed", "drop", types=("ECONOMY BRUSHED COPPER",), title_patterns=("^forest",)),
-    RecordKind("steel", "flag", tags_together=("STEEL", "LARGE")),
-    RecordKind("tin", "keep", tags=("TIN",)),
+    RecordKind("promo", "drop", types=("PROMO",), title_patterns=("^blue",)),
+    RecordKind("large", "flag", tags_together=("LARGE",)),
+    RecordKind("medium", "keep", tags=("MEDIUM",)),
     RecordKind("small", "flag", max_pages=5),
-    RecordKind("copper", "drop", title_patterns=("copper", "(?-i:Metallic)")),
+    RecordKind("ring", "drop", title_patterns=("RING$", "(?-i:Bolt)")),
 ]
 
 
@@ -27,9 +27,8 @@ def _signals(t):
 
 
 _TYPES = """
-  r AS (SELECT p_partkey AS work, CASE WHEN p_type = 'ECONOMY BRUSHED COPPER' OR regexp_matches(lower(p_name), '^forest') THEN 'brushed'
-    WHEN list_contains(string_split(p_type, ' '), 'STEEL') AND list_contains(string_split(p_type, ' '), 'LARGE') THEN 'steel' WHEN list_contains(string_split(p_type, ' '), 'TIN') THEN 'tin'
-    WHEN p_size <= 5 THEN 'small' WHEN lower(p_name) LIKE '%copper%' OR p_name LIKE '%Metallic%' THEN 'copper' END AS record_type FROM part)
+  r AS (SELECT p_partkey AS work, CASE WHEN p_type = 'PROMO' OR regexp_matches(lower(p_name), '^blue') THEN 'promo' WHEN p_type = 'LARGE' THEN 'large' WHEN p_type = 'MEDIUM' THEN 'medium'
+    WHEN p_size <= 5 THEN 'small' WHEN lower(p_name) LIKE '%ring' OR p_name LIKE '%Bolt%' THEN 'ring' END AS record_type FROM part)
 """
 
 
@@ -38,7 +37,7 @@ def record_types(t):
     return _signals(t).select("work", records.decide_record_types(KINDS).alias("record_type"))
 
 
-@query("record_actions", f"WITH {_TYPES} SELECT work, CASE WHEN record_type IN ('brushed', 'copper') THEN record_type END AS dropped_reason, CASE WHEN record_type IN ('steel', 'small') THEN record_type ELSE '' END AS flags FROM r")
+@query("record_actions", f"WITH {_TYPES} SELECT work, CASE WHEN record_type IN ('promo', 'ring') THEN record_type END AS dropped_reason, CASE WHEN record_type IN ('large', 'small') THEN record_type ELSE '' END AS flags FROM r")
 def record_actions(t):
     works = record_types(t).withColumns({"flags": F.array().cast("array<string>"), "dropped_reason": F.lit(None).cast("string")})
     return records.apply_record_types(works, "record_type", KINDS).select("work", "dropped_reason", F.array_join("flags", ",").alias("flags"))
@@ -91,10 +90,12 @@ def issn_check(t):
 
 
 @query("flatten_json", """
-  SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys, length(props)::BIGINT AS n FROM events
+  SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys, (props->>'k')::BIGINT AS k, props->>'absent' AS absent, event_type FROM events
 """)
 def flatten_json(t):
-    return t.events.select("event_id", F.array_join(F.array_sort(F.json_object_keys("props")), ",").alias("keys"), F.length("props").cast("bigint").alias("n"))
+    """JSON text under a declared schema: what it doesn't name goes, what is missing is null."""
+    row = F.from_json("props", "k bigint, absent string")
+    return t.events.select("event_id", F.array_join(F.array_sort(F.json_object_keys("props")), ",").alias("keys"), row["k"].alias("k"), row["absent"].alias("absent"), "event_type")
 
 
 @query("inverted_index_roundtrip", """
