@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .duplicates import checkpoint
 
 TEMPLATE_SHARE = 0.5
 
@@ -31,11 +32,15 @@ def mark_template_rows(sentences: DataFrame, key: str, min_works: int) -> DataFr
     return sentences.withColumn("masked", T.masked(F.col("sentence"))).join(shared, "masked", "left").withColumn("is_template", F.coalesce("is_template", F.lit(False)))
 
 
-def template_shares(sentences: DataFrame, key: str, min_works: int) -> DataFrame:
-    """The share of each work's sentence characters that templates hold, and whether the work goes."""
+def shares_of_templates(marked: DataFrame, key: str) -> DataFrame:
     length = F.length("sentence")
     share = F.sum(F.when(F.col("is_template"), length).otherwise(0)) / F.sum(length)
-    return mark_template_rows(sentences, key, min_works).groupBy(key).agg(share.alias("share")).withColumn("is_dropped", F.col("share") > TEMPLATE_SHARE)
+    return marked.groupBy(key).agg(share.alias("share")).withColumn("is_dropped", F.col("share") > TEMPLATE_SHARE)
+
+
+def template_shares(sentences: DataFrame, key: str, min_works: int) -> DataFrame:
+    """The share of each work's sentence characters that templates hold, and whether the work goes."""
+    return shares_of_templates(mark_template_rows(sentences, key, min_works), key)
 
 
 def repeated_sentences(sentences: DataFrame, key: str) -> DataFrame:
@@ -71,10 +76,10 @@ def add_flag(works: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame
 
 def mark_templates(works: DataFrame, key: str, min_works: int) -> DataFrame:
     """The template rule as the corpus build applies it, on works not dropped yet."""
-    sentences = sentence_rows(works.where("dropped_reason is null"), key)
+    sentences = checkpoint(sentence_rows(works.where("dropped_reason is null"), key))  # three passes read it
     marked = mark_template_rows(sentences, key, min_works)
     out = add_removals(works, marked.where("is_template"), key, "template_sentence")
-    return mark_dropped(out, template_shares(sentences, key, min_works).where("is_dropped"), key, "template")
+    return mark_dropped(out, shares_of_templates(marked, key).where("is_dropped"), key, "template")
 
 
 def mark_truncated(works: DataFrame, key: str) -> DataFrame:
