@@ -37,7 +37,7 @@ def sentence_openers(texts: DataFrame, text: str = "text") -> DataFrame:
     opener = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?:^|[.!?][ \n]+)(\p{Lu}\p{L}*)"), F.lit(1)))
     counts = texts.select(opener.alias("opener")).groupBy("opener").agg(F.count("*").alias("n"))
     # a window over the vocabulary, which is aggregated already
-    return counts.select("opener", F.rank().over(Window.orderBy(F.desc("n"))).alias("opener_rank"))
+    return counts.select("opener", F.rank().over(Window.orderBy(F.desc("n"))).cast("long").alias("opener_rank"))
 
 
 GLUED = r"(?<!\p{L})(\p{L}*\p{Ll}\p{Lu}\p{L}*)(?!\p{L})"
