@@ -43,6 +43,7 @@ def similar_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
     Ordered from the rarest shingle, two sets of similarity t or more share one of the first n - ceil(t n) + 1 of each; only these
     prefixes are joined, on the shingle and within a factor t of each other's size. What meets is counted exactly.
     """
+    rows = checkpoint(rows)  # read twice; making shingles costs more than reading them
     frequency = rows.groupBy("shingle").agg(F.count("*").alias("f"))
     ordered = rows.join(frequency, "shingle").groupBy(key, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "shingle"))), lambda s: s["shingle"]).alias("h"))
     sets = checkpoint(ordered)
