@@ -1,10 +1,13 @@
 """Stupid-backoff scores from n-gram counts over all documents.
 
-The tables are relations of packed columns. A task gathers documents into chunks of about ``CHUNK_TOKENS`` tokens and
-explodes each chunk into its distinct n-grams: sorted 64-bit keys with counts, one row for each
-hash partition of the keys. Grouped by partition, these rows are the count table: all chunks' counts of a key meet
-there, and each chunk gets back the totals of its keys. Joined by chunk to its tokens, they give the score of
-every token, summed per document. A key that every document has is one entry for each chunk, so no key is heavy.
+The tables are relations of packed columns. A task gathers documents into chunks of about ``CHUNK_TOKENS`` tokens, writes the
+chunk's tokens to the shared folder, and explodes it into its distinct n-grams: sorted 64-bit keys with
+counts, one row for each hash partition of the keys. Grouped by partition, these rows are the count table: all chunks'
+counts of a key meet there, and each chunk gets back the totals of its keys. Joined by chunk to its tokens,
+they give the score of every token, summed per document. A key that every document has is one entry for each chunk, so no key is heavy.
+
+Single words and pairs are counted in a first round. From then on an n-gram can be seen ``min_count`` times only if both
+(n-1)-grams in it are, so only such n-grams are exploded in the next round, which loses none that counts.
 
 Score of a token after its context, for the longest context of up to ``order`` - 1 tokens in the document: with
 n-grams seen fewer than ``min_count`` times counting as unseen, the longest seen n-gram gives
@@ -13,18 +16,23 @@ count(n-gram) / count(its context), times ``alpha`` for each step down; a single
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import open_bytes, write_whole
+from .shared import new_table_path
 from .words import WordHashes, mixed, windows
 
 ORDER = 3
 MIN_COUNT = 2
 ALPHA = 0.4
-CHUNK_TOKENS = 2_500_000
+CHUNK_TOKENS = 2_000_000
+SCHEMA = "chunk long, part long, path string, payload binary"
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -90,35 +98,45 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _explode(documents: DataFrame, parts: int, order: int, chunk_tokens: int) -> DataFrame:
-    """(chunk, part, kind, payload): kind 0 the chunk's documents and tokens, kind 1 its n-grams of one partition."""
+def _rows(chunk: int, path: str, parts: int, orders: list[tuple[np.ndarray, np.ndarray]]):
+    """One row for each hash partition: the sorted keys and the counts of every order in it."""
+    packs: list[list[bytes]] = [[] for _ in range(parts)]
+    for keys, counts in orders:
+        cuts = np.searchsorted(_part(keys, parts), np.arange(parts + 1))
+        for p in range(parts):
+            own = slice(cuts[p], cuts[p + 1])
+            packs[p] += (pack_sorted(keys[own]), squeezed(counts[own]))
+    for p, pack in enumerate(packs):
+        yield {"chunk": [chunk], "part": [p], "path": [path], "payload": [pack_all(pack)]}
+
+
+def _batches(rows):
+    for row in rows:
+        yield pa.RecordBatch.from_pydict(row)
+
+
+def _explode(documents: DataFrame, folder: str, parts: int, first: int, chunk_tokens: int) -> DataFrame:
+    """Writes chunks of tokens, and explodes each into its n-grams of up to ``first`` tokens."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        memo, compress = WordHashes(), zstandard.ZstdCompressor(level=1).compress
+        memo = WordHashes()
         number, docs, arrays, held = TaskContext.get().partitionId() << 32, [], [], 0
 
         def chunk():
             lengths = np.array([len(a) for a in arrays], np.int64)
             hashes = np.concatenate([*arrays, np.zeros(0, np.uint64)])
+            arrays.clear()
             words, at, times = np.unique(hashes, return_inverse=True, return_counts=True)
             by_use = np.argsort(-times, kind="stable")
             number_of = np.empty(len(words), np.int64)
             number_of[by_use] = np.arange(len(words))
-            content = pack_all([np.array([d or 0 for d in docs], "<i8").tobytes(), bytes(d is None for d in docs), lengths.astype("<i8").tobytes(), words[by_use].astype("<u8").tobytes(), squeezed(number_of[at])])
-            rows = [(number, number % parts, 0, compress(content))]
-            packs: list[list[bytes]] = [[] for _ in range(parts)]
-            for n in range(1, order + 1):
-                keys, counts = np.unique(grams(hashes, lengths, n), return_counts=True)
-                cuts = np.searchsorted(_part(keys, parts), np.arange(parts + 1))
-                for p in range(parts):
-                    own = slice(cuts[p], cuts[p + 1])
-                    packs[p] += (pack_sorted(keys[own]), squeezed(counts[own]))
-            rows += [(number, p, 1, pack_all(x)) for p, x in enumerate(packs) if any(len(y) > 1 for y in x[::2])]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            for k in range(0, len(rows), 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[k : k + 16]), kinds)], ["chunk", "part", "kind", "payload"])
+            content = [np.array([d or 0 for d in docs], "<i8").tobytes(), bytes(d is None for d in docs), lengths.astype("<i8").tobytes(), words[by_use].astype("<u8").tobytes(), squeezed(number_of[at])]
+            del at, number_of, by_use, times
+            path = f"{folder}/{uuid.uuid4().hex}"
+            write_whole(path, [pack_all(content)])
+            yield from _batches(_rows(number, path, parts, [np.unique(grams(hashes, lengths, n), return_counts=True) for n in range(1, first + 1)]))
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -131,19 +149,19 @@ def _explode(documents: DataFrame, parts: int, order: int, chunk_tokens: int) ->
         if docs:
             yield from chunk()
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "chunk long, part long, kind int, payload binary")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
-def _sum_counts(exploded: DataFrame, parts: int, order: int) -> DataFrame:
-    """Adds up each partition's counts over all chunks; every chunk's n-grams become their totals. Rows of kind 0 go through."""
+def _sum_counts(exploded: DataFrame, parts: int) -> DataFrame:
+    """Adds up each partition's counts over all chunks; every chunk's n-grams become their totals."""
 
     def run(batches):
         part, rows = None, []
 
         def answer():
-            packs = [unpack_all(payload) for _, payload in rows]
+            packs = [unpack_all(payload) for _, _, payload in rows]
             replies: list[list[bytes]] = [[] for _ in rows]
-            for n in range(order):
+            for n in range(len(packs[0]) // 2):
                 keys = [unpack_sorted(p[2 * n]) for p in packs]
                 every, at = np.unique(np.concatenate(keys), return_inverse=True)
                 totals = np.bincount(at, np.concatenate([unsqueezed(p[2 * n + 1]) for p in packs]), len(every))
@@ -151,43 +169,95 @@ def _sum_counts(exploded: DataFrame, parts: int, order: int) -> DataFrame:
                 for reply, k in zip(replies, keys):
                     reply.append(squeezed(np.minimum(totals[at[start : start + len(k)]], 2**32 - 1)))
                     start += len(k)
-            for (chunk, _), reply in zip(rows, replies):
-                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "part": [part], "kind": pa.array([1], pa.int32()), "payload": [pack_all(reply)]})
+            yield from _batches({"chunk": [chunk], "part": [part], "path": [path], "payload": [pack_all(reply)]} for (chunk, path, _), reply in zip(rows, replies))
 
         for batch in batches:
             for row in batch.to_pylist():
-                if row["kind"] == 0:
-                    yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"]], "part": [row["part"]], "kind": pa.array([0], pa.int32()), "payload": [row["payload"]]})
-                    continue
                 if row["part"] != part:
                     if rows:
                         yield from answer()
                     part, rows = row["part"], []
-                rows.append((row["chunk"], row["payload"]))
+                rows.append((row["chunk"], row["path"], row["payload"]))
         if rows:
             yield from answer()
 
-    return exploded.repartition(parts, "part").sortWithinPartitions("part", "kind", "chunk").mapInArrow(run, "chunk long, part long, kind int, payload binary")
-
-
-def token_scores(hashes: np.ndarray, lengths: np.ndarray, counts: list[np.ndarray], total: int, min_count: int, alpha: float) -> np.ndarray:
-    """The natural logarithm of each token's score; ``counts[n - 1]`` belongs to the sorted distinct n-grams."""
-    per_token = []
-    place = _position(lengths)
-    for n, known in enumerate(counts, 1):
-        c = np.zeros(len(hashes))
-        if len(hashes) >= n:
-            _, at = np.unique(grams(hashes, lengths, n), return_inverse=True)
-            c[np.flatnonzero(place >= n - 1)] = known[at]
-        per_token.append(c)
-    before = lambda c: np.r_[0.0, c[:-1]]  # noqa: E731  the context ends at the token before
-    score = np.log(per_token[0] / total)
-    for n in range(2, len(counts) + 1):
-        can = place >= n - 1
-        seen = can & (per_token[n - 1] >= min_count)
-        score = np.where(can, score + np.log(alpha), score)
-        score[seen] = np.log(per_token[n - 1][seen] / before(per_token[n - 2])[seen])
-    return score
+    return exploded.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(run, SCHEMA)
+
+
+def _read(path: str) -> list[bytes]:
+    with open_bytes(path) as f:
+        return unpack_all(f.read())
+
+
+class Chunk:
+    """A chunk's tokens, and the counts of the n-grams that end at each."""
+
+    def __init__(self, path: str, min_count: int):
+        files = [_read(p) for p in path.split("\n")]
+        ids, self.missing, lengths, words, numbers = files[0]
+        self.ids, self.lengths = np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<i8")
+        self.hashes = np.frombuffer(words, "<u8")[unsqueezed(numbers)] if self.lengths.sum() else np.zeros(0, np.uint64)
+        self.place, self.min_count, self.counts = _position(self.lengths), min_count, []
+        for known in files[1:]:
+            for part in known:
+                self.add(unsqueezed(part))
+
+    def possible(self, n: int) -> np.ndarray:
+        """Tokens at which an n-gram ends that may be seen often enough."""
+        out = self.place >= n - 1
+        if n > 2:
+            often = self.counts[n - 2] >= self.min_count
+            out &= often & np.r_[False, often[:-1]]
+        return out
+
+    def keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the possible n-grams the keys, and where they end."""
+        ends = self.possible(n)
+        if n == 1:
+            return grams(self.hashes, self.lengths, 1), ends
+        all_ends = self.place >= n - 1
+        return grams(self.hashes, self.lengths, n)[ends[all_ends]], ends
+
+    def add(self, known: np.ndarray) -> None:
+        """The next order's totals, one for each sorted distinct key."""
+        keys, ends = self.keys(len(self.counts) + 1)
+        c = np.zeros(len(self.hashes))
+        if len(keys):
+            c[ends] = known[np.unique(keys, return_inverse=True)[1]]
+        self.counts.append(c)
+
+    def scores(self, total: int, alpha: float) -> np.ndarray:
+        """The natural logarithm of each token's score."""
+        score = np.log(self.counts[0] / total)
+        for n in range(2, len(self.counts) + 1):
+            can = self.place >= n - 1
+            seen = can & (self.counts[n - 1] >= self.min_count)
+            score = np.where(can, score + np.log(alpha), score)
+            context = np.r_[0.0, self.counts[n - 2][:-1]]  # it ends at the token before
+            score[seen] = np.log(self.counts[n - 1][seen] / context[seen])
+        return score
+
+
+def _chunks(batches, min_count: int):
+    """(chunk number, path, Chunk with this round's counts added, those counts) of rows sorted by chunk and part."""
+    number, path, replies = None, None, []
+
+    def done():
+        chunk, parts = Chunk(path, min_count), [unpack_all(r) for r in replies]
+        new = [np.concatenate([unsqueezed(p[k]) for p in parts]) for k in range(len(parts[0]))]
+        for known in new:
+            chunk.add(known)
+        return number, path, chunk, new
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["chunk"] != number:
+                if replies:
+                    yield done()
+                number, path, replies = row["chunk"], row["path"], []
+            replies.append(row["payload"])
+    if replies:
+        yield done()
 
 
 def score_documents(documents: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
@@ -198,36 +268,31 @@ def score_documents(documents: DataFrame, order: int = ORDER, min_count: int = M
     """
     spark = documents.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def run(batches):
-        chunk, content, replies = None, None, []
-
-        def score():
-            ids, missing, lengths, words, numbers = unpack_all(content)
-            lengths = np.frombuffer(lengths, "<i8")
-            hashes = np.frombuffer(words, "<u8")[unsqueezed(numbers)] if lengths.sum() else np.zeros(0, np.uint64)
-            counts = [np.concatenate([np.zeros(0), *(unsqueezed(r[n]) for _, r in sorted(replies, key=lambda r: r[0]))]) for n in range(order)]
-            logs = token_scores(hashes, lengths, counts, total.value, min_count, alpha)
-            sums = np.add.reduceat(np.r_[logs, 0.0], np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)
-            sums = np.where(lengths > 0, sums, 0.0)
-            docs = [None if m else int(d) for d, m in zip(np.frombuffer(ids, "<i8"), missing)]
-            means = [float(s / n) if n else None for s, n in zip(sums, lengths)]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lengths), pa.array(sums), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_score", "mean_log_score"])
-
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["chunk"] != chunk:
-                    if content is not None:
-                        yield from score()
-                    chunk, content, replies = row["chunk"], None, []
-                if row["kind"] == 0:
-                    content = expand(row["payload"])
-                else:
-                    replies.append((row["part"], unpack_all(row["payload"])))
-        if content is not None:
-            yield from score()
-
-    total = spark.sparkContext.broadcast(max(1, documents.agg(F.sum(F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda w: w != "")))).first()[0] or 0))
-    counted = _sum_counts(_explode(documents, parts, order, chunk_tokens), parts, order)
-    return counted.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(run, "doc_id long, n_tokens long, log_score double, mean_log_score double")
+    folder = new_table_path(spark, "chunks")
+    tokens = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+    total = max(1, documents.agg(F.sum(tokens)).first()[0] or 0)
+
+    def next_order(n):
+        def run(batches):
+            for number, path, chunk, new in _chunks(batches, min_count):
+                counts = f"{folder}/{uuid.uuid4().hex}"
+                write_whole(counts, [pack_all([squeezed(c) for c in new])])
+                keys, _ = chunk.keys(n)
+                yield from _batches(_rows(number, f"{path}\n{counts}", parts, [np.unique(keys, return_counts=True)]))
+
+        return run
+
+    def score(batches):
+        for _, _, chunk, _ in _chunks(batches, min_count):
+            n = chunk.lengths
+            sums = np.add.reduceat(np.r_[chunk.scores(total, alpha), 0.0], np.cumsum(n) - n) if len(n) else np.zeros(0)
+            sums = np.where(n > 0, sums, 0.0)
+            docs = [None if m else int(d) for d, m in zip(chunk.ids, chunk.missing)]
+            means = [float(s / k) if k else None for s, k in zip(sums, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n), pa.array(sums), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_score", "mean_log_score"])
+
+    by_chunk = lambda df: df.repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
+    counted = by_chunk(_sum_counts(_explode(documents, folder, parts, min(order, 2), chunk_tokens), parts))
+    for n in range(3, order + 1):
+        counted = by_chunk(_sum_counts(counted.mapInArrow(next_order(n), SCHEMA), parts))
+    return counted.mapInArrow(score, "doc_id long, n_tokens long, log_score double, mean_log_score double")
