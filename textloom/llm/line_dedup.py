@@ -15,6 +15,8 @@ MIN_SITES = 8
 LG_K = 12
 #: The standard error of a sketch with 2**12 registers is 1.6 %; estimates this near are counted exactly.
 NEAR = 0.25
+#: A line's sites are sketched in so many parts, which then merge.
+PARTS = 16
 
 
 def _lines(text: Column) -> Column:
@@ -38,8 +40,11 @@ def boilerplate_lines(documents: DataFrame, site: str = "source", min_sites: int
         F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _pair))).alias("_line"),
     ).select("_doc", "_site", "_line.a", "_line.b")
     often = lines.groupBy("a", "b").agg(F.count("_site").alias("_n"), F.min("_doc").alias("first_doc")).where(F.col("_n") >= min_sites).drop("_n")
-    sites = lines.join(often.select("a", "b"), ["a", "b"], "left_semi").where("_site is not null")
-    spread = sites.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(LG_K))).alias("_sites"))
+    # one row for each line and site, combined before the shuffle: a line that a third of the documents have isn't a heavy key
+    sites = lines.where("_site is not null").groupBy("a", "b", "_site").agg(F.count("*").alias("_rows")).join(often.select("a", "b"), ["a", "b"], "left_semi")
+    part = F.pmod(F.xxhash64("_site"), F.lit(PARTS)).alias("_part")
+    sketches = sites.groupBy("a", "b", part).agg(F.hll_sketch_agg("_site", F.lit(LG_K)).alias("_sketch"))
+    spread = sketches.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_union_agg("_sketch")).alias("_sites"))
     near = spread.where(F.col("_sites").between(min_sites * (1 - NEAR) - 1, min_sites * (1 + NEAR) + 1))
     exact = (
         sites.join(near.select("a", "b"), ["a", "b"], "left_semi")
