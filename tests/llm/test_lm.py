@@ -43,3 +43,23 @@ def test_keys_pack():
     for keys in (np.zeros(0, np.uint64), np.array([5], np.uint64), np.array([0, 2**63], np.uint64), np.unique(np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))):
         assert (lm.unpack_sorted(lm.pack_sorted(keys)) == keys).all()
         assert (lm.unsqueezed(lm.squeezed(keys % np.uint64(2**32))) == keys % np.uint64(2**32)).all()
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_once_is_seen(documents, order):
+    rows = [(k, " ".join(f"w{(k * j * j + j) % 11}" for j in range(k % 17)), "s") for k in range(60)] + [(100, "rare words stand here once", "s")]
+    out = lm.score_documents(documents(rows), order=order, min_count=1, chunk_tokens=50)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.log_score, 6)) for r in out.collect()) == brute(rows, order, 1, lm.ALPHA)
+
+
+def test_query_of_all_counts_equals_its_sql(spark, small):
+    duckdb = pytest.importorskip("duckdb")
+    from textloom.llm import queries
+
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+        wanted = db.execute(queries.oracle_sql()["op3_lm_score_all_counts"]).fetchall()
+    got = [tuple(r) for r in queries.op3_lm_score_all_counts(spark, small).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert [(r[0], r[1]) for r in sorted(got, key=key)] == [(r[0], r[1]) for r in sorted(wanted, key=key)]
+    assert all(abs(a[2] - b[2]) < 1e-3 for a, b in zip(sorted(got, key=key), sorted(wanted, key=key)))

@@ -6,8 +6,9 @@ counts, one row for each hash partition of the keys. Grouped by partition, these
 counts of a key meet there, and each chunk gets back the totals of its keys. Joined by chunk to its tokens,
 they give the score of every token, summed per document. A key that every document has is one entry for each chunk, so no key is heavy.
 
-Single words and pairs are counted in a first round. From then on an n-gram can be seen ``min_count`` times only if both
-(n-1)-grams in it are, so only such n-grams are exploded in the next round, which loses none that counts.
+Single words and pairs are counted in a first round. From then on an n-gram with an (n-1)-gram in it that is seen once is itself
+seen once, and it can be seen ``min_count`` times only if both (n-1)-grams in it are. So only n-grams whose both (n-1)-grams are
+seen twice and ``min_count`` times are exploded in the next round; the counts of the others are known or do not count.
 
 Score of a token after its context, for the longest context of up to ``order`` - 1 tokens in the document: with
 n-grams seen fewer than ``min_count`` times counting as unseen, the longest seen n-gram gives
@@ -203,10 +204,10 @@ class Chunk:
                 self.add(unsqueezed(part))
 
     def possible(self, n: int) -> np.ndarray:
-        """Tokens at which an n-gram ends that may be seen often enough."""
+        """Tokens at which an n-gram ends whose count is to be found."""
         out = self.place >= n - 1
         if n > 2:
-            often = self.counts[n - 2] >= self.min_count
+            often = self.counts[n - 2] >= max(2, self.min_count)
             out &= often & np.r_[False, often[:-1]]
         return out
 
@@ -221,7 +222,8 @@ class Chunk:
     def add(self, known: np.ndarray) -> None:
         """The next order's totals, one for each sorted distinct key."""
         keys, ends = self.keys(len(self.counts) + 1)
-        c = np.zeros(len(self.hashes))
+        # beyond the possible ones: seen once, as a part is, or fewer than min_count > 2 times, which is as good as never
+        c = np.where(self.place >= len(self.counts), 1.0 if self.min_count <= 2 else 0.0, 0.0)
         if len(keys):
             c[ends] = known[np.unique(keys, return_inverse=True)[1]]
         self.counts.append(c)
