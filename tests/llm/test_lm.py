@@ -63,3 +63,14 @@ def test_query_of_all_counts_equals_its_sql(spark, small):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert [(r[0], r[1]) for r in sorted(got, key=key)] == [(r[0], r[1]) for r in sorted(wanted, key=key)]
     assert all(abs(a[2] - b[2]) < 1e-3 for a, b in zip(sorted(got, key=key), sorted(wanted, key=key)))
+
+
+def test_counts_beyond_32_bits(spark):
+    import numpy as np
+
+    large = np.array([1, 2**32 - 1, 2**32, 2**45 + 3], np.uint64)
+    assert (lm.unsqueezed(lm.squeezed(large)) == large).all()
+    keys = np.array([3, 7], np.uint64)
+    rows = [(c, 0, "p", bytearray(lm.pack_all([lm.pack_sorted(keys), lm.squeezed(np.array([2**32 - 1, 1]))]))) for c in range(3)]
+    replies = lm._sum_counts(spark.createDataFrame(rows, lm.SCHEMA), 1).collect()
+    assert [lm.unsqueezed(lm.unpack_all(bytes(r.payload))[0]).tolist() for r in replies] == [[3 * (2**32 - 1), 3]] * 3

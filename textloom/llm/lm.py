@@ -67,13 +67,14 @@ def unpack_all(data: bytes) -> list[bytes]:
 
 
 def squeezed(x: np.ndarray) -> bytes:
-    """Counts or numbers below 2**32: their four bytes as planes, so that small ones cost little."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """Counts or numbers: their four bytes, or eight where one is 2**32 or more, as planes, so that small ones cost little."""
+    width = 8 if len(x) and x.max() >= 2**32 else 4
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
 
 
 def unsqueezed(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<u4")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
+    return np.ascontiguousarray(planes.reshape(data[0], -1).T).reshape(-1).view(f"<u{data[0]}")
 
 
 def grams(hashes: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
@@ -168,7 +169,7 @@ def _sum_counts(exploded: DataFrame, parts: int) -> DataFrame:
                 totals = np.bincount(at, np.concatenate([unsqueezed(p[2 * n + 1]) for p in packs]), len(every))
                 start = 0
                 for reply, k in zip(replies, keys):
-                    reply.append(squeezed(np.minimum(totals[at[start : start + len(k)]], 2**32 - 1)))
+                    reply.append(squeezed(totals[at[start : start + len(k)]]))
                     start += len(k)
             yield from _batches({"chunk": [chunk], "part": [part], "path": [path], "payload": [pack_all(reply)]} for (chunk, path, _), reply in zip(rows, replies))
 
