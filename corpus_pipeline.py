@@ -26,10 +26,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates stays; rows without doc_id stay."""
-    found = jaccard.jaccard_join(docs)
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the least doc_id of each group of near-duplicates stays; rows without doc_id stay.
+
+    Rows go one by one: of a doc_id with several texts, those whose text is not near any other's stay.
+    """
+    found = jaccard.near_classes(docs)
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_text"]), "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,18 @@ def test_blocks_equal_brute_force(documents, monkeypatch):
     assert found(jaccard.jaccard_join(documents(rows))) == brute(rows)
 
 
+def test_several_texts_of_one_doc_id(documents, spark):
+    """Each of the texts has its own class and links, and the pipeline drops only the rows that are near-duplicates."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words), "s"), (1, " ".join(words[:55] + ["x"]), "s"), (1, "quite another text stands in this row", "s"), (2, " ".join(words[:57] + ["y"]), "s"), (2, "no other row is like this one here", "s"), (3, " ".join(words[:55] + ["x", "z"]), "s")]
+    rows += [(4, " ".join(f"v{k}" for k in range(50)), "s"), (4, "one more row without any copy at all", "s"), (0, " ".join(f"v{k}" for k in range(49)), "s")]
+    assert found(jaccard.jaccard_join(documents(rows))) == brute(rows)
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(rows), "")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(r[:2] for k, r in enumerate(rows) if k not in (3, 5, 6))
+
+
 def test_empty(documents):
     assert jaccard.jaccard_join(documents([])).count() == 0
 

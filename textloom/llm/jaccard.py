@@ -70,7 +70,7 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def shingle_features(documents: DataFrame) -> DataFrame:
-    """doc_id, (key_a, key_b) of the shingle set, its size and its signature (null for an empty set)."""
+    """doc_id, a hash of the text, (key_a, key_b) of the shingle set, its size and its signature (null for an empty set)."""
 
     def run(batches):
         memo = WordHashes()
@@ -81,26 +81,26 @@ def shingle_features(documents: DataFrame) -> DataFrame:
                 for out, value in zip(rows, (*set_key(s), len(s), signature(s).tobytes() if len(s) else None)):
                     out.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, rows, kinds)], ["doc_id", "key_a", "key_b", "size", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, rows, kinds)], ["doc_id", "text_hash", "key_a", "key_b", "size", "signature"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key_a long, key_b long, size long, signature binary")
+    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, key_a long, key_b long, size long, signature binary")
 
 
 def _bucket_edges(classes: DataFrame) -> DataFrame:
     width = 2 * ROWS
     buckets = classes.where("size > 0").select(
-        F.col("rep"),
+        F.col("node"),
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * width + 1, F.lit(width))))).alias("bucket"),
     )
-    first = buckets.groupBy("bucket").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return buckets.join(first, "bucket").where("rep <> v").select(F.col("rep").alias("u"), "v")
+    first = buckets.groupBy("bucket").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return buckets.join(first, "bucket").where("node <> v").select(F.col("node").alias("u"), "v")
 
 
 def _tasks(members: DataFrame) -> DataFrame:
     """Adds the pairs of blocks (first, second) that each member takes part in, and its own block.
 
     Sets whose sizes differ by more than a factor 1/0.8 cannot reach the threshold, so in a large component only
-    equal and neighbouring size levels meet. ``members``: rep, root, size.
+    equal and neighbouring size levels meet. ``members``: node, root, size.
     """
     width = 1 << 20
     sizes = members.groupBy("root").agg(F.count("*").alias("of_root"))
@@ -113,9 +113,9 @@ def _tasks(members: DataFrame) -> DataFrame:
     known = beside(beside(beside(levels, 0, "own"), 1, "above"), -1, "below")
     some = lambda n, level: F.when(F.col(n).isNull(), F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda s: level * width + s))
     return (
-        known.withColumn("block", F.col("level") * width + F.pmod(F.xxhash64("rep"), F.col("own")))
+        known.withColumn("block", F.col("level") * width + F.pmod(F.xxhash64("node"), F.col("own")))
         .withColumn("other", F.explode(F.concat(some("own", F.col("level")), some("above", F.col("level") + 1), some("below", F.col("level") - 1))))
-        .select("rep", "root", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+        .select("node", "root", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     )
 
 
@@ -158,16 +158,16 @@ def links_in_block(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndar
 def _verify(batches):
     """Rows sorted by (root, first, second); one run of equal keys, at most two blocks, is held at a time."""
     memo, needed = WordHashes(), least_matches()
-    out: dict[str, list] = {"rep": [], "links": [], "parent": []}
+    out: dict[str, list] = {"node": [], "links": [], "parent": []}
 
     def solve(key, rows):
         _, first, second = key
         seen, kept = set(), []
         for row in rows:
             s = shingle_set(row["text"], SHINGLE, memo)
-            if row["rep"] not in seen and set_key(s) == (row["key_a"], row["key_b"]):
-                seen.add(row["rep"])
-                kept.append((row["rep"], row["copies"], row["block"], s, row["signature"]))
+            if row["node"] not in seen and set_key(s) == (row["key_a"], row["key_b"]):
+                seen.add(row["node"])
+                kept.append((row["node"], row["copies"], row["block"], s, row["signature"]))
         if len(kept) < 2:
             return
         kept.sort(key=lambda x: x[0])
@@ -188,7 +188,7 @@ def _verify(batches):
             parent[max(a, b)] = min(a, b)
         for i, x in enumerate(kept):
             if links[i]:
-                out["rep"].append(x[0])
+                out["node"].append(x[0])
                 out["links"].append(links[i])
                 out["parent"].append(kept[root(i)][0])
 
@@ -223,41 +223,47 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     nothing else. A text of fewer than five words is one shingle. Rows with a null doc_id take part in nothing: their
     class is null and their counts are 0. Repeated rows count as copies.
     """
+    return near_classes(documents).drop("text_hash")
+
+
+def near_classes(documents: DataFrame) -> DataFrame:
+    """What ``jaccard_join`` gives, and text_hash: with doc_id it tells apart the rows of a doc_id that has several texts."""
     features = materialise(shingle_features(documents), "shingles")
     keyed = features.where("doc_id is not null")
-    classes = (
-        keyed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    )
-    classes = materialise(
-        classes.join(features.select(F.col("doc_id").alias("rep"), "key_a", "key_b", "size", "signature").dropDuplicates(["rep", "key_a", "key_b"]), ["rep", "key_a", "key_b"]), "classes"
-    )
+    classes = keyed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    one = features.select(F.col("doc_id").alias("rep"), "text_hash", "key_a", "key_b", "size", "signature").dropDuplicates(["rep", "key_a", "key_b"])
+    # rows of one doc_id with different texts give classes of the same rep, so a class has a number of its own
+    classes = materialise(classes.join(one, ["rep", "key_a", "key_b"]).withColumn("node", F.monotonically_increasing_id()), "classes")
     stars = components(_bucket_edges(classes), "stars")
-    members = classes.join(stars.withColumnRenamed("node", "rep"), "rep")
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    members = members.join(texts, "rep")
-    tasks = _tasks(classes.select("rep", "size").join(stars.withColumnRenamed("node", "rep"), "rep"))
+    members = classes.join(stars.select("node"), "node")
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
+    members = members.join(texts, ["rep", "text_hash"])
+    tasks = _tasks(classes.select("node", "size").join(stars, "node"))
     partitions = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ready = (
-        tasks.join(members.drop("root", "size"), "rep")
+        tasks.join(members.drop("rep", "text_hash", "size"), "node")
         .repartition(partitions, "root", "first", "second")
         .sortWithinPartitions("root", "first", "second")
     )
-    verified = materialise(ready.mapInArrow(_verify, "rep long, links long, parent long"), "links")
-    roots = components(verified.select(F.col("rep").alias("u"), F.col("parent").alias("v")), "linked")
-    links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
+    verified = materialise(ready.mapInArrow(_verify, "node long, links long, parent long"), "links")
+    roots = components(verified.select(F.col("node").alias("u"), F.col("parent").alias("v")), "linked")
+    linked = roots.join(classes.select("node", "rep"), "node")
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
+    links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     known = (
-        classes.select("key_a", "key_b", "rep", "copies")
-        .join(links, "rep", "left")
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        classes.select("key_a", "key_b", "rep", "copies", "node")
+        .join(links, "node", "left")
+        .join(linked.join(least, "root").select("node", "least"), "node", "left")
     )
     return (
-        features.select("doc_id", "key_a", "key_b")
+        features.select("doc_id", "text_hash", "key_a", "key_b")
         .join(known, ["key_a", "key_b"], "left")
         .select(
             "doc_id",
             F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("copy_class"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("class_id"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep")).alias("class_id"),
             F.when(F.col("doc_id").isNotNull(), F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
             F.when(F.col("doc_id").isNotNull(), F.col("copies")).otherwise(0).cast("long").alias("n_copies"),
+            "text_hash",
         )
     )
