@@ -42,3 +42,27 @@ def test_damage_is_an_error(tmp_path):
     path.write_bytes(warc.record(1, None, b"x" * 500, None, False)[:-20])
     with pytest.raises(ValueError):
         list(warc.read_range(str(path), 0, 10**6))
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    def member(kind, content_type, block, **more):
+        fields = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:6f1c2a5e-0000-4000-8000-00000000000a>", "Content-Type": content_type, "Content-Length": len(block)} | {k.replace("_", "-"): v for k, v in more.items()}
+        return gzip.compress(b"WARC/1.0\r\n" + "".join(f"{k}:{v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + b"\r\n\r\n")
+
+    http = "application/http; msgtype=response"
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(
+        member("warcinfo", "application/warc-fields", b"software: x\r\n\r\nmore")
+        + member("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n")
+        + member("response", http, b"HTTP/1.1 200 OK\r\n\r\nbody", WARC_Target_URI="http://a/")
+        + member("revisit", http, b"HTTP/1.1 200 OK\r\n\r\n", WARC_Payload_Digest="sha1:ABC")
+    )
+    files = spark.createDataFrame([(str(path), path.stat().st_size)], "path string, size long")
+    got = {r.record_type: (r.page_id, r.url, r.payload_digest, r.payload_bytes, r.payload and bytes(r.payload)) for r in warc.read_archives(files).collect()}
+    info = b"software: x\r\n\r\nmore"
+    assert got == {
+        "warcinfo": (None, None, warc.digest_of(info), len(info), info),
+        "request": (None, None, warc.digest_of(b""), 0, b""),
+        "response": (None, "http://a/", warc.digest_of(b"body"), 4, b"body"),
+        "revisit": (None, None, "ABC", None, None),
+    }

@@ -37,8 +37,9 @@ def _record_id(page) -> str:
 
 
 def _page(record_id: str | None) -> int | None:
-    text = (record_id or "").strip("<>").rpartition(":")[2]
-    return int(text) if text else None
+    """The page of this module's record ids; other ids have none."""
+    scheme, _, text = (record_id or "").strip("<>").rpartition(":")
+    return int(text) if scheme == "urn:x-page" and text else None
 
 
 def record(page, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -63,7 +64,8 @@ def record(page, url: str | None, payload: bytes, refers_to: int | None, revisit
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
+    pairs = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    fields = {name.strip(): value.strip() for name, _, value in pairs}
     return fields, rest[: int(fields["Content-Length"])]
 
 
@@ -142,6 +144,9 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
     """page_id, url, record_type, refers_to, payload_digest, payload_bytes and payload (null for revisits).
 
     A response's length and digest are those of the bytes read, which must match its header. ``files``: path, size.
+
+    Records of other writers have a null page_id and keep the digest of their header. Where it or X-Payload-Length is missing,
+    it comes from the payload: the block, of HTTP messages what follows their header; a revisit has none, so a null stays.
     """
     splits = files.where("size > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     partitions = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -153,12 +158,15 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
             for split in batch.to_pylist():
                 columns, held = [[] for _ in names], 0
                 for _, fields, block in read_range(split["path"], split["start"], split["start"] + split_bytes):
-                    digest, size, payload = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"]), None
-                    if fields["WARC-Type"] == "response":
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        if len(payload) != size or digest_of(payload) != digest:
-                            raise ValueError(f"damaged record {fields['WARC-Record-ID']} in {split['path']}")
-                    row = (_page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], _page(fields.get("WARC-Refers-To")), digest, size, payload)
+                    kind, digest, size, payload = fields.get("WARC-Type"), fields.get("WARC-Payload-Digest"), fields.get("X-Payload-Length"), None
+                    digest, size, own = digest and digest.removeprefix("sha1:"), None if size is None else int(size), size is not None
+                    if kind != "revisit":
+                        http = fields.get("Content-Type", "").startswith("application/http")
+                        payload = block.partition(b"\r\n\r\n")[2] if http else block
+                        if own and (len(payload) != size or digest is not None and digest_of(payload) != digest):
+                            raise ValueError(f"damaged record {fields.get('WARC-Record-ID')} in {split['path']}")
+                        digest, size = digest or digest_of(payload), len(payload)
+                    row = (_page(fields.get("WARC-Record-ID")), fields.get("WARC-Target-URI"), kind, _page(fields.get("WARC-Refers-To")), digest, size, payload)
                     for out, value in zip(columns, row):
                         out.append(value)
                     held += len(block)
