@@ -7,27 +7,55 @@ from hypothesis import strategies as st
 from textloom.llm import packing
 
 
-def test_plan_is_whole_and_tight():
-    @settings(max_examples=60, deadline=None)
-    @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), min_size=1))
-    def check(histogram):
-        slots = packing.plan_slots(histogram, 64)
-        filled, ranks = {}, {}
-        for length, first, count, sequence, offset in slots:
-            for k in range(count):
-                filled.setdefault(sequence + k, []).append((offset, length))
-                ranks.setdefault(length, []).append(first + k)
-        for parts in filled.values():
-            at = 0
-            for offset, length in sorted(parts):
-                assert offset == at
-                at += length
-            assert at <= 64
-        assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in histogram.items()}
-        # best-fit decreasing is within 11/9 of the least, plus one
-        assert len(filled) <= 11 / 9 * -(-sum(k * n for k, n in histogram.items()) // 64) * 1.6 + 2
+def best_fit_decreasing(histogram, capacity):
+    """The number of sequences when piece after piece takes the least room that fits."""
+    rooms = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            fitting = [k for k, free in enumerate(rooms) if free >= length]
+            if fitting:
+                rooms[min(fitting, key=rooms.__getitem__)] -= length
+            else:
+                rooms.append(capacity - length)
+    return len(rooms)
+
+
+def filled(histogram, capacity):
+    """How many sequences a plan opens; it must be gapless, whole and within the capacity."""
+    parts, ranks = {}, {}
+    for length, first, count, sequence, offset in packing.plan_slots(histogram, capacity):
+        for k in range(count):
+            parts.setdefault(sequence + k, []).append((offset, length))
+            ranks.setdefault(length, []).append(first + k)
+    for pieces in parts.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in histogram.items()}
+    return len(parts)
+
+
+def test_plan_equals_best_fit_decreasing():
+    @settings(max_examples=200, deadline=None)
+    @given(st.integers(1, 64), st.data())
+    def check(capacity, data):
+        histogram = data.draw(st.dictionaries(st.integers(1, capacity), st.integers(1, 12), min_size=1, max_size=20))
+        assert filled(histogram, capacity) == best_fit_decreasing(histogram, capacity)
 
     check()
+    assert filled({2: 1, 1: 2}, 4) == 1
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        lengths, counts = np.unique(np.minimum(1024, rng.lognormal(5, 1.2, 600).astype(int) + 1), return_counts=True)
+        histogram = dict(zip(lengths.tolist(), counts.tolist()))
+        assert filled(histogram, 1024) == best_fit_decreasing(histogram, 1024)
+
+
+def test_plan_does_not_grow_with_counts():
+    few, many = ({k: n * (k % 7 + 1) for k in range(1, 1025)} for n in (10, 10_000_000))
+    assert len(packing.plan_slots(many)) < 3 * len(packing.plan_slots(few)) < 300_000
 
 
 def test_pack(documents, tokenizer_path):
