@@ -30,9 +30,11 @@ from .shared import new_table_path
 from .words import WordHashes, mixed, windows
 
 ORDER = 3
-MIN_COUNT = 2
+MIN_COUNT = 1
 ALPHA = 0.4
 CHUNK_TOKENS = 2_000_000
+#: Tokens for each hash partition of the keys: a task of counting holds the n-grams of about so many.
+PART_TOKENS = 4_000_000
 SCHEMA = "chunk long, part long, path string, payload binary"
 
 
@@ -77,6 +79,11 @@ def unsqueezed(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(data[0], -1).T).reshape(-1).view(f"<u{data[0]}")
 
 
+def _tokens(text: str | None) -> list[str]:
+    """Lower-cased words between white space, as Python knows it."""
+    return (text or "").lower().split()
+
+
 def grams(hashes: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """Keys of the n-grams that end at each token, documents apart; only tokens with n-1 before them."""
     if n == 1:
@@ -143,7 +150,7 @@ def _explode(documents: DataFrame, folder: str, parts: int, first: int, chunk_to
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 docs.append(doc)
-                arrays.append(memo.of((text or "").lower().split()))
+                arrays.append(memo.of(_tokens(text)))
                 held += len(arrays[-1])
                 if held >= chunk_tokens:
                     yield from chunk()
@@ -263,17 +270,22 @@ def _chunks(batches, min_count: int):
         yield done()
 
 
+def _count_tokens(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"tokens": [sum(len(_tokens(t)) for t in batch.column("text").to_pylist())]})
+
+
 def score_documents(documents: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """doc_id, n_tokens, log_score (the sum) and mean_log_score (null without tokens) for every row.
 
-    Tokens are lower-cased and stand between white space. A null or empty text has none, and its sum is 0. Every row counts,
-    repeated rows too; a null doc_id stays null.
+    Tokens are lower-cased and stand between white space. A null or empty text has none, and its sum is 0; a very long one is
+    part of one chunk, whole. Every row counts, repeated rows too; a null doc_id stays null. There are no ties to break. An empty
+    table gives no rows, and other columns take no part. With the default ``min_count`` every n-gram counts.
     """
     spark = documents.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = new_table_path(spark, "chunks")
-    tokens = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda w: w != ""))
-    total = max(1, documents.agg(F.sum(tokens)).first()[0] or 0)
+    total = max(1, documents.select("text").mapInArrow(_count_tokens, "tokens long").agg(F.sum("tokens")).first()[0] or 0)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
 
     def next_order(n):
         def run(batches):

@@ -31,11 +31,6 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
-def op3_lm_score_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm.score_documents(_table(spark, sf_dir, "documents"), min_count=1)
-    return out.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
-
-
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -71,28 +66,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_lm_score": """
-            WITH w AS (
-              SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents
-            ), t AS (
-              SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
-              FROM w, unnest(range(1, len(w) + 1)) AS u(i)
-            ), n1 AS (SELECT c, count(*) AS n FROM t GROUP BY c),
-            n2 AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, c),
-            n3 AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b, c),
-            s AS (
-              SELECT t.doc_id, CASE
-                WHEN n3.n >= 2 THEN ln(n3.n / x2.n)
-                WHEN n2.n >= 2 THEN ln(n2.n / x1.n) + CASE WHEN t.a IS NOT NULL THEN ln(0.4) ELSE 0 END
-                ELSE ln(n1.n / (SELECT count(*) FROM t)) + CASE WHEN t.a IS NOT NULL THEN 2 WHEN t.b IS NOT NULL THEN 1 ELSE 0 END * ln(0.4) END AS s
-              FROM t JOIN n1 ON n1.c = t.c LEFT JOIN n2 ON n2.b = t.b AND n2.c = t.c LEFT JOIN n3 ON n3.a = t.a AND n3.b = t.b AND n3.c = t.c
-              LEFT JOIN n2 x2 ON x2.b = t.a AND x2.c = t.b LEFT JOIN n1 x1 ON x1.c = t.b
-            ), d AS (SELECT doc_id, sum(s) AS s FROM s GROUP BY doc_id)
-            SELECT w.doc_id, len(w.w)::BIGINT AS n_tokens, round(coalesce(d.s, 0), 4) AS log_score, round(d.s / nullif(len(w.w), 0), 6) AS mean_log_score
-            FROM w LEFT JOIN d USING (doc_id)
-        """,
         # every n-gram of a scored document is seen at least once, so its longest context decides
-        "op3_lm_score_all_counts": """
+        "op3_lm_score": """
             WITH w AS (
               SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents
             ), t AS (
