@@ -7,15 +7,12 @@ from textloom.llm import topk
 
 
 def brute(rows, every, k):
-    vectors = {}
-    for i, v, *_ in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(64 * x) for x in v]
-            vectors[i] = min(vectors.get(i, q), q)
+    """Every usable row against all others."""
+    usable = [(i, [math.floor(64 * x) for x in v]) for i, v, *_ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in vectors.items():
+    for a, (i, q) in enumerate(usable):
         if i % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, w)), j) for j, w in vectors.items() if j != i and len(w) == len(q))[:k]
+            scored = sorted((-sum(x * y for x, y in zip(q, w)), j) for b, (j, w) in enumerate(usable) if b != a and len(w) == len(q))[:k]
             out += [(i, r, j, -s) for r, (s, j) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -30,11 +27,48 @@ def test_equals_brute_force(spark):
     assert topk.exact_top_k(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_candidates(spark):
+    """Each with its own score, and found by the other."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 0.0]), (20, [1.0, 1.0]), (20, [0.0, 2.0])]
+    got = sorted(tuple(r) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    assert got == brute(rows, 20, 20) and (0, 1, 1, 4096) in got and (0, 3, 1, 2048) in got
+
+
+def test_regions_share_the_kth_score(spark, monkeypatch):
+    """Clusters apart: most queries never go beyond the regions near them, and the result stays exact."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 3, (8, 6))
+    vectors = centres[np.arange(900) % 8] + rng.normal(0, 0.02, (900, 6))
+    rows = [(int(k), [float(x) for x in v]) for k, v in enumerate(vectors)]
+    asked, real = [], topk._wanted
+
+    def counted(*args):
+        out = real(*args)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(topk, "_wanted", counted)
+    out = topk.exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), shard_rows=60)
+    assert sorted(tuple(r) for r in out.collect()) == brute(rows, 20, 20)
+    assert sum(asked) < 45 * 8 < 45 * 15
+
+
+def test_query_equals_its_sql(spark, small):
+    import duckdb
+
+    from textloom.llm import queries
+
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{small}/embeddings.parquet'")
+        wanted = db.execute(queries.oracle_sql()["op4_exact_top_k"]).fetchall()
+    assert sorted(tuple(r) for r in queries.op4_exact_top_k(spark, small).collect()) == sorted(wanted)
+
+
 def test_tree_leaves_subtrees_out():
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 400, (40, 16))
     vectors = (centres[rng.integers(0, 40, 4000)] + rng.normal(0, 5, (4000, 16))).astype(np.int64)
-    tree = topk.BallTree(np.arange(4000), vectors)
+    tree = topk.BallTree(np.stack([np.arange(4000)] * 2, axis=1), vectors)
     visited = []
     real = tree.spans
     tree.spans = type("Counted", (list,), {"__getitem__": lambda s, k: visited.append(k) or list.__getitem__(s, k)})(real)

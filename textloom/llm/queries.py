@@ -89,14 +89,14 @@ def oracle_sql() -> dict[str, str]:
         """,
         "op4_exact_top_k": """
             WITH v AS (
-              SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+              SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
             ), s AS (
-              SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
-              FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0
+              SELECT a.row_id, a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+              FROM v a JOIN v b ON a.row_id <> b.row_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0
             )
-            SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+            SELECT query_id, (row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
             FROM s QUALIFY rank <= 20
         """,
         "op7_warc": """

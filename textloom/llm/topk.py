@@ -1,8 +1,11 @@
-"""Exact top-k inner-product search: ball-tree branch and bound in every shard.
+"""Exact top-k inner-product search: ball-tree branch and bound in every shard, the current kth score shared between rounds.
 
-Vectors are hashed into shards of a bounded number of rows. A task holds one shard's tree; queries stream through it. Tree nodes are
-visited by their upper bound q.c + |q| r, and a subtree is left out when its bound is below the query's current kth score. First
-each query searches one shard; its kth score there goes with it as the floor for all others.
+A tree of median splits, fitted on a bounded sample, gives regions of near vectors; every vector goes to its region, and large
+regions are cut by hash, so a shard holds a bounded number of rows. Each region's ball bounds the inner
+products in it: q.c + |q| r. A query first searches the region with its best bound. After every round its kth
+score so far goes on as a floor: the query is sent only to regions whose bound reaches it, twice
+as many as in the round before and the best bounds first, and the floor grows until no region is left. In a shard a ball tree's nodes
+are visited by their bounds, and a subtree is left out when its bound is below the query's kth score.
 """
 
 from __future__ import annotations
@@ -20,6 +23,18 @@ K = 20
 SCALE = 64
 SHARD_ROWS = 8192
 LEAF = 128
+#: Rows that the splits between regions are fitted on, and the most regions: bounds of what is broadcast.
+SAMPLE_ROWS = 20_000
+MOST_REGIONS = 512
+#: Regions that a query searches in a round; later rounds take twice as many each.
+FIRST_REGIONS = 1
+
+
+def _bounds(centres: np.ndarray, radii: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Upper bounds of q's inner products in balls, with room for rounding."""
+    norm = np.sqrt(q @ q)
+    bounds = centres @ q + norm * radii
+    return bounds + 1e-9 * np.abs(bounds) + 1e-6 * (1 + norm)
 
 
 class BallTree:
@@ -30,7 +45,6 @@ class BallTree:
         small = not vectors.size or np.abs(vectors).max() < 2**20
         self.vectors = vectors.astype(np.float64 if small else np.int64)
         self.small = small
-        self.ids = ids
         self.order = np.arange(len(ids))
         self.centres, self.radii, self.spans, self.children = [], [], [], []
         self._build(0, len(ids))
@@ -52,13 +66,15 @@ class BallTree:
             self.children[node] = (self._build(start, start + half), self._build(start + half, end))
         return node
 
-    def search(self, query_id: int, query: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
-        """The k best (score, -id) of other ids, best first; those below ``floor`` may be missing."""
+    def search(self, own: int, query: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
+        """The k best (score, -id) of other rows than ``own``, best first; those below ``floor`` may be missing.
+
+        ``ids`` are pairs of an id and a row number; ``own`` is a row number.
+        """
         q = query.astype(np.float64)
-        bounds = self.centres @ q + np.sqrt(q @ q) * self.radii
-        bounds = bounds + 1e-9 * np.abs(bounds) + 1e-6 * (1 + np.sqrt(q @ q))
+        bounds = _bounds(self.centres, self.radii, q)
         exact = self.small and np.abs(query).max(initial=0) < 2**20
-        best: list[tuple[int, int]] = []  # a heap whose first is the worst
+        best: list[tuple[int, int, int]] = []  # a heap whose first is the worst
         heap = [(-bounds[0], 0)]
         while heap:
             bound, node = heapq.heappop(heap)
@@ -72,31 +88,149 @@ class BallTree:
                 continue
             start, end = self.spans[node]
             block = self.vectors[start:end]
-            scores = block @ (q if exact else query.astype(np.int64)) if exact else block.astype(np.int64) @ query.astype(np.int64)
+            scores = block @ q if exact else block.astype(np.int64) @ query.astype(np.int64)
             at = np.arange(end - start) if least is None else np.flatnonzero(scores >= least)
             for i in at:
-                if (vec := int(self.ids[start + i])) != query_id:
-                    entry = (int(scores[i]), -vec)
+                vec, row = self.ids[start + i].tolist()
+                if row != own:
+                    entry = (int(scores[i]), -vec, -row)
                     if len(best) < k:
                         heapq.heappush(best, entry)
                     elif entry > best[0]:
                         heapq.heapreplace(best, entry)
-        return sorted(best, reverse=True)
+        return [entry[:2] for entry in sorted(best, reverse=True)]
+
+
+def fit_splits(sample: np.ndarray, regions: int) -> list[tuple[int, float, int, int]]:
+    """Median splits (axis, cut, left, right) of a sample; a negative child -k is region k - 1."""
+    splits: list[tuple[int, float, int, int]] = []
+    leaves = 0
+
+    def build(rows, wanted):
+        nonlocal leaves
+        axis = int(sample[rows].var(axis=0).argmax()) if len(rows) else 0
+        cut = float(np.median(sample[rows, axis])) if len(rows) else 0.0
+        low = sample[rows, axis] < cut
+        if wanted < 2 or not low.any():
+            leaves += 1
+            return -leaves
+        node = len(splits)
+        splits.append((axis, cut, 0, 0))
+        splits[node] = (axis, cut, build(rows[low], wanted // 2), build(rows[~low], wanted - wanted // 2))
+        return node
+
+    build(np.arange(len(sample)), regions)
+    return splits
+
+
+def regions_of(vectors: np.ndarray, splits: list[tuple[int, float, int, int]]) -> np.ndarray:
+    """The region of each vector."""
+    out = np.zeros(len(vectors), np.int64)
+    todo = [(0, np.arange(len(vectors)))] if splits else []
+    while todo:
+        node, rows = todo.pop()
+        if node < 0:
+            out[rows] = -node - 1
+            continue
+        axis, cut, left, right = splits[node]
+        low = vectors[rows, axis] < cut
+        todo += [(left, rows[low]), (right, rows[~low])]
+    return out
+
+
+def _matrix(column) -> np.ndarray:
+    """A list column of equally long vectors."""
+    return np.array(column.to_pylist(), np.int64)
+
+
+def _placed(vectors: DataFrame, splits: dict[int, list]) -> DataFrame:
+    """Adds the region of every vector."""
+
+    def run(batches):
+        for batch in batches:
+            lengths = np.array(batch.column("length").to_pylist(), np.int64)
+            region = np.zeros(batch.num_rows, np.int64)
+            for n in np.unique(lengths):
+                rows = np.flatnonzero(lengths == n)
+                region[rows] = regions_of(_matrix(batch.column("vector").take(pa.array(rows))), splits.get(int(n), []))
+            yield batch.append_column("region", pa.array(region))
+
+    return vectors.mapInArrow(run, "vec_id long, row long, length int, vector array<long>, region long")
+
+
+def _balls(placed: DataFrame) -> DataFrame:
+    """length, region, centre and radius: each task makes a region's ball of its rows, which then merge.
+
+    The merged centre is the mean of the centres by rows, its radius the furthest that any of the balls reaches.
+    """
+
+    def run(batches):
+        sums: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            lengths, regions = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("length", "region"))
+            for key in set(zip(lengths.tolist(), regions.tolist())):
+                v = _matrix(batch.column("vector").take(pa.array(np.flatnonzero((lengths == key[0]) & (regions == key[1]))))).astype(np.float64)
+                centre = v.mean(axis=0)
+                sums.setdefault(key, []).append((len(v), centre, np.sqrt(((v - centre) ** 2).sum(axis=1).max())))
+            sums = {k: [_merged(balls)] for k, balls in sums.items()}
+        rows = [(*key, n, c.tolist(), float(r)) for key, [(n, c, r)] in sums.items()]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], ["length", "region", "n", "centre", "radius"])
+
+    return placed.mapInArrow(run, "length long, region long, n long, centre array<double>, radius double")
+
+
+def _merged(balls: list[tuple[int, np.ndarray, float]]) -> tuple[int, np.ndarray, float]:
+    n = sum(b[0] for b in balls)
+    centre = sum(b[0] * b[1] for b in balls) / n
+    return n, centre, max(b[2] + float(np.sqrt(((b[1] - centre) ** 2).sum())) for b in balls)
+
+
+def _all_balls(placed: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length the regions, centres and radii; at most ``MOST_REGIONS`` of each length come to the driver."""
+
+    def merge(table):
+        rows = table.to_pydict()
+        n, centre, radius = _merged([(n, np.array(c), r) for n, c, r in zip(rows["n"], rows["centre"], rows["radius"])])
+        return pa.table({"length": pa.array(rows["length"][:1], pa.int64()), "region": pa.array(rows["region"][:1], pa.int64()), "n": pa.array([n], pa.int64()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius], pa.float64())})
+
+    merged = _balls(placed).groupBy("length", "region").applyInArrow(merge, "length long, region long, n long, centre array<double>, radius double")
+    found: dict[int, list] = {}
+    for r in sorted(merged.collect(), key=lambda r: (r.length, r.region)):
+        found.setdefault(r.length, []).append(r)
+    return {n: (np.array([r.region for r in rs]), np.array([r.centre for r in rs]), np.array([r.radius for r in rs])) for n, rs in found.items()}
+
+
+def _wanted(queries: DataFrame, balls: dict, taken: int, more: int) -> DataFrame:
+    """Each query once for each of its next ``more`` regions, by bound, that can still hold one of its k best."""
+
+    def run(batches):
+        for batch in batches:
+            rows, regions = [], []
+            for i, (vector, floor) in enumerate(zip(batch.column("vector").to_pylist(), batch.column("floor").to_pylist())):
+                numbers, centres, radii = balls[len(vector)]
+                bounds = _bounds(centres, radii, np.array(vector, np.float64))
+                order = np.argsort(-bounds, kind="stable")[taken : taken + more]
+                order = order if floor is None else order[bounds[order] >= floor]
+                rows += [i] * len(order)
+                regions += numbers[order].tolist()
+            yield batch.take(pa.array(rows, pa.int64())).append_column("region", pa.array(regions, pa.int64()))
+
+    return queries.mapInArrow(run, "vec_id long, row long, length int, vector array<long>, floor long, region long")
 
 
 def _search_shards(rows: DataFrame, k: int) -> DataFrame:
     """Rows of one shard come together, its vectors (kind 0) before its queries (kind 1)."""
-    schema = "query_id long, vec_id long, score long"
 
     def run(batches):
         shard, ids, vectors, tree = None, [], [], None
         for batch in batches:
-            out = ([], [], [])
-            for key, kind, vec, vector, floor in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "vec_id", "vector", "floor"))):
+            out = ([], [], [], [])
+            for key, kind, vec, row, vector, floor in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "vec_id", "row", "vector", "floor"))):
                 if key != shard:
                     shard, ids, vectors, tree = key, [], [], None
                 if kind == 0:
-                    ids.append(vec)
+                    ids.append((vec, row))
                     vectors.append(np.array(vector, np.int64))
                     continue
                 if tree is None:
@@ -104,48 +238,56 @@ def _search_shards(rows: DataFrame, k: int) -> DataFrame:
                         continue
                     tree = BallTree(np.array(ids), np.stack(vectors))
                     vectors = []
-                for score, other in tree.search(vec, np.array(vector, np.int64), k, floor):
-                    for column, value in zip(out, (vec, -other, score)):
+                for score, other in tree.search(row, np.array(vector, np.int64), k, floor):
+                    for column, value in zip(out, (vec, row, -other, score)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "query_row", "vec_id", "score"])
 
     partitions = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(partitions, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, schema)
+    return rows.repartition(partitions, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "query_id long, query_row long, vec_id long, score long")
 
 
 def exact_top_k(embeddings: DataFrame, every: int = 20, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank, vec_id and score: for each vec_id divisible by ``every``, the k best of all other rows.
+    """query_id, rank, vec_id and score: for each row whose vec_id is divisible by ``every``, the k best of all other rows.
 
     Components become floor(64 x). Vectors that are null, empty or hold a null or a non-finite component take no part, nor
-    do rows with a null vec_id. Of rows that repeat a vec_id the least vector counts. A vector
-    meets only vectors of its own length. Ties go to the smaller vec_id.
+    do rows with a null vec_id. Rows count, not ids: rows that repeat a vec_id are candidates each, for each other too, and each
+    is a query of its own. A vector meets only vectors of its own length. Ties go to the smaller vec_id. An empty table gives
+    no rows; other columns take no part.
     """
     x = F.col("embedding")
     usable = F.coalesce(F.size(x), F.lit(0)) > 0
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
     vectors = materialise(
-        embeddings.where(F.col("vec_id").isNotNull() & usable & F.coalesce(finite, F.lit(False)))
-        .select(F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(v.cast("double") * SCALE)).alias("vector"))
-        .groupBy("vec_id")
-        .agg(F.min("vector").alias("vector")),
+        embeddings.where(F.col("vec_id").isNotNull() & usable & F.coalesce(finite, F.lit(False))).select(
+            F.col("vec_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.size(x).alias("length"), F.transform(x, lambda v: F.floor(v.cast("double") * SCALE)).alias("vector")
+        ),
         "vectors",
     )
-    shards = max(1, -(-vectors.count() // shard_rows))
-    vectors = vectors.withColumn("length", F.size("vector"))
-    shard = lambda n: F.concat_ws(":", "length", n)
-    number = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
-    home = F.pmod(F.xxhash64("vec_id", F.lit("home")), F.lit(shards))
-    stored = vectors.select(shard(number).alias("shard"), F.lit(0).alias("kind"), "vec_id", "vector", F.lit(None).cast("long").alias("floor"))
-    queries = vectors.where(F.col("vec_id") % every == 0)
-    first = _search_shards(stored.union(queries.select(shard(home), F.lit(1), "vec_id", "vector", F.lit(None).cast("long"))), k)
-    first = materialise(first, "home-shard")
-    floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("floor")).alias("floor"))
-    rest = (
-        queries.join(floors, "vec_id", "left")
-        .withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        .where(F.col("n") != home)
-        .select(shard("n"), F.lit(1), "vec_id", "vector", "floor")
-    )
-    found = first.union(_search_shards(stored.union(rest), k)) if shards > 1 else first
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    splits = {}
+    for r in vectors.groupBy("length").count().collect():  # a row for each length of vectors
+        of_length = vectors.where(F.col("length") == r.length)
+        regions = min(MOST_REGIONS, -(-r["count"] // shard_rows))
+        if regions > 1:
+            sample = of_length.orderBy(F.xxhash64("vec_id", "row")).select("vector").limit(SAMPLE_ROWS).toArrow()
+            splits[r.length] = fit_splits(_matrix(sample.column("vector")), regions)
+    placed = materialise(_placed(vectors, splits), "placed")
+    sizes = placed.groupBy("length", "region").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("cuts"))
+    sizes = F.broadcast(sizes)  # at most MOST_REGIONS rows for each length of vectors
+    balls = _all_balls(placed)
+    shard = lambda cut: F.concat_ws(":", "length", "region", cut).alias("shard")
+    stored = placed.join(sizes, ["length", "region"]).select(shard(F.pmod(F.xxhash64("row"), "cuts")), F.lit(0).alias("kind"), "vec_id", "row", "vector", F.lit(None).cast("long").alias("floor"))
+    queries = placed.where(F.col("vec_id") % every == 0).drop("region")
+    best = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    found, taken, more = None, 0, FIRST_REGIONS
+    most = max([len(b[0]) for b in balls.values()], default=0)
+    while taken < most or found is None:
+        known = queries.withColumn("floor", F.lit(None).cast("long"))
+        if found is not None:
+            floors = found.where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").alias("floor"))
+            known = queries.join(floors, "row", "left").select("vec_id", "row", "length", "vector", "floor")
+        asked = _wanted(known, balls, taken, more).join(sizes, ["length", "region"]).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+        now = _search_shards(stored.union(asked.select(shard("cut"), F.lit(1), "vec_id", "row", "vector", "floor")), k)
+        found = materialise(best(now if found is None else found.drop("rank").union(now)), "best")
+        taken, more = taken + more, 2 * more
+    return found.select("query_id", "rank", "vec_id", "score")
