@@ -33,3 +33,20 @@ def test_only_lines_on_many_sites(documents):
     rows = [(k, "same site line", "one") for k in range(50)]
     assert {r.n_removed for r in line_dedup.dedup_lines(documents(rows)).collect()} == {0}
     assert line_dedup.dedup_lines(documents([])).count() == 0
+
+
+def test_several_texts_of_one_doc_id_and_a_long_text(documents):
+    """Positions belong to a text, also where its doc_id has others; a text of many removed lines keeps the rest in order."""
+    rows = [(k, f"a line that all have\nown {k}", f"s{k}") for k in range(12)]
+    rows += [(3, "own first\na line that all have", "s3"), (3, "nothing of it", "s3"), (3, None, "s3")]
+    rows += [(50, "\n".join("a line that all have" if k % 2 else f"kept {k}" for k in range(20_000)), "s1")]
+    out = line_dedup.dedup_lines(documents(rows))
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=str) == brute(rows, line_dedup.MIN_SITES)
+
+
+def test_sketches_decide_lines_far_from_the_threshold(documents, monkeypatch):
+    """Without the exact counts near the threshold only lines near it can change."""
+    rows = [(100 * k + j, f"line {k}", f"s{j}") for k in (2, 5, 8, 60) for j in range(k)]
+    monkeypatch.setattr(line_dedup, "NEAR", -10)  # no line is near
+    lost = {r.doc_id // 100 for r in line_dedup.dedup_lines(documents(rows)).where("n_removed > 0").collect()}
+    assert 60 in lost and not lost & {2, 5}

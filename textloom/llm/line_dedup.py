@@ -1,9 +1,10 @@
 """Line dedup: removal of lines that many sites share, keeping one document's copy.
 
-A line is the text between line breaks, without surrounding spaces. Counts of documents leave the
-lines that cannot reach ``min_sites``; the others get a HyperLogLog sketch of their sites for each
-line hash, merged by aggregation; where the estimate is near the threshold, an exact distinct
-count decides. Everything runs inside the JVM.
+A line is the text between line breaks, without surrounding spaces. Lines with fewer rows than ``min_sites`` cannot reach it
+and leave after a count that combines before it shuffles. Of the others, each line hash gets HyperLogLog sketches of its sites,
+built straight from its rows in salted parts and merged by aggregation. Lines whose estimate is clearly above or below
+the threshold are decided by it; only for those near it are distinct pairs of line and site made and counted. Everything
+runs inside the JVM.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import join_salted
+
 MIN_SITES = 8
 LG_K = 12
 #: The standard error of a sketch with 2**12 registers is 1.6 %; estimates this near are counted exactly.
 NEAR = 0.25
-#: A line's sites are sketched in so many parts, which then merge.
-PARTS = 16
 
 
 def _lines(text: Column) -> Column:
@@ -40,17 +41,13 @@ def boilerplate_lines(documents: DataFrame, site: str = "source", min_sites: int
         F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _pair))).alias("_line"),
     ).select("_doc", "_site", "_line.a", "_line.b")
     often = lines.groupBy("a", "b").agg(F.count("_site").alias("_n"), F.min("_doc").alias("first_doc")).where(F.col("_n") >= min_sites).drop("_n")
-    # one row for each line and site, combined before the shuffle: a line that a third of the documents have isn't a heavy key
-    sites = lines.where("_site is not null").groupBy("a", "b", "_site").agg(F.count("*").alias("_rows")).join(often.select("a", "b"), ["a", "b"], "left_semi")
-    part = F.pmod(F.xxhash64("_site"), F.lit(PARTS)).alias("_part")
-    sketches = sites.groupBy("a", "b", part).agg(F.hll_sketch_agg("_site", F.lit(LG_K)).alias("_sketch"))
+    sited = lines.where("_site is not null").select("_site", "a", "b", F.xxhash64("_doc", "_site").alias("_spread"))
+    rows = join_salted(sited, often.select("a", "b"), ["a", "b"], "_spread", "left_semi", salt="_part")
+    sketches = rows.groupBy("a", "b", "_part").agg(F.hll_sketch_agg("_site", F.lit(LG_K)).alias("_sketch"))
     spread = sketches.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_union_agg("_sketch")).alias("_sites"))
     near = spread.where(F.col("_sites").between(min_sites * (1 - NEAR) - 1, min_sites * (1 + NEAR) + 1))
-    exact = (
-        sites.join(near.select("a", "b"), ["a", "b"], "left_semi")
-        .groupBy("a", "b")
-        .agg(F.countDistinct("_site").alias("_exact"))
-    )
+    pairs = join_salted(sited, near.select("a", "b"), ["a", "b"], "_spread", "left_semi", salt="_part").groupBy("a", "b", "_site").agg(F.count("*").alias("_rows"))
+    exact = pairs.groupBy("a", "b").agg(F.count("*").alias("_exact"))
     return (
         spread.join(exact, ["a", "b"], "left")
         .where(F.coalesce("_exact", "_sites") >= min_sites)
@@ -66,28 +63,35 @@ def fresh(name: str, documents: DataFrame) -> str:
     return name
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """``lines`` but for those at the ascending positions ``gone`` (from 0): the slices between them, in one pass."""
+    ends = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+    between = F.transform(F.sequence(F.lit(1), F.size(gone) + 1), lambda k: F.slice(lines, F.get(ends, k - 1) + 2, F.get(ends, k) - F.get(ends, k - 1) - 1))
+    return F.flatten(between)
+
+
 def dedup_lines(documents: DataFrame, site: str = "source", min_sites: int = MIN_SITES, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """``documents`` with their text without boilerplate, and two columns (named by parameters) with counts of lines.
 
     A line on at least ``min_sites`` sites stays in the document with the least doc_id that has it and goes
-    from all others; the order of what stays is kept. Texts that lose nothing, nulls among them, are unchanged.
+    from all others; the order of what stays is kept. Texts that lose nothing, nulls among them, are unchanged; an empty text is
+    one empty line; the work on a very long text grows with its lines.
     Rows are never dropped: a document all of whose lines go keeps an empty text. Rows with a null
-    doc_id keep their text. Repeated rows stay repeated. Other columns stay as they are, unless they have the names of the counts.
+    doc_id keep their text. Repeated rows stay repeated, and an empty table gives an empty one. Other columns stay as they are, unless
+    they have the names of the counts.
     """
     bad = boilerplate_lines(documents, site, min_sites)
-    doc, hit = fresh("_doc", documents), fresh("_hits", documents)
-    hits = (
+    doc, digest, hit = fresh("_doc", documents), fresh("_digest", documents), fresh("_hits", documents)
+    rows = (
         documents.where("doc_id is not null")
-        .select(F.col("doc_id").alias(doc), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _pair))).alias("line"))
-        .select(doc, "line.a", "line.b")
-        .join(bad, ["a", "b"])
-        .where(F.col(doc) != F.col("first_doc"))
-        .groupBy(doc)
-        .agg(F.collect_set(F.struct("a", "b")).alias(hit))
+        .select(F.col("doc_id").alias(doc), F.xxhash64("text").alias(digest), F.posexplode(_lines(F.col("text"))).alias("position", "line"))
+        .where(F.trim("line") != "")
+        .select(doc, digest, "position", _pair(F.col("line")).alias("line"))
+        .select(doc, digest, "position", "line.a", "line.b", F.xxhash64(doc).alias("_spread"))
     )
-    joined = documents.join(hits, documents["doc_id"] == hits[doc], "left").drop(doc)
+    hits = join_salted(rows, bad, ["a", "b"], "_spread").where(F.col(doc) != F.col("first_doc")).groupBy(doc, digest).agg(F.sort_array(F.collect_set("position")).alias(hit))
+    joined = documents.join(hits, (documents["doc_id"] == hits[doc]) & (F.xxhash64(documents["text"]) == hits[digest]), "left").drop(doc, digest)
     lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(hit), _pair(x)))
-    rebuilt = F.when(F.col(hit).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col(hit).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
+    rebuilt = F.when(F.col(hit).isNull(), F.col("text")).otherwise(F.array_join(_without(lines, F.col(hit)), "\n"))
+    removed = F.when(F.col(hit).isNull(), 0).otherwise(F.size(hit)).cast("long")
     return joined.withColumns({n_lines: F.size(lines).cast("long"), n_removed: removed, "text": rebuilt}).drop(hit)
