@@ -1,10 +1,11 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
-A template of L shingles is sought in windows of L + s shingles every s = max(1, L // 4), so every place of L shingles lies within one
-window. If the window holds a share c = 0.8 of the template's shingles, its Jaccard similarity to the template is at least
-c L / (L + s + (1 - c) L), never below 0.36. With ``BANDS`` = 24 bands of one value each, it is
-retrieved with a probability of 1 - (1 - 0.36)**24 > 0.9999 or more. A window that shares no shingle with any
-template cannot share a minimum with one, so texts without such shingles are left out before windows are made.
+A template of P places of shingles is sought in windows that start every s places, s being the power of two with 4 s <= P < 8 s (1 for
+shorter ones), and are long enough that any run of P + s places lies within one. If the run holds a share c = 0.8 of the template's
+shingles, the window's Jaccard similarity to the template is at least c P / (P + 2 s + (1 - c) P), never
+below 0.33. With ``BANDS`` = 24 bands of one value each, it is retrieved with a probability of 1 - (1 - 0.33)**24 > 0.9999. Minima of
+windows come from minima of blocks of s places, and those from blocks half as long, so the work for a text does not grow
+with the number of templates; only retrieved windows meet a template's own shingles.
 """
 
 from __future__ import annotations
@@ -15,40 +16,69 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .license_texts import TEMPLATES
 from .words import WordHashes, mixed, windows
 
 SHINGLE = 5
 BANDS = 24
 CONTAINMENT = 0.8
-
-#: Wording of well-known public license statements.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-statement": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+#: Places of a text that are looked at together; a power of two.
+SEGMENT = 1 << 16
 
 _WORD = re.compile(r"\w+(?:[-.]\w+)*")
 _generator = np.random.default_rng(77)
 _SEEDS = _generator.integers(1, 2**63, BANDS, dtype=np.uint64)
+_BAND = np.arange(BANDS)
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least value of the shingles under each band's hash."""
-    return mixed(shingles[:, None] ^ _SEEDS).min(axis=0)
+def band_values(shingles: np.ndarray) -> np.ndarray:
+    """Each shingle's value under each band's hash; minima of these are MinHash values."""
+    return mixed(shingles[:, None] ^ _SEEDS)
+
+
+class Template:
+    """One license: its shingles, and how long the windows are that it is sought in."""
+
+    def __init__(self, name: str, shingles: np.ndarray, width: int):
+        self.name, self.width, self.places = name, width, len(shingles)
+        self.shingles = np.unique(shingles)
+        self.step = 1 << max(0, (self.places // 4).bit_length() - 1)
+        self.blocks = -(-self.places // self.step) + 2
+        self.reach = self.places + self.step
+
+    def number(self, shingles: np.ndarray) -> np.ndarray:
+        """Which of the template's shingles each is, or -1."""
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == shingles, at, -1)
+
+
+class Group:
+    """Templates that are sought in windows of one kind: for each band, which minima lead to which of them."""
+
+    def __init__(self):
+        self.found: dict[tuple[int, int], list[Template]] = {}
+        self.maybe = np.zeros((BANDS, 1 << 16), bool)
+        self.fewest = 1 << 62
+
+    def add(self, template: Template, containment: float) -> None:
+        for band, value in enumerate(band_values(template.shingles).min(axis=0).tolist()):
+            self.found.setdefault((band, value), []).append(template)
+            self.maybe[band, value >> 48] = True
+        self.fewest = min(self.fewest, int(containment * len(template.shingles)))
+
+    def retrieve(self, minima: np.ndarray):
+        """(window, template) of windows that share a band with a template."""
+        window, band = np.nonzero(self.maybe[_BAND, (minima >> np.uint64(48)).astype(np.int64)])
+        seen = set()
+        for w, b in zip(window.tolist(), band.tolist()):
+            for template in self.found.get((b, int(minima[w, b])), ()):
+                if (w, template.name) not in seen:
+                    seen.add((w, template.name))
+                    yield w, template
 
 
 class Matcher:
@@ -57,60 +87,81 @@ class Matcher:
     def __init__(self, templates: dict[str, str], containment: float = CONTAINMENT):
         self.containment = containment
         self.memo = WordHashes()
-        self.sets = {k: np.unique(s) for k, t in templates.items() if len(s := self.shingles(words_of(t)))}
-        if len(self.sets) < len(templates):
-            raise ValueError("a template needs a word")
-        self.any = np.unique(np.concatenate(list(self.sets.values()))) if self.sets else np.zeros(0, np.uint64)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.any >> np.uint64(44)).astype(np.int64)] = True
-        by_length: dict[int, dict] = {}
-        for name, s in self.sets.items():
-            of_length = by_length.setdefault(len(s), {})
-            for band, value in enumerate(minima(s).tolist()):
-                of_length.setdefault((band, value), []).append(name)
-        self.by_length = by_length
-
-    def shingles(self, words: list[str]) -> np.ndarray:
-        return windows(self.memo.of(words), SHINGLE)
+        #: shingle width -> step -> blocks of a window -> group
+        self.groups: dict[int, dict[int, dict[int, Group]]] = {}
+        self.overlap = 0
+        for name, text in templates.items():
+            words = words_of(text)
+            if not words:
+                raise ValueError(f"template {name} needs a word")
+            width = min(SHINGLE, len(words))
+            t = Template(name, windows(self.memo.of(words), width), width)
+            if t.step > SEGMENT:
+                raise ValueError(f"template {name} is too long")
+            self.groups.setdefault(width, {}).setdefault(t.step, {}).setdefault(t.blocks, Group()).add(t, containment)
+            self.overlap = max(self.overlap, t.step * t.blocks)
+
+    def _retrieved(self, shingles: np.ndarray, by_step: dict[int, dict[int, Group]]):
+        """(first place of a window, template), segment by segment, so that a text of any length takes bounded memory."""
+        n = len(shingles)
+        for at in range(0, n, SEGMENT):
+            least = band_values(shingles[at : at + SEGMENT + self.overlap])
+            for step in (1 << k for k in range(max(by_step).bit_length())):
+                if step > 1:
+                    pairs = len(least) // 2
+                    odd = least[2 * pairs :]
+                    least = np.concatenate([np.minimum(least[0 : 2 * pairs : 2], least[1 : 2 * pairs : 2]), odd])
+                by_blocks = {b: g for b, g in by_step.get(step, {}).items() if g.fewest <= n}
+                own, reach = min(len(least), SEGMENT // step), least.copy() if by_blocks else least
+                for k in range(1, max(by_blocks, default=0)):
+                    if k < len(least):
+                        np.minimum(reach[:-k], least[k:], out=reach[:-k])
+                    if group := by_blocks.get(k + 1):
+                        for w, template in group.retrieve(reach[:own]):
+                            yield at + w * step, template
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
-        """(template, best containment, windows, first word, last word) of every template found.
+        """(template, best containment, occurrences, first word, end word) of every template found.
 
-        The span is that of the template's shingles within the best window, the earliest among equals.
+        An occurrence starts at one of the template's shingles from which the next places hold enough of them, ends where the last new one
+        is, and does not overlap the one before. The span is that of the best occurrence, the earliest among equals.
         """
-        s = self.shingles(words_of(text))
-        known = self.maybe[(s >> np.uint64(44)).astype(np.int64)]
-        known[known] = np.isin(s[known], self.any)
-        if not known.any():
-            return []
-        at = np.flatnonzero(known)
+        hashes = self.memo.of(words_of(text))
         found: dict[str, list] = {}
-        for length, buckets in self.by_length.items():
-            step = max(1, length // 4)
-            size = length + step
-            # windows that hold a template's shingle: those whose start is at most ``size`` before it
-            starts = {int(k) * step for p in at.tolist() for k in range(max(0, -(-(p - size + 1) // step)), p // step + 1)}
-            for start in sorted(starts):
-                window = s[start : start + size]
-                candidates = {name for key in enumerate(minima(window).tolist()) for name in buckets.get(key, ())}
-                for name in candidates:
-                    inside = np.isin(window, self.sets[name])
-                    share = len(np.unique(window[inside])) / len(self.sets[name])
-                    if share >= self.containment - 1e-9:
-                        hit = np.flatnonzero(inside)
-                        span = (start + int(hit[0]), start + int(hit[-1]) + SHINGLE)
-                        best = found.setdefault(name, [0.0, set(), span])
-                        best[1].add(span)
-                        if share > best[0]:
-                            best[0], best[2] = share, span
-        return [(name, share, len(spans), *span) for name, (share, spans, span) in sorted(found.items())]
+        for width, by_step in self.groups.items():
+            if len(hashes) < width:
+                continue
+            shingles = windows(hashes, width)
+            ends: dict[str, int] = {}
+            for start, t in sorted(self._retrieved(shingles, by_step), key=lambda x: (x[1].name, x[0])):
+                number = t.number(shingles[start : start + t.step * t.blocks])
+                hits = np.flatnonzero(number >= 0)
+                for first in hits[hits < t.step].tolist():
+                    if start + first < ends.get(t.name, 0):
+                        continue
+                    near = hits[(hits >= first) & (hits < first + t.reach)]
+                    if len(near) < self.containment * len(t.shingles) - 1e-9:
+                        continue
+                    kinds, new = np.unique(number[near], return_index=True)
+                    share = len(kinds) / len(t.shingles)
+                    if share < self.containment - 1e-9:
+                        continue
+                    end = start + int(near[new.max()]) + 1
+                    ends[t.name] = end
+                    best = found.setdefault(t.name, [0.0, 0, (0, 0)])
+                    best[1] += 1
+                    if share > best[0]:
+                        best[0], best[2] = share, (start + first, end - 1 + width)
+        return [(name, share, n, *span) for name, (share, n, span) in sorted(found.items())]
 
 
 def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, containment, n_spans, first_word and end_word for every license found in every whole text.
 
-    Word numbers count from 0; the end is exclusive. Texts that are null, empty or shorter than a shingle's five words give
-    no row unless a template is as short. Repeated rows give repeated results; a null doc_id stays null.
+    n_spans counts occurrences that do not overlap; words are numbered from 0, the end is exclusive. A template of fewer than five words is
+    one shingle. Texts that are null, empty or shorter than every template give no row; very long ones are looked at
+    in segments that overlap. Of equal shares the earliest span counts. Repeated rows give repeated results; a null doc_id stays
+    null. An empty table gives no rows, and other columns take no part.
     """
     chosen = dict(templates if templates is not None else TEMPLATES)
     names = ["doc_id", "license", "containment", "n_spans", "first_word", "end_word"]
