@@ -43,7 +43,7 @@ def test_encoder_equals_library(vocabulary, library, fast):
     encoder = bpe.StreamingEncoder(vocabulary, bpe.fast_merge(vocabulary) if fast else None)
     rng = random.Random(1)
     alphabet = "abc  \n\t'streé中̀²½1290_-!?\U0001f600\x1c\x85\xa0٠Ⅳ"
-    texts = ["", " ", "  ", "a" * 9000, " " * 5000 + "x", "ab" * 4000, "'" * 2500, "<|endoftext|>", "x<|endoftext|> y  <|endoftext|>", "don't we'll I'd"]
+    texts = ["", " ", "  ", "a" * 9000, " " * 5000 + "x", "ab" * 4000, "'" * 2500, "<|endoftext|>", "x<|endoftext|> y  <|endoftext|>", "don't we'll I'd", " " + "a" * 20_000 + " " + "b" * 20_000]
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(400)]
     for text in texts:
         assert b"".join(encoder.encode(text)) == ids_of(library, text), text[:50]
@@ -59,6 +59,30 @@ def test_small_blocks_equal_library(vocabulary, library, monkeypatch):
         assert b"".join(encoder.encode(text)) == ids_of(library, text)
 
 
+@pytest.mark.parametrize("run", ["a", "ab1", "é", "中", "!", " ", "\n", "\x1c", "7", "'", " \u2003"])
+def test_runs_without_a_break_take_constant_memory(vocabulary, library, monkeypatch, run):
+    """Chunks stay small however long the run is, and the ids are those of the whole."""
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 256)
+    encoder = bpe.StreamingEncoder(vocabulary, bpe.fast_merge(vocabulary))
+    for before, after in (("", ""), ("x ", " y"), ("'s", "'ll z"), ("\n", "\n\n"), ("1 ", "2")):
+        text = before + run * (20_000 // len(run)) + after
+        chunks = list(encoder.encode(text))
+        assert b"".join(chunks) == ids_of(library, text)
+        assert max(map(len, chunks)) < 4 * 4000
+
+
+@settings(max_examples=100, deadline=None)
+@given(text=st.text(alphabet=st.sampled_from("aé中1 \n\t'!\x1c\xa0s"), max_size=400))
+def test_any_run_in_small_blocks(vocabulary, library, text):
+    chars, size = bpe.BLOCK_CHARS, bpe.BLOCK_BYTES
+    bpe.BLOCK_CHARS, bpe.BLOCK_BYTES = 4, 330
+    try:
+        assert b"".join(bpe.StreamingEncoder(vocabulary).encode(text)) == ids_of(library, text)
+    finally:
+        bpe.BLOCK_CHARS, bpe.BLOCK_BYTES = chars, size
+
+
 @settings(max_examples=100, deadline=None)
 @given(text=st.text(max_size=60))
 def test_round_trip(vocabulary, library, text):

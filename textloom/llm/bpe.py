@@ -5,7 +5,7 @@ alone and in x followed by more text differ. d starts at the end of x and moves
 happens in one of the two with u ending at d, and then by the length of u. The next such merge has a later
 rank, and its v begins with the u of the one before. So the longest chain, found in one pass over the merge
 list, bounds how far from the end of a prefix tokens can still change: whatever ends before that is
-emitted, and the buffer never holds more than one block plus that bound.
+emitted, and the buffer never holds more than two blocks and that bound, also in a run without a break.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ ADDED = "<|endoftext|>"
 _FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _NOT_FAST = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏ‐-‧]")
 _SLOW = regex.compile(PATTERN)
+_CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
+_KINDS = [regex.compile(k) for k in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
+_SPACES = regex.compile(r"\s+")
 _ODD_SPACE = re.compile(r" (?=\s|$)")
 
 BLOCK_CHARS = 1 << 15
@@ -131,7 +134,7 @@ def pieces_of(text: str, start: int, end: int, last: bool) -> tuple[list[str], i
     if _ODD_SPACE.search(window):
         found = pre_tokens(window)
     else:  # every space is followed by a letter or sign, so a pre-token ends before each of them
-        found = window.replace(" ", "\0 ").split("\0") if "\0" not in window else pre_tokens(window)
+        found = window.replace(" ", "\0 ").removeprefix("\0").split("\0") if "\0" not in window else pre_tokens(window)
     if last:
         return found, end, False
     if len(found) <= 2:
@@ -140,6 +143,19 @@ def pieces_of(text: str, start: int, end: int, last: bool) -> tuple[list[str], i
     return found[:-2], end - sum(map(len, waiting)), False
 
 
+def run_end(text: str, start: int) -> int:
+    """Where the pre-token that starts at ``start`` ends, found block by block."""
+    if contraction := _CONTRACTION.match(text, start):
+        return contraction.end()
+    at = start + (text[start] == " " and start + 1 < len(text) and not _SPACES.match(text, start + 1))
+    kind = next((k for k in _KINDS if k.match(text, at)), _SPACES)
+    n = len(text)
+    while at < n and (m := kind.match(text, at, min(n, at + BLOCK_CHARS))):
+        at = m.end()
+    # the last of several white-space characters belongs to what follows them
+    return at - 1 if kind is _SPACES and at < n and at - start > 1 else at
+
+
 class StreamingEncoder:
     """Ids of a text, block by block, as little-endian unsigned 32-bit integers."""
 
@@ -152,12 +168,12 @@ class StreamingEncoder:
             def __missing__(self, piece: str) -> bytes:
                 ids = b""
                 for raw in (p.encode("utf-8") for p in pre_tokens(piece)):
-                    ids += b"".join(stream_merge(raw, vocabulary, merge, block)) if len(raw) > block else packed(merge(raw))
+                    ids += b"".join(stream_merge([raw], vocabulary, merge, block)) if len(raw) > block else packed(merge(raw))
                 if len(self) < memo_limit and len(piece) <= 64:
                     self[piece] = ids
                 return ids
 
-        self.memo = Memo()
+        self.memo, self.merge, self.block = Memo(), merge, block
 
     def segments(self, text: str):
         """Parts between the added tokens' strings, and those tokens."""
@@ -172,18 +188,27 @@ class StreamingEncoder:
         yield text[rest:], None
 
     def encode(self, text: str):
-        """Chunks of packed ids, each as soon as it is stable."""
+        """Chunks of packed ids, each as soon as it is stable; a run without a break is read and merged in blocks too."""
         memo = self.memo
         for part, token in self.segments(text):
             if part is None:
                 yield packed([token])
                 continue
-            start, size, n = 0, BLOCK_CHARS, len(part)
+            start, n = 0, len(part)
             while start < n:
-                end = min(n, start + size)
-                pieces, start, longer = pieces_of(part, start, end, end == n)
-                size = size * 2 if longer else BLOCK_CHARS  # a piece that goes on; its merging is in blocks
-                yield b"".join(map(memo.__getitem__, pieces))
+                end = min(n, start + BLOCK_CHARS)
+                pieces, after, longer = pieces_of(part, start, end, end == n)
+                if longer:
+                    after = run_end(part, start)
+                    yield from self._run(part, start, after)
+                else:
+                    yield b"".join(map(memo.__getitem__, pieces))
+                start = after
+
+    def _run(self, text: str, start: int, end: int):
+        """The ids of one pre-token, ``text[start:end]``."""
+        blocks = (text[at : min(end, at + BLOCK_CHARS)].encode("utf-8") for at in range(start, end, BLOCK_CHARS))
+        yield from stream_merge(blocks, self.vocabulary, self.merge, self.block)
 
 
 def packed(ids) -> bytes:
@@ -193,24 +218,24 @@ def packed(ids) -> bytes:
     return out.tobytes()
 
 
-def stream_merge(raw: bytes, vocabulary: Vocabulary, merge, block: int):
-    """Merge a very long piece in blocks: tokens further from a block's end than the look-ahead are emitted."""
-    at = 0
-    while at < len(raw):
-        window = raw[at : at + block]
-        ids = merge(window)
-        if at + block >= len(raw):
-            yield packed(ids)
-            return
-        stable, used = [], 0
-        for i in ids:
-            size = len(vocabulary.bytes_of[i])
-            if used + size > len(window) - vocabulary.lookahead:
-                break
-            used += size
-            stable.append(i)
-        yield packed(stable)
-        at += used
+def stream_merge(blocks, vocabulary: Vocabulary, merge, block: int):
+    """Merge a very long piece that comes in blocks of bytes: tokens further from a window's end than the look-ahead are emitted."""
+    held = bytearray()
+    for more in blocks:
+        held += more
+        at = 0
+        while len(held) - at > block:
+            stable, used = [], 0
+            for i in merge(bytes(held[at : at + block])):
+                size = len(vocabulary.bytes_of[i])
+                if used + size > block - vocabulary.lookahead:
+                    break
+                used += size
+                stable.append(i)
+            yield packed(stable)
+            at += used
+        del held[:at]
+    yield packed(merge(bytes(held)))
 
 
 class StreamingDecoder:

@@ -15,7 +15,9 @@ def encode_and_decode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the decoded text, for every row.
 
     Ids leave the encoder in chunks and go on to the decoder and the digests, so no text's ids are held
-    whole. A null or empty text has no tokens. Rows are independent of each other.
+    whole, and a very long text or an unbroken run in it takes no more memory than its row. A null or empty text has no tokens. Rows
+    are independent of each other: repeated rows give repeated results, and there are no ties. An empty table gives no rows, and other
+    columns take no part.
     """
 
     def run(batches):
