@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from textloom.functions import bibliographic as B
 from textloom.functions import text as T
 from textloom.operators import forms, patterns, records, repair
-from textloom.operators.records import RecordKind
+from textloom.operators.records import RecordKinds
 
 
 @pytest.mark.parametrize("pages, n", [("538-539", 2), ("1649-53", 5), ("12", None), ("5-4", None), ("1-3000", None), ("1-2, 5-6", None), (None, None), ("a-b", None), ("99999999999999999999-5", None)])
@@ -28,15 +28,19 @@ SIGNALS = "work string, title string, publication_year bigint, record_type_sourc
     ({"update_types": ["retraction"]}, "retraction"), ({"tags": ["a", "b"]}, "both"), ({"tags": ["a"]}, None), ({"page_count": 1}, "short"), ({}, None), ({"update_types": ["retraction"], "page_count": 1}, "retraction"),
 ])
 def test_record_types(table, signal, kind):
-    kinds = [RecordKind("obituary", life_span_within_years=5), RecordKind("editorial", types=("paratext",), title_patterns=(r"^editorial\b",)), RecordKind("retraction", update_types=("retraction",)), RecordKind("both", tags_together=("a", "b")), RecordKind("short", max_pages=1)]
+    kinds = RecordKinds(
+        {"obituary": "drop", "editorial": "drop", "retraction": "drop", "both": "drop", "short": "drop"},
+        [("obituary", "late person", 5), ("editorial", "type", "paratext"), ("editorial", "title", r"^editorial\b"), ("retraction", "update", "retraction"), ("both", "all tags", ["a", "b"]), ("short", "pages", 1)],
+    )
     row = tuple(signal.get(c.split()[0]) if c.split()[0] != "work" else "w" for c in SIGNALS.split(", "))
     assert table(SIGNALS, [row]).select(records.decide_record_types(kinds)).first()[0] == kind
-    with pytest.raises(ValueError):
-        RecordKind("x", action="burn")
+    for actions, rules in (({"x": "burn"}, []), ({"x": "drop"}, [("y", "tag", "t")]), ({"x": "drop"}, [("x", "smell", 1)])):
+        with pytest.raises(ValueError):
+            RecordKinds(actions, rules)
 
 
 def test_actions(table):
-    kinds = [RecordKind("a", "drop"), RecordKind("b", "flag"), RecordKind("c", "keep")]
+    kinds = RecordKinds({"a": "drop", "b": "flag", "c": "keep"}, [])
     rows = [("a", [], None), ("a", [], "old"), ("b", ["f"], None), ("c", [], None), (None, [], None)]
     out = records.apply_record_types(table("t string, flags array<string>, dropped_reason string", rows), "t", kinds).collect()
     assert [(r.flags, r.dropped_reason) for r in out] == [([], "a"), ([], "old"), (["f", "b"], None), ([], None), ([], None)]
@@ -82,8 +86,13 @@ def test_split_words(table):
 
 
 @pytest.mark.parametrize("raw, text", [
-    ("rare.It begins", "rare. It begins"), ("paper,the results", "paper, the results"), ("N,N-dimethyl", "N,N-dimethyl"), ("et al . found", "et al. found"), ("( 2010 )", "(2010)"), ("form;so", "form; so"), ("Objective:To study", "Objective: To study"),
-    ("light:dark", "light:dark"), ("www.Nature.com is", "www.Nature.com is"), ("Hegel&rsquo;s", "Hegel’s"), ("Hegelrsquo;s", "Hegel’s"), ("&dquo;x", '"x'), ("in­ formation", "information"), ("a​b", "a b"), ("ﬁne", "fine"), ("x\\ny", "x y"), ("3.5 and U.S.Army", "3.5 and U.S.Army"), ("a‐b", "a-b"), ("1 : 2", "1 : 2"), ("", ""),
+    ("one end.Then more", "one end. Then more"), ('he said "no."Later on', 'he said "no." Later on'), ("done.“Yes” he said", "done. “Yes” he said"), ("version 2.5 and e.g.This", "version 2.5 and e.g. This"), ("the N.A.T.O.Pact", "the N.A.T.O.Pact"),
+    ("red,green and blue", "red, green and blue"), ("f(x,y)", "f(x,y)"), ("O,O-diethyl", "O,O-diethyl"), ("1,000", "1,000"),
+    ("cats;dogs", "cats; dogs"), ("(Smith);next", "(Smith); next"), ("Aims:We ask", "Aims: We ask"), ("day:night", "day:night"), ("x:Yz", "x:Yz"),
+    ("this , that ; and : so .", "this, that; and: so."), ("wait . . . what", "wait . . . what"), ("p = .05", "p = .05"), ("odds 3 : 4", "odds 3 : 4"), ("at 3 : yes", "at 3: yes"), ("[ see p. 4 ]", "[see p. 4]"), ("( - )", "( - )"), ("really ?", "really ?"), ("so ) . Next", "so). Next"),
+    ("go to www.Some.Site.org now", "go to www.Some.Site.org now"), ("(www.some-site.org).The next", "(www.some-site.org). The next"), ("me@Host.Some.Edu", "me@Host.Some.Edu"), ("doi:10.1234/Abc.Def-2", "doi:10.1234/Abc.Def-2"), ("https://x.y/Ab.Cd;e/f", "https://x.y/Ab.Cd;e/f"),
+    ("Kant&rsquo;s", "Kant’s"), ("Kantrsquo;s", "Kant’s"), ("&dquo;a&dquo;", '"a"'), ("R&amp;D &#65;&#x42;", "R&D AB"), ("&nosuch;Name", "&nosuch;Name"), ("a & b;C", "a & b; C"), ("&amp;ldquo;", "&“"),
+    ("exam­ ple", "example"), ("a\u200bb\ufffdc", "a b c"), ("\ufeffx\x07y", "xy"), ("eﬃcient", "efficient"), ("x\\ny", "x y"), ("co‐op co‑op", "co-op co-op"), ("  a \t\n b ", "a b"), ("", ""),
 ])
 def test_repair(raw, text):
     assert repair.repair_text(raw) == text
@@ -95,10 +104,27 @@ def test_repair_columns(table):
     joined = table("t string", [("the infor mation infor-mation of www.infor mation",)]).select(repair.join_broken_words({("infor", "mation")}, set())(F.col("t"))).first()[0]
     assert joined == "the information infor-mation of www.information"
     assert table("t string", [("editorsThis www.editorsThis.com",)]).select(repair.replace_words({"editorsThis": "editors This"})(F.col("t"))).first()[0] == "editors This www.editorsThis.com"
-    assert repair.preprocess_text("See http://x.y The Éclair $a^2$ - colour-ful", {"colour-ful": "colorful"}) == "see the eclair colorful"
+    et_al = table("t string", [("by Etal et al. and et al so",)]).select(repair.join_broken_words({("et", "al")}, set())(F.col("t"))).first()[0]
+    assert et_al == "by Etal et al. and etal so"
     assert repair.fold("Naïve–Œ") == "naive-œ"
 
 
+@pytest.mark.parametrize("raw, text", [
+    ("Über  Models: www.a.b/c and (http://x.y) left", "uber model and left"), ("10.1234/abc the 10.5 percent", "the 10 5 percent"), ("x$$a+b$$y $c$ costs 5$", "x y costs 5"), ("vari¬ \nables well-known -- a- -b c--d", "variables well-known a b c d"),
+    ("human-agents behaviour", "human-agent behavior"), ("", ""), ("awww.x.y see https://doi.org/10.1/x", "awww x y see"),
+])
+def test_preprocess(raw, text):
+    assert repair.preprocess_text(raw, repair.TARGET_VARIANTS) == text
+
+
+def test_tidy():
+    assert repair.tidy_text("donâ€™t soft­en\x00  it") == "don’t soften it"
+    text = "aÂ  word­s here,  Ã©tude x"
+    at = text.index("here")
+    new, start, end = repair.tidy_usage(text, at, at + 4)
+    assert new[start:end] == "here" and new == "a words here, étude x"
+
+
 def test_patterns(table):
     text = "Abstract: We write a@b.org here. Copyright 2010 by us. Done."
     df = table("t string", [(text,)]).select(F.col("t"), patterns.pattern_spans(F.col("t")).alias("s"), T.sentence_spans(F.col("t")).alias("x"))

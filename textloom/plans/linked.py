@@ -8,16 +8,21 @@ from ..checks import unmatched
 from ..functions import bibliographic as B
 from ..functions import text as T
 from ..operators import patterns, records, repair
-from ..operators.records import RecordKind
+from ..operators.records import RecordKinds
 from .registry import query
 
-KINDS = [
-    RecordKind("promo", "drop", types=("PROMO",), title_patterns=("^blue",)),
-    RecordKind("large", "flag", tags_together=("LARGE",)),
-    RecordKind("medium", "keep", tags=("MEDIUM",)),
-    RecordKind("small", "flag", max_pages=5),
-    RecordKind("ring", "drop", title_patterns=("RING$", "(?-i:Bolt)")),
-]
+KINDS = RecordKinds(
+    {"promo": "drop", "large": "flag", "medium": "keep", "small": "flag", "ring": "drop"},
+    [
+        ("promo", "type", "PROMO"),
+        ("promo", "title", "^blue"),
+        ("large", "all tags", ["LARGE"]),
+        ("medium", "tag", "MEDIUM"),
+        ("small", "pages", 5),
+        ("ring", "title", "RING$"),
+        ("ring", "title", "(?-i:Bolt)"),
+    ],
+)
 
 
 def _signals(t):
@@ -121,7 +126,7 @@ def repair_text(t):
 
 @query("preprocess_text")
 def preprocess_text(t):
-    return t.documents.select("doc_id", repair.column(repair.preprocess_text, {"licence": "license"})(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", repair.column(repair.preprocess_text, repair.TARGET_VARIANTS)(F.col("text")).alias("text"))
 
 
 #: The tables hold no mis-decoded text: every é is made one.
