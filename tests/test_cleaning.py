@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from textloom import checks
 from textloom.functions import text as T
-from textloom.operators import cleaning, duplicates
+from textloom.operators import cleaning, duplicates, report
 
 REMOVALS = "array<struct<start:bigint,end:bigint,reason:string>>"
 WORKS = f"work string, text string, removals {REMOVALS}, flags array<string>, dropped_reason string"
@@ -86,13 +86,60 @@ def hundred(changes=()):
 def test_near_duplicates_and_chain(table):
     """a ~ b ~ c without a ~ c: only b goes; an unrelated text stays out."""
     rows = [("a", hundred()), ("b", hundred([(k, "x") for k in (0, 1, 2, 3, 4, 5)])), ("c", hundred([(k, "x") for k in (0, 1, 2, 3, 4, 5)] + [(k, "y") for k in range(94, 100)])), ("d", "other words")]
-    s = duplicates.shingles(table("work string, text string", rows), "work")
+    s = duplicates.shingle_sets(table("work string, text string", rows), "work")
     pairs = duplicates.similar_pairs(s, "work", 0.8)
     assert {(r.a, r.b) for r in pairs.collect()} == {("a", "b"), ("b", "c")}
     numbered = pairs.select(F.ascii("a").cast("long").alias("a"), F.ascii("b").cast("long").alias("b"), "similarity")
     assert {(r.work, r.duplicate_of) for r in duplicates.resolve_greedily(numbered).collect()} == {(98, 97)}
 
 
+def resolved(rows, threshold=0.8):
+    """One work after the other against the kept ones before it."""
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in ((k, t.lower().split()) for k, t in rows) if w}
+    kept, out = [], set()
+    for k in sorted(sets):
+        near = [(-len(sets[k] & sets[j]) / len(sets[k] | sets[j]), j) for j in kept]
+        near = [x for x in near if -x[0] >= threshold]
+        if near:
+            out.add((k, min(near)[1]))
+        else:
+            kept.append(k)
+    return out
+
+
+def test_near_duplicates_equal_brute_force(table):
+    """Copies, chains and revisions: representatives' pairs and the classes give what comparing every two works gives."""
+    import random
+
+    rng = random.Random(3)
+    rows, n = [], 0
+    for _ in range(8):
+        base = [f"v{rng.randrange(60)}" for _ in range(rng.randrange(8, 90))]
+        for _ in range(rng.randrange(1, 9)):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                w[rng.randrange(len(w))] = f"u{rng.randrange(9)}"
+            rows.append((n, " ".join(w)))
+            n += 1
+    rows = [(k, t) for k, (_, t) in enumerate(sorted(rows, key=lambda r: rng.random()))] + [(900, ""), (901, "one two"), (902, "One two")]
+    pairs, classes = duplicates.near_duplicates(table("work long, text string", rows), "work", 0.8)
+    assert {(r.work, r.duplicate_of) for r in duplicates.resolve_near_duplicates(pairs, classes, "work").collect()} == resolved(rows)
+    assert all(r.a != r.b for r in pairs.collect()) and {r["class"] for r in classes.where("work in (901, 902)").collect()} == {901}
+
+
+def test_resolution_says_when_it_is_not_done(table):
+    chain = table("a long, b long, similarity double", [(k, k + 1, 0.9) for k in range(12)])
+    assert {r.work for r in duplicates.resolve_greedily(chain).collect()} == set(range(1, 13, 2))
+    with pytest.raises(RuntimeError):
+        duplicates.resolve_greedily(chain, most_rounds=2)
+
+
+def test_first_length_is_the_first_kept_works(table):
+    rows = [(1, "s", "dropped text", "short"), (2, "s", "kept", None), (3, "s", "kept too", None), (4, "t", "gone", "short")]
+    out = {r.s: (r.works, r.kept, r.first_length, r.first_kept) for r in report.outcomes_with_example(table("work long, s string, text string, dropped_reason string", rows), "s", "text").collect()}
+    assert out == {"s": (3, 2, 4, 2), "t": (1, 0, None, None)}
+
+
 def test_shingles_of_short_texts(table):
     rows = [(1, None), (2, ""), (3, "one two"), (4, "One  two"), (5, "a b c d e f")]
     out = duplicates.shingles(table("k int, text string", rows), "k").collect()

@@ -125,10 +125,29 @@ def test_tidy():
     assert new[start:end] == "here" and new == "a words here, étude x"
 
 
+@pytest.mark.parametrize("words, start", [(29, 0), (30, 1)])
+def test_early_means_few_words_before(table, words, start):
+    """Long words or short ones: a sentence alone goes while fewer than thirty words come before, else the rest of the text."""
+    for word in ("a", "incomprehensibilities"):
+        text = " ".join([word] * (words - 1)) + " end. Copyright here. More."
+        at = text.index("Copyright")
+        spans = [(at, at + 9, "copyright", "abstract_or_sentence")]
+        df = table(f"t string, s {patterns.SPAN}", [(text, spans)]).select("t", "s", T.sentence_spans(F.col("t")).alias("x"))
+        r = df.select(patterns.removals_of(F.col("s"), F.col("x"), F.col("t")).alias("r")).first().r[0]
+        assert text[r.start : r.end] == ("Copyright here. More." if start else "Copyright here.")
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_count_forms_broadcast_or_not(table, monkeypatch, limit):
+    monkeypatch.setattr(forms, "BROADCAST_FORMS", limit)
+    counts = forms.count_forms(table("text string", [("x y x y",), ("",), (None,)]), table("form string", [("x y",), ("y x",), ("y",)]))
+    assert {r.form: r.n for r in counts.collect()} == {"x y": 2, "y x": 1, "y": 2}
+
+
 def test_patterns(table):
     text = "Abstract: We write a@b.org here. Copyright 2010 by us. Done."
     df = table("t string", [(text,)]).select(F.col("t"), patterns.pattern_spans(F.col("t")).alias("s"), T.sentence_spans(F.col("t")).alias("x"))
-    rows = df.select(patterns.removals_of(F.col("s"), F.col("x"), F.length("t")).alias("r")).first().r
+    rows = df.select(patterns.removals_of(F.col("s"), F.col("x"), F.col("t")).alias("r")).first().r
     assert [(text[r.start : r.end], r.reason) for r in rows] == [("Abstract:", "heading"), ("a@b.org", "contact"), ("Copyright 2010 by us.", "copyright")]
     view = patterns.token_view(table("k int, t string", [(1, "Cf. Dr. No said (e.g. This) so. Then ten")]), "k", "t").first().tokens
     assert [t.text for t in view if t.sent_start] == ["Cf", "Then"] or [t.text for t in view if t.sent_start][-1] == "Then"

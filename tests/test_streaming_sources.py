@@ -62,9 +62,11 @@ def test_builds_keep_earlier_ones(spark, tmp_path, table):
 
     row = lambda text: table(schemas.ABSTRACTS, [("https://openalex.org/W1", 2017, 2010, ["ai"], "regular", "article", ["a"], text, [], [], [], None, None)])
     path = str(tmp_path / "corpus")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
     cells.save_build(row("old"), path, "1")
     cells.save_build(row("new"), path, "2")
+    with pytest.raises(FileExistsError):
+        cells.save_build(row("other"), path, "1")
     assert [cells.load_build(spark, path, b).first().text for b in "12"] == ["old", "new"]
     assert cells.load_build(spark, path, "1", ["ai_2010"]).count() == 1
     with pytest.raises(FileNotFoundError, match="law_1990, x_1"):

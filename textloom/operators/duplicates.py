@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -29,33 +28,71 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shingle_sets(works: DataFrame, key: str, text: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
+    """(key, n, h): each work's distinct word shingles as sorted hashes. Words are lower-cased; a short text is one shingle, one without words has no row."""
+    words = F.transform(T.words(F.lower(F.coalesce(F.col(text), F.lit("")))), lambda w: F.xxhash64(w))
+
+    def runs(w):
+        return F.when(F.size(w) <= size, F.array(F.xxhash64(w))).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size)))))
+
+    # the array is bound once by transform(array(words)): the inner lambda would else split the text for each shingle
+    once = F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.array_sort(F.array_distinct(runs(w))))), 1)
+    return works.select(key, once.alias("h")).where("h is not null").select(key, F.size("h").cast("bigint").alias("n"), "h")
+
+
 def shingles(works: DataFrame, key: str, text: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
-    """(key, shingle, n): distinct hashed lower-cased word shingles, and how many the work has. Short texts are one shingle."""
-    tokens = works.select(key, T.words(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("w")).where("size(w) > 0")
-    # the array is bound once by transform(array(w)): the inner lambda would else split the text for each shingle
-    many = F.element_at(F.transform(F.array("w"), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(size)), " ")))), 1)
-    return tokens.select(key, F.array_distinct(many).alias("h")).select(key, F.size("h").cast("bigint").alias("n"), F.explode("h").alias("shingle"))
+    """(key, n, shingle): the shingles of each work, and how many it has."""
+    return shingle_sets(works, key, text, size).select(key, "n", F.explode("h").alias("shingle"))
 
 
-def similar_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
-    """All pairs at the threshold, by prefix filtering: (a, b, similarity) with a < b.
+def copy_classes(sets: DataFrame, key: str) -> DataFrame:
+    """(key, class): works with equal sets are one class, named by the least of their keys."""
+    same = sets.select(key, F.xxhash64("h").alias("_a"), F.xxhash64("n", "h").alias("_b"))
+    least = same.groupBy("_a", "_b").agg(F.min(key).alias("class"))
+    return same.join(least, ["_a", "_b"]).select(key, "class")
+
+
+def similar_pairs(sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """All pairs of sets at the threshold, by prefix filtering: (a, b, similarity) with a < b.
 
     Ordered from the rarest shingle, two sets of similarity t or more share one of the first n - ceil(t n) + 1 of each; only these
-    prefixes are joined, on the shingle and within a factor t of each other's size. What meets is counted exactly.
+    prefixes are joined, on the shingle and within a factor t of each other's size. A shingle that one set alone has takes its place in
+    the prefix and nothing else, so only shared ones are shuffled. What meets is counted exactly.
     """
-    rows = checkpoint(rows)  # read twice; making shingles costs more than reading them
-    frequency = rows.groupBy("shingle").agg(F.count("*").alias("f"))
-    ordered = rows.join(frequency, "shingle").groupBy(key, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "shingle"))), lambda s: s["shingle"]).alias("h"))
-    sets = checkpoint(ordered)
-    prefix = sets.select(key, "n", F.explode(F.slice("h", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))).alias("shingle"))
+    frequency = sets.select(F.explode("h").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
+    shared = sets.select(key, "n", F.explode("h").alias("shingle")).join(frequency, "shingle")
+    shared = checkpoint(shared.groupBy(key, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "shingle"))), lambda s: s["shingle"]).alias("h")))
+    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("h"))
+    prefix = shared.where(length > 0).select(key, "n", F.explode(F.slice("h", F.lit(1), length.cast("int"))).alias("shingle"))
     left = prefix.select(F.col(key).alias("a"), F.col("n").alias("na"), "shingle")
     right = prefix.select(F.col(key).alias("b"), F.col("n").alias("nb"), "shingle")
-    candidates = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    with_a = candidates.join(sets.select(F.col(key).alias("a"), F.col("h").alias("ha")), "a")
-    both = with_a.join(sets.select(F.col(key).alias("b"), F.col("h").alias("hb")), "b")
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+    candidates = left.join(right, "shingle").where(fits).select("a", "b").distinct()
+    with_a = candidates.join(shared.select(F.col(key).alias("a"), F.col("n").alias("na"), F.col("h").alias("ha")), "a")
+    both = with_a.join(shared.select(F.col(key).alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
-    similarity = common / (F.size("ha") + F.size("hb") - common)
-    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    return both.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+
+
+def near_duplicates(works: DataFrame, key: str, threshold: float, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(pairs between class representatives, classes of equal sets): no pair of different sets is lost, copies aren't expanded into pairs."""
+    sets = checkpoint(shingle_sets(works, key, text))
+    classes = checkpoint(copy_classes(sets, key))
+    firsts = sets.join(classes.where(F.col(key) == F.col("class")).select(key), key, "left_semi")
+    return checkpoint(similar_pairs(firsts, key, threshold)), classes
+
+
+def resolve_near_duplicates(pairs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """(work, duplicate_of): in order of the keys, a work goes if an earlier kept one is similar, the most similar being recorded, then the earliest.
+
+    A copy of an earlier work always goes, so only representatives are resolved; which kept works a copy is similar to its class tells.
+    """
+    gone = checkpoint(resolve_greedily(pairs).select(F.col("work").alias("w")))
+    both = pairs.union(pairs.select("b", "a", "similarity")).select(F.col("a").alias("class"), F.col("b").alias("kept"), "similarity")
+    itself = classes.where(F.col(key) != F.col("class")).select("class", F.col("class").alias("kept"), F.lit(1.0).alias("similarity")).distinct()
+    near = both.union(itself).join(gone, F.col("kept") == F.col("w"), "left_anti")
+    found = classes.join(near, "class").where(F.col("kept") < F.col(key))
+    return found.groupBy(F.col(key).alias("work")).agg(F.min_by("kept", F.struct(-F.col("similarity"), F.col("kept"))).alias("duplicate_of"))
 
 
 def resolve_greedily(pairs: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -78,16 +115,14 @@ def resolve_greedily(pairs: DataFrame, most_rounds: int = 10_000) -> DataFrame:
             break
         lost = gone.select(F.col("b").alias("w")).distinct()
         open_pairs = pairs.join(undecided.select(F.col("w").alias("b")), "b", "left_semi").join(lost.select(F.col("w").alias("a")), "a", "left_anti")
+    else:
+        raise RuntimeError(f"undecided works after {most_rounds} rounds")
     kept_all = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct().join(gone.select(F.col("b").alias("w")), "w", "left_anti")
     final = pairs.join(kept_all.select(F.col("w").alias("a")), "a", "left_semi")
-    best = F.max_by("a", F.struct("similarity", -F.col("a")))
+    best = F.min_by("a", F.struct(-F.col("similarity"), F.col("a")))
     return final.groupBy(F.col("b").alias("work")).agg(best.alias("duplicate_of"))
 
 
-def expected_bucket_recall(similarity: float, bands: int, rows: int) -> float:
-    return 1 - math.pow(1 - similarity**rows, bands)
-
-
 def benchmark_overlap(works: DataFrame, key: str, held_out: DataFrame, item: str, least: float) -> DataFrame:
     """(key, item, share): held-out items at least ``least`` of whose shingles a work has."""
     ours = shingles(works, key).select(key, "shingle")

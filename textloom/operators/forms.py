@@ -13,22 +13,25 @@ def tokens_between(text: Column, kept: str) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), f"[^{kept}]+", " "), " "), lambda w: w != "")
 
 
+#: Up to so many forms are sent to the tasks that read the texts.
+BROADCAST_FORMS = 2_000_000
+
+
 def count_forms(texts: DataFrame, forms: DataFrame, text: str = "text", kept: str = r"\p{L}\p{N} -") -> DataFrame:
     """How often each one- or two-word form stands between spaces, case folded; overlapping places count.
 
-    Texts become tokens and pairs of neighbours, counted map-side; the forms join the counts, not the texts. ``forms``: form.
+    Texts become tokens and pairs of neighbours. Where the forms are few enough, which is counted, they are broadcast, and no other token is
+    counted; else all are counted map-side and the counts join the forms. ``forms``: form.
     """
-    # bound once: a lambda over a computed array would compute it again for each element
-    one_and_two = F.element_at(
-        F.transform(
-            F.array(tokens_between(F.col(text), kept)),
-            lambda w: F.concat(w, F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))),
-        ),
-        1,
+    wanted = checkpoint(forms.select("form").distinct())
+    tokens = texts.select(tokens_between(F.col(text), kept).alias("w"))
+    following = F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1)))
+    found = tokens.select(F.explode(F.arrays_zip(F.col("w").alias("a"), following.alias("b"))).alias("t")).select(
+        F.explode(F.when(F.col("t.b").isNull(), F.array("t.a")).otherwise(F.array(F.col("t.a"), F.concat("t.a", F.lit(" "), "t.b")))).alias("form")
     )
-    found = texts.select(F.explode(one_and_two).alias("form"))
-    wanted = forms.select("form").distinct()
-    counts = found.join(wanted, "form", "left_semi").groupBy("form").agg(F.count("*").alias("n"))
+    few = wanted.count() <= BROADCAST_FORMS
+    counted = found.join(F.broadcast(wanted), "form", "left_semi") if few else found
+    counts = counted.groupBy("form").agg(F.count("*").alias("n"))
     return wanted.join(counts, "form", "left").select("form", F.coalesce("n", F.lit(0)).alias("n"))
 
 

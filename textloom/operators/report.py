@@ -40,7 +40,7 @@ def outcome_rates(works: DataFrame, by: str) -> DataFrame:
 def outcomes_with_example(works: DataFrame, by: str, text: str) -> DataFrame:
     """Works and kept works of each group, with the length of the first kept work's text."""
     kept = F.col("dropped_reason").isNull()
-    return works.groupBy(by).agg(F.count("*").alias("works"), F.sum(kept.cast("long")).alias("kept"), F.min_by(F.length(text).cast("long"), "work").alias("first_length"), F.min(F.when(kept, F.col("work"))).alias("first_kept"))
+    return works.groupBy(by).agg(F.count("*").alias("works"), F.sum(kept.cast("long")).alias("kept"), F.min_by(F.length(text).cast("long"), F.when(kept, F.col("work"))).alias("first_length"), F.min(F.when(kept, F.col("work"))).alias("first_kept"))
 
 
 def duplicate_relations(works: DataFrame, same: dict[str, Column]) -> DataFrame:

@@ -83,16 +83,34 @@ _PAIRS = f"""
 """
 
 
-@query("near_duplicate_pairs", f"WITH {_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
+_CLASSES = f"""
+  {_PAIRS},
+  sets AS (SELECT doc_id, list_sort(list(shingle)) AS h FROM s GROUP BY doc_id),
+  classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class FROM sets)
+"""
+
+
+@query("near_duplicate_pairs", f"WITH {_CLASSES} SELECT a, b, round(similarity, 6) AS similarity FROM pairs WHERE a IN (SELECT class FROM classes) AND b IN (SELECT class FROM classes)")
 def near_duplicate_pairs(t):
-    pairs = duplicates.similar_pairs(duplicates.shingles(t.documents, "doc_id"), "doc_id", 0.8)
+    """Pairs between the first works of each class of equal shingle sets; ``near_duplicate_classes`` has the rest."""
+    pairs, _ = duplicates.near_duplicates(t.documents, "doc_id", 0.8)
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("near_duplicate_resolution")
+@query("near_duplicate_classes", f"WITH {_CLASSES} SELECT doc_id, class FROM classes")
+def near_duplicate_classes(t):
+    return duplicates.copy_classes(duplicates.shingle_sets(t.documents, "doc_id"), "doc_id")
+
+
+# one work after the other: it joins the gone unless all its earlier neighbours are gone
+@query("near_duplicate_resolution", f"""
+  WITH {_PAIRS},
+  later AS (SELECT list_prepend(b, list(a)) AS x, b FROM pairs GROUP BY b),
+  gone AS (SELECT list_reduce(list(x ORDER BY b), lambda acc, x: CASE WHEN len(list_filter(x[2:], lambda a: NOT list_contains(acc, a))) > 0 THEN list_append(acc, x[1]) ELSE acc END, []::BIGINT[]) AS g FROM later)
+  SELECT b AS work, first(a ORDER BY similarity DESC, a) AS duplicate_of FROM pairs, gone WHERE list_contains(g, b) AND NOT list_contains(g, a) GROUP BY b
+""")
 def near_duplicate_resolution(t):
-    pairs = duplicates.similar_pairs(duplicates.shingles(t.documents, "doc_id"), "doc_id", 0.8)
-    return duplicates.resolve_greedily(pairs)
+    return duplicates.resolve_near_duplicates(*duplicates.near_duplicates(t.documents, "doc_id", 0.8), "doc_id")
 
 
 @query("exact_duplicates", """
@@ -113,7 +131,15 @@ def author_cap_single(t):
     return cleaning.cap_single_authors(works, "o_orderkey", "o_custkey", ["o_orderpriority", "yr"], 0.001, 2).select("o_orderkey", "o_custkey", "o_orderpriority", "yr")
 
 
-@query("author_cap_greedy")
+# one author after the other, the most frequent first: of the works that are left, those beyond the limit go
+@query("author_cap_greedy", """
+  WITH w AS (SELECT o_orderkey, o_orderpriority, year(o_orderdate)::INT AS yr, sha256(o_orderkey::VARCHAR) AS h FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey),
+  l AS (SELECT o_orderpriority, yr, greatest(5, floor(0.02::DOUBLE * count(*)))::BIGINT AS author_limit FROM w GROUP BY 1, 2),
+  p AS (SELECT DISTINCT o_orderkey, o_orderpriority, yr, h, l_suppkey AS author FROM w JOIN lineitem ON l_orderkey = o_orderkey),
+  a AS (SELECT o_orderpriority, yr, author, count(*) AS n, list(o_orderkey ORDER BY h, o_orderkey) AS works FROM p GROUP BY 1, 2, 3),
+  c AS (SELECT a.o_orderpriority, a.yr, author_limit, list(works ORDER BY n DESC, author) AS steps FROM a JOIN l ON l.o_orderpriority = a.o_orderpriority AND l.yr = a.yr WHERE n > author_limit GROUP BY 1, 2, 3)
+  SELECT unnest(list_reduce(steps, lambda acc, x: list_concat(acc, list_filter(x, lambda w: NOT list_contains(acc, w))[author_limit + 1:]), []::BIGINT[])) AS o_orderkey FROM c
+""")
 def author_cap_greedy(t):
     authors = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("authors"))
     works = t.orders.join(authors, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "authors", "o_orderpriority", F.year("o_orderdate").alias("yr"))

@@ -23,7 +23,7 @@ def _dictionary(t):
 
 _FORMS = """
   p AS (SELECT list_filter(string_split(regexp_replace(lower(text), '[^{kept}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM x),
-  f AS (SELECT form, count(*) AS n FROM (
+  f AS MATERIALIZED (SELECT form, count(*) AS n FROM (
     SELECT unnest(w) AS form FROM p UNION ALL
     SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p WHERE len(w) > 1) GROUP BY form)
 """
@@ -42,7 +42,7 @@ def form_counts(t):
 
 
 _GLUE = f"""
-  x AS ({_GLUED_SQL}), {_TWO},
+  x AS MATERIALIZED ({_GLUED_SQL}), {_TWO},
   g AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '\\p{{L}}+'), lambda w: len(regexp_extract_all(w, '\\p{{Ll}}\\p{{Lu}}')) = 1)) AS word FROM x),
   c AS (SELECT word, count(DISTINCT doc_id) AS works, count(*) AS occurrences, regexp_extract(word, '^(\\p{{L}}*\\p{{Ll}})(\\p{{Lu}}\\p{{L}}*)$', 1) AS "left",
                regexp_extract(word, '^(\\p{{L}}*\\p{{Ll}})(\\p{{Lu}}\\p{{L}}*)$', 2) AS "right" FROM g GROUP BY word),
@@ -69,8 +69,8 @@ def glued_decisions(t):
 
 _SPLIT = f"""
   x AS (SELECT text FROM documents), {_HYPHENS},
-  v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents) GROUP BY word),
-  k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark),
+  v AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents) GROUP BY word),
+  k AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark),
   cuts AS (SELECT word, n AS joined, left(word, i::INT) AS "left", substr(word, i::INT + 1) AS "right" FROM v, unnest(range(1, length(word))) AS u(i) WHERE length(word) >= 4 AND n >= 3),
   c AS (SELECT *, "left" IN (SELECT word FROM k) AS left_is_word, "right" IN (SELECT word FROM k) AS right_is_word FROM cuts
         WHERE "left" IN (SELECT word FROM v) AND "right" IN (SELECT word FROM v)),
@@ -95,8 +95,8 @@ def split_decisions(t):
 
 @query("lower_glue", f"""
   WITH x AS (SELECT text FROM documents), {_HYPHENS},
-  v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents) GROUP BY word),
-  k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark),
+  v AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents) GROUP BY word),
+  k AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark),
   cuts AS (SELECT word, n AS joined, i, left(word, i::INT) AS "left", substr(word, i::INT + 1) AS "right" FROM v, unnest(range(2, length(word) - 1)) AS u(i)
            WHERE length(word) >= 4 AND n >= 3 AND word NOT IN (SELECT word FROM k)),
   c AS (SELECT cuts.*, coalesce(f.n, 0) AS apart FROM cuts LEFT JOIN f ON f.form = "left" || ' ' || "right" WHERE "left" IN (SELECT word FROM k) AND "right" IN (SELECT word FROM k))
@@ -120,7 +120,7 @@ def phrase_npmi(t):
 
 
 @query("lemma_map", """
-  WITH v AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents) GROUP BY word),
+  WITH v AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents) GROUP BY word),
   s AS (SELECT word, CASE WHEN regexp_matches(word, '(ches|shes|sses|xes|zes)$') THEN left(word, length(word) - 2)
     WHEN regexp_matches(word, '[^aeiou]ies$') THEN left(word, length(word) - 3) || 'y' WHEN regexp_matches(word, '[^siu]s$') THEN left(word, length(word) - 1) END AS lemma FROM v WHERE length(word) > 3)
   SELECT word, lemma FROM s WHERE lemma IN (SELECT word FROM v WHERE n >= 5)

@@ -124,7 +124,15 @@ def repair_text(t):
     return t.documents.select("doc_id", repair.column(repair.repair_text)(F.col("text")).alias("text"))
 
 
-@query("preprocess_text")
+_VARIANTS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in repair.TARGET_VARIANTS.items()) + "}"
+
+
+@query("preprocess_text", f"""
+  WITH t AS (SELECT doc_id, lower(regexp_replace(regexp_replace(text, '(https?://|\\b(?:www\\.|doi\\.org/|10\\.\\d{{4,9}}/))[^\\s]+', ' ', 'gi'), '¬\\s*', '', 'g')) AS t FROM documents),
+  a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(strip_accents(t), '[^\\x00-\\x7F]', '', 'g'), '\\$\\$.*?\\$\\$', ' ', 'gs'), '\\$[^$]+\\$', ' ', 'g') AS t FROM t),
+  w AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(regexp_replace(t, '[^a-z0-9-]', ' ', 'g'), '--', '  '), ' +'), lambda x: trim(x, '-')), lambda x: x <> '') AS w FROM a)
+  SELECT doc_id, array_to_string(list_transform(w, lambda x: array_to_string(list_transform(string_split(x, '-'), lambda p: coalesce({_VARIANTS}[p], p)), '-')), ' ') AS text FROM w
+""")
 def preprocess_text(t):
     return t.documents.select("doc_id", repair.column(repair.preprocess_text, repair.TARGET_VARIANTS)(F.col("text")).alias("text"))
 
@@ -153,7 +161,7 @@ def pattern_spans(t):
 def pattern_removals(t):
     """Every pattern's ranges by scope, and how many words stay outside them."""
     rows = t.documents.select("doc_id", "text", T.sentence_spans(F.col("text")).alias("sentences"), patterns.pattern_spans(F.col("text")).alias("spans"))
-    marked = rows.select("doc_id", "text", patterns.removals_of(F.col("spans"), F.col("sentences"), F.length("text").cast("bigint")).alias("r"))
+    marked = rows.select("doc_id", "text", patterns.removals_of(F.col("spans"), F.col("sentences"), F.col("text")).alias("r"))
     kept = patterns.drop_nested(F.col("r"))
     return marked.select("doc_id", F.size(kept).alias("removals"), F.array_join(F.transform(kept, lambda x: F.concat_ws(":", x["start"], x["end"], x["reason"])), " ").alias("ranges"), F.length(T.kept_text(F.col("text"), kept)).alias("kept_chars"))
 

@@ -77,7 +77,7 @@ def report_outcomes(t):
     return report.outcome_rates(_build(t, *B), "source")
 
 
-@query("report_examples", f"WITH {_B} SELECT source, count(*) AS works, count(*) FILTER (WHERE dropped_reason IS NULL) AS kept, arg_min(length(text), doc_id) AS first_length, min(doc_id) FILTER (WHERE dropped_reason IS NULL) AS first_kept FROM b GROUP BY source")
+@query("report_examples", f"WITH {_B} SELECT source, count(*) AS works, count(*) FILTER (WHERE dropped_reason IS NULL) AS kept, arg_min(length(text), doc_id) FILTER (WHERE dropped_reason IS NULL) AS first_length, min(doc_id) FILTER (WHERE dropped_reason IS NULL) AS first_kept FROM b GROUP BY source")
 def report_examples(t):
     return report.outcomes_with_example(_build(t, *B), "source", "text")
 
