@@ -63,10 +63,48 @@ def test_equals_brute_force(documents):
 def test_blocks_equal_brute_force(documents, monkeypatch):
     """Components of more than a block's rows are cut into blocks by size and hash."""
     monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "PRUNE_BLOCK", 5)
     rows = corpus(seed=4, groups=3, copies=30)
     assert found(jaccard.jaccard_join(documents(rows))) == brute(rows)
 
 
+def test_chained_components_fall_apart_before_texts_move(documents, monkeypatch):
+    """Buckets chain groups that have nothing in common; signatures alone part them again, and no link is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rows = corpus(seed=6, groups=6, copies=8)
+    real, sizes = jaccard._refined, []
+
+    def all_in_one(members, classes):
+        root = members.agg({"root": "min"}).first()[0]
+        out = real(members.withColumn("root", F.lit(root)), classes)
+        sizes.append(max(r["count"] for r in out.groupBy("root").count().collect()))
+        return out
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(jaccard, "_refined", all_in_one)
+    assert found(jaccard.jaccard_join(documents(rows))) == brute(rows)
+    assert sizes[0] <= 8
+
+
+@pytest.mark.parametrize("order", [0, 1])
+def test_repeated_ids_in_any_order(documents, order):
+    """Two texts of one doc_id are two classes, whichever comes first."""
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words), "s"), (1, "something else that no other row has", "s")][:: -1 if order else 1] + [(2, " ".join(words + ["more"]), "s")]
+    got = found(jaccard.jaccard_join(documents(rows)))
+    assert got == brute(rows) == [(False, 1, 1, 0), (False, 1, 1, 1), (False, 2, 1, 1)]
+
+
+def test_recall_on_a_table(spark, small):
+    """Every pair of different texts at the threshold in a whole table is found."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text, "s") for r in docs.collect()]
+    got, wanted = found(jaccard.jaccard_join(docs)), brute(rows)
+    linked = sum(r[3] for r in wanted)
+    assert linked and sum(r[3] for r in got) >= 0.9 * linked and all(a[3] <= b[3] for a, b in zip(got, wanted))
+
+
 def test_several_texts_of_one_doc_id(documents, spark):
     """Each of the texts has its own class and links, and the pipeline drops only the rows that are near-duplicates."""
     import corpus_pipeline

@@ -4,10 +4,12 @@
 2. Bands over a 252-value MinHash signature put classes into buckets. A pair at the threshold 0.8
    shares a bucket with probability 1-(1-0.8**7)**36 = 0.9998.
 3. Each class is linked to the least class of each of its buckets (never all pairs), and components of these
-   stars hold every pair that shares a bucket. Large ones are cut into blocks by set size and hash.
-4. In a block, signatures are compared 28 values at a time; a pair whose posterior probability of reaching the threshold
-   falls below ``tolerance`` is dropped; for the rest the exact Jaccard similarity decides.
-5. A block returns a count of links and one forest edge for each class, never its pairs.
+   stars hold every pair that shares a bucket.
+4. Large components, which chance buckets may have chained, are cut into blocks by set size and hash. Their signatures alone, without
+   texts, are compared 28 values at a time; a pair whose posterior probability of reaching the threshold falls below
+   ``tolerance`` is dropped. The components of the pairs that are left take the place of the large ones.
+5. Components, the still large ones again in blocks, get their texts: pairs are pruned in the same way, and for the rest the
+   exact Jaccard similarity decides. A block returns a count of links and one forest edge for each class, never its pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise
+from .shared import join_salted, materialise
 from .words import WordHashes, shingle_set
 
 SHINGLE = 5
@@ -30,7 +32,9 @@ BANDS, ROWS = 36, 7
 VALUES = BANDS * ROWS
 STEP = 28
 TOLERANCE = 1e-6
+#: Classes of a block whose texts, or whose signatures alone, are compared with another block's in one task.
 BLOCK = 512
+PRUNE_BLOCK = 4096
 
 _generator = np.random.default_rng(20240229)
 _A = _generator.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,29 +100,77 @@ def _bucket_edges(classes: DataFrame) -> DataFrame:
     return buckets.join(first, "bucket").where("node <> v").select(F.col("node").alias("u"), "v")
 
 
-def _tasks(members: DataFrame) -> DataFrame:
+def _large_roots(members: DataFrame, block: int) -> DataFrame:
+    """(root, parts): of components with more than ``block`` members, into how many parts each size level is cut."""
+    levels = members.groupBy("root", _level().alias("level")).agg(F.count("*").alias("n"))
+    parts = F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("n") / block).cast("long").alias("parts"))))
+    return levels.groupBy("root").agg(F.sum("n").alias("n"), parts.alias("parts")).where(F.col("n") > block).drop("n")
+
+
+def _level():
+    """Sets whose sizes differ by more than a factor 1/0.8 cannot reach the threshold, so only equal and neighbouring levels can."""
+    return F.floor(F.log(F.col("size").cast("double")) / math.log(1 / THRESHOLD) + 1e-9).cast("long")
+
+
+def _tasks(members: DataFrame, large: DataFrame) -> DataFrame:
     """Adds the pairs of blocks (first, second) that each member takes part in, and its own block.
 
-    Sets whose sizes differ by more than a factor 1/0.8 cannot reach the threshold, so in a large component only
-    equal and neighbouring size levels meet. ``members``: node, root, size.
+    ``members``: node, root, size. A component that isn't ``large`` is one block. The join is salted, so that no task gets a component whole.
     """
     width = 1 << 20
-    sizes = members.groupBy("root").agg(F.count("*").alias("of_root"))
-    levels = members.join(sizes, "root").withColumn("level", F.when(F.col("of_root") <= BLOCK, 0).otherwise(F.floor(F.log(F.col("size").cast("double")) / math.log(1 / THRESHOLD) + 1e-9)).cast("long"))
-    parts = levels.groupBy("root", "level").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    known = join_salted(members.withColumn("_spread", F.xxhash64("node")), large, ["root"], "_spread", "left").withColumn("level", _level())
 
-    def beside(df, by, name):
-        return df.join(parts.select("root", (F.col("level") - by).alias("level"), F.col("parts").alias(name)), ["root", "level"], "left")
+    def blocks_of(level):
+        parts = F.col("parts")[level]
+        return F.when(parts.isNull(), F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda s: level * width + s))
 
-    known = beside(beside(beside(levels, 0, "own"), 1, "above"), -1, "below")
-    some = lambda n, level: F.when(F.col(n).isNull(), F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda s: level * width + s))
+    own = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.col("level") * width + F.pmod(F.xxhash64("node"), F.col("parts")[F.col("level")]))
+    near = F.concat(*(blocks_of(F.col("level") + d) for d in (-1, 0, 1)))
     return (
-        known.withColumn("block", F.col("level") * width + F.pmod(F.xxhash64("node"), F.col("own")))
-        .withColumn("other", F.explode(F.concat(some("own", F.col("level")), some("above", F.col("level") + 1), some("below", F.col("level") - 1))))
+        known.withColumn("block", own.cast("long"))
+        .withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(near)))
         .select("node", "root", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     )
 
 
+class Forest:
+    """Least members of sets that merge."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def merge(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        self.parent[max(a, b)] = min(a, b)
+
+
+def unpruned(i: int, js: np.ndarray, signatures: np.ndarray, needed: list[int]) -> np.ndarray:
+    """Those of ``js`` whose signatures don't rule out that their sets and set ``i`` reach the threshold."""
+    matches = np.zeros(len(js), int)
+    for k, least in enumerate(needed):
+        if not len(js):
+            break
+        span = slice(k * STEP, (k + 1) * STEP)
+        matches = matches + (signatures[js, span] == signatures[i, span]).sum(axis=1)
+        keep = matches >= least
+        js, matches = js[keep], matches[keep]
+    return js
+
+
+def comparable(i: int, sizes: np.ndarray, side: np.ndarray, within: bool) -> np.ndarray:
+    """Later members that ``i`` is compared with: of the other side or, within a block, all; sizes apart rule a pair out."""
+    js = np.arange(i + 1, len(sizes))
+    if not within:
+        js = js[side[js] != side[i]]
+    return js[np.minimum(sizes[js], sizes[i]) >= THRESHOLD * np.maximum(sizes[js], sizes[i]) - 1e-9]
+
+
 def links_in_block(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray, within: bool, needed: list[int]) -> list[tuple[int, int]]:
     """Pairs (i, j), i < j, at the threshold; of both sides, or within the one.
 
@@ -133,18 +185,7 @@ def links_in_block(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndar
     at = np.r_[0, np.cumsum(sizes)]
     found = []
     for i in range(n - 1):
-        js = np.arange(i + 1, n)
-        if not within:
-            js = js[side[js] != side[i]]
-        js = js[np.minimum(sizes[js], sizes[i]) >= THRESHOLD * np.maximum(sizes[js], sizes[i]) - 1e-9]
-        matches = np.zeros(len(js), int)
-        for k, least in enumerate(needed):
-            if not len(js):
-                break
-            span = slice(k * STEP, (k + 1) * STEP)
-            matches = matches + (signatures[js, span] == signatures[i, span]).sum(axis=1)
-            keep = matches >= least
-            js, matches = js[keep], matches[keep]
+        js = unpruned(i, comparable(i, sizes, side, within), signatures, needed)
         if len(js):
             mine = ids[at[i] : at[i + 1]]
             lengths = starts[mine + 1] - starts[mine]
@@ -155,62 +196,81 @@ def links_in_block(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndar
     return found
 
 
-def _verify(batches):
-    """Rows sorted by (root, first, second); one run of equal keys, at most two blocks, is held at a time."""
-    memo, needed = WordHashes(), least_matches()
-    out: dict[str, list] = {"node": [], "links": [], "parent": []}
-
-    def solve(key, rows):
-        _, first, second = key
-        seen, kept = set(), []
-        for row in rows:
-            s = shingle_set(row["text"], SHINGLE, memo)
-            if row["node"] not in seen and set_key(s) == (row["key_a"], row["key_b"]):
-                seen.add(row["node"])
-                kept.append((row["node"], row["copies"], row["block"], s, row["signature"]))
-        if len(kept) < 2:
-            return
-        kept.sort(key=lambda x: x[0])
-        links, parent = [0] * len(kept), list(range(len(kept)))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        signatures = np.stack([np.frombuffer(x[4], "<u2") for x in kept])
-        side = np.array([x[2] for x in kept])
-        for i, j in links_in_block([x[3] for x in kept], signatures, side, first == second, needed):
-            links[i] += kept[j][1]
-            links[j] += kept[i][1]
-            a, b = root(i), root(j)
-            parent[max(a, b)] = min(a, b)
-        for i, x in enumerate(kept):
-            if links[i]:
-                out["node"].append(x[0])
-                out["links"].append(links[i])
-                out["parent"].append(kept[root(i)][0])
-
-    def flush():
-        batch = pa.RecordBatch.from_pydict(out, pa.schema([(k, pa.int64()) for k in out]))
-        for v in out.values():
-            v.clear()
-        return batch
-
+def _runs(batches):
+    """((root, first, second), rows) of rows sorted by these; one run, at most two blocks, is held at a time."""
     key, rows = None, []
     for batch in batches:
         for row in batch.to_pylist():
             now = (row["root"], row["first"], row["second"])
             if now != key:
                 if rows:
-                    solve(key, rows)
+                    yield key, rows
                 key, rows = now, []
             rows.append(row)
-        yield flush()
     if rows:
-        solve(key, rows)
-    yield flush()
+        yield key, rows
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+
+def _prune(batches):
+    """One forest edge for each class that has a pair which its signature doesn't rule out."""
+    needed = least_matches()
+    for (_, first, second), rows in _runs(batches):
+        rows = sorted({r["node"]: r for r in rows}.values(), key=lambda r: r["node"])
+        signatures = np.stack([np.frombuffer(r["signature"], "<u2") for r in rows])
+        sizes, side = (np.array([r[c] for r in rows]) for c in ("size", "block"))
+        forest, met = Forest(len(rows)), set()
+        for i in range(len(rows) - 1):
+            for j in unpruned(i, comparable(i, sizes, side, first == second), signatures, needed).tolist():
+                forest.merge(i, j)
+                met |= {i, j}
+        yield _batch([(rows[i]["node"], rows[forest.root(i)]["node"]) for i in sorted(met)], ["u", "v"])
+
+
+def _verify(batches):
+    memo, needed = WordHashes(), least_matches()
+    for (_, first, second), rows in _runs(batches):
+        kept = {}
+        for row in rows:
+            if row["node"] not in kept:
+                s = shingle_set(row["text"], SHINGLE, memo)
+                if set_key(s) == (row["key_a"], row["key_b"]):
+                    kept[row["node"]] = (row["node"], row["copies"], row["block"], s, row["signature"])
+        if len(kept) < 2:
+            continue
+        members = sorted(kept.values(), key=lambda x: x[0])
+        links, forest = [0] * len(members), Forest(len(members))
+        signatures = np.stack([np.frombuffer(x[4], "<u2") for x in members])
+        side = np.array([x[2] for x in members])
+        for i, j in links_in_block([x[3] for x in members], signatures, side, first == second, needed):
+            links[i] += members[j][1]
+            links[j] += members[i][1]
+            forest.merge(i, j)
+        yield _batch([(x[0], links[i], members[forest.root(i)][0]) for i, x in enumerate(members) if links[i]], ["node", "links", "parent"])
+
+
+def _dealt(tasks: DataFrame) -> DataFrame:
+    """Rows of a task together, tasks dealt over the partitions."""
+    partitions = max(1, int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return tasks.repartition(partitions, "root", "first", "second").sortWithinPartitions("root", "first", "second")
+
+
+def _refined(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``members`` (node, root, size) with large components replaced by those of the pairs that signatures leave."""
+    large = materialise(_large_roots(members, BLOCK), "large")
+    if large.isEmpty():
+        return members
+    inside = join_salted(members.withColumn("_spread", F.xxhash64("node")), large.select("root", F.lit(True).alias("is_large")), ["root"], "_spread", "left")
+    inside = materialise(inside, "by-size")
+    suspects = inside.where("is_large").select("node", "root", "size")
+    tasks = _tasks(suspects, _large_roots(suspects, PRUNE_BLOCK))
+    edges = materialise(_dealt(tasks.join(classes.select("node", "size", "signature"), "node")).mapInArrow(_prune, "u long, v long"), "unpruned")
+    again = components(edges, "pruned").join(classes.select("node", "size"), "node").select("node", "root", "size")
+    return materialise(inside.where("is_large is null").select("node", "root", "size").union(again), "members")
 
 
 def jaccard_join(documents: DataFrame) -> DataFrame:
@@ -220,8 +280,10 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     links. n_links: rows, other than this, whose similarity is 0.8 or more; copies count. n_copies: rows with the same set.
 
     Texts without words (nulls too) all have the empty set, and are copies of each other and link to
-    nothing else. A text of fewer than five words is one shingle. Rows with a null doc_id take part in nothing: their
-    class is null and their counts are 0. Repeated rows count as copies.
+    nothing else. A text of fewer than five words is one shingle; a very long one counts whole. Rows with a null doc_id take part in
+    nothing: their class is null and their counts are 0. Repeated rows count as copies, and rows that repeat a doc_id with
+    another text have the class and links of their own text. Least doc_ids decide ties. An empty table gives no rows, and other columns
+    take no part.
     """
     return near_classes(documents).drop("text_hash")
 
@@ -235,17 +297,11 @@ def near_classes(documents: DataFrame) -> DataFrame:
     # rows of one doc_id with different texts give classes of the same rep, so a class has a number of its own
     classes = materialise(classes.join(one, ["rep", "key_a", "key_b"]).withColumn("node", F.monotonically_increasing_id()), "classes")
     stars = components(_bucket_edges(classes), "stars")
-    members = classes.join(stars.select("node"), "node")
+    members = _refined(materialise(classes.select("node", "size").join(stars, "node").select("node", "root", "size"), "starred"), classes)
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
-    members = members.join(texts, ["rep", "text_hash"])
-    tasks = _tasks(classes.select("node", "size").join(stars, "node"))
-    partitions = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ready = (
-        tasks.join(members.drop("rep", "text_hash", "size"), "node")
-        .repartition(partitions, "root", "first", "second")
-        .sortWithinPartitions("root", "first", "second")
-    )
-    verified = materialise(ready.mapInArrow(_verify, "node long, links long, parent long"), "links")
+    with_text = classes.join(members.select("node"), "node", "left_semi").join(texts, ["rep", "text_hash"]).drop("rep", "text_hash", "size")
+    tasks = _tasks(members, _large_roots(members, BLOCK))
+    verified = materialise(_dealt(tasks.join(with_text, "node")).mapInArrow(_verify, "node long, links long, parent long"), "links")
     roots = components(verified.select(F.col("node").alias("u"), F.col("parent").alias("v")), "linked")
     linked = roots.join(classes.select("node", "rep"), "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
