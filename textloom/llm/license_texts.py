@@ -43,7 +43,6 @@ TEMPLATES = {
     "CC-BY-ND-statement": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     "CC-BY-NC-SA-statement": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
     "CC-BY-NC-ND-statement": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
-    "all-rights-reserved": "All rights reserved.",
 }
 
 

@@ -17,18 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .license_texts import TEMPLATES
-from .words import WordHashes, mixed, windows
+from .words import WordHashes, windows
 
 SHINGLE = 5
 BANDS = 24
 CONTAINMENT = 0.8
+#: Windows have one of these numbers of blocks, so that templates of like lengths share theirs.
+WINDOW_BLOCKS = (3, 6, 8, 10)
 #: Places of a text that are looked at together; a power of two.
 SEGMENT = 1 << 16
 
 _WORD = re.compile(r"\w+(?:[-.]\w+)*")
 _generator = np.random.default_rng(77)
-_SEEDS = _generator.integers(1, 2**63, BANDS, dtype=np.uint64)
-_BAND = np.arange(BANDS)
+_SEEDS = _generator.integers(0, 2**32, BANDS, dtype=np.uint32)
+_FACTORS = _generator.integers(0, 2**31, BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Bits of a minimum that a first look goes by.
+LOOK = 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -36,8 +40,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 def band_values(shingles: np.ndarray) -> np.ndarray:
-    """Each shingle's value under each band's hash; minima of these are MinHash values."""
-    return mixed(shingles[:, None] ^ _SEEDS)
+    """Each shingle's 32-bit value under each band's hash, a bijection of its upper half; minima of these are MinHash values."""
+    return ((shingles >> np.uint64(32)).astype(np.uint32)[:, None] ^ _SEEDS) * _FACTORS
 
 
 class Template:
@@ -47,7 +51,8 @@ class Template:
         self.name, self.width, self.places = name, width, len(shingles)
         self.shingles = np.unique(shingles)
         self.step = 1 << max(0, (self.places // 4).bit_length() - 1)
-        self.blocks = -(-self.places // self.step) + 2
+        need = -(-self.places // self.step) + 2
+        self.blocks = next((b for b in WINDOW_BLOCKS if b >= need), need)
         self.reach = self.places + self.step
 
     def number(self, shingles: np.ndarray) -> np.ndarray:
@@ -61,26 +66,38 @@ class Group:
 
     def __init__(self):
         self.found: dict[tuple[int, int], list[Template]] = {}
-        self.maybe = np.zeros((BANDS, 1 << 16), bool)
+        self.maybe = np.zeros(1 << LOOK, bool)
         self.fewest = 1 << 62
 
     def add(self, template: Template, containment: float) -> None:
         for band, value in enumerate(band_values(template.shingles).min(axis=0).tolist()):
             self.found.setdefault((band, value), []).append(template)
-            self.maybe[band, value >> 48] = True
+            self.maybe[value >> 32 - LOOK] = True
         self.fewest = min(self.fewest, int(containment * len(template.shingles)))
 
     def retrieve(self, minima: np.ndarray):
         """(window, template) of windows that share a band with a template."""
-        window, band = np.nonzero(self.maybe[_BAND, (minima >> np.uint64(48)).astype(np.int64)])
+        hits = np.flatnonzero(self.maybe.take(minima >> np.uint32(32 - LOOK)))
         seen = set()
-        for w, b in zip(window.tolist(), band.tolist()):
-            for template in self.found.get((b, int(minima[w, b])), ()):
+        for at, value in zip(hits.tolist(), minima.reshape(-1)[hits].tolist()):
+            w, band = divmod(at, BANDS)
+            for template in self.found.get((band, value), ()):
                 if (w, template.name) not in seen:
                     seen.add((w, template.name))
                     yield w, template
 
 
+def _minima_of(least: np.ndarray, blocks: int) -> np.ndarray:
+    """The minimum of every block and the ``blocks`` - 1 after it, fewer at the end, by doubling."""
+    reach, size = least, 1
+    while size < blocks:
+        more = min(size, blocks - size)
+        wider = reach.copy()
+        np.minimum(reach[:-more], reach[more:], out=wider[:-more])
+        reach, size = wider, size + more
+    return reach
+
+
 class Matcher:
     """Templates of any length, and the scan of one text."""
 
@@ -112,13 +129,10 @@ class Matcher:
                     odd = least[2 * pairs :]
                     least = np.concatenate([np.minimum(least[0 : 2 * pairs : 2], least[1 : 2 * pairs : 2]), odd])
                 by_blocks = {b: g for b, g in by_step.get(step, {}).items() if g.fewest <= n}
-                own, reach = min(len(least), SEGMENT // step), least.copy() if by_blocks else least
-                for k in range(1, max(by_blocks, default=0)):
-                    if k < len(least):
-                        np.minimum(reach[:-k], least[k:], out=reach[:-k])
-                    if group := by_blocks.get(k + 1):
-                        for w, template in group.retrieve(reach[:own]):
-                            yield at + w * step, template
+                own = min(len(least), SEGMENT // step)
+                for blocks, group in by_blocks.items():
+                    for w, template in group.retrieve(_minima_of(least, blocks)[:own]):
+                        yield at + w * step, template
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(template, best containment, occurrences, first word, end word) of every template found.
