@@ -66,3 +66,28 @@ def test_archives_of_other_writers(spark, tmp_path):
         "response": (None, "http://a/", warc.digest_of(b"body"), 4, b"body"),
         "revisit": (None, None, "ABC", None, None),
     }
+
+
+@pytest.mark.parametrize("head, good", [
+    (b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: 5\r\n\r\nbody", True),
+    (b"WARC/1.0\r\nwarc-type:a\r\nwarc-record-id:<x>\r\n folded\r\ncontent-length:0\r\n\r\n", True),
+    (b"WARC/1.1 is what this text is about\r\n\r\n", False),
+    (b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\n", False),
+    (b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: many\r\n\r\n", False),
+    (b"WARC/1.1\r\nWARC-Type: response\r\nno field\r\nWARC-Record-ID: <x>\r\nContent-Length: 5\r\n\r\n", False),
+    (b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: 5\r\n", False),
+    (b"", False),
+])
+def test_headers_are_read_before_a_member_is_accepted(head, good):
+    assert warc.is_record_header(head) is good
+
+
+def test_members_that_only_look_like_records(tmp_path):
+    """A payload that is itself a gzip member beginning with the version line is not taken for a record."""
+    fake = gzip.compress(b"WARC/1.1\r\nthe rest is prose", mtime=0)
+    path = tmp_path / "x.warc.gz"
+    whole = b"".join(warc.record(k, None, fake, None, False) for k in range(4))
+    path.write_bytes(fake + whole + fake)
+    for size in (1, 50, 10**6):
+        found = [fields["WARC-Record-ID"] for start in range(0, len(whole) + 2 * len(fake), size) for _, fields, _ in warc.read_range(str(path), start, start + size)]
+        assert found == [f"<urn:x-page:{k}>" for k in range(4)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import open_bytes, write_whole
-from .shared import materialise, new_table_path
+from .shared import join_salted, materialise, new_table_path
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
@@ -69,10 +69,29 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
+#: Bytes of a member that are inflated to judge its header, and of the header at most.
+HEADER_READ, HEADER_MOST = 16 << 10, 64 << 10
+
+
+def is_record_header(head: bytes) -> bool:
+    """A WARC version line, then named fields up to a blank line, among them a type, a record id and a length."""
+    block, blank, _ = head.partition(b"\r\n\r\n")
+    version, *lines = block.split(b"\r\n")
+    if not blank or version not in (b"WARC/1.0", b"WARC/1.1"):
+        return False
+    fields = {}
+    for line in lines:
+        name, colon, value = line.partition(b":")
+        if not colon and not line.startswith((b" ", b"\t")):  # a folded line goes on with the one before
+            return False
+        fields[name.strip().lower()] = value.strip()
+    return bool(fields.get(b"warc-type")) and bool(fields.get(b"warc-record-id")) and fields.get(b"content-length", b"").isdigit()
+
+
 def _starts_record(f, at: int) -> bool:
     f.seek(at)
     try:
-        return zlib.decompressobj(31).decompress(f.read(512), 64).startswith(b"WARC/1.")
+        return is_record_header(zlib.decompressobj(31).decompress(f.read(HEADER_READ), HEADER_MOST))
     except zlib.error:
         return False
 
@@ -105,7 +124,9 @@ def read_range(path: str, start: int, end: int):
                     raise ValueError(f"{path} ends inside the record at {at}")
                 parts.append(inflater.decompress(data))
                 used += len(data)
-            yield at, *parse_record(b"".join(parts))
+            whole = b"".join(parts)
+            if is_record_header(whole[:HEADER_MOST]):  # members of other content between records are passed over
+                yield at, *parse_record(whole)
             at += used - len(inflater.unused_data)
             f.seek(at)
             if f.read(len(MAGIC)) != MAGIC:  # the end, or something between members
@@ -118,8 +139,8 @@ def write_archives(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).alias("html")
     rows = pages.select("page_id", "url", payload).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     newest = rows.groupBy("sha1").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # a payload that a third of the rows share makes one long key here, which the adaptive skew join splits
-    known = rows.join(newest, "sha1", "left").select("page_id", "url", "html", "newest")
+    # salted: a payload that a third of the rows share is no long key
+    known = join_salted(rows.withColumn("_spread", F.xxhash64("page_id", "url")), newest, ["sha1"], "_spread", "left").select("page_id", "url", "html", "newest")
 
     def run(batches):
         def records():
@@ -183,6 +204,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
 
     Of pages with equal payloads (null html: empty), the one with the largest page_id is the response and the others
     revisit it; rows that repeat that page_id are responses too. A null page_id is never the response of a group
-    with other ids. White space inside a url goes; a null url is left out of the record.
+    with other ids. White space inside a url goes; a null url is left out of the record. A null or empty html is an empty payload, a
+    very long one is one record. An empty table gives no rows, and other columns take no part. page_id must be a whole number.
     """
     return read_archives(write_archives(pages)).drop("payload")
