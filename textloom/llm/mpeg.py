@@ -1,36 +1,72 @@
-"""MPEG-1 Layer III streams: writing payload-carrying silent frames, and parsing any stream.
+"""MPEG audio streams: writing payload-carrying silent frames, and parsing any stream.
 
 Facts of the public format: a frame starts with 11 set bits; its header gives version, layer,
-bitrate, sampling rate and padding, and so its length; an optional CRC-16 covers the header's last two bytes and the side
-information; ID3v2 stands before and ID3v1 after the frames; a first frame with "Xing" has counts and a seek table.
-A frame whose granules declare no coded bits is silence, and all its main data is ancillary bytes: there
-the payload goes, byte for byte.
+bitrate, sampling rate and padding, and so its length and samples; an optional CRC-16 covers, in Layer III, the header's last two bytes
+and the side information; ID3v2 stands before and ID3v1 after the frames; a first frame with "Xing", "Info" or "VBRI" has counts and a seek
+table, and may tell how many samples the encoder put before and after the sound.
+A Layer III frame whose granules declare no coded bits is silence, and all its main data is ancillary bytes: there
+the payload goes, byte for byte. Frames of free format have no length in their header and count as no frames.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
-
-#: Fixed values of the format: kbit/s by index for MPEG-1 Layer III, and Hz by index.
-BITRATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+from functools import lru_cache
+from typing import NamedTuple
+
+#: Fixed values of the format: kbit/s by index for MPEG-1 Layers I, II and III, then for the other versions' Layer I and Layers II and III.
+BITRATES = {
+    (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (1, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (1, 3): (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (2, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+#: Hz by index for MPEG-1; MPEG-2 has half of them, MPEG-2.5 a quarter.
 RATES = (44100, 48000, 32000)
-SAMPLES = 1152
 MONO_SIDE = 17
-STEREO_SIDE = 32
 XING_FRAMES, XING_BYTES, XING_TOC, XING_QUALITY = 1, 2, 4, 8
+VBRI_AT = 36
 SEEK_EVERY = 32
 
 
+class Frame(NamedTuple):
+    """What a header tells: bytes and samples of the frame, Hz, bytes of side information (Layer III), layer, and whether a CRC follows."""
+
+    length: int
+    samples: int
+    rate: int
+    side: int
+    layer: int
+    protected: bool
+
+
+@lru_cache(maxsize=4096)
+def frame_of(header: bytes) -> Frame | None:
+    """The frame that these four bytes start, or None if they are no header."""
+    if len(header) < 4 or header[0] != 0xFF or header[1] & 0xE0 != 0xE0:
+        return None
+    version, layer, bitrate, rate = header[1] >> 3 & 3, 4 - (header[1] >> 1 & 3), header[2] >> 4, header[2] >> 2 & 3
+    if version == 1 or layer == 4 or not 0 < bitrate < 15 or rate == 3 or header[3] & 3 == 2:
+        return None
+    first = version == 3
+    hertz = RATES[rate] // (1 if first else 2 if version == 2 else 4)
+    bits = 1000 * BITRATES[(1, layer) if first else (2, min(layer, 2))][bitrate]
+    samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
+    padding = header[2] >> 1 & 1
+    length = (12 * bits // hertz + padding) * 4 if layer == 1 else samples // 8 * bits // hertz + padding
+    mono = header[3] >> 6 == 3
+    side = 0 if layer < 3 else (MONO_SIDE if mono else 32) if first else (9 if mono else 17)
+    return Frame(length, samples, hertz, side, layer, not header[1] & 1)
+
+
 def frame_length(header: bytes) -> int:
-    """Bytes of the MPEG-1 Layer III frame that this header starts, or 0 if it is none."""
-    if len(header) < 4 or header[0] != 0xFF or header[1] & 0xFE != 0xFA:
-        return 0
-    bitrate, rate = header[2] >> 4, header[2] >> 2 & 3
-    if not 0 < bitrate < 15 or rate == 3 or header[3] & 3 == 2:
-        return 0
-    return 144_000 * BITRATES[bitrate] // RATES[rate] + (header[2] >> 1 & 1)
+    """Bytes of the frame that this header starts, or 0 if it is none."""
+    found = frame_of(bytes(header))
+    return found.length if found else 0
 
 
 def _byte_crc(high: int) -> int:
@@ -99,23 +135,32 @@ def store(payload: bytes) -> bytes:
 @dataclass
 class Stream:
     frames: int = 0
-    seconds_times_rate: int = 0
-    rate: int = 0
+    samples: Counter = field(default_factory=Counter)  # by Hz
     bad_crc: int = 0
     checked_crc: int = 0
     resyncs: int = 0
     skipped: int = 0
     tags: dict[str, str] = field(default_factory=dict)
     id3v1: bool = False
-    xing_frames: int | None = None
-    xing_bytes: int | None = None
+    table: str | None = None
+    table_frames: int | None = None
+    table_bytes: int | None = None
     toc: bytes = b""
+    delay: int = 0
+    padding: int = 0
     offsets: list[int] = field(default_factory=list)
     ancillary: list[bytes] = field(default_factory=list)
 
+    @property
+    def rate(self) -> int:
+        """The Hz of most samples."""
+        return max(self.samples, key=lambda r: (self.samples[r], r), default=0)
+
     @property
     def seconds(self) -> float:
-        return self.seconds_times_rate / self.rate if self.rate else 0.0
+        """The sound's exact duration: every frame at its own rate, less what the encoder says it put before and after."""
+        extra = (self.delay + self.padding) / self.rate if self.frames else 0.0
+        return max(0.0, sum(n / r for r, n in self.samples.items()) - extra)
 
 
 def _read_id3v2(data: bytes) -> tuple[dict[str, str], int]:
@@ -135,8 +180,34 @@ def _read_id3v2(data: bytes) -> tuple[dict[str, str], int]:
     return tags, end
 
 
+def _read_table(out: Stream, data: bytes, at: int, found: Frame) -> bool:
+    """Whether the first frame is a table of a variable bitrate; its counts, seek table and encoder delays."""
+    body = at + 4 + 2 * found.protected + found.side
+    if found.layer == 3 and data[body : body + 4] in (b"Xing", b"Info"):
+        out.table, flags, p = data[body : body + 4].decode(), int.from_bytes(data[body + 4 : body + 8]), body + 8
+        if flags & XING_FRAMES:
+            out.table_frames, p = int.from_bytes(data[p : p + 4]), p + 4
+        if flags & XING_BYTES:
+            out.table_bytes, p = int.from_bytes(data[p : p + 4]), p + 4
+        if flags & XING_TOC:
+            out.toc, p = data[p : p + 100], p + 100
+        p += 4 * bool(flags & XING_QUALITY)
+        if p + 24 <= at + found.length and data[p : p + 4] in (b"LAME", b"Lavc", b"Lavf"):
+            delays = int.from_bytes(data[p + 21 : p + 24])
+            out.delay, out.padding = delays >> 12, delays & 0xFFF
+        return True
+    if data[at + VBRI_AT : at + VBRI_AT + 4] == b"VBRI":
+        p = at + VBRI_AT + 6
+        out.table, out.delay = "VBRI", int.from_bytes(data[p : p + 2])
+        out.table_bytes, out.table_frames = int.from_bytes(data[p + 4 : p + 8]), int.from_bytes(data[p + 8 : p + 12])
+        entries, size = int.from_bytes(data[p + 12 : p + 14]), int.from_bytes(data[p + 16 : p + 18])
+        out.toc = data[p + 20 : p + 20 + entries * size]
+        return True
+    return False
+
+
 def parse(data: bytes, seek_every: int = SEEK_EVERY) -> Stream:
-    """Read a stream: tags, the VBR table, every frame, its CRC, and a byte offset for each 32nd frame.
+    """Read a stream: tags, the table of a variable bitrate, every frame, its CRC, and a byte offset for each 32nd frame.
 
     Where no frame starts, the next place is taken whose header is valid and that a second valid header or the
     end follows. A last frame that is cut off isn't counted.
@@ -147,8 +218,8 @@ def parse(data: bytes, seek_every: int = SEEK_EVERY) -> Stream:
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         out.id3v1, end = True, end - 128
     while at + 4 <= end:
-        size = frame_length(data[at : at + 4])
-        if not size or at + size > end:
+        found = frame_of(data[at : at + 4])
+        if not found or at + found.length > end:
             out.resyncs += 1
             start = at
             at += 1
@@ -160,35 +231,26 @@ def parse(data: bytes, seek_every: int = SEEK_EVERY) -> Stream:
             at = end if at < 0 else at
             out.skipped += at - start
             continue
-        protected = not data[at + 1] & 1
-        side = MONO_SIDE if data[at + 3] >> 6 == 3 else STEREO_SIDE
-        body = at + 4 + 2 * protected + side
-        if not out.frames and out.xing_frames is None and data[body : body + 4] in (b"Xing", b"Info"):
-            flags, p = int.from_bytes(data[body + 4 : body + 8]), body + 8
-            out.xing_frames = 0
-            if flags & XING_FRAMES:
-                out.xing_frames, p = int.from_bytes(data[p : p + 4]), p + 4
-            if flags & XING_BYTES:
-                out.xing_bytes, p = int.from_bytes(data[p : p + 4]), p + 4
-            if flags & XING_TOC:
-                out.toc = data[p : p + 100]
-            at += size
+        if not out.frames and out.table is None and _read_table(out, data, at, found):
+            at += found.length
             continue
-        if protected:
+        body = at + 4 + 2 * found.protected + found.side
+        if found.protected and found.layer == 3:
             out.checked_crc += 1
             out.bad_crc += crc16(data[at + 2 : at + 4] + data[at + 6 : body]) != int.from_bytes(data[at + 4 : at + 6])
         if out.frames % seek_every == 0:
             out.offsets.append(at)
         out.frames += 1
-        out.rate = RATES[data[at + 2] >> 2 & 3]
-        out.seconds_times_rate += SAMPLES
-        out.ancillary.append(data[body : at + size])
-        at += size
+        out.samples[found.rate] += found.samples
+        out.ancillary.append(data[body : at + found.length])
+        at += found.length
     return out
 
 
-def payload_of(stream: Stream) -> bytes:
-    """What ``store`` put in, checked against its length and CRC-32."""
+def payload_of(stream: Stream) -> bytes | None:
+    """What ``store`` put in, checked against its length and CRC-32; None for a stream of another writer."""
+    if "payload_bytes" not in stream.tags or "payload_crc32" not in stream.tags:
+        return None
     payload = b"".join(stream.ancillary)[: int(stream.tags["payload_bytes"])]
     if zlib.crc32(payload) != int(stream.tags["payload_crc32"]) or stream.bad_crc or len(payload) != int(stream.tags["payload_bytes"]):
         raise ValueError("the stream is damaged")
