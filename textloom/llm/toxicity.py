@@ -146,4 +146,8 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) ->
 
 
 def classify_toxicity(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``fit`` and ``score``, whose rules hold: every row is scored, whole texts of any length, an empty table gives no rows.
+
+    Columns other than doc_id and text take no part, whatever their names; ties at the limit of labelled rows go by the hash of the doc_id.
+    """
     return score(documents, fit(documents, labels, max_rows))
