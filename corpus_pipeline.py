@@ -11,13 +11,21 @@ from textloom.llm.shared import new_table_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier predicts go; rows without doc_id are scored like all others."""
+    """Documents that the toxicity classifier predicts go; rows without doc_id are scored like all others.
+
+    Null and empty texts have the bias as their score; whole texts of any length are scored. Rows are independent, so repeated rows go
+    or stay together, and there are no ties. Without labels nothing goes; an empty table stays empty. Other columns stay as they are.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sources share stay in one document only; n_chars follows the text."""
+    """Lines that many sources share stay in one document only; n_chars follows the text.
+
+    Every row stays. Null texts stay null, an empty text stays empty, long ones are gone through line by line. The least doc_id keeps a
+    line, so ties don't arise; rows that repeat it keep it all. An empty table stays empty; columns of any name stay as they are.
+    """
     total, removed = line_dedup.fresh("n_lines", docs), line_dedup.fresh("n_removed", docs)
     out = line_dedup.dedup_lines(docs, n_lines=total, n_removed=removed)
     if "n_chars" in docs.columns:
@@ -28,7 +36,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near-duplicates stays; rows without doc_id stay.
 
-    Rows go one by one: of a doc_id with several texts, those whose text is not near any other's stay.
+    Rows go one by one: of a doc_id with several texts, those whose text is not near any other's stay. Null and empty texts are
+    copies of each other, so one of them stays; long texts count whole. Rows that repeat a doc_id and its text stay or go together. An
+    empty table stays empty; columns of any name stay as they are.
     """
     found = jaccard.near_classes(docs)
     gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct()
@@ -36,6 +46,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences and offsets.
+
+    A null or empty text is one end mark, a long one several pieces; repeated rows are packed once each, and ties between pieces of a
+    length go by the order of writing. An empty table gives no rows. The result has columns of its own.
+    """
     return packing.pack(docs, tokenizer_path())
 
 
@@ -51,6 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over the whole of ``documents``; each reads the Parquet table that the one before wrote.
+
+    An executor that is lost costs the tasks of one stage at most. What the stages state of nulls, long texts, ties, repeated rows, empty
+    tables and clashing names holds for the whole.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_table_path(spark, name)

@@ -1,5 +1,7 @@
 import sys
 
+import pytest
+
 import __spark_entry__ as entry
 from textloom.plans import catalogue
 
@@ -17,9 +19,9 @@ def test_whole_tables():
     """No registered plan cuts its tables down."""
     import inspect
 
-    from textloom.plans import corpus, drift, forms, linked, senses, vectors
+    from textloom.plans import corpus, drift, forms, instruments, linked, reports, senses, vectors
 
-    for module in (corpus, drift, forms, linked, senses, vectors):
+    for module in (corpus, drift, forms, instruments, linked, reports, senses, vectors):
         assert ".limit(" not in inspect.getsource(module) and ".sample(" not in inspect.getsource(module)
 
 
@@ -34,3 +36,48 @@ def test_without_the_subpackage(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(entry)
+
+
+def test_other_missing_modules_are_errors(monkeypatch):
+    """Only the absence of the subpackage or the pipeline is passed over."""
+    import importlib
+
+    pipeline = type(sys)("corpus_pipeline")
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", pipeline)
+    monkeypatch.setitem(sys.modules, "textloom.llm", None)
+    try:
+        assert "pipeline" not in importlib.reload(entry).queries()
+
+        def broken(name, *args, **kwargs):
+            if name == "corpus_pipeline":
+                raise ModuleNotFoundError("No module named 'some_codec'", name="some_codec")
+            return real(name, *args, **kwargs)
+
+        import builtins
+
+        real = builtins.__import__
+        monkeypatch.setattr(builtins, "__import__", broken)
+        with pytest.raises(ModuleNotFoundError, match="some_codec"):
+            importlib.reload(entry)
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
+
+
+@pytest.mark.parametrize("master, folder, good", [("yarn", None, False), ("yarn", "file:///tmp/x", False), ("spark://a:7077", "hdfs://b/c", True), ("k8s://a", "file:///mnt/shared", True), ("local-cluster[2,1,1024]", "file:///tmp/x", True)])
+def test_machine_local_folders_are_refused_on_clusters(master, folder, good):
+    from textloom.operators.duplicates import shared_folder
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: folder)
+
+        class sparkContext:
+            applicationId = "app"
+
+    Session.sparkContext.master = master
+    if good:
+        assert shared_folder(Session).startswith(folder)
+    else:
+        with pytest.raises(ValueError):
+            shared_folder(Session)
