@@ -59,3 +59,19 @@ def test_stages_equal_brute_force(spark, folder, tokenizer_path):
 def test_run_on_the_smallest_tables(spark, small):
     out = corpus_pipeline.run(spark, small).toPandas().sort_values(["sequence_id", "offset"])
     assert len(out) and (out.groupby("sequence_id")["length"].cumsum() - out["length"] == out["offset"]).all()
+
+
+def test_run_on_empty_tables(spark, folder, tmp_path):
+    where, _ = folder
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{where}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_unrelated_rows_of_an_id_stay(spark, folder, documents):
+    """A near copy goes by its row: other texts under its doc_id, or under that of the document that stays, don't."""
+    words = " ".join(f"k{n}" for n in range(50))
+    rows = [(2, "an unrelated text under the same id", "s"), (2, words + " more", "s"), (1, words, "s"), (3, words + " again", "s"), (3, "one more that nobody else has", "s")]
+    for order in (rows, rows[::-1]):
+        kept = corpus_pipeline.drop_near_duplicates(spark, documents(order), "").collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == sorted([rows[0][:2], rows[2][:2], rows[4][:2]])

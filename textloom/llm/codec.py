@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import StreamingDecoder, StreamingEncoder, Vocabulary, fast_merge
+from .shared import bounded_batches
 
 
 def encode_and_decode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -38,7 +39,7 @@ def encode_and_decode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, rows, kinds)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -53,4 +54,4 @@ def encode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))
+    return bounded_batches(documents).mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import join_salted, materialise
+from .shared import bounded_batches, join_salted, materialise
 from .words import WordHashes, shingle_set
 
 SHINGLE = 5
@@ -87,7 +87,7 @@ def shingle_features(documents: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *map(pa.array, rows, kinds)], ["doc_id", "text_hash", "key_a", "key_b", "size", "signature"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, key_a long, key_b long, size long, signature binary")
+    return bounded_batches(documents).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, key_a long, key_b long, size long, signature binary")
 
 
 def _bucket_edges(classes: DataFrame) -> DataFrame:

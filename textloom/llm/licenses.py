@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .license_texts import TEMPLATES
+from .shared import bounded_batches
 from .words import WordHashes, windows
 
 SHINGLE = 5
@@ -193,4 +194,4 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("doc_id").type), *map(pa.array, columns, kinds)], names)
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, license string, containment double, n_spans long, first_word long, end_word long")
+    return bounded_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, license string, containment double, n_spans long, first_word long, end_word long")

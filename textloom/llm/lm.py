@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import open_bytes, write_whole
-from .shared import new_table_path
+from .shared import bounded_batches, new_table_path
 from .words import WordHashes, mixed, windows
 
 ORDER = 3
@@ -158,7 +158,7 @@ def _explode(documents: DataFrame, folder: str, parts: int, first: int, chunk_to
         if docs:
             yield from chunk()
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return bounded_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
 def _sum_counts(exploded: DataFrame, parts: int) -> DataFrame:
@@ -284,7 +284,7 @@ def score_documents(documents: DataFrame, order: int = ORDER, min_count: int = M
     """
     spark = documents.sparkSession
     folder = new_table_path(spark, "chunks")
-    total = max(1, documents.select("text").mapInArrow(_count_tokens, "tokens long").agg(F.sum("tokens")).first()[0] or 0)
+    total = max(1, bounded_batches(documents).select("text").mapInArrow(_count_tokens, "tokens long").agg(F.sum("tokens")).first()[0] or 0)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
 
     def next_order(n):

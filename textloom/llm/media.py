@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .mpeg import parse, payload_of, store
-from .shared import new_table_path
+from .shared import bounded_batches, new_table_path
 
 UNIT = 64
 
@@ -29,7 +29,7 @@ def store_texts(documents: DataFrame) -> DataFrame:
                 media.append(store(raw + bytes(-len(raw) % UNIT if raw else UNIT)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, n_bytes long, media binary")
+    return bounded_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, n_bytes long, media binary")
 
 
 def parse_media(stored: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def parse_media(stored: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *map(pa.array, columns, kinds)], ["doc_id", "n_bytes", *names])
 
     kind = dict(stored.dtypes)["doc_id"]
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, seek_offsets array<long>")
+    return bounded_batches(stored).select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, seek_offsets array<long>")
 
 
 def media_columns(documents: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import StreamingEncoder, Vocabulary, fast_merge
-from .shared import materialise
+from .shared import bounded_batches, materialise
 
 CAPACITY = 1024
 END_ID = 2
@@ -54,7 +54,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
             yield pa.RecordBatch.from_arrays([*map(pa.array, rows, kinds), pa.array([bucket] * len(rows[0]), pa.int64())], names)
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, in_bucket long, bucket long")
+    return bounded_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, in_bucket long, bucket long")
 
 
 def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none, and runs in one process as tests do, a temporary folder is made and set.
+    Only where the session names none, and runs on one machine as tests do, a temporary folder is made and set. On a
+    cluster an unset folder, or one under the machine's own temporary folder, is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    one_machine = spark.sparkContext.master.startswith("local")
+    if not one_machine and (not where or where.removeprefix("file://").removeprefix("file:").startswith(tempfile.gettempdir())):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/textloom-{spark.sparkContext.applicationId}"
@@ -37,6 +39,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of a batch between the JVM and Python; the session's defaults hold far more texts at once than a task needs.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's batch settings are made smaller where they stand at their defaults; a setting of the user stays."""
+    conf = df.sparkSession.conf
+    for key, (default, ours) in BATCH.items():
+        if conf.get(key, default) == default:
+            conf.set(key, ours)
+    return df
+
+
 SALTS = 16
 
 

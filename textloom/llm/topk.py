@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import bounded_batches, materialise
 
 K = 20
 SCALE = 64
@@ -259,7 +259,7 @@ def exact_top_k(embeddings: DataFrame, every: int = 20, k: int = K, shard_rows:
     usable = F.coalesce(F.size(x), F.lit(0)) > 0
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
     vectors = materialise(
-        embeddings.where(F.col("vec_id").isNotNull() & usable & F.coalesce(finite, F.lit(False))).select(
+        bounded_batches(embeddings).where(F.col("vec_id").isNotNull() & usable & F.coalesce(finite, F.lit(False))).select(
             F.col("vec_id").cast("long"), F.monotonically_increasing_id().alias("row"), F.size(x).alias("length"), F.transform(x, lambda v: F.floor(v.cast("double") * SCALE)).alias("vector")
         ),
         "vectors",

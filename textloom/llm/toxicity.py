@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .words import MULTIPLIER, WordHashes, mixed
 
 BITS = 22
@@ -84,7 +85,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tu
         .limit(max_rows)
     )
     # at most max_rows pairs of numbers are broadcast
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(1)
+    rows = bounded_batches(documents).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(1)
 
     def train(batches):
         memo, seen = WordHashes(), {}
@@ -122,8 +123,8 @@ def _scores(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], c
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
     if clean_only:
-        return documents.mapInArrow(run, documents.schema)
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, score double")
+        return bounded_batches(documents).mapInArrow(run, documents.schema)
+    return bounded_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, score double")
 
 
 def keep_clean(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:

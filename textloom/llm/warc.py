@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import open_bytes, write_whole
-from .shared import join_salted, materialise, new_table_path
+from .shared import bounded_batches, join_salted, materialise, new_table_path
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
@@ -137,7 +137,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     """Write all pages; (path, size) of each archive. See ``archive_pages`` for the rules."""
     folder = new_table_path(pages.sparkSession, "warc")
     payload = F.coalesce(F.col("html"), F.lit("")).alias("html")
-    rows = pages.select("page_id", "url", payload).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    rows = bounded_batches(pages).select("page_id", "url", payload).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     newest = rows.groupBy("sha1").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").drop("n")
     # salted: a payload that a third of the rows share is no long key
     known = join_salted(rows.withColumn("_spread", F.xxhash64("page_id", "url")), newest, ["sha1"], "_spread", "left").select("page_id", "url", "html", "newest")
