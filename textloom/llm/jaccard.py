@@ -100,11 +100,15 @@ def _bucket_edges(classes: DataFrame) -> DataFrame:
     return buckets.join(first, "bucket").where("node <> v").select(F.col("node").alias("u"), "v")
 
 
-def _large_roots(members: DataFrame, block: int) -> DataFrame:
-    """(root, parts): of components with more than ``block`` members, into how many parts each size level is cut."""
+def _large_roots(members: DataFrame, most: int) -> DataFrame:
+    """(root, parts): of components with more than ``BLOCK`` members, into how many parts each size level is cut.
+
+    Up to 16 parts, so that the work spreads; more where parts would have more than ``most`` members.
+    """
+    block = F.greatest(F.lit(BLOCK), F.least(F.lit(most), F.ceil(F.col("n") / 16)))
     levels = members.groupBy("root", _level().alias("level")).agg(F.count("*").alias("n"))
     parts = F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("n") / block).cast("long").alias("parts"))))
-    return levels.groupBy("root").agg(F.sum("n").alias("n"), parts.alias("parts")).where(F.col("n") > block).drop("n")
+    return levels.groupBy("root").agg(F.sum("n").alias("n"), parts.alias("parts")).where(F.col("n") > BLOCK).drop("n")
 
 
 def _level():
