@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import bibliographic as B
 from textloom.functions import text as T
-from textloom.operators import forms, patterns, records, repair
+from textloom.operators import abstracts, forms, patterns, records, repair
 from textloom.operators.records import RecordKinds
 
 
@@ -53,13 +53,14 @@ def test_metadata_rows(spark, table):
     metadata = table("v string", [(record,), ('{"id":"W2","missing":true}',)]).select(F.from_json("v", schemas.METADATA).alias("r")).select("r.*")
     out = {r.work_id: r for r in B.openalex_works(metadata, table("id string, doi string", [("W2", None)])).collect()}
     assert (out["W1"].doi, out["W1"].pmid, out["W1"].issns, out["W1"].publication_year) == ("10.1/ab", "12", ["0378-5955"], None)
-    assert out["W2"].is_found is False and out["W2"].issns == []
+    assert out["W2"].is_missing is True and out["W2"].issns == [] and out["W2"].doi is None and len(out["W1"]) == 16
     cross = table("v string", [('{"work_id":"W1","title":["T"],"relation":"{\\"b\\":1,\\"a\\":2}","update-to":[{"type":"x"},{"type":"x"}],"published":{"date-parts":[[2001,2]]},"page":"1-5"}',)])
-    row = B.crossref_works(cross.select(F.from_json("v", schemas.CROSSREF).alias("r")).select("r.*")).first()
-    assert (row.title, row.relations, row.update_types, row.publication_year, row.page_count, row.is_open_licence) == ("T", ["a", "b"], ["x"], 2001, 5, False)
+    row = B.crossref_works(cross.select(F.from_json("v", schemas.CROSSREF).alias("r")).select("r.*"), repair.column(repair.markup_text)).first()
+    assert (row.title, row.relation_types, row.update_types, row.published_year, row.page_count, row.has_text_mining_licence) == ("T", ["a", "b"], ["x"], 2001, 5, False)
+    assert len(row) == 20 and row.is_updated is False and row.licence_urls == row.text_mining_links == []
     pub = table("v string", [('{"work_id":"W1","abstract":[{"label":"AIM","text":"one"},{"label":"","text":"two"}],"mesh_headings":[{"descriptor":"d","is_major":true},{"descriptor":"e","is_major":false}],"title":""}',)])
     row = B.pubmed_works(pub.select(F.from_json("v", schemas.PUBMED).alias("r")).select("r.*")).first()
-    assert (row.abstract, row.major_headings, row.title) == ("AIM: one two", ["d"], None)
+    assert (row.abstract, row.mesh_major_descriptors, row.mesh_descriptors, row.title, row.is_structured_abstract) == ("AIM: one two", ["d"], ["d", "e"], None, True) and len(row) == 19
 
 
 def test_inverted_index(table):
@@ -125,16 +126,71 @@ def test_tidy():
     assert new[start:end] == "here" and new == "a words here, étude x"
 
 
-@pytest.mark.parametrize("words, start", [(29, 0), (30, 1)])
-def test_early_means_few_words_before(table, words, start):
-    """Long words or short ones: a sentence alone goes while fewer than thirty words come before, else the rest of the text."""
-    for word in ("a", "incomprehensibilities"):
-        text = " ".join([word] * (words - 1)) + " end. Copyright here. More."
-        at = text.index("Copyright")
-        spans = [(at, at + 9, "copyright", "abstract_or_sentence")]
-        df = table(f"t string, s {patterns.SPAN}", [(text, spans)]).select("t", "s", T.sentence_spans(F.col("t")).alias("x"))
-        r = df.select(patterns.removals_of(F.col("s"), F.col("x"), F.col("t")).alias("r")).first().r[0]
-        assert text[r.start : r.end] == ("Copyright here. More." if start else "Copyright here.")
+SENTENCES = "array<struct<start:bigint,end:bigint,language:string>>"
+
+
+def removed(table, text, spans, foreign=()):
+    """Text and reason of each removal, and the labels that drop the work."""
+    df = table(f"t string, s {patterns.SPAN}", [(text, spans)]).select("t", "s", T.sentence_spans(F.col("t")).alias("x"))
+    tagged = F.transform("x", lambda x: x.withField("language", F.when(x["sentence"].isin(*foreign), "de").otherwise("en")) if foreign else x.withField("language", F.lit("en")))
+    ranges, labels = abstracts.find_removals(F.col("s"), tagged, F.col("t"))
+    row = df.select(ranges.alias("r"), labels.alias("d")).first()
+    return [(text[r.start : r.end], r.reason) for r in row.r], row.d
+
+
+@pytest.mark.parametrize("word", ["a", "incomprehensibilities"])
+@pytest.mark.parametrize("before", [29, 30])
+def test_scopes_by_words_before(table, word, before):
+    """Long words or short ones: a match drops the work while fewer than thirty words come before it."""
+    text = " ".join([word] * (before - 1)) + " end. Copyright here it is. More."
+    at = text.index("Copyright")
+    got = removed(table, text, [(at, at + 9, "copyright", "abstract_or_sentence")])
+    assert got == (([("Copyright here it is.", "copyright")], []) if before == 30 else ([("Copyright", "copyright")], ["copyright"]))
+
+
+def test_scopes_and_foreign_sentences(table):
+    text = "One is here. Zwei ist da. Three (c) 2001 by X. Four."
+    at = text.index("(c)")
+    spans = [(0, 3, "word", "tokens"), (at, at + 8, "notice", "rest_of_sentence"), (at + 4, at + 8, "notice", "tokens"), (at, at + 3, "sign", "abstract")]
+    got = removed(table, text, spans, ("Zwei ist da.",))
+    assert got == ([("One", "word"), ("Zwei ist da.", "not_english"), ("(c)", "sign"), ("(c) 2001 by X.", "notice")], ["sign"])
+
+
+def test_clean_abstract_reasons_in_order(table):
+    long = "word " * 151
+    rows = [
+        ("mojibake", "Ã© and more", "short", [], []),
+        ("label", "x", "Notice of retraction here and some more words.", [(0, 6, "notice", "abstract")], []),
+        ("english", "x", "Das ist ein Satz mit acht Worten hier. Two words.", [], [(0, 38)]),
+        ("short", "x", "Only three words.", [], []),
+        ("kept", "x", "Here are more than five words in one sentence.", [], []),
+        ("malformed", "x", long + "end.", [], []),
+    ]
+    data = [(k, raw, t, spans, [(a, b, "de") for a, b in foreign] + ([(39, 49, "en")] if foreign else [(0, len(t), "en")])) for k, raw, t, spans, foreign in rows]
+    df = table(f"k string, raw string, text string, spans {patterns.SPAN}, sentences {SENTENCES}", data)
+    out = {r.k: (r.dropped_reason, r.flags) for r in abstracts.clean_abstracts(df, 10).collect()}
+    assert out == {"mojibake": ("mojibake", []), "label": ("notice", []), "english": ("not_english", []), "short": ("too_short", []), "kept": (None, []), "malformed": (None, ["malformed"])}
+
+
+def test_clean_cell_rules_in_order(table):
+    good = "this is the text of a work that we have written for the test"
+    rows = [
+        (1, ["a"], "Letter from A to B about things that are in the world"), (2, ["a"], "Volume 3, Issue 2, some title, pages 120-123"), (3, ["a"], "Export citation of the page and more of it"),
+        (4, ["a"], "too short © 2019 by the Press and its many friends"), (5, ["a"], "das ist der Text und nicht das was wir den Leuten sagen"), (6, ["a", "b"], good), (7, ["a"], good.upper() + " http://x.y"), (8, ["b"], good + " one"), (9, ["b"], good + " two"), (10, ["c"], good + " three"), (11, ["d"], None),
+    ]
+    out = {r.k: r.dropped_reason for r in abstracts.clean_cell(table("k long, authors array<string>, text string", rows).withColumn("cell", F.lit("c")), "k", "authors", ["cell"], 0.5).collect()}
+    assert {k: v for k, v in out.items() if k < 8 or k > 10} == {1: "catalogue_record", 2: "catalogue_record", 3: "web_page", 4: "empty", 5: "not_english", 6: out[6], 7: "duplicate", 11: "empty"}
+    capped = [k for k, v in out.items() if v == "author_cap"]
+    assert len(capped) == 1 and capped[0] in (6, 8, 9)
+
+
+def test_shared_sentences_and_spam(table):
+    notice = "This notice stands in very many of the texts that we have."
+    prose = "The first of the {} sentences is that which we have in the text and it is not the last of them."
+    rows = [(k, f"{notice} {prose.format(k)} It is number {k} of the texts in the set.") for k in range(3)] + [(10, notice), (11, "Get the best exam dumps here."), (12, "eins zwei drei " * 10), (13, "short one"), (14, None)]
+    out = {r.k: (r.dropped_reason, r.clean_text) for r in abstracts.clean_shared(table("k long, text string", rows), "k", least=3).collect()}
+    assert out[0] == (None, f"{prose.format(0)} It is number 0 of the texts in the set.")
+    assert (out[10][0], out[11][0], out[12][0], out[13], out[14]) == ("template", "spam", "not_english", (None, "short one"), (None, None))
 
 
 @pytest.mark.parametrize("limit", [0, 1_000_000])
@@ -147,7 +203,7 @@ def test_count_forms_broadcast_or_not(table, monkeypatch, limit):
 def test_patterns(table):
     text = "Abstract: We write a@b.org here. Copyright 2010 by us. Done."
     df = table("t string", [(text,)]).select(F.col("t"), patterns.pattern_spans(F.col("t")).alias("s"), T.sentence_spans(F.col("t")).alias("x"))
-    rows = df.select(patterns.removals_of(F.col("s"), F.col("x"), F.col("t")).alias("r")).first().r
+    rows = df.select(abstracts.find_removals(F.col("s"), F.transform("x", lambda x: x.withField("language", F.lit("en"))), F.col("t"))[0].alias("r")).first().r
     assert [(text[r.start : r.end], r.reason) for r in rows] == [("Abstract:", "heading"), ("a@b.org", "contact"), ("Copyright 2010 by us.", "copyright")]
     view = patterns.token_view(table("k int, t string", [(1, "Cf. Dr. No said (e.g. This) so. Then ten")]), "k", "t").first().tokens
     assert [t.text for t in view if t.sent_start] == ["Cf", "Then"] or [t.text for t in view if t.sent_start][-1] == "Then"

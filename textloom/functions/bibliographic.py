@@ -52,72 +52,90 @@ def corrected(df, corrections, key: str = "id", field: str = "doi"):
     return df.join(fixed, key, "left").withColumn(field, F.when(F.col("_is_fixed"), F.col("_fixed")).otherwise(F.col(field))).drop("_fixed", "_is_fixed")
 
 
+def _texts(column: Column) -> Column:
+    return F.coalesce(column, F.array().cast("array<string>"))
+
+
+def _kinds(column: str) -> Column:
+    """The distinct types of a list of structs, sorted."""
+    return _texts(F.array_sort(F.array_distinct(F.transform(column, lambda x: x["type"]))))
+
+
+def _not_empty(column: Column) -> Column:
+    return F.nullif(column, F.lit(""))
+
+
 def openalex_works(metadata, corrections):
-    """Flat works from nested metadata records."""
+    """Flat works from nested metadata records, DOIs corrected, ISSNs that fail their check digit left out."""
     source = "primary_location.source"
-    date = F.col("publication_date").try_cast("date")
+    issn_l = F.col(f"{source}.issn_l")
     return corrected(metadata, corrections).select(
         F.col("id").alias("work_id"),
-        (~F.coalesce("missing", F.lit(False))).alias("is_found"),
-        bare_doi(F.col("doi")).alias("doi"),
+        F.coalesce("missing", F.lit(False)).alias("is_missing"),
+        _not_empty(bare_doi(F.col("doi"))).alias("doi"),
         last_segment(F.col("ids.pmid")).alias("pmid"),
-        last_segment(F.col("ids.pmcid")).alias("pmcid"),
+        F.concat(F.lit("PMC"), F.regexp_replace(last_segment(F.col("ids.pmcid")), "^PMC", "")).alias("pmcid"),
         "title",
         F.col("type").alias("openalex_type"),
-        date.alias("publication_date"),
-        F.year(date).cast("bigint").alias("publication_year"),
+        F.year(F.col("publication_date").try_cast("date")).cast("bigint").alias("publication_year"),
         "language",
         F.col(f"{source}.display_name").alias("source_name"),
         F.col(f"{source}.type").alias("source_type"),
+        F.when(is_valid_issn(issn_l), issn_l).alias("issn_l"),
         valid_issns(F.col(f"{source}.issn")).alias("issns"),
-        F.coalesce("indexed_in", F.array().cast("array<string>")).alias("indexed_in"),
+        _texts(F.col("indexed_in")).alias("indexed_in"),
         F.coalesce("is_paratext", F.lit(False)).alias("is_paratext"),
         F.coalesce("is_retracted", F.lit(False)).alias("is_retracted"),
     )
 
 
-def crossref_works(records):
-    """Flat rows of nested registry records."""
-    none = F.array().cast("array<string>")
-    kinds = lambda c: F.array_sort(F.array_distinct(F.transform(F.col(c), lambda x: x["type"])))
+def crossref_works(records, jats_text):
+    """Flat rows of nested registry records; ``jats_text`` turns a column of mark-up into its text."""
     return records.select(
         "work_id",
+        F.lower("identifier").alias("doi"),
         (~F.coalesce("missing", F.lit(False))).alias("is_found"),
         F.coalesce("invalid_doi", F.lit(False)).alias("is_invalid_doi"),
         F.col("type").alias("crossref_type"),
         F.get("title", F.lit(0)).alias("title"),
         F.get("`container-title`", F.lit(0)).alias("container_title"),
         valid_issns(F.col("ISSN")).alias("issns"),
-        F.get(F.get("published.date-parts", F.lit(0)), F.lit(0)).alias("publication_year"),
-        "abstract",
-        F.col("page").alias("pages"),
+        F.get(F.get("published.date-parts", F.lit(0)), F.lit(0)).alias("published_year"),
+        jats_text(F.col("abstract")).alias("abstract"),
+        "page",
         page_count(F.col("page")).alias("page_count"),
-        F.col("references-count").alias("reference_count"),
-        F.coalesce(F.array_sort(F.json_object_keys("relation")), none).alias("relations"),
-        F.coalesce(kinds("update-to"), none).alias("update_types"),
-        F.coalesce(kinds("updated-by"), none).alias("updated_by_types"),
-        F.coalesce(F.exists("license", lambda x: x["URL"].contains("creativecommons.org")), F.lit(False)).alias("is_open_licence"),
-        F.coalesce(F.exists("link", lambda x: x["intended-application"] == "text-mining"), F.lit(False)).alias("has_text_mining_link"),
+        F.col("references-count").alias("references_count"),
+        _texts(F.array_sort(F.json_object_keys("relation"))).alias("relation_types"),
+        _kinds("update-to").alias("update_types"),
+        F.col("updated-by").isNotNull().alias("is_updated"),
+        _texts(F.transform("license", lambda x: x["URL"])).alias("licence_urls"),
+        F.coalesce(F.exists("license", lambda x: x["content-version"] == "tdm"), F.lit(False)).alias("has_text_mining_licence"),
+        _texts(F.transform(F.filter("link", lambda x: x["intended-application"] == "text-mining"), lambda x: x["URL"])).alias("text_mining_links"),
+        F.to_date("fetched").alias("fetched"),
     )
 
 
 def pubmed_works(records):
-    """Flat rows of nested article records; a structured abstract becomes "LABEL: text" parts."""
-    part = lambda a: F.concat(F.coalesce(F.concat(F.nullif(a["label"], F.lit("")), F.lit(": ")), F.lit("")), a["text"])
-    none = F.array().cast("array<string>")
+    """Flat rows of nested article records; a structured abstract becomes "LABEL: text" parts, empty text is null."""
+    part = lambda a: F.concat(F.coalesce(F.concat(_not_empty(a["label"]), F.lit(": ")), F.lit("")), a["text"])
     return records.select(
         "work_id",
+        F.col("identifier").alias("pmid"),
         (~F.coalesce("missing", F.lit(False))).alias("is_found"),
         F.coalesce("is_book", F.lit(False)).alias("is_book"),
-        F.nullif("status", F.lit("")).alias("status"),
-        F.nullif("title", F.lit("")).alias("title"),
-        F.nullif(F.array_join(F.transform("abstract", part), " "), F.lit("")).alias("abstract"),
-        F.coalesce("publication_types", none).alias("publication_types"),
-        F.coalesce(F.transform(F.filter("mesh_headings", lambda m: m["is_major"]), lambda m: m["descriptor"]), none).alias("major_headings"),
-        F.coalesce("keywords", none).alias("keywords"),
-        F.coalesce("languages", none).alias("languages"),
-        F.nullif("pages", F.lit("")).alias("pages"),
+        _not_empty(F.col("status")).alias("status"),
+        _not_empty(F.col("title")).alias("title"),
+        _texts(F.col("publication_types")).alias("publication_types"),
+        _texts(F.transform("mesh_headings", lambda m: m["descriptor"])).alias("mesh_descriptors"),
+        _texts(F.transform(F.filter("mesh_headings", lambda m: m["is_major"]), lambda m: m["descriptor"])).alias("mesh_major_descriptors"),
+        _texts(F.col("keywords")).alias("keywords"),
+        _texts(F.col("languages")).alias("languages"),
+        _not_empty(F.array_join(F.transform("abstract", part), " ")).alias("abstract"),
+        F.coalesce(F.exists("abstract", lambda a: a["label"] != ""), F.lit(False)).alias("is_structured_abstract"),
+        _not_empty(F.col("pages")).alias("page"),
         page_count(F.col("pages")).alias("page_count"),
-        F.nullif("journal", F.lit("")).alias("journal"),
-        F.coalesce(F.array_sort(F.array_distinct(F.transform("comments_corrections", lambda x: x["type"]))), none).alias("correction_types"),
+        _not_empty(F.col("journal")).alias("journal"),
+        _not_empty(F.col("journal_nlm_id")).alias("journal_nlm_id"),
+        _kinds("comments_corrections").alias("comment_types"),
+        F.to_date("fetched").alias("fetched"),
     )

@@ -13,6 +13,10 @@ MARK = "\u0001"
 ENGLISH = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you were her all she there would their we him been has when who will more no if out so".split()
 FOREIGN = "der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an le la les et un une du dans que qui pour pas sur au plus par el los las una por con para del se lo como".split()
 
+#: The words of the check whether a cell's text reads as English.
+CHECK_ENGLISH = "the of and to in is that for are with as by this be on from which it an at or not have we these their was were has been can".split()
+CHECK_OTHER = "le la les des du une est que qui dans pour sur pas au aux ce cette ces sont avec par nous el los las del por para una con como pero sus esta este entre der die das und ist nicht mit sich auf dem den zur os um uma dos das pelo pela nao sao".split()
+
 
 def words(text: Column) -> Column:
     """What stands between white space, without empty strings."""
@@ -94,10 +98,14 @@ def plain_repair(text: Column) -> Column:
     return F.trim(reduce(lambda t, s: F.regexp_replace(t, *s), steps, text))
 
 
+#: Footers and promotions appended to abstracts, and copyright lines.
+APPENDED_FOOTER = r"(?i)this content downloaded from [\d.]+.*?utc(\s*all use subject to\s*\S+)?|click here[^.]*\."
+COPYRIGHT = r"(?i)(©|\(c\)|copyright).{0,150}?all rights reserved\.?|(©|\(c\)|copyright)\s*\d{4}\b[^.]*\.?"
+
+
 def strip_boilerplate(text: Column) -> Column:
-    """A footer that databases append, and a copyright line, as one space."""
-    footer = F.regexp_replace(text, r"(?i) *\(PsycInfo Database Record[^)]*\)", " ")
-    return F.regexp_replace(footer, r"(?i)(©|\(c\)|copyright) *[0-9]{4}[^.]*\.?", " ")
+    """Appended footers, then copyright lines, each as one space."""
+    return F.regexp_replace(F.regexp_replace(text, APPENDED_FOOTER, " "), COPYRIGHT, " ")
 
 
 def ends_mid_sentence(text: Column, removals: Column | None = None) -> Column:

@@ -6,7 +6,7 @@ from .registry import ORACLE, QUERIES
 
 
 def _load() -> None:
-    from . import corpus, drift, forms, instruments, linked, reports, senses, vectors  # noqa: F401
+    from . import abstracts, corpus, drift, forms, instruments, linked, reports, senses, vectors  # noqa: F401
 
 
 def queries() -> dict:

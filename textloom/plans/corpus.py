@@ -206,24 +206,6 @@ def foreign_share(t):
     return t.documents.select("doc_id", letters.alias("letters"), n.alias("foreign_letters"))
 
 
-@query("quality_v2", f"""
-  WITH s AS (SELECT doc_id, trim(sentence, ' ') AS sentence FROM ({SENTENCES})),
-  shared AS (SELECT sentence FROM s WHERE length(sentence) BETWEEN 40 AND 300 GROUP BY sentence HAVING count(DISTINCT doc_id) >= 20),
-  c AS (SELECT doc_id, sum(length(sentence)) AS n, coalesce(sum(length(sentence)) FILTER (WHERE shared.sentence IS NOT NULL), 0) AS k, count(*) FILTER (WHERE shared.sentence IS NOT NULL) AS stripped
-        FROM s LEFT JOIN shared USING (sentence) GROUP BY doc_id)
-  SELECT doc_id, stripped, CASE WHEN k >= 0.5 * n THEN 'template' END AS reason FROM c
-""")
-def quality_v2(t):
-    """Sentences of 40 to 300 characters in 20 texts or more are stripped; a text that is half such sentences goes."""
-    s = cleaning.sentence_rows(t.documents, "doc_id").select("doc_id", F.trim("sentence").alias("sentence"))
-    n = F.length("sentence")
-    shared = s.where(n.between(40, 300)).groupBy("sentence").agg(F.countDistinct("doc_id").alias("d")).where("d >= 20").select("sentence", F.lit(True).alias("is_shared"))
-    counted = s.join(shared, "sentence", "left").groupBy("doc_id").agg(
-        F.sum(n).alias("n"), F.sum(F.when(F.col("is_shared"), n).otherwise(0)).alias("k"), F.count("is_shared").alias("stripped")
-    )
-    return counted.select("doc_id", "stripped", F.when(F.col("k") >= 0.5 * F.col("n"), "template").alias("reason"))
-
-
 @query("drop_reasons", f"""
   WITH d AS (SELECT doc_id, source, lang, text, {WORDS} AS w FROM documents),
   r AS (SELECT *, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS copy, len(list_filter(w, lambda x: x IN ({_ENGLISH}))) AS e FROM d)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..checks import unmatched
 from ..functions import bibliographic as B
 from ..functions import text as T
-from ..operators import patterns, records, repair
+from ..operators import abstracts, patterns, records, repair
 from ..operators.records import RecordKinds
 from .registry import query
 
@@ -161,8 +161,9 @@ def pattern_spans(t):
 def pattern_removals(t):
     """Every pattern's ranges by scope, and how many words stay outside them."""
     rows = t.documents.select("doc_id", "text", T.sentence_spans(F.col("text")).alias("sentences"), patterns.pattern_spans(F.col("text")).alias("spans"))
-    marked = rows.select("doc_id", "text", patterns.removals_of(F.col("spans"), F.col("sentences"), F.col("text")).alias("r"))
-    kept = patterns.drop_nested(F.col("r"))
+    tagged = F.transform("sentences", lambda x: x.withField("language", F.lit("und")))
+    marked = rows.select("doc_id", "text", abstracts.find_removals(F.col("spans"), tagged, F.col("text"))[0].alias("r"))
+    kept = F.col("r")
     return marked.select("doc_id", F.size(kept).alias("removals"), F.array_join(F.transform(kept, lambda x: F.concat_ws(":", x["start"], x["end"], x["reason"])), " ").alias("ranges"), F.length(T.kept_text(F.col("text"), kept)).alias("kept_chars"))
 
 
