@@ -207,3 +207,19 @@ def test_patterns(table):
     assert [(text[r.start : r.end], r.reason) for r in rows] == [("Abstract:", "heading"), ("a@b.org", "contact"), ("Copyright 2010 by us.", "copyright")]
     view = patterns.token_view(table("k int, t string", [(1, "Cf. Dr. No said (e.g. This) so. Then ten")]), "k", "t").first().tokens
     assert [t.text for t in view if t.sent_start] == ["Cf", "Then"] or [t.text for t in view if t.sent_start][-1] == "Then"
+
+
+def test_lower_glue_guarded_by_sure_splits(table):
+    sure, guarded = {"ofthe": "of the", "inthe": "in the"}, {"amodel": ("a_word", "a model"), "tobeor": ("three", "to be or")}
+    rows = [(1, "Ofthe inthe amodel tobeor www.ofthe.org"), (2, "amodel ofthe"), (3, None)]
+    out = {r.k: r.o for r in table("k long, t string", rows).select("k", forms.split_lower_glue(sure, guarded, 2)(F.col("t")).alias("o")).collect()}
+    assert (out[1].text, out[1].counts) == ("Of the in the a model to be or www.ofthe.org", {"two_words": 2, "a_word": 1, "three": 1})
+    assert (out[2].text, out[2].counts) == ("amodel of the", {"two_words": 1}) and out[3].text is None
+
+
+def test_words_of_three_parts(table):
+    known = table("word string, n long", [("in", 50), ("the", 90), ("end", 9), ("then", 5)])
+    out = {r.word: r.parts for r in forms.split_parts(table("word string", [("intheend",), ("inthe",), ("xyz",)]), known).collect()}
+    assert out == {"intheend": ["in", "the", "end"]}
+    with pytest.raises(ValueError):
+        forms.split_parts(known, known, most_words=2)

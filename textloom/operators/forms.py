@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,14 +144,69 @@ def bigram_npmi(texts: DataFrame, words: Column, least: int, threshold: float) -
     return joined.select("a", "b", "n", npmi.alias("npmi")).where(F.col("npmi") >= threshold)
 
 
-def lemma_candidates(words: DataFrame, least: int) -> DataFrame:
-    """(word, lemma): regular plurals whose singular the corpus writes at least ``least`` times."""
-    w = F.col("word")
-    rules = F.array(
-        F.when(w.rlike("(ches|shes|sses|xes|zes)$"), F.substr(w, F.lit(1), F.length(w) - 2)),
-        F.when(w.rlike("[^aeiou]ies$"), F.concat(F.substr(w, F.lit(1), F.length(w) - 3), F.lit("y"))),
-        F.when(w.rlike("[^siu]s$"), F.substr(w, F.lit(1), F.length(w) - 1)),
-    )
-    singular = words.where(F.length(w) > 3).select("word", F.get(F.filter(rules, lambda x: x.isNotNull()), F.lit(0)).alias("lemma"))
-    common = words.where(F.col("n") >= least).select(F.col("word").alias("lemma"))
-    return singular.where("lemma is not null").join(common, "lemma", "left_semi").select("word", "lemma")
+def split_parts(words: DataFrame, known: DataFrame, most_words: int = 500_000, longest: int = 24) -> DataFrame:
+    """(word, parts): unknown words cut into three or more known words, by the likeliest cut under the known words' counts.
+
+    ``words``: word; ``known``: word, n. The known words are held by every task, so their number is checked.
+    """
+    from .instruments import segment
+
+    rows = known.where(F.length("word") <= longest).select("word", "n").limit(most_words + 1).collect()  # at most ``most_words``, checked
+    if len(rows) > most_words:
+        raise ValueError(f"more than {most_words} known words")
+    counts = {r.word: r.n for r in rows}
+    total = sum(counts.values())
+
+    @F.pandas_udf("array<string>")
+    def cut(column: pd.Series) -> pd.Series:
+        return column.map(lambda w: segment(w, counts, total, longest))
+
+    return words.select("word", cut("word").alias("parts")).where("size(parts) > 2")
+
+
+def decide_separators(counts: DataFrame, forms: DataFrame) -> DataFrame:
+    """``counts`` (word, left, right, ...) with ``separator``: a hyphen where the corpus writes the two parts with one more often than with a blank.
+
+    ``forms``: form, n, as ``count_forms`` gives for both written forms.
+    """
+    spaced, hyphened = (forms.select(F.col("form").alias(f"f_{k}"), F.col("n").alias(f"n_{k}")) for k in ("space", "hyphen"))
+    keyed = counts.withColumns({"f_space": F.concat("left", F.lit(" "), "right"), "f_hyphen": F.concat("left", F.lit("-"), "right")})
+    joined = keyed.join(spaced, "f_space", "left").join(hyphened, "f_hyphen", "left")
+    more = F.coalesce("n_hyphen", F.lit(0)) > F.coalesce("n_space", F.lit(0))
+    return joined.withColumn("separator", F.when(more, "-").otherwise(" ")).drop("f_space", "f_hyphen", "n_space", "n_hyphen")
+
+
+def split_lower_glue(sure: dict[str, str], guarded: dict[str, tuple[str, str]], least: int):
+    """A column function: struct of the text with glued words split, and how many each pattern split.
+
+    ``sure`` splits go everywhere; ``guarded`` ones (word -> pattern, split) only in texts with at least ``least`` sure ones, where
+    glue is the text's own fault. Addresses stay.
+    """
+    from .repair import _WORDS, Run
+
+    def split(text: str) -> dict:
+        run = Run(text)
+        words = [m for m in _WORDS.finditer(text) if (m[0].lower() in sure or m[0].lower() in guarded) and not run.covers(m.start())]
+        allowed = sum(m[0].lower() in sure for m in words) >= least
+        out, done, counts = [], 0, {}
+        for m in words:
+            word = m[0].lower()
+            pattern, new = ("two_words", sure[word]) if word in sure else guarded[word]
+            if word in sure or allowed:
+                out += (text[done : m.start()], new[0].upper() + new[1:] if m[0][0].isupper() else new)
+                done = m.end()
+                counts[pattern] = counts.get(pattern, 0) + 1
+        return {"text": "".join(out) + text[done:], "counts": counts}
+
+    @F.pandas_udf("struct<text:string,counts:map<string,int>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [{"text": None, "counts": None} if t is None else split(t) for t in texts]
+        return pd.DataFrame({"text": [r["text"] for r in rows], "counts": [r["counts"] for r in rows]})
+
+    return run
+
+
+def repeated_texts(texts: DataFrame, text: str, least: int = 5) -> DataFrame:
+    """(text, n): whole texts that stand at least ``least`` times; by digest, so that long texts aren't keys."""
+    counts = texts.groupBy(F.sha2(text, 256).alias("digest")).agg(F.first(text).alias(text), F.count(text).alias("n"))
+    return counts.where(F.col("n") >= least).select(text, "n")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import forms
+from ..operators import forms, lemmas, repair
+from ..operators.duplicates import checkpoint
 from .registry import query
 
 #: Glue is put in where a sentence ends: its stop and the space go, and the next sentence's first word joins on.
@@ -119,14 +120,64 @@ def phrase_npmi(t):
     return out.withColumn("npmi", F.round("npmi", 6))
 
 
+# a stand-in for a tagger: every word of four letters or more that ends in -s is read as a plural
 @query("lemma_map", """
   WITH v AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents) GROUP BY word),
-  s AS (SELECT word, CASE WHEN regexp_matches(word, '(ches|shes|sses|xes|zes)$') THEN left(word, length(word) - 2)
-    WHEN regexp_matches(word, '[^aeiou]ies$') THEN left(word, length(word) - 3) || 'y' WHEN regexp_matches(word, '[^siu]s$') THEN left(word, length(word) - 1) END AS lemma FROM v WHERE length(word) > 3)
-  SELECT word, lemma FROM s WHERE lemma IN (SELECT word FROM v WHERE n >= 5)
+  k AS MATERIALIZED (SELECT word AS type, n, regexp_matches(word, 's$') AND length(word) > 3 AS is_s FROM v),
+  c AS (SELECT type, n, u.place, u.lemma FROM (SELECT type, n, list_filter([{'place': 0, 'lemma': left(type, length(type) - 1)}, {'place': 1, 'lemma': CASE WHEN regexp_matches(type, '(s|x|z|ch|sh|o)es$') THEN left(type, length(type) - 2) END},
+      {'place': 2, 'lemma': CASE WHEN regexp_matches(type, 'ies$') THEN left(type, length(type) - 3) || 'y' END}, {'place': 3, 'lemma': CASE WHEN regexp_matches(type, 'ses$') THEN left(type, length(type) - 2) || 'is' END}], lambda x: x.lemma IS NOT NULL AND length(x.lemma) >= 3) AS l FROM k WHERE is_s AND n >= 5), unnest(l) AS w(u)),
+  b AS (SELECT c.type, c.n, c.lemma, coalesce(k.n, 0) AS frequency, CASE WHEN NOT k.is_s THEN k.n ELSE 0 END AS read, CASE WHEN c.place = 0 THEN c.n ELSE 0 END AS named, c.place FROM c LEFT JOIN k ON k.type = c.lemma
+        QUALIFY row_number() OVER (PARTITION BY c.type ORDER BY coalesce(CASE WHEN NOT k.is_s THEN k.n ELSE 0 END, 0) DESC, coalesce(k.n, 0) DESC, named DESC, c.place) = 1)
+  SELECT type, lemma, 'plural' AS rule FROM b WHERE coalesce(read, 0) >= 5 OR frequency >= greatest(1.0, 0.1 * n)
 """)
 def lemma_map(t):
-    return forms.lemma_candidates(forms.vocabulary(t.documents), 5)
+    words = checkpoint(forms.vocabulary(t.documents))
+    plural = F.col("word").endswith("s") & (F.length("word") > 3)
+    votes = words.select(F.col("word").alias("type"), F.when(plural, "NNS").otherwise("NN").alias("tag"), F.when(plural, F.expr("left(word, length(word) - 1)")).otherwise(F.col("word")).alias("lemma"), F.col("n").alias("count"))
+    return lemmas.voted_lemmas(votes, words)
+
+
+@query("glue_split", f"""
+  WITH {_GLUE}, r AS (SELECT word, "left" || ' ' || "right" AS parts FROM t WHERE lower(word) <> 'theof' AND (apart >= 10 * greatest(joined, 1) OR opener_rank <= 30 AND length("left") >= 3 AND length("right") >= 2)),
+  w AS (SELECT doc_id, regexp_extract_all(text, '\\p{{L}}+|[^\\p{{L}}]+') AS w FROM x), e AS (SELECT doc_id, i, w[i] AS word FROM w, unnest(range(1, len(w) + 1)) AS u(i))
+  SELECT doc_id, count(r.word) AS splits, md5(coalesce(string_agg(coalesce(parts, e.word), '' ORDER BY i), '')) AS repaired FROM e LEFT JOIN r ON r.word = e.word GROUP BY doc_id
+""")
+def glue_split(t):
+    """The decided splits applied: whole words, wherever they stand."""
+    glued = checkpoint(_glued(t))
+    decided = forms.decide_glued_splits(forms.count_glued_words(glued, "doc_id"), 10, 30, 3, 2, ["theOf"]).where("split")
+    splits = {r.word: f"{r.left} {r.right}" for r in decided.select("word", "left", "right").collect()}  # the decided words of a build
+    words = glued.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    counts = words.join(decided.select("word"), "word", "left_semi").groupBy("doc_id").agg(F.count("*").alias("splits"))
+    repaired = glued.select("doc_id", F.md5(repair.replace_words(splits)(F.col("text"))).alias("repaired"))
+    return repaired.join(counts, "doc_id", "left").na.fill(0, ["splits"])
+
+
+@query("phrase_tokens")
+def phrase_tokens(t):
+    """Tokens of every text with the learnt phrases joined."""
+    learnt = forms.bigram_npmi(t.documents, T.latin_words(F.col("text")), 20, 0.3)
+    phrases = {f"{r.a}_{r.b}" for r in learnt.collect()}  # what passes the threshold
+    w = T.latin_words(F.col("text"))
+    joined = lemmas.phrases_in(phrases, ["of", "the"])(w)
+    return t.documents.select("doc_id", F.size(w).alias("words"), F.size(joined).alias("tokens"))
+
+
+@query("repeated_texts", "SELECT md5(text) AS text, count(*) AS n FROM documents GROUP BY text HAVING count(*) >= 2")
+def repeated_texts(t):
+    return forms.repeated_texts(t.documents, "text", 2).select(F.md5("text").alias("text"), "n")
+
+
+@query("hyphen_or_space", f"""
+  WITH x AS (SELECT text FROM documents), {_HYPHENS}, p AS (SELECT DISTINCT p_name AS form, string_split(p_name, ' ') AS w FROM part)
+  SELECT p.w[1] AS "left", p.w[2] AS "right", CASE WHEN coalesce(h.n, 0) > coalesce(s.n, 0) THEN '-' ELSE ' ' END AS separator
+  FROM (SELECT [split_part(a, ' ', 1), split_part(a, ' ', 2)] AS w FROM (SELECT unnest(['et la', 'of the', 'well known', 'cc by', 'by nc']) AS a)) p
+  LEFT JOIN f h ON h.form = p.w[1] || '-' || p.w[2] LEFT JOIN f s ON s.form = p.w[1] || ' ' || p.w[2]
+""".replace(", p AS (SELECT DISTINCT p_name AS form, string_split(p_name, ' ') AS w FROM part)", ""))
+def hyphen_or_space(t):
+    pairs = t.spark.createDataFrame([("et", "la"), ("of", "the"), ("well", "known"), ("cc", "by"), ("by", "nc")], "left string, right string")
+    written = pairs.select(F.explode(F.array(F.concat("left", F.lit(" "), "right"), F.concat("left", F.lit("-"), "right"))).alias("form"))
+    return forms.decide_separators(pairs, checkpoint(forms.count_forms(t.documents, written)))
 
 
 @query("plain_repair", """
