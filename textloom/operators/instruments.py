@@ -28,14 +28,132 @@ def energy_distance(rows: DataFrame, first: Column, vector: str) -> DataFrame:
     return d.select("across", F.col("within_a").alias("within_first"), F.col("within_b").alias("within_second"), (2 * F.col("across") - F.col("within_a") - F.col("within_b")).alias("energy"))
 
 
+def _sums(rows: DataFrame, by: list[str], unit_vector: str, weight: Column) -> DataFrame:
+    """Per group: the weights' sum, their squares' sum and the weighted sum of unit vectors; per dimension, so that it combines map-side."""
+    placed = rows.select(*by, weight.alias("_w"), F.posexplode(unit_vector).alias("_d", "_x"))
+    per = placed.groupBy(*by, "_d").agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_w")).alias("w2"), F.sum(F.col("_w") * F.col("_x")).alias("s"))
+    return per.groupBy(*by).agg(F.max("w").alias("w"), F.max("w2").alias("w2"), F.transform(F.array_sort(F.collect_list(F.struct("_d", "s"))), lambda x: x["s"]).alias("s"))
+
+
+def _across_minus_within(sums: DataFrame, by: list[str]) -> DataFrame:
+    """(by, j) from the sums of two samples 1 and 2: pairs of one usage with itself or its own copies are no pairs."""
+    from ..functions.vectors import dot
+
+    within = 1 - (dot(F.col("s"), F.col("s")) - F.col("w2")) / (F.col("w") * F.col("w") - F.col("w2"))
+    sides = sums.withColumn("within", within)
+    a, b = (sides.where(F.col("sample") == k).select(*by, F.col("w").alias(f"w{k}"), F.col("s").alias(f"s{k}"), F.col("within").alias(f"in{k}")) for k in (1, 2))
+    both = a.join(b, by) if by else a.crossJoin(b)  # one row each
+    across = 1 - dot(F.col("s1"), F.col("s2")) / (F.col("w1") * F.col("w2"))
+    return both.select(*by, (across - (F.col("in1") + F.col("in2")) / 2).alias("j"), across.alias("across"), ((F.col("in1") + F.col("in2")) / 2).alias("within"))
+
+
+def two_samples(rows: DataFrame, first: Column, vector: str) -> DataFrame:
+    """One row: across, within, J (across minus within) and its ratio to within, of two samples of vectors."""
+    from ..functions.vectors import unit
+
+    units = rows.select(F.when(first, 1).otherwise(2).alias("sample"), unit(F.col(vector)).alias("u"))
+    out = _across_minus_within(_sums(units, ["sample"], "u", F.lit(1.0)), [])
+    return out.select("across", "within", "j", F.try_divide("j", "within").alias("ratio"))
+
+
+#: The Poisson distribution with mean 1, up to where a hash of 32 bits can reach.
+_POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
+
+
+def poisson_weight(*parts: Column) -> Column:
+    """A bootstrap weight drawn by hash: how often a row stands in a replicate."""
+    u = hash_number(*parts) / 2**32
+    return sum(((u >= x).cast("int") for x in _POISSON), F.lit(0))
+
+
+def j_replicates(rows: DataFrame, key: str, first: Column, vector: str, replicates: int) -> DataFrame:
+    """(replicate, j): J as observed (0) and of bootstrap replicates with Poisson weights; weights take the place of drawn rows, so no pairs are made."""
+    from ..functions.vectors import unit
+
+    units = rows.select(key, F.when(first, 1).otherwise(2).alias("sample"), unit(F.col(vector)).alias("u"))
+    drawn = units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    weight = F.when(F.col("replicate") == 0, F.lit(1.0)).otherwise(poisson_weight(F.col("replicate"), F.col(key)).cast("double"))
+    return _across_minus_within(_sums(drawn.withColumn("wt", weight).where("wt > 0"), ["replicate", "sample"], "u", F.col("wt")), ["replicate"]).select("replicate", "j")
+
+
+def j_interval(replicates: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """One row: observed J and the percentile interval of its replicates."""
+    return replicates.agg(
+        F.max(F.when(F.col("replicate") == 0, F.col("j"))).alias("j"),
+        F.percentile(F.when(F.col("replicate") > 0, F.col("j")), F.lit(low)).alias("low"),
+        F.percentile(F.when(F.col("replicate") > 0, F.col("j")), F.lit(high)).alias("high"),
+    )
+
+
+def j_jackknife(rows: DataFrame, key: str, first: Column, vector: str) -> DataFrame:
+    """(key, j): J without each row in turn, from the samples' sums less that row; two rows of sums are broadcast."""
+    from ..functions.vectors import dot, unit
+
+    units = rows.select(key, F.when(first, 1).otherwise(2).alias("sample"), unit(F.col(vector)).alias("u"))
+    sums = _sums(units, ["sample"], "u", F.lit(1.0))
+    one = F.broadcast(sums.select("sample", F.col("w").alias("n"), F.col("s").alias("own")))
+    other = F.broadcast(sums.select((3 - F.col("sample")).alias("sample"), F.col("w").alias("m"), F.col("s").alias("others")))
+    joined = units.join(one, "sample").join(other, "sample")
+    n = F.col("n") - 1
+    less = F.zip_with("own", "u", lambda a, b: a - b)
+    within = lambda s, k: 1 - (dot(s, s) - k) / (k * (k - 1))
+    across = 1 - dot(less, F.col("others")) / (n * F.col("m"))
+    return joined.select(key, (across - (within(less, n) + within(F.col("others"), F.col("m"))) / 2).alias("j"))
+
+
+def bca_interval(observed: float, replicates: list[float], left_out: list[float], low: float = 0.025, high: float = 0.975) -> tuple[float, float]:
+    """The bias-corrected and accelerated interval of a statistic from its replicates and its jackknife values; a report's few hundred numbers."""
+    from statistics import NormalDist, fmean
+
+    normal, n = NormalDist(), len(replicates)
+    below = min(max(sum(x < observed for x in replicates) / n, 0.5 / n), 1 - 0.5 / n)
+    bias = normal.inv_cdf(below)
+    mean = fmean(left_out)
+    cubes, squares = sum((mean - x) ** 3 for x in left_out), sum((mean - x) ** 2 for x in left_out)
+    acceleration = cubes / (6 * squares**1.5) if squares else 0.0
+    ordered = sorted(replicates)
+
+    def at(quantile: float) -> float:
+        z = bias + normal.inv_cdf(quantile)
+        place = normal.cdf(bias + z / (1 - acceleration * z)) * (n - 1)
+        k = int(place)
+        return ordered[k] + (place - k) * (ordered[min(k + 1, n - 1)] - ordered[k])
+
+    return at(low), at(high)
+
+
+def split_half_null(rows: DataFrame, key: str, vector: str, replicates: int) -> DataFrame:
+    """(replicate, j): J between two halves of one sample, dealt by the order of a hash: what J is where there is no difference."""
+    from ..functions.vectors import unit
+
+    units = rows.select(key, unit(F.col(vector)).alias("u"))
+    n = units.agg(F.count("*").alias("n"))
+    dealt = units.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).crossJoin(F.broadcast(n))  # one row
+    place = F.row_number().over(Window.partitionBy("replicate").orderBy(hash_number(F.col("replicate"), F.col(key)), key))
+    halves = dealt.withColumn("sample", F.when(place <= F.floor(F.col("n") / 2), 1).otherwise(2))
+    return _across_minus_within(_sums(halves, ["replicate", "sample"], "u", F.lit(1.0)), ["replicate"]).select("replicate", "j")
+
+
+def spread_bands(values: DataFrame, key: str, value: str, targets: list, bands: tuple[float, ...] = (0.25, 0.5)) -> DataFrame:
+    """(target, controls, within each band): the share of controls whose value is within a band around a target's. Targets are few."""
+    chosen = values.where(F.col(key).isin(targets)).select(F.col(key).alias("target"), F.col(value).alias("t"))
+    others = values.where(~F.col(key).isin(targets)).select(F.col(value).alias("v"))
+    near = [F.avg((F.abs(F.col("v") - F.col("t")) <= b * F.abs("t")).cast("double")).alias(f"within_{round(100 * b)}") for b in bands]
+    return others.crossJoin(F.broadcast(chosen)).groupBy("target").agg(F.count("*").alias("controls"), *near)  # a short list of targets
+
+
+def stratified_estimate(sample: DataFrame, weight: str, value: Column) -> DataFrame:
+    """One row: the share or mean over all rows that a weighted sample stands for, and the sample's effective size."""
+    w, v = F.col(weight), value.cast("double")
+    return sample.agg((F.sum(w * v) / F.sum(w)).alias("estimate"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective"), F.count("*").alias("labelled"))
+
+
 def bootstrap_interval(values: DataFrame, key: str, value: str, replicates: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """One row: the mean and a percentile interval of its bootstrap, every row's weight a Poisson count drawn by hash.
 
     Poisson weights need no shuffle of rows to places: each row is counted on its own, so this holds at any size.
     """
-    u = hash_number(F.col("replicate"), F.col(key)) / 2**32
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
+    weight = poisson_weight(F.col("replicate"), F.col(key))
     drawn = values.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("w", weight)
     means = drawn.groupBy("replicate").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
     return values.agg(F.avg(value).alias("mean")).crossJoin(means.agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high")))

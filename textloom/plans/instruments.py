@@ -89,3 +89,87 @@ def classify_vectors(t):
     seeds = t.embeddings.where(F.substring(F.sha2(F.col("vec_id").cast("string"), 256), 1, 1) < "4").withColumn("name", F.col("label").cast("string"))
     out = instruments.classify(seeds, "name", t.embeddings, "embedding")
     return out.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
+_UNITS = "u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)"
+_HASH = "('0x' || substr(sha256({}), 1, 8))::BIGINT"
+
+
+@query("two_samples", f"""
+  WITH {_UNITS}, d AS (SELECT 0 AS r, CASE WHEN label < 5 THEN 1 ELSE 2 END AS sample, vec_id, u FROM u),
+  m AS (SELECT avg(1 - list_dot_product(a.u, b.u)) FILTER (WHERE a.sample <> b.sample) AS across, (avg(1 - list_dot_product(a.u, b.u)) FILTER (WHERE a.sample = 1 AND b.sample = 1) + avg(1 - list_dot_product(a.u, b.u)) FILTER (WHERE a.sample = 2 AND b.sample = 2)) / 2 AS within
+    FROM d a JOIN d b ON a.vec_id < b.vec_id)
+  SELECT round(across, 6) AS across, round(within, 6) AS within, round(across - within, 6) AS j, round((across - within) / within, 6) AS ratio FROM m
+""")
+def two_samples(t):
+    out = instruments.two_samples(t.embeddings, F.col("label") < 5, "embedding")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+def _j_sql(rows: str) -> str:
+    return f"""
+  WITH {_UNITS}, {rows},
+  m AS (SELECT a.r, sum(a.w * b.w * (1 - list_dot_product(a.u, b.u))) FILTER (WHERE a.sample <> b.sample) / sum(a.w * b.w) FILTER (WHERE a.sample <> b.sample) AS across,
+    sum(a.w * b.w * (1 - list_dot_product(a.u, b.u))) FILTER (WHERE a.sample = 1 AND b.sample = 1) / sum(a.w * b.w) FILTER (WHERE a.sample = 1 AND b.sample = 1) AS in1,
+    sum(a.w * b.w * (1 - list_dot_product(a.u, b.u))) FILTER (WHERE a.sample = 2 AND b.sample = 2) / sum(a.w * b.w) FILTER (WHERE a.sample = 2 AND b.sample = 2) AS in2
+    FROM d a JOIN d b ON a.r = b.r AND a.vec_id < b.vec_id GROUP BY a.r), j AS (SELECT r, across - (in1 + in2) / 2 AS j FROM m)"""
+
+
+@query("j_interval", _j_sql(f"""
+  x AS (SELECT r, vec_id, CASE WHEN label < 5 THEN 1 ELSE 2 END AS sample, u, CASE WHEN r = 0 THEN 1 ELSE len(list_filter([0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]::DOUBLE[], lambda s: {_HASH.format("r || ':' || vec_id")} / 4294967296 >= s)) END AS w
+    FROM u, unnest(range(0, 21)) AS n(r)), d AS (SELECT * FROM x WHERE w > 0)""") + """
+  SELECT round(max(j) FILTER (WHERE r = 0), 6) AS j, round(quantile_cont(j, 0.025) FILTER (WHERE r > 0), 6) AS low, round(quantile_cont(j, 0.975) FILTER (WHERE r > 0), 6) AS high FROM j
+""")
+def j_interval(t):
+    out = instruments.j_interval(instruments.j_replicates(t.embeddings, "vec_id", F.col("label") < 5, "embedding", 20))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query("j_jackknife", f"""
+  WITH {_UNITS}, d AS (SELECT vec_id, label < 5 AS f, u FROM u), p AS (SELECT a.vec_id, a.f, a.f = b.f AS same, 1 - list_dot_product(a.u, b.u) AS d FROM d a JOIN d b ON a.vec_id <> b.vec_id),
+  r AS (SELECT vec_id, any_value(f) AS f, sum(d) FILTER (WHERE same) AS own, sum(d) FILTER (WHERE NOT same) AS other FROM p GROUP BY vec_id),
+  s AS (SELECT f, count(*) AS n, sum(own) / 2 AS within, sum(other) AS across FROM r GROUP BY f)
+  SELECT vec_id, round((a.across - r.other) / ((a.n - 1) * b.n) - ((a.within - r.own) / ((a.n - 1) * (a.n - 2) / 2) + b.within / (b.n * (b.n - 1) / 2)) / 2, 6) AS j FROM r JOIN s a ON a.f = r.f JOIN s b ON b.f <> r.f
+""")
+def j_jackknife(t):
+    return instruments.j_jackknife(t.embeddings, "vec_id", F.col("label") < 5, "embedding").withColumn("j", F.round("j", 6))
+
+
+@query("split_half_null", _j_sql(f"""
+  d AS (SELECT r, vec_id, u, 1 AS w, CASE WHEN row_number() OVER (PARTITION BY r ORDER BY {_HASH.format("r || ':' || vec_id")}, vec_id) <= count(*) OVER (PARTITION BY r) // 2 THEN 1 ELSE 2 END AS sample FROM u, unnest(range(1, 21)) AS n(r))""") + """
+  SELECT r::INT AS replicate, round(j, 6) AS j FROM j
+""")
+def split_half_null(t):
+    return instruments.split_half_null(t.embeddings, "vec_id", "embedding", 20).withColumn("j", F.round("j", 6))
+
+
+@query("spread_bands", """
+  WITH s AS (SELECT source, avg(n_chars) AS v FROM documents GROUP BY source), t AS (SELECT source AS target, v AS t FROM s WHERE source IN (SELECT source FROM s ORDER BY source LIMIT 2))
+  SELECT target, count(*) AS controls, round(avg((abs(v - t) <= 0.25 * abs(t))::INT), 6) AS within_25, round(avg((abs(v - t) <= 0.5 * abs(t))::INT), 6) AS within_50 FROM s, t WHERE source NOT IN (SELECT target FROM t) GROUP BY target
+""")
+def spread_bands(t):
+    means = t.documents.groupBy("source").agg(F.avg("n_chars").alias("v"))
+    targets = sorted(r.source for r in means.select("source").collect())[:2]  # names of sources
+    out = instruments.spread_bands(means, "source", "v", targets)
+    return out.withColumns({c: F.round(c, 6) for c in ("within_25", "within_50")})
+
+
+@query("stratified_estimate", """
+  WITH d AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR)) AS place, count(*) OVER (PARTITION BY lang) AS n FROM documents), s AS (SELECT *, n / least(n, 40) AS w FROM d WHERE place <= 40)
+  SELECT round(sum(w * (n_chars > 1000)::INT) / sum(w), 6) AS estimate, round(sum(w) * sum(w) / sum(w * w), 4) AS effective, count(*) AS labelled FROM s
+""")
+def stratified_estimate(t):
+    sample = instruments.stratified_sample(t.documents, "doc_id", "lang", 40).join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    out = instruments.stratified_estimate(sample, "weight", F.col("n_chars") > 1000)
+    return out.select(F.round("estimate", 6).alias("estimate"), F.round("effective", 4).alias("effective"), "labelled")
+
+
+@query("verdicts", """
+  WITH b AS (SELECT c_nationkey AS k, list_sort(list(c_acctbal ORDER BY c_custkey)) AS v FROM customer GROUP BY c_nationkey), x AS (SELECT k, v, list_sum(v) / len(v) * 1.8 AS treatment FROM b)
+  SELECT k, (1 + len(list_filter(v, lambda p: p >= treatment))) / (len(v) + 1) <= 0.05 AND treatment >= (v[(len(v) + 1) // 2] + v[len(v) // 2 + 1]) / 4 AS verdict FROM x
+""")
+def verdicts(t):
+    """Nations as measurements: their customers' balances are placebos and bootstraps at once, 1.8 times the mean the treatment."""
+    b = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.collect_list("c_acctbal").alias("v"))
+    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
+    return b.select("k", instruments.verdict(mean * 1.8, F.col("v"), F.col("v")).alias("verdict"))

@@ -67,7 +67,12 @@ def confusion(t):
     return senses.confusion(_guesses(t), "quality", "guess").withColumn("share", F.round("share", 6))
 
 
-@query("adjusted_shares")
+# two labels: the equations have one solution; where it has a negative share, that is 0 and the other is all
+@query("adjusted_shares", f"""
+  WITH {_GUESS}, k AS (SELECT quality, guess FROM g), m AS (SELECT quality AS t, avg(guess) AS m1 FROM k WHERE quality IS NOT NULL GROUP BY quality), y AS (SELECT avg(guess) AS y1 FROM k),
+  x AS (SELECT (y1 - a.m1) / (b.m1 - a.m1) AS x1 FROM y, m a, m b WHERE a.t = 0 AND b.t = 1)
+  SELECT label, round(CASE label WHEN '1' THEN least(1.0, greatest(0.0, x1)) ELSE 1 - least(1.0, greatest(0.0, x1)) END, 6) AS share FROM x, (SELECT unnest(['0', '1']) AS label)
+""")
 def adjusted_shares(t):
     g = checkpoint(_guesses(t).select(F.col("quality").cast("string").alias("quality"), F.col("guess").cast("string").alias("guess")))
     observed = senses.shares(g.withColumn("cell", F.lit(1)), "cell", "guess").select(F.col("guess").alias("label"), "share")
@@ -164,7 +169,17 @@ def planted_change(t):
     return resample.planted_change(t.documents, "doc_id", F.col("lang") == "en", F.col("lang") == "de", 0.1)
 
 
-@query("kept_segments")
+@query("kept_segments", """
+  WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])([ \n]+)', '\\1\\2' || chr(1), 'g'), chr(1)) AS w FROM documents),
+  e AS (SELECT doc_id, i, w[i] AS piece, regexp_replace(w[i], '([.!?])[ \n]+$', '\\1') AS sentence FROM p, unnest(range(1, len(w) + 1)) AS u(i)),
+  o AS (SELECT doc_id, sentence, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece))::BIGINT AS s, row_number() OVER (PARTITION BY doc_id, sentence ORDER BY i) AS copy FROM e),
+  t AS (SELECT doc_id, s, s + length(sentence) AS e, copy FROM o WHERE sentence <> ''),
+  n AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS is_new FROM t WHERE copy > 1),
+  i AS (SELECT *, sum(is_new) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM n),
+  m AS (SELECT doc_id, island, min(s) AS s, max(e) AS e FROM i GROUP BY doc_id, island),
+  k AS (SELECT t.doc_id, t.s, count(m.s) FILTER (WHERE m.e <= t.s) AS segment, count(m.s) FILTER (WHERE t.s < m.e AND t.e > m.s) AS inside FROM t LEFT JOIN m ON m.doc_id = t.doc_id GROUP BY t.doc_id, t.s)
+  SELECT doc_id, segment::INT AS segment, min(s) AS first, count(*) AS tokens FROM k WHERE inside = 0 GROUP BY doc_id, segment
+""")
 def kept_segments(t):
     """Token runs between the ranges of repeated sentences."""
     ranges = resample.merge_ranges(repeated_sentences(sentence_rows(t.documents, "doc_id"), "doc_id").select("doc_id", "start", "end"), "doc_id")
