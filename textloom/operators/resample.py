@@ -76,6 +76,35 @@ def placebo_drops(works: DataFrame, key: str, length: str, dropped: Column, repl
     return deciles.withColumn("place", F.row_number().over(order)).join(F.broadcast(wanted), "decile").where("place <= wanted").select(key, "decile")  # ten rows
 
 
+def version_lines(tokens: DataFrame, key: str, ranges: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
+    """(key, segment, line): the lines that a version of a cell is made of: runs of kept tokens of works that aren't dropped, in order.
+
+    ``tokens``: key, at, start, end, token.
+    """
+    kept = tokens if dropped is None else tokens.join(dropped.select(key).distinct(), key, "left_anti")
+    spans = ranges.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    joined = kept.join(spans, key, "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    inside = F.exists("cuts", lambda r: (F.col("start") < r["end"]) & (F.col("end") > r["start"]))
+    passed = F.size(F.filter("cuts", lambda r: r["end"] <= F.col("start")))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"])
+    return joined.where(~inside).groupBy(key, passed.alias("segment")).agg(F.array_join(words, " ").alias("line"))
+
+
+def placebo_passages(works: DataFrame, key: str, tokens: str, removed: str, replicate: int) -> DataFrame:
+    """(key, first, end): for each work a passage of as many tokens as it lost, at a place that a hash draws; a work that lost all loses all."""
+    n, cut = F.col(tokens), F.least(removed, tokens)
+    first = F.pmod(hash_number(F.lit(replicate), F.col(key)), n - cut + 1)
+    return works.where((F.col(removed) > 0) & (n > 0)).select(key, first.alias("first"), (first + cut).alias("end"))
+
+
+def with_replacement(works: DataFrame, key: str, cell: str, draws: int) -> DataFrame:
+    """(cell, draw, key): as many draws with replacement in each cell, draw i being the row at hash(cell, i) mod n."""
+    placed = works.select(cell, key, (F.row_number().over(Window.partitionBy(cell).orderBy(key)) - 1).cast("long").alias("place"))
+    sizes = placed.groupBy(cell).agg(F.count("*").alias("n"))
+    drawn = sizes.select(cell, "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select(cell, "draw", F.pmod(hash_number(F.col(cell), F.col("draw")), F.col("n")).alias("place"))
+    return drawn.join(placed, [cell, "place"]).select(cell, "draw", key)
+
+
 def planted_change(works: DataFrame, key: str, cell: Column, donor: Column, share: float) -> DataFrame:
     """(key, replaced_by): a share of the cell's rows, first by hash, each replaced by the donor of the same place."""
     order = Window.partitionBy("side").orderBy(hash_number(F.lit("plant"), F.col(key)), key)

@@ -137,3 +137,61 @@ def chunk_budget(chunks: DataFrame, key: str, size: str, group: str, budget: int
     """Chunks of each group in hash order, taken while the total before is below the budget."""
     order = Window.partitionBy(group).orderBy(F.sha2(F.col(key).cast("string"), 256)).rowsBetween(Window.unboundedPreceding, -1)
     return chunks.withColumn("before", F.coalesce(F.sum(size).over(order), F.lit(0))).where(F.col("before") < budget)
+
+
+def context_of(text: Column, word: str, most: int = 100) -> Column:
+    """The sentence of a word's first place, of at most ``most`` words around it."""
+    sentence = F.trim(F.regexp_extract(text, rf"(?i)([^.!?\n]*(?<!\p{{L}}){word}(?!\p{{L}})[^.!?\n]*)", 1))
+    words = F.split(sentence, " +")
+    hits = F.transform(words, lambda w: F.lower(w).rlike(rf"(^|[^\p{{L}}]){word}([^\p{{L}}]|$)"))
+    at = F.array_position(hits, True).cast("int")
+    first = F.greatest(F.lit(1), F.least(at - most // 2, F.size(words) - most + 1))
+    return F.array_join(F.slice(words, first, F.lit(most)), " ")
+
+
+def sample_many(works: DataFrame, key: str, cell: str, text: str, words: DataFrame, cap: int, seed: str = "0") -> DataFrame:
+    """(word, cell, key): for every word and cell the first ``cap`` works by a seeded hash; one pass over the texts for all words.
+
+    Texts become their distinct words, which meet the list; only pairs of a listed word and a work are ranked.
+    """
+    tokens = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")
+    found = works.select(key, cell, tokens).join(words.select("word").distinct(), "word", "left_semi")
+    order = Window.partitionBy("word", cell).orderBy(F.sha2(F.concat(F.lit(seed + ":"), F.col(key).cast("string")), 256))
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).select("word", cell, key)
+
+
+def leave_one_cue_out(rows: DataFrame, cues: dict[str, list[str]], left: str, right: str) -> DataFrame:
+    """(sense, cue, places, changed): how many places have a sense, and how many another or none when one cue is left out; one pass."""
+    whole = cue_sense(cues, F.col(left), F.col(right))
+    variants = [
+        F.struct(F.lit(s).alias("sense"), F.lit(c).alias("cue"), cue_sense({k: [x for x in v if (k, x) != (s, c)] for k, v in cues.items()}, F.col(left), F.col(right)).alias("now"))
+        for s, cs in cues.items()
+        for c in cs
+    ]
+    each = rows.select(whole.alias("was"), F.explode(F.array(*variants)).alias("v"))
+    return each.groupBy("v.sense", "v.cue").agg(F.count("was").alias("places"), F.sum((~F.col("was").eqNullSafe(F.col("v.now"))).cast("long")).alias("changed"))
+
+
+def spearman(rows: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
+    """(by, items, rho): the correlation of average ranks of two values, nulls left out."""
+    by = by or []
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
+    ranked = known.select(*by, rank(a).alias("ra"), rank(b).alias("rb"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("items"), F.corr("ra", "rb").alias("rho"))
+
+
+def repeat_consistency(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """One row: items labelled more than once, and the share of them whose labels all agree."""
+    each = rows.where(F.col(label).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.countDistinct(label).alias("kinds")).where("n > 1")
+    return each.agg(F.count("*").alias("items"), F.avg((F.col("kinds") == 1).cast("double")).alias("consistent"))
+
+
+def sqrt_balanced(rows: DataFrame, key: str, label: str, most: int) -> DataFrame:
+    """Rows of each label in proportion to the square root of its count, ``most`` of the most frequent; the first by hash."""
+    sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    largest = sizes.agg(F.max("_n").alias("_largest"))
+    limit = F.greatest(F.lit(1), F.floor(F.lit(most) * F.sqrt(F.col("_n") / F.col("_largest"))))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(label).orderBy(F.sha2(F.col(key).cast("string"), 256))))
+    limits = sizes.crossJoin(F.broadcast(largest)).select(label, limit.alias("_limit"))  # one row
+    return placed.join(limits, label).where(F.col("_place") <= F.col("_limit")).drop("_place", "_limit")

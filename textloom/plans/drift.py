@@ -87,3 +87,54 @@ def reliable_transitions(t):
     decade = F.floor(F.month(F.date_add(F.lit("1970-01-01").cast("date"), F.col("n_chars").cast("int"))) / 2) * 10 + 1900
     counts = t.documents.select(decade.alias("decade"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("word", "decade").agg(F.count("*").alias("n"))
     return drift.reliable_transitions(counts, "word", "decade", "n", 20)
+
+
+_GRID = """
+  e AS (SELECT 'c' || vec_id % 3 AS cell, (vec_id // 3)::VARCHAR AS word, 40 + (vec_id * 37) % 300 AS n, embedding::DOUBLE[] AS v FROM embeddings),
+  m AS (SELECT a || '-' || b AS pair, x.word, x.n AS count_a, y.n AS count_b, x.v AS va, y.v AS vb FROM (VALUES ('c0', 'c1'), ('c1', 'c2')) p(a, b) JOIN e x ON x.cell = a JOIN e y ON y.cell = b AND y.word = x.word WHERE x.n >= 50 AND y.n >= 50),
+  d AS (SELECT x.pair, x.word, y.word AS other, list_dot_product(x.va, y.va) / sqrt(list_dot_product(x.va, x.va) * list_dot_product(y.va, y.va)) AS sa, list_dot_product(x.vb, y.vb) / sqrt(list_dot_product(x.vb, x.vb) * list_dot_product(y.vb, y.vb)) AS sb FROM m x JOIN m y ON x.pair = y.pair AND x.word <> y.word),
+  r AS (SELECT pair, word, row_number() OVER (PARTITION BY pair, word ORDER BY sa DESC, other) <= 5 AS a, row_number() OVER (PARTITION BY pair, word ORDER BY sb DESC, other) <= 5 AS b FROM d),
+  s AS (SELECT pair, word, 1 - count(*) FILTER (WHERE a AND b) / count(*) FILTER (WHERE a OR b) AS neighbour_shift FROM r GROUP BY pair, word),
+  g AS (SELECT m.pair, m.word, count_a, count_b, 1 - list_dot_product(va, vb) / sqrt(list_dot_product(va, va) * list_dot_product(vb, vb)) AS cosine_drift, neighbour_shift FROM m JOIN s ON s.pair = m.pair AND s.word = m.word WHERE count_a >= 100 AND count_b >= 100)
+"""
+
+
+def _grid(t):
+    """Vectors dealt to three cells, three to a word; counts are made of their numbers."""
+    v = t.embeddings.select(F.concat(F.lit("c"), F.col("vec_id") % 3).alias("cell"), F.floor(F.col("vec_id") / 3).cast("string").alias("word"), (40 + F.col("vec_id") * 37 % 300).alias("n"), F.col("embedding").cast("array<double>").alias("vec"))
+    pairs = t.spark.createDataFrame([("c0-c1", "c0", "c1"), ("c1-c2", "c1", "c2")], "pair string, cell_a string, cell_b string")
+    return v.select("cell", "word", "n"), v.select("cell", "word", "vec"), pairs
+
+
+@query("compare_cells", f"WITH {_GRID} SELECT pair, word, count_a, count_b, round(cosine_drift, 6) AS cosine_drift, round(neighbour_shift, 6) AS neighbour_shift FROM g")
+def compare_cells(t):
+    out = drift.measured_pairs(*_grid(t), k=5, candidate=50, measure=100)
+    return out.withColumns({c: F.round(c, 6) for c in ("cosine_drift", "neighbour_shift")})
+
+
+@query("measure_grid", f"""
+  WITH {_GRID}, k AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY round(ln(count_a::DOUBLE * count_b) / 2, 9), word) AS r, count(*) OVER (PARTITION BY pair) AS words FROM g),
+  b AS (SELECT *, greatest(0, coalesce(ceil((r - 1) * greatest(1, least(10, words // 100)) / nullif(words - 1, 0)) - 1, 0))::INT AS bin FROM k),
+  q AS (SELECT *, (rank() OVER (PARTITION BY pair, bin ORDER BY cosine_drift) + (count(*) OVER (PARTITION BY pair, bin, cosine_drift) - 1) / 2) / count(*) OVER (PARTITION BY pair, bin) * 100 AS c,
+    (rank() OVER (PARTITION BY pair, bin ORDER BY neighbour_shift) + (count(*) OVER (PARTITION BY pair, bin, neighbour_shift) - 1) / 2) / count(*) OVER (PARTITION BY pair, bin) * 100 AS n FROM b)
+  SELECT pair, word, bin, round(c, 4) AS cosine_drift_percentile, round(n, 4) AS neighbour_shift_percentile, c > 95 AND n > 95 AS is_candidate, word IN ('7', '11') AS is_target, word IN ('8', '12') AS is_control FROM q
+""")
+def measure_grid(t):
+    out = drift.measure_grid(*_grid(t), ["7", "11"], ["8", "12"], k=5, candidate=50, measure=100)
+    return out.select("pair", "word", "bin", *[F.round(c, 4).alias(c) for c in ("cosine_drift_percentile", "neighbour_shift_percentile")], "is_candidate", "is_target", "is_control")
+
+
+@query("movements", """
+  WITH b AS (SELECT p_partkey AS word, p_size > 40 AS f, p_retailprice AS v FROM part), v AS (SELECT r AS replicate, p_partkey AS word, p_size + (p_partkey * r) % 7 > 40 AS f, p_retailprice + (p_partkey * r) % 100 AS v FROM part, unnest(range(1, 6)) AS n(r) WHERE p_partkey % 9 <> r),
+  j AS (SELECT x.r AS replicate, b.word, coalesce(b.f, false) AS fa, coalesce(v.f, false) AS fb, b.v AS va, v.v AS vb FROM b CROSS JOIN (SELECT unnest(range(1, 6)) AS r) x LEFT JOIN v ON v.word = b.word AND v.replicate = x.r),
+  k AS (SELECT *, CASE WHEN vb IS NOT NULL THEN rank() OVER (PARTITION BY replicate, vb IS NULL ORDER BY va) + (count(*) OVER (PARTITION BY replicate, vb IS NULL, va) - 1) / 2 END AS ra, CASE WHEN vb IS NOT NULL THEN rank() OVER (PARTITION BY replicate, vb IS NULL ORDER BY vb) + (count(*) OVER (PARTITION BY replicate, vb) - 1) / 2 END AS rb FROM j)
+  SELECT replicate::INT AS replicate, count(vb) AS words, count(*) FILTER (WHERE fb AND NOT fa) AS entering, count(*) FILTER (WHERE fa AND NOT fb) AS leaving, round(1 - count(*) FILTER (WHERE fa AND fb) / count(*) FILTER (WHERE fa OR fb), 6) AS flag_turnover, round(1 - corr(ra, rb), 6) AS rank_disagreement FROM k GROUP BY replicate
+""")
+def movements(t):
+    """Five changed versions of the parts against the parts themselves; a version lacks some."""
+    base = t.part.select(F.col("p_partkey").alias("word"), (F.col("p_size") > 40).alias("f"), F.col("p_retailprice").alias("v"))
+    r = F.col("replicate")
+    versions = t.part.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(5)))).where(F.col("p_partkey") % 9 != r)
+    versions = versions.select("replicate", F.col("p_partkey").alias("word"), (F.col("p_size") + F.col("p_partkey") * r % 7 > 40).alias("f"), (F.col("p_retailprice") + F.col("p_partkey") * r % 100).alias("v"))
+    out = drift.movements(base, versions, ["replicate"], "word", "f", "v")
+    return out.withColumns({c: F.round(c, 6) for c in ("flag_turnover", "rank_disagreement")})

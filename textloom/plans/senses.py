@@ -21,15 +21,18 @@ _PLACES = f"""
 """
 
 
-def _senses(t):
+def _near(t):
     """Every place of the target word with its five words on either side."""
     n = 5
     words = t.documents.select("doc_id", "source", F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)).alias("w"))
     at = words.select("doc_id", "source", "w", F.explode(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.get(F.col("w"), i - 1) == TARGET)).alias("i"))
     left = F.slice("w", F.greatest(F.col("i") - n, F.lit(1)), F.least(F.col("i") - 1, F.lit(n)))
     right = F.slice("w", F.col("i") + 1, F.lit(n))
-    near = at.select("doc_id", "source", left.alias("l"), right.alias("r"))
-    return near.select("doc_id", "source", senses.cue_sense(CUES, F.col("l"), F.col("r")).alias("sense"))
+    return at.select("doc_id", "source", left.alias("l"), right.alias("r"))
+
+
+def _senses(t):
+    return _near(t).select("doc_id", "source", senses.cue_sense(CUES, F.col("l"), F.col("r")).alias("sense"))
 
 
 @query("cue_senses", f"WITH {_PLACES} SELECT doc_id, sense, count(*) AS places FROM s GROUP BY doc_id, sense")
@@ -196,3 +199,73 @@ def kept_segments(t):
 def merged_ranges(t):
     r = t.lineitem.select("l_orderkey", (F.col("l_partkey") % 50).alias("start"), (F.col("l_partkey") % 50 + F.col("l_quantity")).cast("bigint").alias("end"))
     return resample.merge_ranges(r, "l_orderkey")
+
+
+@query("with_replacement", f"""
+  WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM documents),
+  d AS (SELECT source, i AS draw, {_HASH.format("source || ':' || i")} % n AS place FROM (SELECT DISTINCT source, n FROM p), unnest(range(1, 8)) AS u(i))
+  SELECT d.source, draw::INT AS draw, doc_id FROM d JOIN p ON p.source = d.source AND p.place = d.place
+""")
+def with_replacement(t):
+    return resample.with_replacement(t.documents, "doc_id", "source", 7)
+
+
+@query("placebo_passages", f"""
+  WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '\\p{{L}}+')) AS n, (doc_id % 40)::BIGINT AS r FROM documents), h AS (SELECT doc_id, n, least(r, n) AS r, {_HASH.format("'3:' || doc_id")} % (n - least(r, n) + 1) AS first FROM n WHERE r > 0 AND n > 0)
+  SELECT doc_id, first, first + r AS "end" FROM h
+""")
+def placebo_passages(t):
+    words = t.documents.select("doc_id", F.regexp_count("text", F.lit(r"\p{L}+")).cast("long").alias("n"), (F.col("doc_id") % 40).alias("r"))
+    return resample.placebo_passages(words, "doc_id", "n", "r", 3)
+
+
+@query("version_lines", """
+  WITH e AS (SELECT doc_id, i - 1 AS pos, w[i] AS token FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang <> 'de'), unnest(range(1, len(w) + 1)) AS u(i)),
+  k AS (SELECT *, (pos // 50) AS segment FROM e WHERE pos % 50 < 45)
+  SELECT doc_id, segment::INT AS segment, md5(string_agg(token, ' ' ORDER BY pos)) AS line FROM k GROUP BY doc_id, segment
+""")
+def version_lines(t):
+    """The last five of every fifty tokens are cut, and one language's documents are dropped."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    tokens = t.documents.select("doc_id", F.posexplode(w).alias("at", "token")).select("doc_id", "at", F.col("at").cast("long").alias("start"), (F.col("at") + 1).cast("long").alias("end"), "token")
+    cuts = t.documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.size(w) / 50).cast("int"))).alias("k")).select("doc_id", (F.col("k") * 50 + 45).cast("long").alias("start"), (F.col("k") * 50 + 50).cast("long").alias("end"))
+    out = resample.version_lines(tokens, "doc_id", cuts, t.documents.where("lang = 'de'"))
+    return out.select("doc_id", "segment", F.md5("line").alias("line"))
+
+
+@query("sample_many", """
+  WITH w AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents)
+  SELECT word, source, doc_id FROM w WHERE word IN ('the', 'der', 'license') QUALIFY row_number() OVER (PARTITION BY word, source ORDER BY sha256('0:' || doc_id)) <= 2
+""")
+def sample_many(t):
+    words = t.spark.createDataFrame([("the",), ("der",), ("license",)], "word string")
+    return senses.sample_many(t.documents, "doc_id", "source", "text", words, 2)
+
+
+@query("spearman", """
+  WITH d AS (SELECT lang, n_chars, length(source) + doc_id % 7 AS v FROM documents), r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS ra, rank() OVER (PARTITION BY lang ORDER BY v) + (count(*) OVER (PARTITION BY lang, v) - 1) / 2 AS rb FROM d)
+  SELECT lang, count(*) AS items, round(corr(ra, rb), 6) AS rho FROM r GROUP BY lang
+""")
+def spearman(t):
+    rows = t.documents.select("lang", "n_chars", (F.length("source") + F.col("doc_id") % 7).alias("v"))
+    return senses.spearman(rows, "n_chars", "v", ["lang"]).withColumn("rho", F.round("rho", 6))
+
+
+@query("repeat_consistency", """
+  SELECT count(*) AS items, round(avg((k = 1)::INT), 6) AS consistent FROM (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_returnflag) AS k FROM lineitem GROUP BY l_orderkey) WHERE n > 1
+""")
+def repeat_consistency(t):
+    return senses.repeat_consistency(t.lineitem, "l_orderkey", "l_returnflag").withColumn("consistent", F.round("consistent", 6))
+
+
+@query("leave_one_cue_out", f"""
+  WITH {_PLACES},
+  v AS (SELECT doc_id, u.cue, u.sense AS of_, near_::INT + far_::INT + close_::INT AS fired, CASE WHEN near_ THEN 'near' WHEN far_ THEN 'far' WHEN close_ THEN 'close' END AS any_, near_, far_, close_, l, r FROM
+    (SELECT o.doc_id, list_contains(l, 'the') AND NOT (list_contains(l, 'der') OR list_contains(r, 'der')) AS near_, list_contains(r, 'of') OR coalesce(r[1] = 'of', false) AS far_, coalesce(l[-1] = 'and', false) AS close_, l, r FROM o),
+    unnest([{{'sense': 'near', 'cue': '<the'}}, {{'sense': 'near', 'cue': '!der'}}, {{'sense': 'far', 'cue': '>of'}}, {{'sense': 'far', 'cue': '>>of'}}, {{'sense': 'close', 'cue': '<<and'}}]) AS w(u)),
+  n AS (SELECT *, CASE cue WHEN '<the' THEN false WHEN '!der' THEN list_contains(l, 'the') ELSE near_ END AS n2, CASE cue WHEN '>of' THEN coalesce(r[1] = 'of', false) WHEN '>>of' THEN list_contains(r, 'of') ELSE far_ END AS f2, CASE cue WHEN '<<and' THEN false ELSE close_ END AS c2 FROM v),
+  z AS (SELECT of_, cue, CASE WHEN fired = 1 THEN any_ END AS was, CASE WHEN n2::INT + f2::INT + c2::INT = 1 THEN CASE WHEN n2 THEN 'near' WHEN f2 THEN 'far' ELSE 'close' END END AS now_ FROM n)
+  SELECT of_ AS sense, cue, count(was) AS places, count(*) FILTER (WHERE was IS DISTINCT FROM now_) AS changed FROM z GROUP BY 1, 2
+""")
+def leave_one_cue_out(t):
+    return senses.leave_one_cue_out(_near(t), CUES, "l", "r")
