@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .resample import hash_number
+from .resample import hash_number, places
 
 
 def auc(rows: DataFrame, score: str, positive: Column, group: list[str] | None = None) -> DataFrame:
@@ -128,9 +128,8 @@ def split_half_null(rows: DataFrame, key: str, vector: str, replicates: int) ->
 
     units = rows.select(key, unit(F.col(vector)).alias("u"))
     n = units.agg(F.count("*").alias("n"))
-    dealt = units.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).crossJoin(F.broadcast(n))  # one row
-    place = F.row_number().over(Window.partitionBy("replicate").orderBy(hash_number(F.col("replicate"), F.col(key)), key))
-    halves = dealt.withColumn("sample", F.when(place <= F.floor(F.col("n") / 2), 1).otherwise(2))
+    dealt = units.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_h", hash_number(F.col("replicate"), F.col(key)))
+    halves = places(dealt, ["replicate"], "_h", key).crossJoin(F.broadcast(n)).withColumn("sample", F.when(F.col("place") <= F.floor(F.col("n") / 2), 1).otherwise(2))  # one row
     return _across_minus_within(_sums(halves, ["replicate", "sample"], "u", F.lit(1.0)), ["replicate"]).select("replicate", "j")
 
 
@@ -166,16 +165,22 @@ def stratified_sample(rows: DataFrame, key: str, stratum: str, n: int) -> DataFr
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).join(sizes, stratum).select(key, stratum, (F.col("size") / F.least("size", F.lit(n))).alias("weight"))
 
 
+#: Words that controls are found for at a time.
+MOST_TARGETS = 1000
+
+
 def matched_controls(counts: DataFrame, targets: DataFrame, word: str, values: list[str], k: int) -> DataFrame:
     """(target, control, gap): the ``k`` words nearest in frequency in all periods, by the largest relative gap.
 
-    ``targets`` is a short list of words, so it is small beside the vocabulary that it meets.
+    ``targets`` is a short list of words, which is checked and broadcast.
     """
+    if (n := targets.count()) > MOST_TARGETS:
+        raise ValueError(f"{n} targets are more than {MOST_TARGETS}")
     t = counts.join(targets.select(word), word, "left_semi").select(F.col(word).alias("target"), *[F.col(v).alias(f"_{v}") for v in values])
     others = counts.join(targets.select(word), word, "left_anti")
     gap = F.greatest(*[F.abs(F.col(v) - F.col(f"_{v}")) / F.col(f"_{v}") for v in values], F.lit(0.0))
     order = Window.partitionBy("target").orderBy("gap", "control")
-    pairs = others.select(F.col(word).alias("control"), *values).join(t, F.lit(True)).withColumn("gap", gap)
+    pairs = others.select(F.col(word).alias("control"), *values).join(F.broadcast(t), F.lit(True)).withColumn("gap", gap)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("target", "control", "gap")
 
 

@@ -32,6 +32,24 @@ def hash_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 8), 16, 10).cast("bigint")
 
 
+#: Buckets that ``places`` cuts each group into.
+BUCKETS = 256
+
+
+def places(rows: DataFrame, group: list[str], number: str, key: str, name: str = "place") -> DataFrame:
+    """``rows`` with their place (from 1) in their group by (number, key); ``number`` is below 2**32.
+
+    A group is cut into 256 buckets by the first bits of the number, each sorted on its own; how many rows the buckets before have makes
+    a place of the whole group. So a group that is a whole table is no single task.
+    """
+    cut = rows.withColumn("_bucket", F.shiftrightunsigned(F.col(number).cast("bigint"), 24))
+    counts = cut.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows a group
+    starts = counts.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(number, key))
+    return cut.withColumn("_within", within).join(starts, [*group, "_bucket"]).withColumn(name, F.col("_start") + F.col("_within")).drop("_bucket", "_start", "_within")
+
+
 def bootstrap(works: DataFrame, key: str, cell: str, replicates: int) -> DataFrame:
     """(cell, replicate, key, times): n draws with replacement in each cell and replicate.
 
@@ -54,9 +72,8 @@ def permutation_null(rows: DataFrame, key: str, in_first: Column, value: Column,
     base = rows.select(key, in_first.alias("f"), value.alias("v"))
     observed = base.agg((F.avg(F.when(F.col("f"), F.col("v"))) - F.avg(F.when(~F.col("f"), F.col("v")))).alias("gap")).select(F.lit(0).alias("replicate"), "gap")
     n_first = base.agg(F.sum(F.col("f").cast("long")).alias("n_first"))
-    dealt = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    order = Window.partitionBy("replicate").orderBy(hash_number(F.col("replicate"), F.col(key)), key)
-    labelled = dealt.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(n_first))  # one row
+    dealt = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_h", hash_number(F.col("replicate"), F.col(key)))
+    labelled = places(dealt, ["replicate"], "_h", key).crossJoin(F.broadcast(n_first))  # one row
     first = F.col("place") <= F.col("n_first")
     nulls = labelled.groupBy("replicate").agg((F.avg(F.when(first, F.col("v"))) - F.avg(F.when(~first, F.col("v")))).alias("gap"))
     return observed.union(nulls)
@@ -68,12 +85,26 @@ def rank_test(gaps: DataFrame) -> DataFrame:
     return gaps.where("replicate > 0").crossJoin(F.broadcast(observed)).agg(((1 + F.sum((F.abs("gap") >= F.col("observed")).cast("long"))) / (1 + F.count("*"))).alias("p"))
 
 
+def deciles(rows: DataFrame, key: str, length: str) -> DataFrame:
+    """``rows`` with ``decile`` by (length, key): ten groups of equal size, the first ones larger by one where there is a rest.
+
+    Ranks come from the counts of each length, which is an aggregate, and from the order within a length.
+    """
+    counts = rows.groupBy(length).agg(F.count("*").alias("_n"))
+    order = Window.orderBy(length)  # one row for each length that occurs
+    starts = counts.select(length, (F.sum("_n").over(order) - F.col("_n")).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    ranked = rows.withColumn("_within", F.row_number().over(Window.partitionBy(length).orderBy(key)) - 1).join(starts, length)
+    rank, size, rest = F.col("_start") + F.col("_within"), F.floor(F.col("_all") / 10), F.col("_all") % 10
+    large = rest * (size + 1)
+    decile = F.when(rank < large, F.floor(rank / (size + 1))).otherwise(rest + F.floor(F.try_divide(rank - large, size)))
+    return ranked.withColumn("decile", (decile + 1).cast("int")).drop("_n", "_start", "_all", "_within")
+
+
 def placebo_drops(works: DataFrame, key: str, length: str, dropped: Column, replicate: int) -> DataFrame:
     """As many works as were dropped in each decile of length, chosen by hash among all."""
-    deciles = works.select(key, dropped.alias("was_dropped"), F.ntile(10).over(Window.orderBy(length, key)).alias("decile"))
-    wanted = deciles.groupBy("decile").agg(F.sum(F.col("was_dropped").cast("long")).alias("wanted"))
-    order = Window.partitionBy("decile").orderBy(hash_number(F.lit(replicate), F.col(key)), key)
-    return deciles.withColumn("place", F.row_number().over(order)).join(F.broadcast(wanted), "decile").where("place <= wanted").select(key, "decile")  # ten rows
+    dealt = deciles(works.select(key, length, dropped.alias("was_dropped"), hash_number(F.lit(replicate), F.col(key)).alias("_h")), key, length)
+    wanted = dealt.groupBy("decile").agg(F.sum(F.col("was_dropped").cast("long")).alias("wanted"))
+    return places(dealt, ["decile"], "_h", key).join(F.broadcast(wanted), "decile").where("place <= wanted").select(key, "decile")  # ten rows
 
 
 def version_lines(tokens: DataFrame, key: str, ranges: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
@@ -107,9 +138,8 @@ def with_replacement(works: DataFrame, key: str, cell: str, draws: int) -> DataF
 
 def planted_change(works: DataFrame, key: str, cell: Column, donor: Column, share: float) -> DataFrame:
     """(key, replaced_by): a share of the cell's rows, first by hash, each replaced by the donor of the same place."""
-    order = Window.partitionBy("side").orderBy(hash_number(F.lit("plant"), F.col(key)), key)
-    sides = works.select(key, F.when(cell, "cell").when(donor, "donor").alias("side")).where("side is not null")
-    placed = sides.select(key, "side", F.row_number().over(order).alias("place"))
+    sides = works.select(key, F.when(cell, "cell").when(donor, "donor").alias("side"), hash_number(F.lit("plant"), F.col(key)).alias("_h")).where("side is not null")
+    placed = places(sides, ["side"], "_h", key).select(key, "side", "place")
     n = placed.where("side = 'cell'").agg(F.floor(F.lit(share) * F.count("*")).alias("n"))
     cells = placed.where("side = 'cell'").crossJoin(F.broadcast(n)).where("place <= n")  # one row
     return cells.select(key, "place").join(placed.where("side = 'donor'").select(F.col(key).alias("replaced_by"), "place"), "place").select(key, "replaced_by")

@@ -134,9 +134,18 @@ def drop_shared(works: DataFrame, key: str, field: str, decade: str) -> DataFram
 
 
 def chunk_budget(chunks: DataFrame, key: str, size: str, group: str, budget: int) -> DataFrame:
-    """Chunks of each group in hash order, taken while the total before is below the budget."""
-    order = Window.partitionBy(group).orderBy(F.sha2(F.col(key).cast("string"), 256)).rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("before", F.coalesce(F.sum(size).over(order), F.lit(0))).where(F.col("before") < budget)
+    """Chunks of each group in hash order, taken while the total before is below the budget.
+
+    Totals of 256 buckets by the hash's first byte come first, so a group is sorted in parts, and only buckets that the budget reaches are.
+    """
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    cut = chunks.withColumns({"_digest": digest, "_bucket": F.substring(digest, 1, 2)})
+    totals = cut.groupBy(group, "_bucket").agg(F.sum(size).alias("_total"))
+    earlier = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows a group
+    starts = totals.select(group, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start")).where(F.col("_start") < budget)
+    order = Window.partitionBy(group, "_bucket").orderBy("_digest").rowsBetween(Window.unboundedPreceding, -1)
+    reached = cut.join(starts, [group, "_bucket"]).withColumn("before", F.col("_start") + F.coalesce(F.sum(size).over(order), F.lit(0)))
+    return reached.where(F.col("before") < budget).drop("_digest", "_bucket", "_start")
 
 
 def context_of(text: Column, word: str, most: int = 100) -> Column:
