@@ -223,3 +223,18 @@ def test_words_of_three_parts(table):
     assert out == {"intheend": ["in", "the", "end"]}
     with pytest.raises(ValueError):
         forms.split_parts(known, known, most_words=2)
+
+
+@pytest.mark.parametrize("whole, scores, checked, language", [
+    (0.95, [(0.9, "de"), (0.1, "en")], False, "en"), (0.5, [(0.9, "de"), (0.1, "en")], False, "de"), (0.5, [(0.9, "de"), (0.1, "en")], True, "und"), (0.5, [(0.995, "de")], True, "de"),
+    (0.5, [(0.6, "en"), (0.4, "de")], True, "en"), (0.5, [(0.52, "en"), (0.48, "de")], False, "und"), (0.5, [], False, "und"), (None, [(0.0, "en")], False, "und"),
+])
+def test_decide_language(table, whole, scores, checked, language):
+    df = table("w double, s array<struct<score:double,lang:string>>, c boolean", [(whole, scores, checked)])
+    assert df.select(patterns.decide_language(F.col("w"), F.col("s"), F.col("c"))["language"]).first()[0] == language
+
+
+@pytest.mark.parametrize("ranges, found", [([], True), ([(0, 4)], True), ([(0, 10)], False), (None, None)])
+def test_finite_verb_outside(table, ranges, found):
+    df = table("t array<struct<start:long,end:long,is_finite:boolean>>, r array<struct<start:long,end:long>>", [([(0, 3, True), (4, 5, False), (6, 9, True)], ranges)])
+    assert df.select(patterns.has_finite_verb_outside(F.col("t"), F.col("r"))).first()[0] is found

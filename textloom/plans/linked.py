@@ -114,7 +114,10 @@ def inverted_index_roundtrip(t):
     return index.select("doc_id", F.md5(T.from_inverted_index(F.col("index"))).alias("words"))
 
 
-@query("markup_text")
+@query("markup_text", """
+  WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(title|script|style)[^>]*>.*?</(title|script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
+  SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'), ' ') AS text FROM t
+""")
 def markup_text(t):
     return t.pages.select("page_id", repair.column(repair.markup_text)(F.col("html")).alias("text"))
 
@@ -186,3 +189,25 @@ def sentence_languages(t):
 def token_view(t):
     v = patterns.token_view(t.documents, "doc_id")
     return v.select("doc_id", F.size("tokens").alias("tokens"), F.size(F.filter("tokens", lambda x: x["is_word"])).alias("words"), F.size(F.filter("tokens", lambda x: x["sent_start"])).alias("sentences"))
+
+
+_HITS = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in ws)})))" for ws in PROFILES.values())
+_FUNCTION = ", ".join(repr(x) for x in T.ENGLISH)
+
+
+@query("decided_languages", f"""
+  WITH d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM documents), e AS (SELECT doc_id, text, [{_HITS}] AS h FROM d), wh AS (SELECT doc_id, coalesce(h[1] / nullif(list_sum(h), 0), 0) AS english FROM e),
+  s AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '([.!?])[ \n]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')) AS sentence FROM documents),
+  t AS (SELECT doc_id, sentence, regexp_extract_all(lower(sentence), '\\p{{L}}+') AS w FROM s), c AS (SELECT doc_id, sentence, w, [{_HITS}] AS h FROM t),
+  r AS (SELECT doc_id, len(regexp_extract_all(sentence, '[^\\x{{0000}}-\\x{{024F}}\\P{{L}}]')) * 2 > len(regexp_extract_all(sentence, '\\p{{L}}')) OR len(w) >= 8 AND len(list_filter(w, lambda x: x IN ({_FUNCTION}))) = 0 AS checked,
+    list_reverse_sort(list_transform(list_zip(h, {list(PROFILES)}), lambda z: {{'score': coalesce(z[1] / nullif(list_sum(h), 0), 0), 'lang': z[2]}})) AS r FROM c),
+  f AS (SELECT doc_id, CASE WHEN english >= 0.9 THEN 'en' WHEN r[1].score <= 0 OR r[1].score - r[2].score < 0.1 OR checked AND r[1].lang <> 'en' AND r[1].score < 0.99 THEN 'und' ELSE r[1].lang END AS language FROM r JOIN wh USING (doc_id))
+  SELECT doc_id, language, count(*) AS sentences FROM f GROUP BY 1, 2
+""")
+def decided_languages(t):
+    """The decision over a detector's scores, the detector being the function words."""
+    found = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
+    whole = t.documents.select("doc_id", "text", F.get(patterns.function_word_scores(found(F.col("text")), PROFILES), F.lit(0))["score"].alias("english"))
+    s = whole.select("doc_id", "english", F.explode(T.sentences(F.col("text"))).alias("sentence"))
+    decided = patterns.decide_language(F.col("english"), patterns.function_word_scores(found(F.col("sentence")), PROFILES), patterns.needs_check(F.col("sentence"), T.ENGLISH))
+    return s.groupBy("doc_id", decided["language"].alias("language")).agg(F.count("*").alias("sentences"))
