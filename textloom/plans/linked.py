@@ -8,6 +8,7 @@ from ..checks import unmatched
 from ..functions import bibliographic as B
 from ..functions import text as T
 from ..operators import abstracts, patterns, records, repair
+from ..operators import token_patterns as tokens
 from ..operators.records import RecordKinds
 from .registry import query
 
@@ -211,3 +212,20 @@ def decided_languages(t):
     s = whole.select("doc_id", "english", F.explode(T.sentences(F.col("text"))).alias("sentence"))
     decided = patterns.decide_language(F.col("english"), patterns.function_word_scores(found(F.col("sentence")), PROFILES), patterns.needs_check(F.col("sentence"), T.ENGLISH))
     return s.groupBy("doc_id", decided["language"].alias("language")).agg(F.count("*").alias("sentences"))
+
+
+_TOKEN_LINES = [
+    '{"label": "copyright", "pattern": [{"LOWER": {"IN": ["licensed", "released"]}}, {"LOWER": "under"}]}',
+    '{"label": "email", "pattern": [{"LIKE_EMAIL": true}]}',
+]
+
+
+@query("token_patterns", """
+  SELECT doc_id, len(regexp_extract_all(lower(text), '\\b(?:licensed|released)\\s+under\\b'))::BIGINT AS notices, len(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:[.][A-Za-z0-9_-]+)+'))::BIGINT AS contacts FROM documents
+""")
+def token_patterns(t):
+    """Matches of curated token patterns, by label."""
+    spans = tokens.token_pattern_spans(F.col("text"), tokens.load_patterns(_TOKEN_LINES))
+    found = t.documents.select("doc_id", spans.alias("s"))
+    n = lambda label: F.size(F.filter("s", lambda s: s["label"] == label)).cast("bigint")
+    return found.select("doc_id", n("copyright").alias("notices"), n("email").alias("contacts"))
