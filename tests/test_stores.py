@@ -95,3 +95,24 @@ def test_differences(table):
     before = table("k int, t string", [(1, "same"), (2, "abcdef"), (3, None), (4, "abc"), (5, "x"), (6, "y" * 1000 + "a")])
     after = table("k int, t string", [(1, "same"), (2, "abcXef"), (3, "new"), (4, "abcd"), (7, "x"), (6, "y" * 1000 + "b")])
     assert {r.k: r.at for r in compare.text_changes(before, after, "k", "t").collect()} == {2: 3, 3: 0, 4: 3, 6: 1000}
+
+
+def test_grid_builds_missing_cells_once(spark, table, tmp_path):
+    from textloom.operators import embedding
+
+    words = "red green blue red blue green red green".split()
+    rows = [("ai", 1990, k, words[k % 3 :]) for k in range(6)] + [("law", 2000, k, words) for k in range(4)]
+    lines, path = table("field string, decade long, k long, w array<string>", rows), str(tmp_path / "grid")
+    assert embedding.build_grid(lines.where("field = 'ai'"), "w", "k", path, 2, 2, 2) == 1
+    before = {r.word: r.vec for r in stores.load_vectors(spark, path, "ai").collect()}
+    assert embedding.build_grid(lines, "w", "k", path, 2, 2, 2) == 1 and embedding.build_grid(lines, "w", "k", path, 2, 2, 2) == 0
+    assert {r.word: r.vec for r in stores.load_vectors(spark, path, "ai").collect()} == before
+    assert {r.field for r in stores.load_vectors(spark, path).collect()} == {"ai", "law"}
+
+
+def test_static_view(table):
+    from textloom.operators import embedding, patterns
+
+    view = patterns.token_view(table("k long, t string", [(1, "Minds, of Planes."), (2, "...")]), "k", "t")
+    out = {r.k: (r.words, r.starts) for r in embedding.static_view(view, "k", table("type string, lemma string", [("minds", "mind"), ("planes", "plane")])).collect()}
+    assert out == {1: (["mind", "of", "plane"], [0, 7, 10])}
