@@ -55,14 +55,14 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 SALTS = 16
 
 
-def join_salted(rows: DataFrame, few: DataFrame, keys: list[str], spread: str, how: str = "inner", salt: str = "_salt") -> DataFrame:
-    """``rows`` joined with the smaller ``few``, whose rows repeat for each of 16 salts; ``spread`` is a hash that deals the rows of a key.
+def join_salted(rows: DataFrame, few: DataFrame, keys: list[str], spread: str, how: str = "inner", salt: str = "_salt", salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with the smaller ``few``, whose rows repeat for each of ``salts``; ``spread`` is a hash that deals the rows of a key.
 
-    A key that a third of the rows have goes to 16 tasks. Where Spark finds ``few`` small, it broadcasts it. ``spread`` goes, and
+    A key that a third of the rows have goes to as many tasks. Where Spark finds ``few`` small, it broadcasts it. ``spread`` goes, and
     the salt too unless a semi join keeps it.
     """
-    salted = rows.withColumn(salt, F.pmod(F.col(spread), F.lit(SALTS)).cast("int")).drop(spread)
-    repeated = few.withColumn(salt, F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salted = rows.withColumn(salt, F.pmod(F.col(spread), F.lit(salts)).cast("int")).drop(spread)
+    repeated = few.withColumn(salt, F.explode(F.array(*map(F.lit, range(salts)))))
     out = salted.join(repeated, [*keys, salt], how)
     return out if how == "left_semi" else out.drop(salt)
 
