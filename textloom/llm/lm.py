@@ -34,7 +34,7 @@ MIN_COUNT = 1
 ALPHA = 0.4
 CHUNK_TOKENS = 2_000_000
 #: Tokens for each hash partition of the keys: a task of counting holds the n-grams of about so many.
-PART_TOKENS = 4_000_000
+PART_TOKENS = 1_000_000
 SCHEMA = "chunk long, part long, path string, payload binary"
 
 
