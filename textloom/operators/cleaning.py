@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,15 +103,15 @@ def cap_single_authors(works: DataFrame, key: str, author: str, cell: list[str],
 def cap_authors(works: DataFrame, key: str, authors: str, cell: list[str], max_share: float, floor: int) -> DataFrame:
     """The same for works with several authors: the most frequent go first, and a drop lowers co-authors' counts.
 
-    Greedy within each cell, so each cell is one group; cells don't depend on each other. Only cells with an author over
-    the limit are sent to Python.
+    Greedy within each cell; cells don't depend on each other, nor do works without an author over the limit, which stay in the JVM. What
+    goes to Python are the ids, authors and ranks of a cell's other works.
     """
-    import pandas as pd
-
     sizes = works.groupBy(*cell).agg(F.greatest(F.lit(floor), F.floor(F.lit(max_share) * F.count("*"))).alias("author_limit"))
-    per_author = works.select(*cell, F.explode(F.array_distinct(authors)).alias("author")).groupBy(*cell, "author").count()
-    over = per_author.join(sizes, cell).where("count > author_limit").select(*cell, "author_limit").distinct()
-    ranked = works.join(over, cell).withColumn("rank", F.sha2(F.col(key).cast("string"), 256)).select(*cell, key, authors, "author_limit", "rank")
+    written = works.select(*cell, key, F.explode(F.array_distinct(authors)).alias("author"))
+    over = written.groupBy(*cell, "author").count().join(sizes, cell).where("count > author_limit").select(*cell, "author")
+    touched = written.join(over, [*cell, "author"], "left_semi").select(*cell, key).distinct()
+    rank = F.sha2(F.col(key).cast("string"), 256).alias("rank")
+    ranked = works.join(touched, [*cell, key], "left_semi").join(sizes, cell).select(*cell, key, authors, "author_limit", rank)
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
         limit = int(group["author_limit"].iloc[0])

@@ -56,6 +56,7 @@ _GLUE = f"""
 
 @query("glued_counts", f"WITH {_GLUE} SELECT * FROM t")
 def glued_counts(t):
+    """Over texts into which glue was put: the tables hold none."""
     return forms.count_glued_words(_glued(t), "doc_id")
 
 
@@ -65,6 +66,7 @@ def glued_counts(t):
   SELECT word, reason, coalesce(reason IN ('apart', 'sentence_opener'), false) AS split FROM r
 """)
 def glued_decisions(t):
+    """Over texts into which glue was put: the tables hold none."""
     return forms.decide_glued_splits(forms.count_glued_words(_glued(t), "doc_id"), 10, 30, 3, 2, ["theOf"]).select("word", "reason", "split")
 
 

@@ -79,6 +79,7 @@ def metadata_flags(t):
   SELECT p_partkey, CASE WHEN stop::BIGINT - s::BIGINT + 1 BETWEEN 1 AND 2000 THEN stop::BIGINT - s::BIGINT + 1 END AS pages FROM f
 """)
 def page_counts(t):
+    """Ranges of pages are made of the parts' numbers and sizes, the end shortened to two digits."""
     shown = F.concat(F.col("p_partkey") + 100, F.lit("-"), F.right((F.col("p_partkey") + 100 + F.col("p_size")).cast("string"), F.lit(2)))
     return t.part.select("p_partkey", B.page_count(shown).alias("pages"))
 
@@ -147,6 +148,7 @@ _BAD = "(SELECT doc_id, replace(text, 'é', 'Ã©') AS text FROM documents)"
 
 @query("mojibake", f"SELECT doc_id FROM {_BAD} WHERE text LIKE '%ï¿½%' OR regexp_matches(text, 'â€[™œ“”˜¦]') OR regexp_matches(text, 'Â[ °±²³·»«]') OR regexp_matches(text, 'Ã[©¨¡¢¤§ª«¬®¯°±²³´µ¶·¸¹º»¼½¾]')")
 def mojibake(t):
+    """Every é is put in as it looks when it is mis-decoded: the tables hold none that is."""
     bad = t.documents.select("doc_id", F.replace("text", F.lit("é"), F.lit("Ã©")).alias("text"))
     return bad.where(repair.has_mojibake(F.col("text"))).select("doc_id")
 
