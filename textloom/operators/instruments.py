@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,51 @@ def two_samples(rows: DataFrame, first: Column, vector: str) -> DataFrame:
     return out.select("across", "within", "j", F.try_divide("j", "within").alias("ratio"))
 
 
+#: Rows that the bandwidth's median is taken from, and rows of a block of pairs.
+BANDWIDTH_ROWS, PAIR_ROWS = 1000, 2048
+
+
+def median_distance(rows: DataFrame, key: str, first: Column, vector: str) -> float:
+    """The median cosine distance of two samples' rows with all rows, of at most ``BANDWIDTH_ROWS`` rows, the first by hash."""
+    from ..functions.vectors import unit
+
+    chosen = rows.select(first.alias("f"), unit(F.col(vector)).alias("u")).orderBy(F.xxhash64(key), key).limit(BANDWIDTH_ROWS).collect()
+    one, two = (np.array([r.u for r in chosen if r.f is side]) for side in (True, False))
+    return float(np.median(np.concatenate([(1 - x @ y.T).ravel() for x, y in ((one, one), (two, two), (one, two))])))
+
+
+def kernel_distances(rows: DataFrame, key: str, first: Column, vector: str, bandwidth: float | None = None) -> DataFrame:
+    """One row: energy distance (over Euclidean distances of unit vectors) and MMD with the kernel exp(-cosine distance / bandwidth).
+
+    Rows with themselves are no pairs. Neither measure follows from means, so all pairs count; they are made block against block within
+    tasks, and only sums leave a task. The bandwidth is the median distance unless it is given.
+    """
+    from ..functions.vectors import unit
+
+    width = bandwidth or median_distance(rows, key, first, vector)
+    units = rows.select(F.col(key).alias("k"), F.when(first, 1).otherwise(2).alias("s"), unit(F.col(vector)).alias("u"))
+    blocks = max(1, -(-units.count() // PAIR_ROWS))
+    dealt = units.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    left = dealt.select("*", F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("j"))
+    right = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"))
+
+    def sums(a, b):
+        out = {"p": [], "n": [], "euclid": [], "kernel": []}
+        if len(a) and len(b):
+            cosine = 1 - np.stack(a["u"].to_numpy()) @ np.stack(b["u"].to_numpy()).T
+            once = np.ones(cosine.shape, bool) if a["i"].iloc[0] != a["j"].iloc[0] else a["k"].to_numpy()[:, None] < b["k"].to_numpy()[None]
+            pair = a["s"].to_numpy()[:, None] + b["s"].to_numpy()[None]
+            for p in (2, 3, 4):
+                d = cosine[once & (pair == p)]
+                for name, value in zip(out, (p, len(d), float(np.sqrt(np.clip(2 * d, 0, None)).sum()), float(np.exp(-d / width).sum()))):
+                    out[name].append(value)
+        return pd.DataFrame(out)
+
+    parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(sums, "p int, n long, euclid double, kernel double")
+    of = lambda c, p: F.sum(F.when(F.col("p") == p, F.col(c))) / F.sum(F.when(F.col("p") == p, F.col("n")))
+    return parts.agg((2 * of("euclid", 3) - of("euclid", 2) - of("euclid", 4)).alias("energy"), (of("kernel", 2) + of("kernel", 4) - 2 * of("kernel", 3)).alias("mmd"))
+
+
 #: The Poisson distribution with mean 1, up to where a hash of 32 bits can reach.
 _POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
 

@@ -107,7 +107,9 @@ def first_difference(before: str, now: str, around: int = 40) -> str:
     return f"{cut(before)!r} -> {cut(now)!r}"
 
 
-def markdown(title: str, rows: DataFrame, most: int = 200) -> str:
-    """A small result as a Markdown table, written by the driver."""
+def markdown(title: str, rows: DataFrame, most: int | None = None) -> str:
+    """A report's table as Markdown, written by the driver; whole unless ``most`` rows are asked for, which the text then says."""
+    shown = rows.collect() if most is None else rows.limit(most + 1).collect()  # a report section: aggregated rows
     lines = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(str, r)) + " |" for r in rows.limit(most).collect()]) + "\n"
+    lines += ["| " + " | ".join(map(str, r)) + " |" for r in (shown if most is None else shown[:most])]
+    return "\n".join(lines + ([f"\nOnly the first {most} rows are shown."] if most is not None and len(shown) > most else [])) + "\n"

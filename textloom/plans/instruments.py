@@ -173,3 +173,14 @@ def verdicts(t):
     b = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.collect_list("c_acctbal").alias("v"))
     mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
     return b.select("k", instruments.verdict(mean * 1.8, F.col("v"), F.col("v")).alias("verdict"))
+
+
+@query("kernel_distances", f"""
+  WITH {_UNITS}, s AS (SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 2 END AS s, u FROM u), d AS (SELECT a.vec_id AS i, b.vec_id AS j, a.s AS sa, b.s AS sb, 1 - list_dot_product(a.u, b.u) AS d FROM s a, s b),
+  w AS (SELECT median(d) AS w FROM d WHERE NOT (sa = 2 AND sb = 1)), m AS (SELECT sa + sb AS p, avg(sqrt(greatest(2 * d, 0))) AS e, avg(exp(-d / w)) AS k FROM d, w WHERE i < j GROUP BY 1)
+  SELECT round(2 * any_value(e) FILTER (WHERE p = 3) - any_value(e) FILTER (WHERE p = 2) - any_value(e) FILTER (WHERE p = 4), 6) AS energy,
+         round(any_value(k) FILTER (WHERE p = 2) + any_value(k) FILTER (WHERE p = 4) - 2 * any_value(k) FILTER (WHERE p = 3), 6) AS mmd FROM m
+""")
+def kernel_distances(t):
+    out = instruments.kernel_distances(t.embeddings, "vec_id", F.col("label") < 5, "embedding")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
