@@ -1,11 +1,11 @@
-"""The registered queries op1 to op10: each applies its operator to a whole table."""
+"""The registered queries op1 to op13: each applies its operator to a whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, jaccard, licenses, line_dedup, lm, media, packing, topk, toxicity, warc
+from . import codec, jaccard, licenses, line_dedup, lm, media, merkle, minhash, packing, spelling, topk, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -60,12 +60,114 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_evidence(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _crc32_sql(text: str) -> str:
+    """SQL of the unsigned CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    digit = "(strpos('0123456789ABCDEF', substr(hex(encode({t})), {at}, 1)) - 1)"
+    byte = f"({digit.format(t=text, at='2 * i - 1')} * 16 + {digit.format(t=text, at='2 * i')})"
+    bits = f"flatten(list_transform(range(1, strlen({text}) + 1), lambda i: list_transform(range(0, 8), lambda k: ({byte} >> k::INT) & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}::BIGINT[]), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR)::VARCHAR || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_minhash_dedup": f"""
+            WITH RECURSIVE w AS (
+              SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+            ), s AS (
+              SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w
+            ), e AS (SELECT r, len(s) AS n, unnest(s) AS x FROM s),
+            often AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
+            meet AS (
+              SELECT a.r AS a, b.r AS b, a.n AS na, b.n AS nb, count(*) AS c
+              FROM (SELECT * FROM e SEMI JOIN often USING (x)) a JOIN (SELECT * FROM e SEMI JOIN often USING (x)) b ON a.x = b.x AND a.r < b.r GROUP BY ALL
+            ), links AS (SELECT a, b FROM meet WHERE 100 * c >= 80 * (na + nb - c)),
+            reach AS (
+              SELECT r AS a, r AS b FROM s
+              UNION
+              SELECT reach.a, l.b FROM reach JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = reach.b
+            ), least AS (SELECT reach.a AS r, min(s.doc_id) AS component_id FROM reach JOIN s ON s.r = reach.b GROUP BY reach.a)
+            SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least USING (r)
+        """,
+        "op12_merkle_manifest": f"""
+            WITH RECURSIVE d AS (
+              SELECT doc_id, coalesce('+' || source, '') AS g, {_leaf_sql("text")} AS leaf,
+                CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS changed FROM documents
+            ), l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+            lv AS (
+              SELECT g, 0 AS d, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM l
+              UNION ALL
+              SELECT g, d + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), count(*) OVER (PARTITION BY g) FROM lv WHERE n > 1 GROUP BY g, d, pos // 3
+            ), sub AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM lv WHERE n = 1),
+            up AS (
+              SELECT 0 AS d, pos, subroot AS h, count(*) OVER () AS n FROM sub
+              UNION ALL
+              SELECT d + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), count(*) OVER () FROM up WHERE n > 1 GROUP BY d, pos // 3
+            ), nodes AS (
+              SELECT l.g, l.pos, 0 AS part, lv.d, lv.pos AS place, lv.h, l.pos // (3 ** lv.d)::BIGINT AS own FROM l JOIN lv ON lv.g = l.g AND lv.pos // 3 = l.pos // (3 ** (lv.d + 1))::BIGINT WHERE lv.n > 1
+              UNION ALL
+              SELECT l.g, l.pos, 1, up.d, up.pos, up.h, sub.pos // (3 ** up.d)::BIGINT FROM l JOIN sub ON sub.g = l.g JOIN up ON up.pos // 3 = sub.pos // (3 ** (up.d + 1))::BIGINT WHERE up.n > 1
+            ), steps AS (
+              SELECT g, pos, row_number() OVER (PARTITION BY g, pos ORDER BY part, d) AS k, coalesce(string_agg(h, '' ORDER BY place) FILTER (WHERE place < own), '') AS b,
+                coalesce(string_agg(h, '' ORDER BY place) FILTER (WHERE place > own), '') AS a FROM nodes GROUP BY g, pos, part, d
+            ), proofs AS (SELECT g, pos, sha256(string_agg(b || a, '' ORDER BY k)) AS p FROM steps GROUP BY g, pos),
+            f AS (
+              SELECT g, pos, 1 AS k, changed AS h FROM l
+              UNION ALL
+              SELECT f.g, f.pos, f.k + 1, sha256(b || h || a) FROM f JOIN steps s ON s.g = f.g AND s.pos = f.pos AND s.k = f.k
+            ), last AS (SELECT g, pos, arg_max(h, k) AS h FROM f GROUP BY g, pos)
+            SELECT l.doc_id, l.leaf, sub.subroot, up.h AS root, coalesce(p, sha256('')) AS proof_sha256, last.h AS folded_root, last.h = up.h AS verified
+            FROM l JOIN sub USING (g) JOIN last ON last.g = l.g AND last.pos = l.pos LEFT JOIN proofs ON proofs.g = l.g AND proofs.pos = l.pos CROSS JOIN (SELECT h FROM up WHERE n = 1) up
+        """,
+        "op13_spelling_variants": f"""
+            WITH RECURSIVE t AS (
+              SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+            ), r AS (SELECT doc_id, {_LOWER.format("run")} AS run, count(*) AS k FROM t GROUP BY ALL),
+            c AS (SELECT run, k, coalesce(doc_id::VARCHAR, '') || ':' || run AS named FROM r),
+            h AS (SELECT run, k, {_crc32_sql("named")} AS h FROM c),
+            w AS (
+              SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+              FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(k) >= 5
+            ), cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM w, unnest(range(1, length(word) + 1)) AS u(i)),
+            near AS (
+              SELECT a.word, b.word AS near, b.n AS m FROM cut a JOIN cut b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+              UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.less = b.word
+              UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.less = b.word
+            ), best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+            named AS (SELECT word, best.n_near, best.m, min(near) AS near FROM best JOIN near USING (word, m) GROUP BY ALL),
+            f AS (
+              SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * w.n THEN near END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n FROM w LEFT JOIN named USING (word)
+            ), way AS (
+              SELECT word, word AS root, 0 AS k FROM f
+              UNION ALL
+              SELECT way.word, f.form, way.k + 1 FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL
+            ), last AS (SELECT word, arg_max(root, k) AS root FROM way GROUP BY word)
+            SELECT f.word, form, root, n, n_near, form_n FROM f JOIN last USING (word)
+        """,
         # every n-gram of a scored document is seen at least once, so its longest context decides
         "op3_lm_score": """
             WITH w AS (
