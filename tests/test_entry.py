@@ -66,7 +66,7 @@ def test_other_missing_modules_are_errors(monkeypatch):
 
 @pytest.mark.parametrize("master, folder, good", [("yarn", None, False), ("yarn", "file:///tmp/x", False), ("spark://a:7077", "hdfs://b/c", True), ("k8s://a", "file:///mnt/shared", True), ("local-cluster[2,1,1024]", "file:///tmp/x", True)])
 def test_machine_local_folders_are_refused_on_clusters(master, folder, good):
-    from textloom.operators.duplicates import shared_folder
+    from textloom.shared import shared_folder
 
     class Session:
         class conf:
@@ -81,3 +81,38 @@ def test_machine_local_folders_are_refused_on_clusters(master, folder, good):
     else:
         with pytest.raises(ValueError):
             shared_folder(Session)
+
+
+@pytest.mark.parametrize("temporary", ["/tmp", "/elsewhere/tmp"])
+@pytest.mark.parametrize("master, folder, mounts, good", [
+    ("yarn", "file:///tmp/x", "/tmp", False),
+    ("yarn", "/var/tmp/x", "/var", False),
+    ("yarn", "/var/x", None, False),
+    ("spark://a:7077", "file:///home/x", "", False),
+    ("k8s://a", "file:///mnt/shared", None, False),
+    ("k8s://a", "file:///mnt/shared/x", "/data, file:///mnt/shared", True),
+    ("k8s://a", "file:///mnt/sharedless", "/mnt/shared", False),
+    ("yarn", "hdfs://a/tmp", None, True),
+    ("local[2]", "/tmp/x", None, True),
+])
+def test_local_paths_need_a_mount_that_is_named(monkeypatch, temporary, master, folder, mounts, good):
+    import tempfile
+
+    from textloom.shared import SHARED_MOUNTS, shared_folder
+
+    monkeypatch.setattr(tempfile, "gettempdir", lambda: temporary)
+    settings = {"spark.checkpoint.dir": folder, SHARED_MOUNTS: mounts}
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: settings.get(key) or default)
+
+        class sparkContext:
+            applicationId = "app"
+
+    Session.sparkContext.master = master
+    if good:
+        assert shared_folder(Session).startswith(folder)
+    else:
+        with pytest.raises(ValueError):
+            shared_folder(Session)

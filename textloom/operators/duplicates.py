@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import materialise as checkpoint
 
 SHINGLE_WORDS = 5
 
 
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where the session runs on one machine.
-
-    On a cluster an unset folder, or one under the machine's own temporary folder, is an error.
-    """
-    folder, temporary = spark.conf.get("spark.checkpoint.dir", None), tempfile.gettempdir()
-    one_machine = spark.sparkContext.master.startswith("local")
-    if not one_machine and (not folder or folder.removeprefix("file://").removeprefix("file:").startswith(temporary)):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/textloom-{spark.sparkContext.applicationId}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder and read back, so that its lineage is one scan."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shingle_sets(works: DataFrame, key: str, text: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
     """(key, n, h): each work's distinct word shingles as sorted hashes. Words are lower-cased; a short text is one shingle, one without words has no row."""
     words = F.transform(T.words(F.lower(F.coalesce(F.col(text), F.lit("")))), lambda w: F.xxhash64(w))
