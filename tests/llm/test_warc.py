@@ -91,3 +91,43 @@ def test_members_that_only_look_like_records(tmp_path):
     for size in (1, 50, 10**6):
         found = [fields["WARC-Record-ID"] for start in range(0, len(whole) + 2 * len(fake), size) for _, fields, _ in warc.read_range(str(path), start, start + size)]
         assert found == [f"<urn:x-page:{k}>" for k in range(4)]
+
+
+def _letters(seed, n):
+    import random
+
+    return "".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz0123456789/-_", k=n))
+
+
+@pytest.mark.parametrize("size", [200, 3000, 100_000, 10**7])
+def test_headers_of_any_length_at_every_split_size(tmp_path, size):
+    """Urls of 10 KB, 25 KB and 1 MB that hardly compress: every split that a record starts in finds it by search."""
+    lengths = [9, 10_000, 25_000, 70_000, 1_000_000, 0]
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"".join(warc.record(k, _letters(k, n), b"body", None, False) for k, n in enumerate(lengths)))
+    found = []
+    for start in range(0, path.stat().st_size, size):
+        found += [(fields["WARC-Record-ID"], len(fields.get("WARC-Target-URI", ""))) for _, fields, _ in warc.read_range(str(path), start, start + size)]
+    assert found == [(f"<urn:x-page:{k}>", n) for k, n in enumerate(lengths)]
+
+
+def test_long_urls_and_extra_columns_through_the_operator(spark):
+    rows = [(k, _letters(k, n), f"<p>{k % 4}</p>", "x", 1, "mine") for k, n in enumerate([9, 10_000, 100_009, 1_000_000, 0, 25_000])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, newest string, record_type int, payload string")
+    out = sorted(warc.archive_pages(pages).collect())
+    assert [(r.page_id, r.url or "", r.record_type, r.refers_to) for r in out] == [(k, url, "revisit" if k < 2 else "response", k + 4 if k < 2 else None) for k, url, *_ in rows]
+
+
+def test_a_record_whose_header_is_damaged_is_an_error(tmp_path):
+    good = [warc.record(k, None, b"x", None, False) for k in range(3)]
+    bad = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: many\r\n\r\nbody")
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(good[0] + bad + good[1])
+    with pytest.raises(ValueError, match="can't be read"):
+        list(warc.read_range(str(path), 0, 10**6))
+
+
+def test_a_verdict_is_open_until_the_header_ends():
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: 5\r\n\r\n"
+    assert [warc.header_verdict(head[:k]) for k in range(len(head))] == [None] * len(head) and warc.header_verdict(head) is True
+    assert warc.header_verdict(b"WARC/2") is False and warc.header_verdict(b"WARC/1.1\r\nprose\r\nmore") is False

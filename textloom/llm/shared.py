@@ -1,44 +1,19 @@
-"""Where intermediate tables go, and small helpers that several operators use."""
+"""Small helpers that several operators use."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none, and runs on one machine as tests do, a temporary folder is made and set. On a
-    cluster an unset folder, or one under the machine's own temporary folder, is an error.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    one_machine = spark.sparkContext.master.startswith("local")
-    if not one_machine and (not where or where.removeprefix("file://").removeprefix("file:").startswith(tempfile.gettempdir())):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/textloom-{spark.sparkContext.applicationId}"
+from ..shared import materialise, shared_folder  # noqa: F401
 
 
 def new_table_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The tables stay in one folder per application, for whoever runs the job to delete.
-    """
-    path = new_table_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows and bytes of a batch between the JVM and Python; the session's defaults hold far more texts at once than a task needs.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 

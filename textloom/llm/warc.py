@@ -1,7 +1,7 @@
 """WARC archives: a writer with identical-payload revisits, and a splittable reader.
 
 Every record is a gzip member of its own. A reading task gets a byte range of a file: it looks for the
-gzip magic, accepts a place only if the member there inflates to a WARC header, and then owns every record that starts inside its
+gzip magic, accepts a place only if the member there inflates to a WARC header, whatever its length, and then owns every record that starts inside its
 range, the last of which may end beyond it. From an accepted record on, members follow one another without
 searching. Files are written whole under new names; a table lists those whose tasks succeeded, and only they are read.
 """
@@ -69,31 +69,58 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-#: Bytes of a member that are inflated to judge its header, and of the header at most.
-HEADER_READ, HEADER_MOST = 16 << 10, 64 << 10
+VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
+#: Bytes of a member that are read and inflated at first to judge its header; each further step takes twice as many.
+HEADER_READ = 16 << 10
 
 
-def is_record_header(head: bytes) -> bool:
-    """A WARC version line, then named fields up to a blank line, among them a type, a record id and a length."""
-    block, blank, _ = head.partition(b"\r\n\r\n")
-    version, *lines = block.split(b"\r\n")
-    if not blank or version not in (b"WARC/1.0", b"WARC/1.1"):
-        return False
+def header_verdict(head: bytes) -> bool | None:
+    """Whether ``head`` begins with a record's header; None while it may, and more has to be read.
+
+    A header is a version line, then named fields up to a blank line, among them a type, a record id and a length. It may be of any length.
+    """
+    if not head.startswith(VERSIONS):
+        return None if any(v.startswith(head) for v in VERSIONS) else False
+    blank = head.find(b"\r\n\r\n")
+    lines = bytes(head[len(VERSIONS[0]) : blank if blank >= 0 else max(head.rfind(b"\r\n"), len(VERSIONS[0]))]).split(b"\r\n")
     fields = {}
-    for line in lines:
+    for line in lines if lines != [b""] else []:
         name, colon, value = line.partition(b":")
         if not colon and not line.startswith((b" ", b"\t")):  # a folded line goes on with the one before
             return False
         fields[name.strip().lower()] = value.strip()
+    if blank < 0:
+        return None
     return bool(fields.get(b"warc-type")) and bool(fields.get(b"warc-record-id")) and fields.get(b"content-length", b"").isdigit()
 
 
+def is_record_header(head: bytes) -> bool:
+    return header_verdict(head) is True
+
+
+def _damaged(whole: bytes) -> bool:
+    """A member that isn't a record, but has a record's version line and one of its fields."""
+    return whole.startswith(VERSIONS) and b"\nwarc-" in whole[: whole.find(b"\r\n\r\n")].lower()
+
+
 def _starts_record(f, at: int) -> bool:
+    """Inflates step by step, until the header ends or can't be one."""
     f.seek(at)
+    inflater, head, step = zlib.decompressobj(31), bytearray(), HEADER_READ
     try:
-        return is_record_header(zlib.decompressobj(31).decompress(f.read(HEADER_READ), HEADER_MOST))
+        while not inflater.eof:
+            data = inflater.unconsumed_tail or f.read(step)
+            part = inflater.decompress(data, step)
+            if not data and not part:
+                return False
+            head += part
+            verdict = header_verdict(head)
+            if verdict is not None:
+                return verdict
+            step *= 2
     except zlib.error:
-        return False
+        pass
+    return False
 
 
 def _first_record(f, start: int, end: int) -> int:
@@ -125,8 +152,10 @@ def read_range(path: str, start: int, end: int):
                 parts.append(inflater.decompress(data))
                 used += len(data)
             whole = b"".join(parts)
-            if is_record_header(whole[:HEADER_MOST]):  # members of other content between records are passed over
+            if is_record_header(whole):  # members of other content between records are passed over
                 yield at, *parse_record(whole)
+            elif _damaged(whole):
+                raise ValueError(f"{path} has a record at {at} whose header can't be read")
             at += used - len(inflater.unused_data)
             f.seek(at)
             if f.read(len(MAGIC)) != MAGIC:  # the end, or something between members
@@ -204,7 +233,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
 
     Of pages with equal payloads (null html: empty), the one with the largest page_id is the response and the others
     revisit it; rows that repeat that page_id are responses too. A null page_id is never the response of a group
-    with other ids. White space inside a url goes; a null url is left out of the record. A null or empty html is an empty payload, a
+    with other ids. White space inside a url goes; a url of any length is kept; a null url is left out of the record. A null or empty html is an empty payload, a
     very long one is one record. An empty table gives no rows, and other columns take no part. page_id must be a whole number.
     """
     return read_archives(write_archives(pages)).drop("payload")
