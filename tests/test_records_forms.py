@@ -238,3 +238,22 @@ def test_decide_language(table, whole, scores, checked, language):
 def test_finite_verb_outside(table, ranges, found):
     df = table("t array<struct<start:long,end:long,is_finite:boolean>>, r array<struct<start:long,end:long>>", [([(0, 3, True), (4, 5, False), (6, 9, True)], ranges)])
     assert df.select(patterns.has_finite_verb_outside(F.col("t"), F.col("r"))).first()[0] is found
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_count_forms_of_any_length(table, monkeypatch, limit):
+    import random
+
+    monkeypatch.setattr(forms, "BROADCAST_FORMS", limit)
+    pick = random.Random(1)
+    texts = [" ".join(pick.choices(["a", "b", "c-d"], k=n)) for n in (0, 1, 2, 7, 8, 9, 300)] + ["not there at all not there at all", None]
+    wanted = sorted({" ".join(pick.choices(["a", "b", "c-d"], k=n)) for n in range(1, 9) for _ in range(12)}) + ["not there at all", "there at", "", "a  b", "x"]
+    got = {r.form: r.n for r in forms.count_forms(table("text string", [(t,) for t in texts]), table("form string", [(f,) for f in wanted + wanted[:3]])).collect()}
+    words = [(t or "").split() for t in texts]
+    want = {f: sum(w[k : k + len(f.split(" "))] == f.split(" ") for w in words for k in range(len(w))) if f else 0 for f in wanted}
+    assert got == want and got["not there at all"] == 2
+
+
+def test_no_forms_and_no_texts(table):
+    assert forms.count_forms(table("text string", [("a",)]), table("form string", [])).collect() == []
+    assert [r.n for r in forms.count_forms(table("text string", []), table("form string", [("a b c",)])).collect()] == [0]

@@ -14,25 +14,42 @@ def tokens_between(text: Column, kept: str) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), f"[^{kept}]+", " "), " "), lambda w: w != "")
 
 
-#: Up to so many forms are sent to the tasks that read the texts.
+#: Up to so many forms, or beginnings of forms of one length, are sent to the tasks that read the texts.
 BROADCAST_FORMS = 2_000_000
 
 
+def form_trie(forms: DataFrame) -> DataFrame:
+    """(level, node, ends, goes_on): the first ``level`` words of every form, whether they are a form, and whether one goes on from there."""
+    words = F.split("form", " ")
+    beginnings = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.struct(k.alias("level"), F.array_join(F.slice(words, F.lit(1), k), " ").alias("node"), (k < F.size(words)).alias("goes_on")))
+    return forms.select(F.explode(beginnings).alias("b")).groupBy("b.level", "b.node").agg(F.bool_or(~F.col("b.goes_on")).alias("ends"), F.bool_or("b.goes_on").alias("goes_on"))
+
+
 def count_forms(texts: DataFrame, forms: DataFrame, text: str = "text", kept: str = r"\p{L}\p{N} -") -> DataFrame:
-    """How often each one- or two-word form stands between spaces, case folded; overlapping places count.
+    """How often each form, of any number of words, stands between spaces, case folded; overlapping places count.
 
-    Texts become tokens and pairs of neighbours. Where the forms are few enough, which is counted, they are broadcast, and no other token is
-    counted; else all are counted map-side and the counts join the forms. ``forms``: form.
+    The forms make a trie, kept as a table of their beginnings. Every place of a text goes down it, a level at a time by a join; from the second
+    level on only places whose words so far begin a form take part. A level of few enough nodes, which is counted, is broadcast.
+    ``forms``: form, words between single spaces. A null text has no places; an empty form, or one with other spaces, stands nowhere.
     """
     wanted = checkpoint(forms.select("form").distinct())
-    tokens = texts.select(tokens_between(F.col(text), kept).alias("w"))
-    following = F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1)))
-    found = tokens.select(F.explode(F.arrays_zip(F.col("w").alias("a"), following.alias("b"))).alias("t")).select(
-        F.explode(F.when(F.col("t.b").isNull(), F.array("t.a")).otherwise(F.array(F.col("t.a"), F.concat("t.a", F.lit(" "), "t.b")))).alias("form")
-    )
-    few = wanted.count() <= BROADCAST_FORMS
-    counted = found.join(F.broadcast(wanted), "form", "left_semi") if few else found
-    counts = counted.groupBy("form").agg(F.count("*").alias("n"))
+    trie = checkpoint(form_trie(wanted.where(F.col("form") != "")))
+    nodes = {r.level: r.n for r in trie.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row for each number of words
+    depth = max(nodes, default=0)
+    tokens = texts.select(tokens_between(F.col(text), kept).alias("w")).where(F.size("w") > 0)
+    places = tokens.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.slice("w", i, F.lit(max(depth, 1))))).alias("tail"))
+    places = places.withColumns({"found": F.array().cast("array<string>"), "alive": F.lit(True)})
+    for level in range(1, depth + 1):
+        step = trie.where(F.col("level") == level).select("node", "ends", "goes_on")
+        few = nodes[level] <= BROADCAST_FORMS
+        so_far = F.array_join(F.slice("tail", 1, level), " ")
+        # a key that no node has, dealt by hash, for places that have left the trie
+        key = F.when(F.col("alive") & (F.size("tail") >= level), so_far)
+        key = key if few else F.coalesce(key, F.concat(F.lit("\x00"), F.xxhash64("tail").cast("string")))
+        met = places.withColumn("node", key).join(F.broadcast(step) if few else step, "node", "inner" if level == 1 else "left")
+        found = F.when(F.col("ends"), F.concat("found", F.array("node"))).otherwise(F.col("found"))
+        places = met.select("tail", found.alias("found"), F.coalesce("goes_on", F.lit(False)).alias("alive"))
+    counts = places.select(F.explode("found").alias("form")).groupBy("form").agg(F.count("*").alias("n"))
     return wanted.join(counts, "form", "left").select("form", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -31,15 +31,23 @@ _FORMS = """
 _TWO = _FORMS.replace("{kept}", "\\p{L}\\p{N}")
 _HYPHENS = _FORMS.replace("{kept}", "\\p{L}\\p{N} -")
 
-_FORM_LIST = ["the", "of the", "in the", "der", "und der", "license", "licensed under", "et la", "de la", "not there at all"]
+_TOKENS = "list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N} -]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_FORM_LIST = ["the", "of the", "in the", "der", "und der", "license", "licensed under", "et la", "de la", "not there at all", "the the the", "the the the the the"]
 
 
 @query("form_counts", f"""
-  WITH x AS (SELECT text FROM documents), {_HYPHENS}, q AS (SELECT unnest([{', '.join(f"'{x}'" for x in _FORM_LIST)}]) AS form)
+  WITH p AS (SELECT {_TOKENS} AS w FROM documents), b AS (SELECT {_TOKENS} AS w FROM benchmark),
+  q AS (SELECT unnest([{', '.join(f"'{x}'" for x in _FORM_LIST)}]) AS form UNION SELECT array_to_string(w[1:k], ' ') FROM b, unnest(range(1, 9)) AS u(k) WHERE len(w) >= k),
+  f AS (SELECT form, count(*) AS n FROM (SELECT array_to_string(w[i:i + k - 1], ' ') AS form FROM p, unnest(range(1, 9)) AS u(k), unnest(range(1, len(w) - k + 2)) AS v(i)) SEMI JOIN q USING (form) GROUP BY form)
   SELECT form, coalesce(n, 0) AS n FROM q LEFT JOIN f USING (form)
 """)
 def form_counts(t):
-    return forms.count_forms(t.documents, t.spark.createDataFrame([(x,) for x in _FORM_LIST], "form string"))
+    """A list, and the first one to eight words of every text of the benchmark."""
+    words = forms.tokens_between(F.col("text"), r"\p{L}\p{N} -")
+    openings = t.benchmark.select(words.alias("w")).where(F.size("w") > 0)
+    openings = openings.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(8))), lambda k: F.array_join(F.slice("w", F.lit(1), k), " "))).alias("form"))
+    listed = t.spark.createDataFrame([(x,) for x in _FORM_LIST], "form string")
+    return forms.count_forms(t.documents, listed.union(openings))
 
 
 _GLUE = f"""
