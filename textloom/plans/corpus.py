@@ -110,7 +110,7 @@ def near_duplicate_classes(t):
   SELECT b AS work, first(a ORDER BY similarity DESC, a) AS duplicate_of FROM pairs, gone WHERE list_contains(g, b) AND NOT list_contains(g, a) GROUP BY b
 """)
 def near_duplicate_resolution(t):
-    return duplicates.resolve_near_duplicates(*duplicates.near_duplicates(t.documents, "doc_id", 0.8), "doc_id")
+    return duplicates.near_duplicate_resolution(t.documents, "doc_id", 0.8)
 
 
 @query("exact_duplicates", """

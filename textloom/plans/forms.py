@@ -22,23 +22,32 @@ def _dictionary(t):
     return forms.vocabulary(t.benchmark).select("word")
 
 
-_FORMS = """
-  p AS (SELECT list_filter(string_split(regexp_replace(lower(text), '[^{kept}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM x),
-  f AS MATERIALIZED (SELECT form, count(*) AS n FROM (
-    SELECT unnest(w) AS form FROM p UNION ALL
-    SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p WHERE len(w) > 1) GROUP BY form)
+def _forms(kept: str, wanted: str) -> str:
+    """Counts ``f`` of the one- and two-word forms that ``wanted`` selects, over texts ``x``."""
+    return f"""
+  p AS (SELECT row_number() OVER () AS r, list_filter(string_split(regexp_replace(lower(text), '[^{kept}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM x),
+  placed AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM p),
+  following AS (SELECT a, lead(a) OVER (PARTITION BY r ORDER BY i) AS b FROM placed),
+  q AS MATERIALIZED ({wanted}),
+  f AS MATERIALIZED (SELECT form, count(*) AS n FROM (SELECT a AS form FROM following UNION ALL SELECT a || ' ' || b FROM following WHERE b IS NOT NULL) SEMI JOIN q USING (form) GROUP BY form)
 """
-_TWO = _FORMS.replace("{kept}", "\\p{L}\\p{N}")
-_HYPHENS = _FORMS.replace("{kept}", "\\p{L}\\p{N} -")
+
+
+_TWO, _HYPHENS = "\\p{L}\\p{N}", "\\p{L}\\p{N} -"
 
 _TOKENS = "list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N} -]+', ' ', 'g'), ' '), lambda w: w <> '')"
 _FORM_LIST = ["the", "of the", "in the", "der", "und der", "license", "licensed under", "et la", "de la", "not there at all", "the the the", "the the the the the"]
 
 
+_LEADS = ", ".join(f"lead(a, {k}) OVER (PARTITION BY r ORDER BY i) AS b{k}" for k in range(1, 8))
+_RUNS = " UNION ALL ".join(f"SELECT a{''.join(f' || chr(32) || b{j}' for j in range(1, k + 1))} AS form FROM following" for k in range(8))
+
+
 @query("form_counts", f"""
-  WITH p AS (SELECT {_TOKENS} AS w FROM documents), b AS (SELECT {_TOKENS} AS w FROM benchmark),
-  q AS (SELECT unnest([{', '.join(f"'{x}'" for x in _FORM_LIST)}]) AS form UNION SELECT array_to_string(w[1:k], ' ') FROM b, unnest(range(1, 9)) AS u(k) WHERE len(w) >= k),
-  f AS (SELECT form, count(*) AS n FROM (SELECT array_to_string(w[i:i + k - 1], ' ') AS form FROM p, unnest(range(1, 9)) AS u(k), unnest(range(1, len(w) - k + 2)) AS v(i)) SEMI JOIN q USING (form) GROUP BY form)
+  WITH p AS (SELECT row_number() OVER () AS r, {_TOKENS} AS w FROM documents), b AS (SELECT {_TOKENS} AS w FROM benchmark),
+  q AS MATERIALIZED (SELECT unnest([{', '.join(f"'{x}'" for x in _FORM_LIST)}]) AS form UNION SELECT array_to_string(w[1:k], ' ') FROM b, unnest(range(1, 9)) AS u(k) WHERE len(w) >= k),
+  placed AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM p), following AS (SELECT a, {_LEADS} FROM placed),
+  f AS (SELECT form, count(*) AS n FROM ({_RUNS}) SEMI JOIN q USING (form) GROUP BY form)
   SELECT form, coalesce(n, 0) AS n FROM q LEFT JOIN f USING (form)
 """)
 def form_counts(t):
@@ -51,10 +60,11 @@ def form_counts(t):
 
 
 _GLUE = f"""
-  x AS MATERIALIZED ({_GLUED_SQL}), {_TWO},
+  x AS MATERIALIZED ({_GLUED_SQL}),
   g AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '\\p{{L}}+'), lambda w: len(regexp_extract_all(w, '\\p{{Ll}}\\p{{Lu}}')) = 1)) AS word FROM x),
-  c AS (SELECT word, count(DISTINCT doc_id) AS works, count(*) AS occurrences, regexp_extract(word, '^(\\p{{L}}*\\p{{Ll}})(\\p{{Lu}}\\p{{L}}*)$', 1) AS "left",
+  c AS MATERIALIZED (SELECT word, count(DISTINCT doc_id) AS works, count(*) AS occurrences, regexp_extract(word, '^(\\p{{L}}*\\p{{Ll}})(\\p{{Lu}}\\p{{L}}*)$', 1) AS "left",
                regexp_extract(word, '^(\\p{{L}}*\\p{{Ll}})(\\p{{Lu}}\\p{{L}}*)$', 2) AS "right" FROM g GROUP BY word),
+  {_forms(_TWO, """SELECT lower(word) AS form FROM c UNION SELECT lower("left") || ' ' || lower("right") FROM c UNION SELECT lower("left") FROM c""")},
   o AS (SELECT opener, rank() OVER (ORDER BY count(*) DESC) AS opener_rank FROM (SELECT unnest(regexp_extract_all(text, '(?:^|[.!?][ \n]+)(\\p{{Lu}}\\p{{L}}*)', 1)) AS opener FROM x) GROUP BY opener),
   t AS (SELECT word, "left", "right", works, occurrences, coalesce(a.n, 0) AS joined, coalesce(b.n, 0) AS apart, coalesce(d.n, 0) AS left_alone, opener_rank
         FROM c LEFT JOIN f a ON a.form = lower(word) LEFT JOIN f b ON b.form = lower("left") || ' ' || lower("right") LEFT JOIN f d ON d.form = lower("left") LEFT JOIN o ON o.opener = c."right"
@@ -79,12 +89,13 @@ def glued_decisions(t):
 
 
 _SPLIT = f"""
-  x AS (SELECT text FROM documents), {_HYPHENS},
+  x AS (SELECT text FROM documents),
   v AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents) GROUP BY word),
   k AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark),
   cuts AS (SELECT word, n AS joined, left(word, i::INT) AS "left", substr(word, i::INT + 1) AS "right" FROM v, unnest(range(1, length(word))) AS u(i) WHERE length(word) >= 4 AND n >= 3),
-  c AS (SELECT *, "left" IN (SELECT word FROM k) AS left_is_word, "right" IN (SELECT word FROM k) AS right_is_word FROM cuts
+  c AS MATERIALIZED (SELECT *, "left" IN (SELECT word FROM k) AS left_is_word, "right" IN (SELECT word FROM k) AS right_is_word FROM cuts
         WHERE "left" IN (SELECT word FROM v) AND "right" IN (SELECT word FROM v)),
+  {_forms(_HYPHENS, """SELECT "left" || ' ' || "right" AS form FROM c UNION SELECT "left" || '- ' || "right" FROM c UNION SELECT "left" || '-' || "right" FROM c""")},
   t AS (SELECT c.*, coalesce(a.n, 0) AS space, coalesce(b.n, 0) AS hyphen_space, coalesce(d.n, 0) AS hyphen
         FROM c LEFT JOIN f a ON a.form = "left" || ' ' || "right" LEFT JOIN f b ON b.form = "left" || '- ' || "right" LEFT JOIN f d ON d.form = "left" || '-' || "right"
         WHERE NOT (left_is_word AND right_is_word) AND coalesce(a.n, 0) + coalesce(b.n, 0) + coalesce(d.n, 0) > 0)
@@ -105,11 +116,12 @@ def split_decisions(t):
 
 
 @query("lower_glue", f"""
-  WITH x AS (SELECT text FROM documents), {_HYPHENS},
+  WITH x AS (SELECT text FROM documents),
   v AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents) GROUP BY word),
   k AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark),
   cuts AS (SELECT word, n AS joined, i, left(word, i::INT) AS "left", substr(word, i::INT + 1) AS "right" FROM v, unnest(range(2, length(word) - 1)) AS u(i)
            WHERE length(word) >= 4 AND n >= 3 AND word NOT IN (SELECT word FROM k)),
+  {_forms(_HYPHENS, """SELECT "left" || ' ' || "right" AS form FROM cuts""")},
   c AS (SELECT cuts.*, coalesce(f.n, 0) AS apart FROM cuts LEFT JOIN f ON f.form = "left" || ' ' || "right" WHERE "left" IN (SELECT word FROM k) AND "right" IN (SELECT word FROM k))
   SELECT word, joined, "left", "right", apart, apart >= joined AS split FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY apart DESC, i) = 1
 """)
@@ -178,14 +190,18 @@ def repeated_texts(t):
     return forms.repeated_texts(t.documents, "text", 2).select(F.md5("text").alias("text"), "n")
 
 
+# pairs of neighbouring words that also stand joined by a hyphen
 @query("hyphen_or_space", f"""
-  WITH x AS (SELECT text FROM documents), {_HYPHENS}, p AS (SELECT DISTINCT p_name AS form, string_split(p_name, ' ') AS w FROM part)
-  SELECT p.w[1] AS "left", p.w[2] AS "right", CASE WHEN coalesce(h.n, 0) > coalesce(s.n, 0) THEN '-' ELSE ' ' END AS separator
-  FROM (SELECT [split_part(a, ' ', 1), split_part(a, ' ', 2)] AS w FROM (SELECT unnest(['et la', 'of the', 'well known', 'cc by', 'by nc']) AS a)) p
-  LEFT JOIN f h ON h.form = p.w[1] || '-' || p.w[2] LEFT JOIN f s ON s.form = p.w[1] || ' ' || p.w[2]
-""".replace(", p AS (SELECT DISTINCT p_name AS form, string_split(p_name, ' ') AS w FROM part)", ""))
+  WITH x AS (SELECT text FROM documents),
+  c AS MATERIALIZED (SELECT DISTINCT h[1] AS "left", h[2] AS "right" FROM (SELECT string_split(unnest(regexp_extract_all(lower(text), '\\p{{L}}+-\\p{{L}}+')), '-') AS h FROM documents)),
+  {_forms(_HYPHENS, """SELECT "left" || ' ' || "right" AS form FROM c UNION SELECT "left" || '-' || "right" FROM c""")}
+  SELECT "left", "right", CASE WHEN coalesce(h.n, 0) > coalesce(s.n, 0) THEN '-' ELSE ' ' END AS separator
+  FROM c LEFT JOIN f h ON h.form = "left" || '-' || "right" LEFT JOIN f s ON s.form = "left" || ' ' || "right"
+""")
 def hyphen_or_space(t):
-    pairs = t.spark.createDataFrame([("et", "la"), ("of", "the"), ("well", "known"), ("cc", "by"), ("by", "nc")], "left string, right string")
+    """For every pair of words that a hyphen joins somewhere."""
+    joined = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+-\p{L}+"), F.lit(0))).alias("word"))
+    pairs = checkpoint(joined.select(F.split("word", "-").alias("p")).select(F.col("p")[0].alias("left"), F.col("p")[1].alias("right")).distinct())
     written = pairs.select(F.explode(F.array(F.concat("left", F.lit(" "), "right"), F.concat("left", F.lit("-"), "right"))).alias("form"))
     return forms.decide_separators(pairs, checkpoint(forms.count_forms(t.documents, written)))
 
