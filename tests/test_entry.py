@@ -19,9 +19,9 @@ def test_whole_tables():
     """No registered plan cuts its tables down."""
     import inspect
 
-    from textloom.plans import abstracts, audit, compare, corpus, drift, forms, instruments, linked, reports, senses, vectors
+    from textloom.plans import abstracts, audit, compare, corpus, drift, forms, instruments, linked, reports, senses, sensitivity, vectors
 
-    for module in (abstracts, audit, compare, corpus, drift, forms, instruments, linked, reports, senses, vectors):
+    for module in (abstracts, audit, compare, corpus, drift, forms, instruments, linked, reports, senses, sensitivity, vectors):
         assert ".limit(" not in inspect.getsource(module) and ".sample(" not in inspect.getsource(module)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import in_order
+
 
 def merge_ranges(ranges: DataFrame, key: str) -> DataFrame:
     """Overlapping or touching ranges (key, start, end) as one."""
@@ -55,8 +57,7 @@ def bootstrap(works: DataFrame, key: str, cell: str, replicates: int) -> DataFra
 
     Draw i of a replicate takes the row whose place in the cell is hash(cell, replicate, i) mod n.
     """
-    order = Window.partitionBy(cell).orderBy(key)
-    placed = works.select(cell, key, (F.row_number().over(order) - 1).cast("long").alias("place"), F.count("*").over(Window.partitionBy(cell)).alias("n"))
+    placed = in_order(works.select(cell, key), [cell], [key], "_place", "n").select(cell, key, (F.col("_place") - 1).alias("place"), "n")
     draws = placed.select(cell, "place", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     drawn = draws.select(cell, "replicate", F.pmod(hash_number(F.col(cell), F.col("replicate"), F.col("place")), F.col("n")).alias("place"))
     counted = drawn.groupBy(cell, "replicate", "place").agg(F.count("*").alias("times"))
@@ -130,7 +131,7 @@ def placebo_passages(works: DataFrame, key: str, tokens: str, removed: str, repl
 
 def with_replacement(works: DataFrame, key: str, cell: str, draws: int) -> DataFrame:
     """(cell, draw, key): as many draws with replacement in each cell, draw i being the row at hash(cell, i) mod n."""
-    placed = works.select(cell, key, (F.row_number().over(Window.partitionBy(cell).orderBy(key)) - 1).cast("long").alias("place"))
+    placed = in_order(works.select(cell, key), [cell], [key], "_place").select(cell, key, (F.col("_place") - 1).alias("place"))
     sizes = placed.groupBy(cell).agg(F.count("*").alias("n"))
     drawn = sizes.select(cell, "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select(cell, "draw", F.pmod(hash_number(F.col(cell), F.col("draw")), F.col("n")).alias("place"))
     return drawn.join(placed, [cell, "place"]).select(cell, "draw", key)

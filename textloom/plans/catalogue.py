@@ -6,7 +6,7 @@ from .registry import ORACLE, QUERIES
 
 
 def _load() -> None:
-    from . import abstracts, audit, compare, corpus, drift, forms, instruments, linked, reports, senses, vectors  # noqa: F401
+    from . import abstracts, audit, compare, corpus, drift, forms, instruments, linked, reports, senses, sensitivity, vectors  # noqa: F401
 
 
 def queries() -> dict:
