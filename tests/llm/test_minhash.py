@@ -106,11 +106,12 @@ def test_chains_and_groups_around_a_late_origin(documents):
     assert rows_of(minhash_dedup(documents([(i, t, "s") for i, t in texts]))) == brute_force(texts)
 
 
-@pytest.mark.parametrize("block, many", [(1024, 256), (8, 4)])
-def test_clusters_that_a_bucket_joins_are_compared_across(documents, monkeypatch, block, many):
+@pytest.mark.parametrize("block, many, pairs", [(2048, 256, 64), (8, 4, 2)])
+def test_clusters_that_a_bucket_joins_are_compared_across(documents, monkeypatch, block, many, pairs):
     """Clusters near the threshold: their members share buckets, and a few bridges between others than the leaders link some of them."""
     monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(minhash, "MANY", many)
+    monkeypatch.setattr(minhash, "FIRST_PAIRS", pairs)
     pick = random.Random(5)
     base, texts, number = words(pick, 400), [], iter(range(10**6))
     for _ in range(6):

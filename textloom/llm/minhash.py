@@ -5,10 +5,10 @@
    hashing gives to each bin (optimal densification).
 2. Bands of 6 values put classes into buckets: 1-(1-0.8**6)**42 = 0.999997 of the pairs at the threshold share one.
 3. In each bucket all are compared with one leader only: the class whose buckets are fullest, as the origin of a group of copies is. Edges
-   that signatures rule out go; the rest are confirmed on the full sets, streaming past the leader's, and give components.
-4. Buckets that one component fills are settled. In the others, pairs of different components are judged by signatures, block against
-   block, and for each two components the best few are confirmed; then again with more of them, until none is left untried. So every pair of
-   a bucket is confirmed, ruled out by its signatures, or within one component already.
+   that sketches (small sets by their shingles, others by signatures) rule out go; the rest are confirmed on the full sets, streaming past the leader's, and give components.
+4. Buckets that one component fills are settled. In the others, pairs of different components are judged by sketches, block against
+   block, and for each two components the best of them are confirmed; then again with more, until none is left untried. So every pair of
+   a bucket is confirmed, ruled out by its sketches, or within one component already.
 """
 
 from __future__ import annotations
@@ -29,10 +29,13 @@ SHINGLE = 4
 PERCENT = 80
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
-#: Smaller sets fill bins from few others, so that matches say too little to rule a pair out.
-TELLING = 512
+#: Up to this size a set is compared by 32 bits of each shingle; from ``LEAST_SIGNED`` on, which fills bins well, by its signature as well. A set
+#: above the first bound meets none below the second.
+MOST_FULL, LEAST_SIGNED = 400, 320
 #: Members of a leader that one task compares; members of a block of a bucket; copies from which a class is joined apart.
-MANY, BLOCK, HOT_COPIES = 256, 1024, 1000
+MANY, BLOCK, HOT_COPIES = 256, 2048, 1000
+#: Pairs of two components that are confirmed in the first round; later rounds take as many times more.
+FIRST_PAIRS = 64
 
 
 class ByteHashes(WordHashes):
@@ -83,39 +86,32 @@ class OnePermutation:
         return values
 
 
-def bands(values: np.ndarray) -> np.ndarray:
-    """A hash of each band and its number."""
-    total = np.arange(BANDS, dtype=np.uint64)
-    for column in values.reshape(BANDS, ROWS).T:
-        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + column)
-    return total.view(np.int64)
-
-
 def features(documents: DataFrame) -> DataFrame:
-    """doc_id, a hash of the text, (key_a, key_b) of the shingle set, its size, and, where it can link to another set, bands and signature."""
-    names = ["doc_id", "text_hash", "key_a", "key_b", "size", "bands", "signature"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    """doc_id, a hash of the text, (key_a, key_b) of the shingle set, its size, and, where it can link to another set, 16 bits of each value."""
+    names = ["doc_id", "text_hash", "key_a", "key_b", "size", "signature"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
         memo, signer = ByteHashes(), OnePermutation()
         for batch in batches:
-            columns = [[] for _ in range(5)]
+            columns = [[] for _ in range(4)]
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, memo)
                 linkable = 100 * len(s) >= PERCENT * (len(s) + 1)
-                values = signer.of(s) if linkable else None
-                row = (*set_key(s), len(s), bands(values) if linkable else None, values.astype("<u2").tobytes() if linkable else None)
+                row = (*set_key(s), len(s), signer.of(s).astype("<u2").tobytes() if linkable else None)
                 for out, value in zip(columns, row):
                     out.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds[2:]))], names)
 
     rows = bounded_batches(documents).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, key_a long, key_b long, size long, bands array<long>, signature binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, key_a long, key_b long, size long, signature binary")
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
     """(bucket, node, n): buckets with several classes, and their number."""
-    rows = classes.where("bands is not null").select("node", F.explode("bands").alias("bucket"))
+    width = 2 * ROWS
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * width + 1, F.lit(width))))
+    rows = classes.where("signature is not null").select("node", F.explode(band).alias("bucket"))
     several = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     return join_salted(rows.withColumn("_spread", F.xxhash64("node")), several, ["bucket"], "_spread", salts=8).select("bucket", "node", "n")
 
@@ -161,16 +157,39 @@ def possible(size_a: int, size_b: int) -> bool:
     return 100 * min(size_a, size_b) >= PERCENT * max(size_a, size_b)
 
 
-def _by_signature():
+def sketched(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, size, text) with full, 32 bits of each shingle of a small set, and signature, of a set that isn't small."""
+
+    def run(batches):
+        memo, signer = ByteHashes(), OnePermutation()
+        for batch in batches:
+            full, signatures = [], []
+            for text in batch.column(2).to_pylist():
+                s = shingle_set(text, memo)
+                full.append((s >> np.uint64(32)).astype("<u4").tobytes() if len(s) <= MOST_FULL else None)
+                signatures.append(signer.of(s).astype("<u2").tobytes() if len(s) >= LEAST_SIGNED else None)
+            yield batch.append_column("full", pa.array(full, pa.binary())).append_column("signature", pa.array(signatures, pa.binary()))
+
+    return bounded_batches(rows).select("node", "size", "text").mapInArrow(run, "node long, size long, text string, full binary, signature binary")
+
+
+def near_enough(both, size_a, size_b):
+    """Whether sets with ``both`` shingles in common may be linked; two more, as 32 bits may coincide within a set."""
+    return 100 * (both + 2) >= PERCENT * (size_a + size_b - both - 2)
+
+
+def _by_sketch():
     needed = least_matches()[-1]
 
     def ready(head, row=None):
         if row is None:
-            return head["size"], np.frombuffer(head["signature"], "<u2")
-        size, values = head
+            return head["size"], *(None if head[c] is None else np.frombuffer(head[c], t) for c, t in (("full", "<u4"), ("signature", "<u2")))
+        size, full, signature = head
         if not possible(size, row["size"]):
             return False
-        return min(size, row["size"]) < TELLING or int((values == np.frombuffer(row["signature"], "<u2")).sum()) >= needed
+        if full is not None and row["full"] is not None:
+            return bool(near_enough(len(np.intersect1d(full, np.frombuffer(row["full"], "<u4"))), size, row["size"]))
+        return int((signature == np.frombuffer(row["signature"], "<u2")).sum()) >= needed
 
     return ready
 
@@ -188,48 +207,82 @@ def _by_sets():
     return ready
 
 
-def _best_pairs(most: int):
-    """For each two components in a block or two blocks of a bucket the ``most`` pairs whose signatures agree best; ``more`` where there are others."""
+def _suspects(rows: list[dict], needed: int):
+    """Pairs (i, j, agreement) of ``rows``, of different components, that sketches don't rule out; of two blocks, or within the one."""
+    n = len(rows)
+    sizes, roots, block = (np.array([r[c] for r in rows]) for c in ("size", "root", "block"))
+    within = rows[0]["first"] == rows[0]["second"]
+    small, signed = sizes <= MOST_FULL, sizes >= LEAST_SIGNED
+    signatures = np.zeros((n, BINS), "<u2")
+    for k in np.flatnonzero(signed):
+        signatures[k] = np.frombuffer(rows[k]["signature"], "<u2")
+    # postings of the small sets: who has a shingle
+    owners = np.flatnonzero(small)
+    full = [np.frombuffer(rows[k]["full"], "<u4") for k in owners]
+    lengths = [len(f) for f in full]
+    _, ids = np.unique(np.concatenate([*full, np.zeros(0, "<u4")]), return_inverse=True)
+    starts, begins = np.r_[0, np.cumsum(np.bincount(ids))], dict(zip(owners.tolist(), np.r_[0, np.cumsum(lengths)].tolist()))
+    postings = np.repeat(owners, lengths)[np.argsort(ids, kind="stable")]
+    for i in range(n - 1):
+        js = np.arange(i + 1, n)
+        js = js[(roots[js] != roots[i]) & (100 * np.minimum(sizes[js], sizes[i]) >= PERCENT * np.maximum(sizes[js], sizes[i]))]
+        if not within:
+            js = js[block[js] != block[i]]
+        by_set = js[small[js]] if small[i] else js[:0]
+        if len(by_set):
+            mine = ids[begins[i] : begins[i] + len(np.frombuffer(rows[i]["full"], "<u4"))]
+            counts = starts[mine + 1] - starts[mine]
+            flat = np.repeat(starts[mine] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+            both = np.bincount(postings[flat], minlength=n)[by_set]
+            keep = near_enough(both, sizes[i], sizes[by_set])
+            by_set, both = by_set[keep], both[keep]
+            if len(by_set):
+                yield i, by_set, both / (sizes[i] + sizes[by_set] - both)
+        others = js[~small[js]] if small[i] else js
+        if len(others):
+            matches = (signatures[others] == signatures[i]).sum(axis=1)
+            keep = matches >= needed
+            if keep.any():
+                yield i, others[keep], matches[keep] / BINS
+
+
+def _best_pairs(skipped: int, most: int):
+    """For each two components in a block or two blocks of a bucket the pairs whose sketches agree best, from place ``skipped`` to ``most``; ``more``: others follow."""
     needed = least_matches()[-1]
 
     def judge(rows):
         rows = sorted({r["node"]: r for r in rows}.values(), key=lambda r: r["node"])
-        signatures = np.stack([np.frombuffer(r["signature"], "<u2") for r in rows])
-        sizes, roots, nodes, block = (np.array([r[c] for r in rows]) for c in ("size", "root", "node", "block"))
-        within, best = rows[0]["first"] == rows[0]["second"], {}
-        for i in range(len(rows) - 1):
-            js = np.arange(i + 1, len(rows))
-            js = js[(roots[js] != roots[i]) & (100 * np.minimum(sizes[js], sizes[i]) >= PERCENT * np.maximum(sizes[js], sizes[i]))]
-            if not within:
-                js = js[block[js] != block[i]]
-            if len(js):
-                matches = (signatures[js] == signatures[i]).sum(axis=1)
-                keep = (matches >= needed) | (np.minimum(sizes[js], sizes[i]) < TELLING)
-                for j, m in zip(js[keep].tolist(), matches[keep].tolist()):
-                    pair = (min(roots[i], roots[j]), max(roots[i], roots[j]))
-                    best.setdefault(pair, []).append((-m, int(nodes[i]), int(nodes[j])))
-        for found in best.values():
-            for _, u, v in sorted(found)[:most]:
-                yield u, v, len(found) > most
+        found = [(np.full(len(js), i, np.int32), js.astype(np.int32), agreement.astype(np.float32)) for i, js, agreement in _suspects(rows, needed)]
+        if not found:
+            return
+        i, j, agreement = (np.concatenate(x) for x in zip(*found))
+        codes = np.unique(np.array([r["root"] for r in rows]), return_inverse=True)[1]
+        pair = np.minimum(codes[i], codes[j]) * len(rows) + np.maximum(codes[i], codes[j])
+        order = np.lexsort((j, i, -agreement, pair))
+        pair = pair[order]
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        lengths = np.diff(np.r_[first, len(pair)])
+        place = np.arange(len(pair)) - np.repeat(first, lengths)
+        chosen = (place >= skipped) & (place < most)
+        nodes = np.array([r["node"] for r in rows])
+        at = order[chosen]
+        yield nodes[i[at]], nodes[j[at]], (np.repeat(lengths, lengths) > most)[chosen]
 
     def run(batches):
         key, rows = None, []
         for batch in batches:
-            out = []
             for row in batch.to_pylist():
                 now = (row["bucket"], row["first"], row["second"])
-                if now != key and rows:
-                    out += judge(rows)
-                    rows = []
-                key = now
+                if now != key and len(rows) > 1:
+                    yield from map(_pairs, judge(rows))
+                if now != key:
+                    key, rows = now, []
                 rows.append(row)
-            yield _pairs(out)
-        if rows:
-            yield _pairs(list(judge(rows)))
+        if len(rows) > 1:
+            yield from map(_pairs, judge(rows))
 
     def _pairs(out):
-        u, v, more = zip(*out) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(more, pa.bool_())], ["u", "v", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.bool_()))], ["u", "v", "more"])
 
     return run
 
@@ -252,28 +305,30 @@ def _pair_blocks(open_rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def link_forest(classes: DataFrame, documents: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """(node, root): components of the links between ``classes`` (node, rep, text_hash, size, bands, signature)."""
+    """(node, root): components of the links between ``classes`` (node, rep, text_hash, size, signature)."""
     shared = materialise(shared_buckets(classes), "buckets")
-    known = materialise(classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "rep", "text_hash", "size", "signature"), "bucketed")
+    known = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "rep", "text_hash", "size")
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = materialise(known.select("node", "rep", "text_hash").join(texts, ["rep", "text_hash"]).select("node", "text"), "bucketed-texts")
-    signed = known.select("node", "size", "signature")
-    tried = materialise(_met(stars(shared), signed, _by_signature, "stars"), "likely")
+    known = materialise(sketched(known.join(texts, ["rep", "text_hash"])), "bucketed")
+    texts, sketches = known.select("node", "text"), known.drop("text")
+    tried = materialise(_met(stars(shared), sketches, _by_sketch, "stars"), "likely")
     links = materialise(_met(tried, texts, _by_sets, "likely-dealt"), "links")
     roots = materialise(components(links, "linked").distinct(), "roots")
-    most = 2
+    skipped, most = 0, FIRST_PAIRS
     for _ in range(most_rounds):
-        best = materialise(_pair_blocks(_unsettled(shared, roots), signed).mapInArrow(_best_pairs(most), "u long, v long, more boolean"), "best")
+        best = materialise(_pair_blocks(_unsettled(shared, roots), sketches).mapInArrow(_best_pairs(skipped, most), "u long, v long, more boolean"), "best")
         new = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         new = materialise(new.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "new")
-        if new.isEmpty() and best.where("more").isEmpty():
-            return roots
         confirmed = materialise(_met(new, texts, _by_sets, "new-dealt"), "links")
-        tried = materialise(tried.unionByName(new), "tried")
-        if not confirmed.isEmpty():
+        merged = not confirmed.isEmpty()
+        if merged:
             links = materialise(links.unionByName(confirmed), "all-links")
             roots = materialise(components(links, "linked").distinct(), "roots")
-        most *= 8
+        if best.where("more").isEmpty():  # whatever sketches left is confirmed or not; merging only takes pairs away
+            return roots
+        tried = materialise(tried.unionByName(new), "tried")
+        # where nothing merged, the places of pairs are as before
+        skipped, most = 0 if merged else most, most * FIRST_PAIRS
     raise RuntimeError("pairs are left untried")
 
 
@@ -291,9 +346,9 @@ def minhash_dedup(documents: DataFrame) -> DataFrame:
     found = materialise(features(documents), "one-permutation")
     sets = found.where("doc_id is not null and size > 0")
     classes = sets.groupBy("key_a", "key_b").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("_rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
+        F.min(F.struct("doc_id", "text_hash")).alias("_rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature")
     )
-    classes = classes.select("key_a", "key_b", F.col("_rep.doc_id").alias("rep"), F.col("_rep.text_hash").alias("text_hash"), "copies", "size", "bands", "signature")
+    classes = classes.select("key_a", "key_b", F.col("_rep.doc_id").alias("rep"), F.col("_rep.text_hash").alias("text_hash"), "copies", "size", "signature")
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     linked = link_forest(classes, documents).join(classes.select("node", "rep"), "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
