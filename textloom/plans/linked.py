@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..checks import unmatched
 from ..functions import bibliographic as B
 from ..functions import text as T
-from ..operators import abstracts, patterns, records, repair
+from ..operators import abstracts, language, patterns, records, repair
 from ..operators import token_patterns as tokens
+from ..operators.duplicates import checkpoint
 from ..operators.records import RecordKinds
 from .registry import query
 
@@ -216,6 +217,49 @@ def decided_languages(t):
     return s.groupBy("doc_id", decided["language"].alias("language")).agg(F.count("*").alias("sentences"))
 
 
+_GRAMS = "list_filter(list_concat(list_concat(list_transform(range(1, length(x) + 1), lambda i: x[i]), list_transform(range(1, length(x)), lambda i: substr(x, i, 2))), list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))), lambda g: g <> ' ')"
+
+
+def _held_out():
+    """Three documents of sixteen, by a digest of their ids, teach the detector nothing."""
+    return F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "3"
+
+
+@query("ngram_languages", f"""
+  WITH d AS (SELECT doc_id, lang, substr(md5(doc_id::VARCHAR), 1, 1) < '3' AS held_out, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS w FROM documents),
+  o AS (SELECT doc_id, lang, held_out, word, count(*) AS n FROM (SELECT doc_id, lang, held_out, unnest(w) AS word FROM d) GROUP BY ALL),
+  v AS (SELECT word, unnest({_GRAMS}) AS gram FROM (SELECT DISTINCT word, ' ' || word || ' ' AS x FROM o)),
+  c AS (SELECT lang, gram, sum(n) AS n FROM (SELECT lang, word, sum(n) AS n FROM o WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL) JOIN v USING (word) GROUP BY ALL),
+  k AS (SELECT gram FROM c GROUP BY gram HAVING sum(n) >= 2), z AS (SELECT length(gram) AS size, count(*) AS grams FROM k GROUP BY 1), a AS (SELECT DISTINCT lang FROM c),
+  t AS (SELECT lang, length(gram) AS size, sum(n) AS total FROM c SEMI JOIN k USING (gram) GROUP BY ALL),
+  p AS (SELECT a.lang, k.gram, ln((coalesce(c.n, 0) + 0.5) / (coalesce(t.total, 0) + 0.5 * z.grams)) AS p FROM k CROSS JOIN a JOIN z ON z.size = length(k.gram) LEFT JOIN c ON c.gram = k.gram AND c.lang = a.lang LEFT JOIN t ON t.lang = a.lang AND t.size = z.size),
+  s AS (SELECT word, lang, avg(p) AS p FROM v JOIN p USING (gram) GROUP BY ALL),
+  r AS (SELECT o.doc_id, s.lang, sum(n * p) AS p FROM o JOIN s USING (word) GROUP BY ALL),
+  b AS (SELECT doc_id, arg_max(lang, p) AS language FROM r GROUP BY doc_id)
+  SELECT doc_id, held_out, language, language = lang AS correct FROM d LEFT JOIN b USING (doc_id)
+""")
+def ngram_languages(t):
+    """The likeliest language of every document."""
+    table, languages = language.learn(t.documents.where(~_held_out()))
+    found = language.text_scores(t.documents.select("doc_id", language.words_of(F.col("text")).alias("w")), ["doc_id"], "w", table, languages)
+    likeliest = found.select("doc_id", language.likeliest(F.col("scores"))["lang"].alias("language"))
+    return t.documents.select("doc_id", "lang", _held_out().alias("held_out")).join(likeliest, "doc_id", "left").select("doc_id", "held_out", "language", (F.col("language") == F.col("lang")).alias("correct"))
+
+
+@query("ngram_decided_languages")
+def ngram_decided_languages(t):
+    """The decision for every sentence over the scores of n-grams; documents by their sentences' languages."""
+    table, languages = language.learn(t.documents.where(~_held_out()))
+    found = lambda c: language.words_of(F.col(c)).alias("w")
+    of = lambda lang: F.aggregate("scores", F.lit(0.0), lambda acc, s: F.when(s["lang"] == lang, s["score"]).otherwise(acc))
+    whole = language.text_scores(t.documents.select("doc_id", found("text")), ["doc_id"], "w", table, languages).select("doc_id", of("en").alias("english"))
+    sentences = checkpoint(t.documents.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence")))
+    scores = language.text_scores(sentences.select("doc_id", "at", found("sentence")), ["doc_id", "at"], "w", table, languages)
+    joined = sentences.join(scores, ["doc_id", "at"], "left").join(whole, "doc_id", "left").withColumn("scores", F.coalesce("scores", F.array().cast("array<struct<score:double,lang:string>>")))
+    decided = patterns.decide_language(F.col("english"), F.col("scores"), patterns.needs_check(F.col("sentence"), T.ENGLISH))
+    return joined.groupBy("doc_id", decided["language"].alias("language")).agg(F.count("*").alias("sentences"))
+
+
 _TOKEN_LINES = [
     '{"label": "copyright", "pattern": [{"LOWER": {"IN": ["licensed", "released"]}}, {"LOWER": "under"}]}',
     '{"label": "email", "pattern": [{"LIKE_EMAIL": true}]}',
