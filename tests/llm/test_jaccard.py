@@ -147,3 +147,66 @@ def test_components(spark, edges):
             a, b = find(u), find(v)
             root[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in root}
+
+
+def test_tight_groups_are_counted_and_others_compared(documents, monkeypatch):
+    """A large component of copies near its origin, copies farther off, and copies of copies: links and classes as by brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    pick = random.Random(11)
+    words = lambda n: [f"w{pick.randrange(5000)}" for _ in range(n)]
+
+    def edited(base, n):
+        out = list(base)
+        for k in pick.sample(range(len(out)), n):
+            out[k] = f"x{pick.randrange(10**6)}"
+        return out
+
+    base = words(300)
+    texts = [" ".join(edited(base, pick.choice([0, 1, 1, 2, 3, 5, 7]))) for _ in range(70)] + [" ".join(base)] * 3
+    far = edited(base, 6)
+    texts += [" ".join(edited(far, pick.choice([0, 1, 3]))) for _ in range(30)] + [" ".join(words(40)) for _ in range(10)]
+    pick.shuffle(texts)
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in (t.lower().split() for t in texts)]
+    near = [[j for j in range(len(sets)) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(sets))]
+    seen, least = set(), {}
+    for i in range(len(sets)):
+        todo, group = [i], set()
+        while todo:
+            x = todo.pop()
+            if x not in seen and x not in group:
+                group.add(x)
+                todo += near[x]
+        seen |= group
+        least |= {x: min(group) for x in group}
+    calls, real = [], jaccard._tight
+
+    def counted(*args):
+        out = real(*args)
+        calls.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_tight", counted)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_join(documents(rows)).collect()}
+    assert calls[0] > 20
+    assert got == {i: (least[i], len(near[i])) for i in range(len(sets))}
+
+
+def test_a_chain_of_buckets_makes_work_in_proportion(spark, monkeypatch):
+    """Members are compared with those of their own buckets only: a chain of n sets makes at most a constant number of rows for each."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    sizes = {}
+    real = jaccard._bucket_blocks
+    for n in (60, 240):
+        pick = random.Random(12)
+        words, texts = [f"w{k}" for k in range(100)], []
+        for k in range(n):
+            words = words[2:] + [f"n{k}a", f"n{k}b"]
+            texts.append((k, " ".join(words), "s"))
+        made = []
+        monkeypatch.setattr(jaccard, "_bucket_blocks", lambda rows, made=made: made.append(real(rows).count()) or real(rows))
+        rows = spark.createDataFrame(texts, "doc_id long, text string, source string")
+        out = jaccard.jaccard_join(rows).collect()
+        assert {r.class_id for r in out} == {0} and all(r.n_links > 0 for r in out)
+        sizes[n] = made[0]
+    assert 0 < sizes[240] < 6 * sizes[60]

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import minhash
+from textloom.llm import meet, minhash
 from textloom.llm.minhash import BINS, ByteHashes, OnePermutation, minhash_dedup
 
 
@@ -110,7 +110,7 @@ def test_chains_and_groups_around_a_late_origin(documents):
 def test_clusters_that_a_bucket_joins_are_compared_across(documents, monkeypatch, block, many, pairs):
     """Clusters near the threshold: their members share buckets, and a few bridges between others than the leaders link some of them."""
     monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "MANY", many)
+    monkeypatch.setattr(meet, "MANY", many)
     monkeypatch.setattr(minhash, "FIRST_PAIRS", pairs)
     pick = random.Random(5)
     base, texts, number = words(pick, 400), [], iter(range(10**6))

@@ -5,10 +5,12 @@
    shares a bucket with probability 1-(1-0.8**7)**36 = 0.9998.
 3. Each class is linked to the least class of each of its buckets (never all pairs), and components of these
    stars hold every pair that shares a bucket.
-4. Large components, which chance buckets may have chained, are cut into blocks by set size and hash. Their signatures alone, without
-   texts, are compared 28 values at a time; a pair whose posterior probability of reaching the threshold falls below
-   ``tolerance`` is dropped. The components of the pairs that are left take the place of the large ones.
-5. Components, the still large ones again in blocks, get their texts: pairs are pruned in the same way, and for the rest the
+4. Large components may be chains of chance buckets. Their members' signatures alone, without texts, are compared bucket by bucket, 28 values at a
+   time; a pair whose posterior probability of reaching the threshold falls below ``tolerance`` is dropped. The components of the pairs that are left
+   take the place of the large ones.
+5. Of a component that is still large, the members within half a link's distance of a leader are all linked with each other, as the distance is a metric.
+   They are counted; only pairs with others are compared.
+6. Components, the large ones in blocks, get their texts: pairs are pruned in the same way, and for the rest the
    exact Jaccard similarity decides. A block returns a count of links and one forest edge for each class, never its pairs.
 """
 
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .meet import met
 from .shared import bounded_batches, join_salted, materialise
 from .words import WordHashes, shingle_set
 
@@ -32,9 +35,10 @@ BANDS, ROWS = 36, 7
 VALUES = BANDS * ROWS
 STEP = 28
 TOLERANCE = 1e-6
-#: Classes of a block whose texts, or whose signatures alone, are compared with another block's in one task.
+#: Classes of a block whose texts, or whose signatures alone, are compared with another block's in one task; copies from which a class is joined apart.
 BLOCK = 512
-PRUNE_BLOCK = 4096
+PRUNE_BLOCK = 2048
+HOT_COPIES = 1000
 
 _generator = np.random.default_rng(20240229)
 _A = _generator.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,25 +94,32 @@ def shingle_features(documents: DataFrame) -> DataFrame:
     return bounded_batches(documents).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, key_a long, key_b long, size long, signature binary")
 
 
-def _bucket_edges(classes: DataFrame) -> DataFrame:
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(node, bucket): a row for each band."""
     width = 2 * ROWS
-    buckets = classes.where("size > 0").select(
+    return classes.where("size > 0").select(
         F.col("node"),
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * width + 1, F.lit(width))))).alias("bucket"),
     )
+
+
+def _bucket_edges(classes: DataFrame) -> DataFrame:
+    buckets = _buckets(classes)
     first = buckets.groupBy("bucket").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
     return buckets.join(first, "bucket").where("node <> v").select(F.col("node").alias("u"), "v")
 
 
-def _large_roots(members: DataFrame, most: int) -> DataFrame:
-    """(root, parts): of components with more than ``BLOCK`` members, into how many parts each size level is cut.
+def _large_roots(members: DataFrame) -> DataFrame:
+    """(root, parts): of components with more than ``BLOCK`` members, into how many parts each size level is cut, by level and whether tight."""
+    blocks = members.groupBy("root", _level().alias("level"), "tight").agg(F.count("*").alias("n"))
+    parts = F.map_from_entries(F.collect_list(F.struct(_kind().alias("kind"), F.ceil(F.col("n") / BLOCK).cast("long").alias("parts"))))
+    return blocks.groupBy("root").agg(F.sum("n").alias("n"), parts.alias("parts")).where(F.col("n") > BLOCK).drop("n")
 
-    Up to 16 parts, so that the work spreads; more where parts would have more than ``most`` members.
-    """
-    block = F.greatest(F.lit(BLOCK), F.least(F.lit(most), F.ceil(F.col("n") / 16)))
-    levels = members.groupBy("root", _level().alias("level")).agg(F.count("*").alias("n"))
-    parts = F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("n") / block).cast("long").alias("parts"))))
-    return levels.groupBy("root").agg(F.sum("n").alias("n"), parts.alias("parts")).where(F.col("n") > BLOCK).drop("n")
+
+def _kind(level=None, tight=None):
+    """A number for size level and tightness."""
+    level, tight = F.col("level") if level is None else level, F.col("tight") if tight is None else tight
+    return level * 2 + tight.cast("long")
 
 
 def _level():
@@ -119,17 +130,20 @@ def _level():
 def _tasks(members: DataFrame, large: DataFrame) -> DataFrame:
     """Adds the pairs of blocks (first, second) that each member takes part in, and its own block.
 
-    ``members``: node, root, size. A component that isn't ``large`` is one block. The join is salted, so that no task gets a component whole.
+    ``members``: node, root, size, tight. A component that isn't ``large`` is one block. Tight members of one component are known to be linked, so
+    their blocks meet only others. The join is salted, so that no task gets a component whole.
     """
     width = 1 << 20
     known = join_salted(members.withColumn("_spread", F.xxhash64("node")), large, ["root"], "_spread", "left").withColumn("level", _level())
 
-    def blocks_of(level):
-        parts = F.col("parts")[level]
-        return F.when(parts.isNull(), F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda s: level * width + s))
+    def blocks_of(kind):
+        parts = F.col("parts")[kind]
+        return F.when(parts.isNull(), F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda s: kind * width + s))
 
-    own = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.col("level") * width + F.pmod(F.xxhash64("node"), F.col("parts")[F.col("level")]))
-    near = F.concat(*(blocks_of(F.col("level") + d) for d in (-1, 0, 1)))
+    own = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(_kind() * width + F.pmod(F.xxhash64("node"), F.col("parts")[_kind()]))
+    loose = F.concat(*(blocks_of(_kind(F.col("level") + d, F.lit(False))) for d in (-1, 0, 1)))
+    tight = F.concat(*(blocks_of(_kind(F.col("level") + d, F.lit(True))) for d in (-1, 0, 1)))
+    near = F.when(F.col("tight"), loose).otherwise(F.concat(loose, tight))
     return (
         known.withColumn("block", own.cast("long"))
         .withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(near)))
@@ -200,12 +214,12 @@ def links_in_block(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndar
     return found
 
 
-def _runs(batches):
+def _runs(batches, names=("root", "first", "second")):
     """((root, first, second), rows) of rows sorted by these; one run, at most two blocks, is held at a time."""
     key, rows = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            now = (row["root"], row["first"], row["second"])
+            now = tuple(row[n] for n in names)
             if now != key:
                 if rows:
                     yield key, rows
@@ -221,18 +235,24 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _prune(batches):
-    """One forest edge for each class that has a pair which its signature doesn't rule out."""
+    """One forest edge for each class that has a pair, in its bucket, which its signature doesn't rule out.
+
+    A member is compared only with members that nothing before has joined to it: of a bucket of near copies, the first with each other.
+    """
     needed = least_matches()
-    for (_, first, second), rows in _runs(batches):
+    for (_, first, second), rows in _runs(batches, ("bucket", "first", "second")):
         rows = sorted({r["node"]: r for r in rows}.values(), key=lambda r: r["node"])
         signatures = np.stack([np.frombuffer(r["signature"], "<u2") for r in rows])
         sizes, side = (np.array([r[c] for r in rows]) for c in ("size", "block"))
-        forest, met = Forest(len(rows)), set()
+        label, edges = np.arange(len(rows)), []
         for i in range(len(rows) - 1):
-            for j in unpruned(i, comparable(i, sizes, side, first == second), signatures, needed).tolist():
-                forest.merge(i, j)
-                met |= {i, j}
-        yield _batch([(rows[i]["node"], rows[forest.root(i)]["node"]) for i in sorted(met)], ["u", "v"])
+            js = comparable(i, sizes, side, first == second)
+            js = unpruned(i, js[label[js] != label[i]], signatures, needed)
+            for j in js.tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    edges.append((rows[i]["node"], rows[j]["node"]))
+        yield _batch(edges, ["u", "v"])
 
 
 def _verify(batches):
@@ -257,26 +277,73 @@ def _verify(batches):
         yield _batch([(x[0], links[i], members[forest.root(i)][0]) for i, x in enumerate(members) if links[i]], ["node", "links", "parent"])
 
 
-def _dealt(tasks: DataFrame) -> DataFrame:
+def _dealt(tasks: DataFrame, by: str) -> DataFrame:
     """Rows of a task together, tasks dealt over the partitions."""
     partitions = max(1, int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return tasks.repartition(partitions, "root", "first", "second").sortWithinPartitions("root", "first", "second")
+    return tasks.repartition(partitions, by, "first", "second").sortWithinPartitions(by, "first", "second")
+
+
+def _bucket_blocks(shared: DataFrame) -> DataFrame:
+    """Rows (bucket, node, n) with the pairs of blocks (first, second) of their bucket that they take part in."""
+    parts = F.ceil(F.col("n") / PRUNE_BLOCK)
+    rows = shared.withColumn("block", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return rows.select("bucket", "node", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
 
 
 def _refined(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """``members`` (node, root, size) with large components replaced by those of the pairs that signatures leave."""
-    large = materialise(_large_roots(members, BLOCK), "large")
+    """``members`` (node, root, size) with large components replaced by those of the pairs that signatures leave.
+
+    Only members of one bucket are compared, so a chain of buckets, however long, makes work in proportion to it.
+    """
+    large = materialise(members.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large")
     if large.isEmpty():
         return members
     inside = join_salted(members.withColumn("_spread", F.xxhash64("node")), large.select("root", F.lit(True).alias("is_large")), ["root"], "_spread", "left")
     inside = materialise(inside, "by-size")
-    suspects = inside.where("is_large").select("node", "root", "size")
-    tasks = _tasks(suspects, _large_roots(suspects, PRUNE_BLOCK))
-    edges = materialise(_dealt(tasks.join(classes.select("node", "size", "signature"), "node")).mapInArrow(_prune, "u long, v long"), "unpruned")
-    again = components(edges, "pruned").join(classes.select("node", "size"), "node").select("node", "root", "size")
+    suspects = classes.join(inside.where("is_large").select("node"), "node", "left_semi")
+    rows = _buckets(suspects)
+    several = rows.groupBy("bucket").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"mark_{k}") for k in (1, 2)]).where("n > 1")
+    once = several.groupBy("mark_1", "mark_2", "n").agg(F.min("bucket").alias("bucket"))  # buckets of the same members are one
+    shared = join_salted(rows.withColumn("_spread", F.xxhash64("node")), once.select("bucket", "n"), ["bucket"], "_spread", salts=8)
+    tasks = _bucket_blocks(shared).join(suspects.select("node", "size", "signature"), "node")
+    edges = materialise(_dealt(tasks, "bucket").mapInArrow(_prune, "u long, v long"), "unpruned")
+    again = components(edges, "pruned").distinct().join(classes.select("node", "size"), "node").select("node", "root", "size")
     return materialise(inside.where("is_large is null").select("node", "root", "size").union(again), "members")
 
 
+def _tight_sets():
+    """Judges whether a set's distance to its leader's is at most half the distance of a link."""
+    memo, most = WordHashes(), (1 - THRESHOLD) / 2
+
+    def ready(head, row=None):
+        if row is None:
+            return shingle_set(head["text"], SHINGLE, memo)
+        other = shingle_set(row["text"], SHINGLE, memo)
+        both = len(np.intersect1d(head, other, assume_unique=True))
+        return both >= (1 - most) * (len(head) + len(other) - both) + 1e-9
+
+    return ready
+
+
+def _tight(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, leader): of large components the members at most half a link's distance from their leader, itself included.
+
+    Jaccard distance is a metric, so any two of them are linked: they are counted, never compared with each other. The leader is the member
+    whose buckets are fullest, as the origin of a group of copies is.
+    """
+    large = members.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("root")
+    inside = materialise(join_salted(members.withColumn("_spread", F.xxhash64("node")), large.withColumn("_in", F.lit(True)), ["root"], "_spread").select("node", "root"), "in-large")
+    if inside.isEmpty():
+        return inside.select("node", F.col("root").alias("leader"))
+    rows = _buckets(classes.join(inside.select("node"), "node", "left_semi"))
+    full = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = join_salted(rows.withColumn("_spread", F.xxhash64("node")), full, ["bucket"], "_spread", salts=8).groupBy("node").agg(F.sum("n").alias("crowd"))
+    leaders = inside.join(crowd, "node").groupBy("root").agg(F.max(F.struct("crowd", (-F.col("node")).alias("less"))).alias("_most")).select("root", (-F.col("_most.less")).alias("u"))
+    edges = join_salted(inside.withColumn("_spread", F.xxhash64("node")), leaders, ["root"], "_spread").where("node <> u").select("u", F.col("node").alias("v"))
+    near = materialise(met(edges, texts, _tight_sets, "to-leaders"), "tight")
+    return near.select(F.col("v").alias("node"), F.col("u").alias("leader")).union(near.select("u", "u").distinct())
+
+
 def jaccard_join(documents: DataFrame) -> DataFrame:
     """doc_id, copy_class, class_id, n_links and n_copies for every row.
 
@@ -304,8 +371,15 @@ def near_classes(documents: DataFrame) -> DataFrame:
     members = _refined(materialise(classes.select("node", "size").join(stars, "node").select("node", "root", "size"), "starred"), classes)
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
     with_text = classes.join(members.select("node"), "node", "left_semi").join(texts, ["rep", "text_hash"]).drop("rep", "text_hash", "size")
-    tasks = _tasks(members, _large_roots(members, BLOCK))
-    verified = materialise(_dealt(tasks.join(with_text, "node")).mapInArrow(_verify, "node long, links long, parent long"), "links")
+    with_text = materialise(with_text, "members-texts")
+    tight = materialise(_tight(members, classes, with_text.select("node", "text")), "tight-sets")
+    members = materialise(members.join(tight.select("node", F.lit(True).alias("tight")), "node", "left").na.fill(False, ["tight"]), "told")
+    tasks = _tasks(members, _large_roots(members))
+    verified = _dealt(tasks.join(with_text, "node"), "root").mapInArrow(_verify, "node long, links long, parent long")
+    counted = tight.join(classes.select("node", "copies"), "node")
+    totals = counted.groupBy("leader").agg(F.sum("copies").alias("total"))
+    among = join_salted(counted.withColumn("_spread", F.xxhash64("node")), totals, ["leader"], "_spread").select("node", (F.col("total") - F.col("copies")).alias("links"), F.col("leader").alias("parent"))
+    verified = materialise(verified.union(among), "links")
     roots = components(verified.select(F.col("node").alias("u"), F.col("parent").alias("v")), "linked")
     linked = roots.join(classes.select("node", "rep"), "node")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
@@ -315,15 +389,17 @@ def near_classes(documents: DataFrame) -> DataFrame:
         .join(links, "node", "left")
         .join(linked.join(least, "root").select("node", "least"), "node", "left")
     )
-    return (
-        features.select("doc_id", "text_hash", "key_a", "key_b")
-        .join(known, ["key_a", "key_b"], "left")
-        .select(
-            "doc_id",
-            F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("copy_class"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep")).alias("class_id"),
-            F.when(F.col("doc_id").isNotNull(), F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-            F.when(F.col("doc_id").isNotNull(), F.col("copies")).otherwise(0).cast("long").alias("n_copies"),
-            "text_hash",
-        )
+    known = materialise(known.select("key_a", "key_b", "rep", F.col("copies").alias("n"), "links", "least"), "known")
+    # classes of very many copies are few, and are joined apart, salted: no task gets one whole
+    rows = features.select("doc_id", "text_hash", "key_a", "key_b")
+    hot = join_salted(rows.withColumn("_spread", F.xxhash64("doc_id", "text_hash")), known.where(F.col("n") > HOT_COPIES), ["key_a", "key_b"], "_spread", "left")
+    usual = hot.where("n is null and doc_id is not null").select(*rows.columns).join(known.where(F.col("n") <= HOT_COPIES), ["key_a", "key_b"], "left")
+    has_id = F.col("doc_id").isNotNull()
+    return hot.where("n is not null or doc_id is null").unionByName(usual).select(
+        "doc_id",
+        F.when(has_id, F.col("rep")).alias("copy_class"),
+        F.when(has_id, F.coalesce("least", "rep")).alias("class_id"),
+        F.when(has_id, F.col("n") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.when(has_id, F.col("n")).otherwise(0).cast("long").alias("n_copies"),
+        "text_hash",
     )

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .jaccard import least_matches, set_key
+from .meet import met
 from .shared import bounded_batches, join_salted, materialise
 from .words import WordHashes, mixed, windows
 
@@ -32,8 +33,8 @@ BINS = BANDS * ROWS
 #: Up to this size a set is compared by 32 bits of each shingle; from ``LEAST_SIGNED`` on, which fills bins well, by its signature as well. A set
 #: above the first bound meets none below the second.
 MOST_FULL, LEAST_SIGNED = 400, 320
-#: Members of a leader that one task compares; members of a block of a bucket; copies from which a class is joined apart.
-MANY, BLOCK, HOT_COPIES = 256, 2048, 1000
+#: Members of a block of a bucket; copies from which a class is joined apart.
+BLOCK, HOT_COPIES = 2048, 1000
 #: Pairs of two components that are confirmed in the first round; later rounds take as many times more.
 FIRST_PAIRS = 64
 
@@ -124,35 +125,6 @@ def stars(shared: DataFrame) -> DataFrame:
     return join_salted(shared.select("bucket", F.col("node").alias("v"), F.xxhash64("node").alias("_spread")), leaders, ["bucket"], "_spread", salts=8).where("u <> v").select("u", "v").distinct()
 
 
-def _met(edges: DataFrame, payload: DataFrame, judge, label: str) -> DataFrame:
-    """(u, v) of ``edges`` where ``judge(payload of u, payload of v)``: each u's payload comes first, then its v's stream past it.
-
-    A u with more than ``MANY`` is cut into as many groups as it takes, each with a copy of its payload.
-    """
-    edges = edges.groupBy("u", "v").agg(F.lit(1).alias("_one")).drop("_one")
-    crowded = edges.groupBy("u").agg(F.ceil(F.count("*") / MANY).alias("groups")).where("groups > 1")
-    dealt = join_salted(edges.withColumn("_spread", F.xxhash64("v")), crowded, ["u"], "_spread", "left")
-    dealt = materialise(dealt.select("u", "v", F.coalesce(F.pmod(F.xxhash64("v", F.lit(7)), F.col("groups")), F.lit(0)).alias("part")), label)
-    names = [c for c in payload.columns if c != "node"]
-    heads = dealt.select("u", "part").distinct().join(payload.withColumnRenamed("node", "u"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), *names)
-    tails = dealt.join(payload.withColumnRenamed("node", "v"), "v").select("u", "part", "v", *names)
-
-    def run(batches):
-        key, head, ready = None, None, judge()
-        for batch in batches:
-            out = ([], [])
-            for row in batch.to_pylist():
-                now = (row["u"], row["part"])
-                if row["v"] is None:
-                    key, head = now, ready(row)
-                elif now == key and ready(head, row):
-                    out[0].append(row["u"])
-                    out[1].append(row["v"])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["u", "v"])
-
-    return heads.unionByName(tails).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first()).mapInArrow(run, "u long, v long")
-
-
 def possible(size_a: int, size_b: int) -> bool:
     return 100 * min(size_a, size_b) >= PERCENT * max(size_a, size_b)
 
@@ -311,15 +283,15 @@ def link_forest(classes: DataFrame, documents: DataFrame, most_rounds: int = 30)
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
     known = materialise(sketched(known.join(texts, ["rep", "text_hash"])), "bucketed")
     texts, sketches = known.select("node", "text"), known.drop("text")
-    tried = materialise(_met(stars(shared), sketches, _by_sketch, "stars"), "likely")
-    links = materialise(_met(tried, texts, _by_sets, "likely-dealt"), "links")
+    tried = materialise(met(stars(shared), sketches, _by_sketch, "stars"), "likely")
+    links = materialise(met(tried, texts, _by_sets, "likely-dealt"), "links")
     roots = materialise(components(links, "linked").distinct(), "roots")
     skipped, most = 0, FIRST_PAIRS
     for _ in range(most_rounds):
         best = materialise(_pair_blocks(_unsettled(shared, roots), sketches).mapInArrow(_best_pairs(skipped, most), "u long, v long, more boolean"), "best")
         new = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         new = materialise(new.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "new")
-        confirmed = materialise(_met(new, texts, _by_sets, "new-dealt"), "links")
+        confirmed = materialise(met(new, texts, _by_sets, "new-dealt"), "links")
         merged = not confirmed.isEmpty()
         if merged:
             links = materialise(links.unionByName(confirmed), "all-links")
