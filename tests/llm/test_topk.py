@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from textloom.llm import topk
 
@@ -76,3 +77,50 @@ def test_tree_leaves_subtrees_out():
     scores = vectors @ vectors[7]
     assert got == sorted(((int(s), -i) for i, s in enumerate(scores)), reverse=True)[:20]
     assert len(visited) < len(real) / 4
+
+
+@pytest.mark.parametrize("x", [64e9, 1e300])
+def test_scores_beyond_64_bits_are_an_error(spark, x):
+    df = spark.createDataFrame([(0, [x]), (1, [x])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.exact_top_k(df)
+
+
+def test_scores_near_the_bound_are_exact(spark):
+    rows = [(k, [4e7 + k, -3e6, 1.0 * k]) for k in range(50)]
+    got = sorted(tuple(r) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    assert got == brute(rows, 20, 20) and got[0][3] > 2**60
+
+
+def test_a_tree_survives_packing():
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-9, 9, (700, 5))
+    tree = topk.BallTree(np.stack([np.arange(700)] * 2, axis=1), vectors)
+    again = topk.BallTree.unpacked(tree.packed())
+    for q in vectors[:20]:
+        assert again.best(3, q, 7, None) == tree.best(3, q, 7, None)
+    assert again.spans == tree.spans and again.children == tree.children
+
+
+def test_equal_queries_are_asked_once_and_trees_written_once(spark, monkeypatch):
+    """A vector that most rows share is one query; after the trees are written, only queries move."""
+    rng = random.Random(8)
+    rows = [(k, [0.5, 0.25]) for k in range(600)] + [(1000 + k, [rng.gauss(0, 1), rng.gauss(0, 1)]) for k in range(200)]
+    asked, written = [], []
+    real, trees = topk._wanted, topk._trees
+
+    def counted(*args):
+        out = real(*args)
+        asked.append(out.select("query").distinct().count())
+        return out
+
+    def once(shards):
+        out = trees(shards)
+        written.append(sum(r.n for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(topk, "_wanted", counted)
+    monkeypatch.setattr(topk, "_trees", once)
+    got = sorted(tuple(r) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), shard_rows=50).collect())
+    assert got == brute(rows, 20, 20)
+    assert asked[0] == 11 and max(asked) <= 11 and written == [800]
