@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialise as checkpoint
+from .quantiles import quantiles
+
 
 def totals(works: DataFrame) -> DataFrame:
     kept = F.sum(F.col("dropped_reason").isNull().cast("long"))
@@ -51,9 +54,11 @@ def duplicate_relations(works: DataFrame, same: dict[str, Column]) -> DataFrame:
 
 
 def short_works(works: DataFrame, words: Column, least: int) -> DataFrame:
-    n = works.where("dropped_reason is null").withColumn("n", words)
+    n = checkpoint(works.where("dropped_reason is null").select(words.alias("n")))
     short = F.col("n") < least
-    return n.agg(F.count("*").alias("kept"), F.sum(short.cast("long")).alias("short"), F.median("n").alias("median_words"), F.round(F.avg("n"), 4).alias("mean_words"))
+    counted = n.agg(F.count("*").alias("kept"), F.sum(short.cast("long")).alias("short"), F.round(F.avg("n"), 4).alias("mean_words"))
+    median = quantiles(n, [], "n", [0.5]).agg(F.max("value").alias("median_words"))
+    return counted.crossJoin(median).select("kept", "short", "median_words", "mean_words")  # one row each
 
 
 def metrics(works: DataFrame, reasons: str = "dropped_reason") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import instruments
+from ..operators import classifier, instruments, quantiles
 from ..operators.forms import vocabulary
 from .registry import query
 
@@ -18,6 +18,31 @@ def auc_of_length(t):
     return instruments.auc(rows, "n_chars", F.col("quality") == 1, ["lang"]).where("auc is not null").withColumn("auc", F.round("auc", 6))
 
 
+@query("exact_quantiles", """
+  WITH g AS (SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice::DOUBLE, [0.05, 0.5, 0.975]) AS v FROM lineitem GROUP BY ALL)
+  SELECT l_returnflag, l_linestatus, unnest([0.05::DOUBLE, 0.5::DOUBLE, 0.975::DOUBLE]) AS q, round(unnest(v), 4) AS value FROM g
+""")
+def exact_quantiles(t):
+    return quantiles.quantiles(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.05, 0.5, 0.975]).withColumn("value", F.round("value", 4))
+
+
+def _out_of_fold(t):
+    """Two periods of the vectors, made of their labels, told apart by models that didn't see a row's fold."""
+    return classifier.out_of_fold(t.embeddings.select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("later")), "vec_id", "embedding", "later", 5, 1.0)
+
+
+@query("period_classifier_auc")
+def period_classifier_auc(t):
+    """How well the two periods are told apart, by fold."""
+    return classifier.auc(_out_of_fold(t), ["fold"]).withColumn("auc", F.round("auc", 4))
+
+
+@query("out_of_fold_doubt")
+def out_of_fold_doubt(t):
+    """Vectors whose label the model of the other folds holds unlikely."""
+    return classifier.doubtful(_out_of_fold(t), 0.7).select("vec_id", "y", F.round("doubt", 4).alias("doubt"))
+
+
 @query("energy_distance", """
   WITH u AS (SELECT vec_id, label < 5 AS f, embedding::DOUBLE[] AS e FROM embeddings),
   d AS (SELECT a.f AS fa, b.f AS fb, 1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS d FROM u a JOIN u b ON a.vec_id < b.vec_id)
