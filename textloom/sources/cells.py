@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import checks, schemas
+from . import revisions
 
 
 def read_raw_cells(spark: SparkSession, folder: str, field: str = "*", decade: str = "*") -> DataFrame:
@@ -48,34 +49,18 @@ def append_records(df: DataFrame, path: str) -> None:
 
 def builds(spark: SparkSession, path: str) -> set[str]:
     """The builds that a corpus folder holds; none where there is no folder."""
-    try:
-        return {r.build_id for r in spark.read.parquet(path).select(F.col("build_id").cast("string")).distinct().collect()}  # a name for each build
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return set()
-        raise
+    return {m["build"] for m in revisions.log(spark, path)}
 
 
 def save_build(abstracts: DataFrame, path: str, build_id: str) -> None:
-    """Write one build of the corpus, by part. A build that is there is never changed, so any earlier one can be read again."""
+    """Commit one build of the corpus, by part. A build that is there is never changed, and parts that another build has are shared with it."""
     checks.check(abstracts, checks.ABSTRACT_RULES, "work_id")
-    if build_id in builds(abstracts.sparkSession, path):
-        raise FileExistsError(f"build {build_id} stands already")
-    part = F.concat_ws("_", F.array_min("fields"), "decade")
-    # dynamic, so that only this build's parts are replaced whatever the session's mode is
-    writer = abstracts.withColumns({"build_id": F.lit(build_id), "part": part}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("build_id", "part").parquet(path)
+    revisions.commit(abstracts.withColumn("part", F.concat_ws("_", F.array_min("fields"), "decade")), path, build_id, "part")
 
 
 def load_build(spark: SparkSession, path: str, build_id: str, parts: list[str] | None = None) -> DataFrame:
     """The corpus as of one build, all or named parts; parts that are missing are all named in the error."""
-    build = spark.read.parquet(path).where(F.col("build_id").cast("string") == build_id)
-    if parts is not None:
-        there = {r.part for r in build.select("part").distinct().collect()}  # a few hundred names
-        if missing := sorted(set(parts) - there):
-            raise FileNotFoundError(f"no such parts: {', '.join(missing)}")
-        build = build.where(F.col("part").isin(parts))
-    return build.drop("build_id", "part")
+    return revisions.read(spark, path, build_id, parts).drop("part")
 
 
 def read_tab_separated(spark: SparkSession, path: str) -> DataFrame:
