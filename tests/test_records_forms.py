@@ -23,6 +23,13 @@ SIGNALS = "work string, title string, publication_year bigint, record_type_sourc
 @pytest.mark.parametrize("signal, kind", [
     ({"title": "Jane van Doe (1920-2001)", "publication_year": 2002}, "obituary"),
     ({"title": "Jane Doe (1920-2001)", "publication_year": 2020}, None),
+    ({"title": "Madonnina 1920–2001.", "publication_year": 2001}, "obituary"),
+    ({"title": "A. B. O'Hara. 1 April 1907 – 7 May 1970", "publication_year": 1971}, "obituary"),
+    ({"title": "One Two Three Four Five Six Seven Eight Nine (1907-1970)", "publication_year": 1971}, None),
+    ({"title": "One Two Three Four Five Six Seven Eight (1907-1970)", "publication_year": 1971}, "obituary"),
+    ({"title": "The War (1907-1970)", "publication_year": 1971}, None),
+    ({"title": "Policy, 2 Parts, 1907-1970", "publication_year": 1971}, None),
+    ({"title": "Jane ten Doe [1907-1970]", "publication_year": 1971}, "obituary"),
     ({"title": "History of the City 1920-2001", "publication_year": 2002}, None),
     ({"title": "Editorial: why"}, "editorial"), ({"title": "EDITORIAL"}, "editorial"), ({"record_type_source": "paratext"}, "editorial"),
     ({"update_types": ["retraction"]}, "retraction"), ({"tags": ["a", "b"]}, "both"), ({"tags": ["a"]}, None), ({"page_count": 1}, "short"), ({}, None), ({"update_types": ["retraction"], "page_count": 1}, "retraction"),
@@ -257,3 +264,17 @@ def test_count_forms_of_any_length(table, monkeypatch, limit):
 def test_no_forms_and_no_texts(table):
     assert forms.count_forms(table("text string", [("a",)]), table("form string", [])).collect() == []
     assert [r.n for r in forms.count_forms(table("text string", []), table("form string", [("a b c",)])).collect()] == [0]
+
+
+def test_words_are_replaced_wherever_they_stand(table):
+    texts = table("k int, text string, word string", [(1, "theDog, theDog! atheDog the", "x"), (2, None, "x"), (3, "", "x"), (4, "none", "x")])
+    out = forms.replace_words(texts, "k", "text", table("word string, replacement string", [("theDog", "the Dog"), ("zz", "y")])).collect()
+    assert {(r.k, r.text, r.replaced) for r in out} == {(1, "the Dog, the Dog! atheDog the", 2), (2, None, 0), (3, "", 0), (4, "none", 0)}
+
+
+def test_not_first_of_hot_and_null_groups(table):
+    from textloom.shared import not_first
+
+    rows = [("a", k) for k in range(50)] + [(None, 3), (None, 1), ("b", 9), ("c", None), ("c", 1)]
+    out = not_first(table("g string, k int", rows), ["g"], ["k"], "later").collect()
+    assert {(r.g, r.k) for r in out if not r.later} == {("a", 0), (None, 1), ("b", 9), ("c", None)} and len(out) == len(rows)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checks import null_as_false
 from ..functions import text as T
+from ..shared import not_first
 from . import cleaning, patterns, repair
 
 #: Words, as they are counted in texts and ranges.
@@ -99,8 +100,8 @@ def clean_cell(works: DataFrame, key: str, authors: str, cell: list[str], max_sh
     )
     ruled = seen.withColumns({"_first": first, "_digest": F.sha2("clean_text", 256)})
     # the dropped are no copies' originals: they number among themselves
-    copy = F.row_number().over(Window.partitionBy(*cell, F.col("_first").isNull(), "_digest").orderBy(key))
-    ruled = cleaning.checkpoint(ruled.withColumn("dropped_reason", F.coalesce("_first", F.when(copy > 1, "duplicate"))).drop("_first", "_digest", "_words"))
+    numbered = not_first(ruled.withColumn("_stays", F.col("_first").isNull()), [*cell, "_stays", "_digest"], [key], "_copy")
+    ruled = cleaning.checkpoint(numbered.withColumn("dropped_reason", F.coalesce("_first", F.when(F.col("_copy"), "duplicate"))).drop("_first", "_digest", "_words", "_stays", "_copy"))
     capped = cleaning.cap_authors(ruled.where("dropped_reason is null"), key, authors, cell, max_share, 1)
     return cleaning.mark_dropped(ruled, capped, key, "author_cap")
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import not_first
 from .duplicates import checkpoint
 
 TEMPLATE_SHARE = 0.5
@@ -88,9 +89,8 @@ def mark_truncated(works: DataFrame, key: str) -> DataFrame:
 
 
 def exact_duplicates(works: DataFrame, key: str, cell: list[str], text: Column) -> DataFrame:
-    """Rows whose normalised text an earlier row of the cell has; by hash first, so that texts don't sort."""
-    order = Window.partitionBy(*cell, "digest").orderBy(key)
-    return works.withColumn("digest", F.sha2(text, 256)).withColumn("copy", F.row_number().over(order)).where("copy > 1")
+    """Rows whose normalised text an earlier row of the cell has; by hash, so that texts don't move. ``key`` names a row once."""
+    return not_first(works.withColumn("digest", F.sha2(text, 256)), [*cell, "digest"], [key], "copy").where("copy").drop("copy")
 
 
 def cap_single_authors(works: DataFrame, key: str, author: str, cell: list[str], max_share: float, floor: int) -> DataFrame:

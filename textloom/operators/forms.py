@@ -171,12 +171,12 @@ def split_parts(words: DataFrame, known: DataFrame, most_words: int = 500_000, l
     rows = known.where(F.length("word") <= longest).select("word", "n").limit(most_words + 1).collect()  # at most ``most_words``, checked
     if len(rows) > most_words:
         raise ValueError(f"more than {most_words} known words")
-    counts = {r.word: r.n for r in rows}
-    total = sum(counts.values())
+    counts = known.sparkSession.sparkContext.broadcast({r.word: r.n for r in rows})  # once for an executor, not with each task
+    total = sum(counts.value.values())
 
     @F.pandas_udf("array<string>")
     def cut(column: pd.Series) -> pd.Series:
-        return column.map(lambda w: segment(w, counts, total, longest))
+        return column.map(lambda w: segment(w, counts.value, total, longest))
 
     return words.select("word", cut("word").alias("parts")).where("size(parts) > 2")
 
@@ -223,6 +223,18 @@ def split_lower_glue(sure: dict[str, str], guarded: dict[str, tuple[str, str]],
     return run
 
 
+def replace_words(texts: DataFrame, key: str, text: str, replacements: DataFrame) -> DataFrame:
+    """(key, text, replaced): texts with whole words replaced wherever they stand, and how many. ``replacements``: word, replacement, each word once.
+
+    Texts are cut into words and what is between them; the words meet the replacements in one join, and go back in order. ``key`` names a text
+    once; a null text stays null.
+    """
+    pieces = texts.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))).alias("at", "word"))
+    met = pieces.join(replacements.select("word", "replacement"), "word", "left").select(key, "at", F.coalesce("replacement", "word").alias("piece"), F.col("replacement").isNotNull().cast("long").alias("hit"))
+    back = met.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("_text"), F.sum("hit").alias("replaced"))
+    return texts.select(key, text).join(back, key, "left").select(key, F.coalesce("_text", text).alias(text), F.coalesce("replaced", F.lit(0)).alias("replaced"))
+
+
 def repeated_texts(texts: DataFrame, text: str, least: int = 5) -> DataFrame:
     """(text, n): whole texts that stand at least ``least`` times; by digest, so that long texts aren't keys."""
     counts = texts.groupBy(F.sha2(text, 256).alias("digest")).agg(F.first(text).alias(text), F.count(text).alias("n"))

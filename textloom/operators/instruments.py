@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import not_first
 from .resample import hash_number, places
 
 
@@ -231,11 +232,34 @@ def matched_controls(counts: DataFrame, targets: DataFrame, word: str, values: l
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("target", "control", "gap")
 
 
+#: Values that ``leave_one_out_bars`` sorts in one row.
+MOST_CONTROLS = 100_000
+
+
 def leave_one_out_bars(values: DataFrame, key: str, value: str, quantile: float) -> DataFrame:
-    """One row: the least and greatest ``quantile`` when each row in turn is left out. Controls are a few dozen rows."""
-    left = values.select(F.col(key).alias("out"))
-    kept = left.join(values, F.col("out") != F.col(key))
-    return kept.groupBy("out").agg(F.percentile(value, F.lit(quantile)).alias("q")).agg(F.min("q").alias("least"), F.max("q").alias("greatest"))
+    """One row: the least and greatest ``quantile`` when each row in turn is left out.
+
+    Leaving out a value below, between or above the two that the quantile lies between gives three results at most, so one sorted array tells. ``key``
+    names a row once; rows without a key are never left out, and leaving out a row without a value changes nothing.
+    """
+    known = values.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).where("_k is not null")
+    if known.limit(MOST_CONTROLS + 1).count() > MOST_CONTROLS:
+        raise ValueError(f"more than {MOST_CONTROLS} controls")
+    whole = known.agg(F.sort_array(F.collect_list("_v")).alias("v"), F.count_if(F.col("_v").isNull()).alias("nulls"))
+    n = F.size("v")
+
+    def at(count: Column, shift: Column) -> Column:
+        """The quantile of ``count`` values, those from place ``shift`` on being one further in the array."""
+        place = F.lit(quantile) * (count - 1)
+        low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
+        of = lambda k: F.get("v", k + (k >= shift).cast("int"))
+        return F.when(low == high, of(low)).otherwise((high - place) * of(low) + (place - low) * of(high))
+
+    # leaving out place r moves all from r on: by r up to the lower, up to the upper, and beyond both
+    low = F.floor(F.lit(quantile) * (n - 2)).cast("int")
+    shifts = [F.lit(0), F.least(low + 1, n - 1), n - 1]
+    results = F.filter(F.array(*[F.when(n > 1, at(n - 1, s)) for s in shifts], F.when((F.col("nulls") > 0) & (n > 0), at(n, n))), lambda q: q.isNotNull())
+    return whole.select(F.array_min(results).alias("least"), F.array_max(results).alias("greatest"))
 
 
 def majority_lemmas(rows: DataFrame, lemma: str, n: str, flag: Column, least: float = 0.5) -> DataFrame:
@@ -250,10 +274,10 @@ def thin_cells(lines: DataFrame, cell: list[str], text: str, word: str, least: i
 
 
 def first_encodings(usages: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Usages with a stable key and whether each is the first with that key, whose vector all share."""
+    """Usages with a stable key and whether each is the first with that key, whose vector all share. ``order`` names a usage once."""
     digest = F.substring(F.sha2(F.col(key), 256), 1, 20)
-    place = F.row_number().over(Window.partitionBy("digest").orderBy(*order))
-    return usages.withColumn("digest", digest).withColumn("encodes", place == 1)
+    copy = not_first(usages.withColumn("digest", digest), ["digest"], order, "_copy")
+    return copy.withColumn("encodes", ~F.col("_copy")).drop("_copy")
 
 
 def classify(seeds: DataFrame, label: str, rows: DataFrame, vector: str, c: float = 1.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cleaning, duplicates
+from ..shared import not_first
 from .registry import SENTENCES, WORDS, query
 
 MIN_WORKS = 20
@@ -213,9 +214,7 @@ def foreign_share(t):
 """)
 def drop_reasons(t):
     """Ordered rules of which the first that holds is the reason."""
-    from pyspark.sql import Window
-
     w = T.words(F.lower("text"))
-    rows = t.documents.select("doc_id", F.size(w).alias("n"), T.share_of(w, T.ENGLISH).alias("e"), F.row_number().over(Window.partitionBy("source", F.sha2("text", 256)).orderBy("doc_id")).alias("copy"))
-    reason = F.when(F.col("n") < 5, "short").when((F.col("n") >= 20) & (F.col("e") < 0.05), "not_english").when(F.col("copy") > 1, "duplicate")
+    rows = not_first(t.documents.select("doc_id", "source", F.size(w).alias("n"), T.share_of(w, T.ENGLISH).alias("e"), F.sha2("text", 256).alias("digest")), ["source", "digest"], ["doc_id"], "copy")
+    reason = F.when(F.col("n") < 5, "short").when((F.col("n") >= 20) & (F.col("e") < 0.05), "not_english").when(F.col("copy"), "duplicate")
     return rows.select("doc_id", reason.alias("reason"))

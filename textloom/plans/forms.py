@@ -168,18 +168,15 @@ def glue_split(t):
     """The decided splits applied: whole words, wherever they stand."""
     glued = checkpoint(_glued(t))
     decided = forms.decide_glued_splits(forms.count_glued_words(glued, "doc_id"), 10, 30, 3, 2, ["theOf"]).where("split")
-    splits = {r.word: f"{r.left} {r.right}" for r in decided.select("word", "left", "right").collect()}  # the decided words of a build
-    words = glued.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = words.join(decided.select("word"), "word", "left_semi").groupBy("doc_id").agg(F.count("*").alias("splits"))
-    repaired = glued.select("doc_id", F.md5(repair.replace_words(splits)(F.col("text"))).alias("repaired"))
-    return repaired.join(counts, "doc_id", "left").na.fill(0, ["splits"])
+    out = forms.replace_words(glued, "doc_id", "text", decided.select("word", F.concat_ws(" ", "left", "right").alias("replacement")))
+    return out.select("doc_id", "replaced", F.md5("text").alias("repaired")).withColumnRenamed("replaced", "splits")
 
 
 @query("phrase_tokens")
 def phrase_tokens(t):
     """Tokens of every text with the learnt phrases joined."""
     learnt = forms.bigram_npmi(t.documents, T.latin_words(F.col("text")), 20, 0.3)
-    phrases = {f"{r.a}_{r.b}" for r in learnt.collect()}  # what passes the threshold
+    phrases = lemmas.phrase_set(learnt)
     w = T.latin_words(F.col("text"))
     joined = lemmas.phrases_in(phrases, ["of", "the"])(w)
     return t.documents.select("doc_id", F.size(w).alias("words"), F.size(joined).alias("tokens"))

@@ -7,6 +7,7 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Setting with the local paths, parted by commas, at which every machine of the cluster mounts the same file system.
 SHARED_MOUNTS = "spark.textloom.sharedMounts"
@@ -46,3 +47,31 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SALTS = 16
+
+
+def join_salted(rows: DataFrame, few: DataFrame, keys: list[str], spread: str, how: str = "inner", salt: str = "_salt", salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with the smaller ``few``, whose rows repeat for each of ``salts``; ``spread`` is a hash that deals the rows of a key.
+
+    A key that a third of the rows have goes to as many tasks. Where Spark finds ``few`` small, it broadcasts it. ``spread`` goes, and
+    the salt too unless a semi join keeps it.
+    """
+    salted = rows.withColumn(salt, F.pmod(F.col(spread), F.lit(salts)).cast("int")).drop(spread)
+    repeated = few.withColumn(salt, F.explode(F.array(*map(F.lit, range(salts)))))
+    out = salted.join(repeated, [*keys, salt], how)
+    return out if how == "left_semi" else out.drop(salt)
+
+
+def not_first(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``: whether another row of the same group comes before it by ``order``, nulls first. Null groups are a group.
+
+    The first of each group of several comes from an aggregation and meets the rows in a salted join, so that a group of any size is no task.
+    Rows that tie with the first are first too.
+    """
+    tags = [f"_nf_g{k}" for k in range(len(group))]
+    keyed = rows.withColumns({t: F.struct(F.col(g).alias("x")) for t, g in zip(tags, group)}).withColumn("_nf_order", F.struct(*order))
+    firsts = keyed.groupBy(*tags).agg(F.min("_nf_order").alias("_nf_first"), F.count("*").alias("_nf_n")).where("_nf_n > 1").drop("_nf_n")
+    joined = join_salted(keyed.withColumn("_nf_spread", F.xxhash64(*order)), firsts, tags, "_nf_spread", "left", salt="_nf_salt")
+    return joined.withColumn(name, F.coalesce(F.col("_nf_order") > F.col("_nf_first"), F.lit(False))).drop(*tags, "_nf_order", "_nf_first")
