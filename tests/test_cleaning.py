@@ -154,3 +154,26 @@ def test_checks(table):
         checks.check(df, {"small": "n < 3"})
     with pytest.raises(ValueError, match="1 rows"):
         checks.check_reference(df, table("work_id string", [("a",)]), ["work_id"])
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_author_caps_of_cells_of_any_size(table, monkeypatch, seed, most):
+    """In one task for each cell, and in rounds, as one author after the other."""
+    import hashlib
+    import random
+
+    monkeypatch.setattr(cleaning, "MOST_GROUP", most)
+    pick = random.Random(seed)
+    rows = [(k, pick.choice("xy"), pick.sample("abcdefghij", pick.randint(0, 3)) + pick.choices("ab", k=pick.randint(0, 1))) for k in range(120)] + [(500, "z", ["a"]), (501, None, ["a"])]
+    want = set()
+    for cell in "xyz":
+        works = sorted((hashlib.sha256(str(k).encode()).hexdigest(), k, set(a)) for k, c, a in rows if c == cell)
+        limit, gone = max(3, int(0.1 * len(works))), set()
+        counts = {a: sum(a in names for _, _, names in works) for _, _, names in works for a in names}
+        for a in sorted(counts, key=lambda a: (-counts[a], a)):
+            if counts[a] > limit:
+                gone |= {k for k in [k for _, k, names in works if a in names and k not in gone][limit:]}
+        want |= gone
+    got = {r.k for r in cleaning.cap_authors(table("k int, c string, a array<string>", rows), "k", "a", ["c"], 0.1, 3).collect()}
+    assert got == want and len(want) > 10

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..shared import not_first
 from .duplicates import checkpoint
+from .resample import places
 
 TEMPLATE_SHARE = 0.5
 
@@ -104,7 +105,7 @@ def cap_authors(works: DataFrame, key: str, authors: str, cell: list[str], max_s
     """The same for works with several authors: the most frequent go first, and a drop lowers co-authors' counts.
 
     Greedy within each cell; cells don't depend on each other, nor do works without an author over the limit, which stay in the JVM. What
-    goes to Python are the ids, authors and ranks of a cell's other works.
+    goes to Python are the ids, authors and ranks of a cell's other works, at most ``MOST_GROUP``; larger cells are settled in rounds.
     """
     sizes = works.groupBy(*cell).agg(F.greatest(F.lit(floor), F.floor(F.lit(max_share) * F.count("*"))).alias("author_limit"))
     written = works.select(*cell, key, F.explode(F.array_distinct(authors)).alias("author"))
@@ -113,6 +114,10 @@ def cap_authors(works: DataFrame, key: str, authors: str, cell: list[str], max_s
     rank = F.sha2(F.col(key).cast("string"), 256).alias("rank")
     ranked = works.join(touched, [*cell, key], "left_semi").join(sizes, cell).select(*cell, key, authors, "author_limit", rank)
 
+    rows = ranked.groupBy(*cell).agg(F.count("*").alias("_n"), F.sum(F.size(authors)).alias("_written"))
+    large = checkpoint(rows.where(F.greatest("_n", "_written") > MOST_GROUP).select(*cell))
+    small = ranked.join(large, cell, "left_anti")
+
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
         limit = int(group["author_limit"].iloc[0])
         order = group.sort_values(["rank", key])
@@ -127,7 +132,38 @@ def cap_authors(works: DataFrame, key: str, authors: str, cell: list[str], max_s
             gone.update([w for w in by_author[name] if w not in gone][limit:])
         return pd.DataFrame({key: sorted(gone)}, dtype=group[key].dtype)
 
-    return ranked.groupBy(*cell).applyInPandas(greedy, f"{key} {dict(works.dtypes)[key]}").distinct()
+    gone = small.groupBy(*cell).applyInPandas(greedy, f"{key} {dict(works.dtypes)[key]}")
+    if not large.isEmpty():
+        gone = gone.union(_capped_in_rounds(ranked.join(large, cell, "left_semi"), key, authors, cell))
+    return gone.distinct()
+
+
+#: Works, or authors of works, of a cell that one task settles; larger cells are settled in rounds over many tasks.
+MOST_GROUP = 200_000
+
+
+def _capped_in_rounds(ranked: DataFrame, key: str, authors: str, cell: list[str], most_rounds: int = 10_000) -> DataFrame:
+    """The works that go, of cells of any size: in each round, all authors are settled whose works no unsettled author before them shares.
+
+    Authors settled in one round share no work, so each keeps the first of its works that are left, as if they went one after the other. Rounds follow
+    the longest chain of authors that share works.
+    """
+    written = ranked.select(*cell, key, "rank", "author_limit", F.explode(F.array_distinct(authors)).alias("author"))
+    counts = written.groupBy(*cell, "author").agg(F.count("*").alias("_count"))
+    over = written.join(counts, [*cell, "author"]).where("_count > author_limit").withColumn("turn", F.struct((-F.col("_count")).alias("less"), "author"))
+    number = F.conv(F.substring("rank", 1, 8), 16, 10).cast("bigint").alias("number")
+    left = checkpoint(over.select(*cell, key, "author", "author_limit", "turn", number, F.struct("rank", F.col(key).alias("k")).alias("order")))
+    gone = None
+    for _ in range(most_rounds):
+        first = left.groupBy(*cell, key).agg(F.min("turn").alias("_first"))
+        ready = left.join(first, [*cell, key]).groupBy(*cell, "author").agg(F.bool_and(F.col("turn") == F.col("_first")).alias("_ready")).where("_ready").drop("_ready")
+        mine = checkpoint(left.join(ready, [*cell, "author"], "left_semi"))
+        lost = checkpoint(places(mine, [*cell, "author"], "number", "order").where("place > author_limit").select(*cell, key).distinct())
+        gone = checkpoint(lost if gone is None else gone.union(lost))
+        left = checkpoint(left.join(ready, [*cell, "author"], "left_anti").join(lost, [*cell, key], "left_anti"))
+        if left.isEmpty():
+            return gone.select(key)
+    raise RuntimeError(f"authors are left after {most_rounds} rounds")
 
 
 def merge_cells(rows: DataFrame, key: str, field: str, order: list[str], attributes: list[str]) -> DataFrame:
