@@ -143,20 +143,63 @@ def phrase_npmi(t):
 
 
 # a stand-in for a tagger: every word of four letters or more that ends in -s is read as a plural
-@query("lemma_map", """
-  WITH v AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents) GROUP BY word),
+_VOTED = """
+  v AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents) GROUP BY word),
   k AS MATERIALIZED (SELECT word AS type, n, regexp_matches(word, 's$') AND length(word) > 3 AS is_s FROM v),
   c AS (SELECT type, n, u.place, u.lemma FROM (SELECT type, n, list_filter([{'place': 0, 'lemma': left(type, length(type) - 1)}, {'place': 1, 'lemma': CASE WHEN regexp_matches(type, '(s|x|z|ch|sh|o)es$') THEN left(type, length(type) - 2) END},
       {'place': 2, 'lemma': CASE WHEN regexp_matches(type, 'ies$') THEN left(type, length(type) - 3) || 'y' END}, {'place': 3, 'lemma': CASE WHEN regexp_matches(type, 'ses$') THEN left(type, length(type) - 2) || 'is' END}], lambda x: x.lemma IS NOT NULL AND length(x.lemma) >= 3) AS l FROM k WHERE is_s AND n >= 5), unnest(l) AS w(u)),
   b AS (SELECT c.type, c.n, c.lemma, coalesce(k.n, 0) AS frequency, CASE WHEN NOT k.is_s THEN k.n ELSE 0 END AS read, CASE WHEN c.place = 0 THEN c.n ELSE 0 END AS named, c.place FROM c LEFT JOIN k ON k.type = c.lemma
-        QUALIFY row_number() OVER (PARTITION BY c.type ORDER BY coalesce(CASE WHEN NOT k.is_s THEN k.n ELSE 0 END, 0) DESC, coalesce(k.n, 0) DESC, named DESC, c.place) = 1)
-  SELECT type, lemma, 'plural' AS rule FROM b WHERE coalesce(read, 0) >= 5 OR frequency >= greatest(1.0, 0.1 * n)
-""")
+        QUALIFY row_number() OVER (PARTITION BY c.type ORDER BY coalesce(CASE WHEN NOT k.is_s THEN k.n ELSE 0 END, 0) DESC, coalesce(k.n, 0) DESC, named DESC, c.place) = 1),
+  voted AS (SELECT type, lemma, 'plural' AS rule FROM b WHERE coalesce(read, 0) >= 5 OR frequency >= greatest(1.0, 0.1 * n))
+"""
+
+
+@query("lemma_map", f"WITH {_VOTED} SELECT type, lemma, rule FROM voted")
 def lemma_map(t):
     words = checkpoint(forms.vocabulary(t.documents))
+    return lemmas.voted_lemmas(_votes(words), words)
+
+
+def _votes(words):
     plural = F.col("word").endswith("s") & (F.length("word") > 3)
-    votes = words.select(F.col("word").alias("type"), F.when(plural, "NNS").otherwise("NN").alias("tag"), F.when(plural, F.expr("left(word, length(word) - 1)")).otherwise(F.col("word")).alias("lemma"), F.col("n").alias("count"))
-    return lemmas.voted_lemmas(votes, words)
+    return words.select(F.col("word").alias("type"), F.when(plural, "NNS").otherwise("NN").alias("tag"), F.when(plural, F.expr("left(word, length(word) - 1)")).otherwise(F.col("word")).alias("lemma"), F.col("n").alias("count"))
+
+
+_SPELLED = " ".join(f"WHEN regexp_matches(w, '{pattern}') THEN regexp_replace(w, '{pattern}', '\\1{new}\\2')" for pattern, _, new in lemmas.spelling_patterns())
+_NORMAL = f"""
+  {_VOTED},
+  dictionary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark),
+  step AS (SELECT v.word AS type, coalesce(voted.lemma, v.word) AS lemma, voted.rule FROM v LEFT JOIN voted ON voted.type = v.word WHERE regexp_full_match(v.word, '[a-z]+')),
+  listed AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in lemmas.SPELLINGS.items())}) AS l(w, there)),
+  spelled AS (SELECT w, coalesce(there, CASE WHEN NOT regexp_matches(w, '{lemmas.unchanged_pattern()}') THEN CASE {_SPELLED} END END) AS c FROM (SELECT DISTINCT lemma AS w FROM step WHERE length(lemma) >= 6) LEFT JOIN listed USING (w)),
+  american AS (SELECT s.w, s.c FROM spelled s LEFT JOIN v x ON x.word = s.c LEFT JOIN v y ON y.word = s.w LEFT JOIN dictionary d ON d.word = s.c
+    WHERE s.c <> s.w AND (d.word IS NOT NULL OR coalesce(x.n, 0) >= 5) AND coalesce(x.n, 0) >= greatest(1.0, 0.1 * coalesce(y.n, 0))),
+  links AS (SELECT type, coalesce(c, lemma) AS lemma, coalesce(rule, 'spelling') AS rule FROM step LEFT JOIN american ON w = lemma WHERE type <> coalesce(c, lemma)),
+  way AS (SELECT type, lemma, rule, 0 AS k FROM links UNION ALL SELECT way.type, links.lemma, way.rule, k + 1 FROM way JOIN links ON links.type = way.lemma WHERE way.lemma <> way.type AND k < 50),
+  normal AS (SELECT type, lemma, rule FROM way WHERE lemma <> type QUALIFY row_number() OVER (PARTITION BY type ORDER BY k DESC) = 1 AND type NOT IN (SELECT type FROM way WHERE lemma = type))
+"""
+
+
+def _normal_forms(t):
+    words = checkpoint(forms.vocabulary(t.documents))
+    return checkpoint(lemmas.learn_lemma_map(words, _votes(words), _dictionary(t)))
+
+
+@query("normal_forms", f"WITH RECURSIVE {_NORMAL} SELECT type, lemma, rule FROM normal")
+def normal_forms(t):
+    """From votes to finished normal forms: American spelling, and chains followed to their end."""
+    return _normal_forms(t)
+
+
+@query("mapped_texts", f"""
+  WITH RECURSIVE {_NORMAL}, w AS (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+  m AS (SELECT doc_id, string_agg(coalesce(lemma, word), ' ' ORDER BY i) AS mapped FROM e LEFT JOIN normal ON type = word WHERE word <> '' GROUP BY doc_id)
+  SELECT doc_id, md5(coalesce(mapped, '')) AS mapped FROM documents LEFT JOIN m USING (doc_id)
+""")
+def mapped_texts(t):
+    """Every token of the texts in its normal form."""
+    out = lemmas.apply_lemma_map(t.documents.select("doc_id", F.lower("text").alias("text")), "doc_id", "text", _normal_forms(t))
+    return out.select("doc_id", F.md5("text").alias("mapped"))
 
 
 @query("glue_split", f"""
