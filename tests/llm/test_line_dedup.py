@@ -1,3 +1,5 @@
+import pytest
+
 from collections import defaultdict
 
 from textloom.llm import line_dedup
@@ -50,3 +52,12 @@ def test_sketches_decide_lines_far_from_the_threshold(documents, monkeypatch):
     monkeypatch.setattr(line_dedup, "NEAR", -10)  # no line is near
     lost = {r.doc_id // 100 for r in line_dedup.dedup_lines(documents(rows)).where("n_removed > 0").collect()}
     assert 60 in lost and not lost & {2, 5}
+
+
+def test_columns_with_the_names_of_the_counts_are_an_error(documents):
+    table = documents([(1, "a\nb", "s")])
+    for name in ("n_lines", "N_removed"):
+        with pytest.raises(ValueError, match="already"):
+            line_dedup.dedup_lines(table.withColumn(name, table["doc_id"]))
+    out = line_dedup.dedup_lines(table.withColumn("n_lines", table["doc_id"]), n_lines=line_dedup.fresh("n_lines", table.withColumn("n_lines", table["doc_id"]))).first()
+    assert (out.n_lines, out._n_lines) == (1, 2)

@@ -77,9 +77,11 @@ def dedup_lines(documents: DataFrame, site: str = "source", min_sites: int = MIN
     from all others; the order of what stays is kept. Texts that lose nothing, nulls among them, are unchanged; an empty text is
     one empty line; the work on a very long text grows with its lines.
     Rows are never dropped: a document all of whose lines go keeps an empty text. Rows with a null
-    doc_id keep their text. Repeated rows stay repeated, and an empty table gives an empty one. Other columns stay as they are, unless
-    they have the names of the counts.
+    doc_id keep their text. Repeated rows stay repeated, and an empty table gives an empty one. Other columns stay as they are; one that has the
+    name of a count is an error, for ``fresh`` gives names that are free.
     """
+    if clashing := sorted({c for c in documents.columns if c.lower() in (n_lines.lower(), n_removed.lower())}):
+        raise ValueError(f"columns {clashing} are there already")
     bad = boilerplate_lines(documents, site, min_sites)
     doc, digest, hit = fresh("_doc", documents), fresh("_digest", documents), fresh("_hits", documents)
     rows = (
