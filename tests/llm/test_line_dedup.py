@@ -1,7 +1,7 @@
-import pytest
-
 from collections import defaultdict
 
+import pytest
+
 from textloom.llm import line_dedup
 
 
