@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.llm import jaccard, line_dedup, packing, toxicity
 from textloom.llm.queries import tokenizer_path
 from textloom.llm.shared import new_table_path
+from textloom.shared import dealt
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     An executor that is lost costs the tasks of one stage at most. What the stages state of nulls, long texts, ties, repeated rows, empty
     tables and clashing names holds for the whole.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         path = new_table_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import dealt
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
+#: Tables of texts, whose rows take long.
+TEXTS = ("documents", "pages")
+
+
 class Tables:
     """The Parquet tables of one folder, by attribute."""
 
@@ -15,7 +21,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return dealt(table) if name in TEXTS else table
 
 
 def query(name: str, sql: str | None = None):

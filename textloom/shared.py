@@ -75,3 +75,10 @@ def not_first(rows: DataFrame, group: list[str], order: list[str], name: str) ->
     firsts = keyed.groupBy(*tags).agg(F.min("_nf_order").alias("_nf_first"), F.count("*").alias("_nf_n")).where("_nf_n > 1").drop("_nf_n")
     joined = join_salted(keyed.withColumn("_nf_spread", F.xxhash64(*order)), firsts, tags, "_nf_spread", "left", salt="_nf_salt")
     return joined.withColumn(name, F.coalesce(F.col("_nf_order") > F.col("_nf_first"), F.lit(False))).drop(*tags, "_nf_order", "_nf_first")
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """``table``, dealt anew where its files give fewer tasks than the cluster has cores; a table of many files stays as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    tasks = table._jdf.queryExecution().toRdd().getNumPartitions()
+    return table.repartition(cores) if tasks < cores else table
