@@ -116,3 +116,40 @@ def test_local_paths_need_a_mount_that_is_named(monkeypatch, temporary, master,
     else:
         with pytest.raises(ValueError):
             shared_folder(Session)
+
+
+@pytest.mark.parametrize("seen", [True, False])
+def test_local_paths_that_all_executors_see_are_shared(spark, tmp_path, seen):
+    """On a cluster a local path is taken if what the executors write there is found whole, and refused if some of it is missing."""
+    from textloom.shared import shared_folder
+
+    class Session:
+        range = staticmethod(spark.range if seen else lambda start, end, step, parts: spark.range(start, end - 1, step, parts))
+        read = spark.read
+
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.checkpoint.dir": f"file://{tmp_path}"}.get(key, default))
+
+        class sparkContext:
+            master, applicationId, defaultParallelism = "spark://a:7077", f"app-{tmp_path.name}", 2
+
+    if seen:
+        assert shared_folder(Session) == f"file://{tmp_path}/textloom-app-{tmp_path.name}"
+    else:
+        with pytest.raises(ValueError, match="folder of one machine"):
+            shared_folder(Session)
+
+
+def test_a_session_on_one_machine_needs_no_setting(spark):
+    """Without spark.checkpoint.dir, which a running session doesn't take, one temporary folder is made for the application."""
+    from textloom.shared import shared_folder
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+            set = staticmethod(spark.conf.set)
+
+        class sparkContext:
+            master, applicationId = "local[2]", "app-unset"
+
+    assert shared_folder(Session) == shared_folder(Session)
