@@ -61,6 +61,22 @@ def test_top_neighbours_in_blocks(table):
     assert one == many and len(one) == 250
 
 
+def test_top_neighbours_in_blocks_over_many_partitions(spark, table):
+    """Both sides of a pair of blocks meet, however many partitions there are."""
+    rng = np.random.default_rng(3)
+    df = table("k long, v array<double>", [(k, rng.normal(size=3).tolist()) for k in range(60)])
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        one, many = ({(r.k, r.other, r["rank"]) for r in similarity.top_neighbours(df, "k", "v", 5, blocks=n).collect()} for n in (1, 3))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert one == many and len(one) == 300
+
+
 def test_cosine_edges(table):
     df = table("a array<double>, b array<double>", [([0.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [2.0, 0.0]), ([1.0, 0.0], [-3.0, 0.0])])
     assert [r[0] for r in df.select(cosine_distance(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 2.0]

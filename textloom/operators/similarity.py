@@ -36,7 +36,7 @@ def top_neighbours(vectors: DataFrame, key: str, vector: str, k: int, blocks: in
     import pandas as pd
 
     blocks = blocks or max(1, -(-vectors.count() // 4096))
-    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")  # of one type on both sides: cogroups of int and bigint are dealt apart
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = vectors.select(F.col(key), F.col(vector).alias("v"), block.alias("i"), others.alias("j"))
     right = vectors.select(F.col(key), F.col(vector).alias("v"), others.alias("i"), block.alias("j"))
