@@ -117,6 +117,13 @@ def test_repair_columns(table):
     assert repair.fold("Naïve–Œ") == "naive-œ"
 
 
+def test_unclosed_references_stay_where_asked():
+    """A reference without its semicolon is decoded as browsers do, or stays as the SQL of the query leaves it."""
+    html = "<h1>of.&amp;&amp;&amp</h1><p>&ampx &#38 R&D &quot;q&quot; &copy; 1</p>"
+    assert repair.markup_text(html, False) == "of.&&&amp &ampx &#38 R&D \"q\" © 1"
+    assert repair.markup_text(html).startswith("of.&&& &x & R&D")
+
+
 @pytest.mark.parametrize("raw, text", [
     ("Über  Models: www.a.b/c and (http://x.y) left", "uber model and left"), ("10.1234/abc the 10.5 percent", "the 10 5 percent"), ("x$$a+b$$y $c$ costs 5$", "x y costs 5"), ("vari¬ \nables well-known -- a- -b c--d", "variables well-known a b c d"),
     ("human-agents behaviour", "human-agent behavior"), ("", ""), ("awww.x.y see https://doi.org/10.1/x", "awww x y see"),
