@@ -114,12 +114,14 @@ def version_lines(tokens: DataFrame, key: str, ranges: DataFrame, dropped: DataF
     ``tokens``: key, at, start, end, token.
     """
     kept = tokens if dropped is None else tokens.join(dropped.select(key).distinct(), key, "left_anti")
-    spans = ranges.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    joined = kept.join(spans, key, "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    inside = F.exists("cuts", lambda r: (F.col("start") < r["end"]) & (F.col("end") > r["start"]))
-    passed = F.size(F.filter("cuts", lambda r: r["end"] <= F.col("start")))
+    cuts = ranges.select(key, F.col("start").alias("_at"), F.lit(1).alias("_cut"), F.col("end").alias("_until"))
+    both = kept.withColumns({"_at": F.col("end"), "_cut": F.lit(0)}).unionByName(cuts, allowMissingColumns=True)
+    # the ranges that start before a token ends are those before it in this order; unless one reaches into the token, all have passed
+    before = Window.partitionBy(key).orderBy("_at", "_cut").rowsBetween(Window.unboundedPreceding, -1)
+    placed = both.withColumns({"_passed": F.coalesce(F.sum("_cut").over(before), F.lit(0)).cast("int"), "_reach": F.max("_until").over(before)}).where("_cut = 0")
     words = F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"])
-    return joined.where(~inside).groupBy(key, passed.alias("segment")).agg(F.array_join(words, " ").alias("line"))
+    outside = placed.where(F.col("_reach").isNull() | (F.col("_reach") <= F.col("start")))
+    return outside.groupBy(key, F.col("_passed").alias("segment")).agg(F.array_join(words, " ").alias("line"))
 
 
 def placebo_passages(works: DataFrame, key: str, tokens: str, removed: str, replicate: int) -> DataFrame:
