@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +179,24 @@ def test_author_caps_of_cells_of_any_size(table, monkeypatch, seed, most):
         want |= gone
     got = {r.k for r in cleaning.cap_authors(table("k int, c string, a array<string>", rows), "k", "a", ["c"], 0.1, 3).collect()}
     assert got == want and len(want) > 10
+
+
+def test_long_texts_are_cut_as_short_ones(table):
+    """Sentences, kept texts and ranges of texts of many runs and chunks, with characters of one to four bytes."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["", "A.", "ab"] + ["".join(rng.choice(["é", "x", "𝄞 ", "One two. ", "Dreißig!\n", "a? "]) for _ in range(n)) for n in (10, 63, 64, 65, 700, 3000)]
+    ranges = [sorted((a, min(len(x), a + rng.randint(0, 40))) for a in (rng.randint(0, len(x)) for _ in range(len(x) // 9))) for x in texts]
+    df = table("k int, x string, r array<struct<start:bigint,end:bigint>>", [(k, x, r) for k, (x, r) in enumerate(zip(texts, ranges))] + [(99, None, [])])
+    got = {r.k: r for r in df.select("k", "x", T.sentence_spans(F.col("x")).alias("s"), T.kept_text(F.col("x"), F.col("r")).alias("kept"), F.transform("r", lambda r: T.cut(T.chunks(F.col("x")), r["start"], r["end"] - r["start"])).alias("cuts")).collect()}
+    assert got[99].s is None and got[99].kept is None
+    for k, (x, r) in enumerate(zip(texts, ranges)):
+        assert [s.sentence for s in got[k].s] == [x[s.start : s.end] for s in got[k].s]
+        assert [s.sentence for s in got[k].s] == [p for p in re.sub(r"([.!?])[ \n]+", "\\1\x01", x).split("\x01") if p]
+        at, pieces = 0, []
+        for a, b in r:
+            pieces += [x[at:a]] if a > at else []
+            at = max(at, b)
+        assert got[k].kept == " ".join(pieces + ([x[at:]] if at < len(x) else []))
+        assert got[k].cuts == [x[a:b] for a, b in r]

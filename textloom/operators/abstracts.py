@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..checks import null_as_false
 from ..functions import text as T
-from ..shared import not_first
+from ..shared import join_salted, not_first
 from . import cleaning, patterns, repair
 
 #: Words, as they are counted in texts and ranges.
@@ -67,9 +67,10 @@ def clean_abstracts(works: DataFrame, least_english: int, text: str = "text", ra
     more than 150 words makes the work malformed.
     """
     removals, labels = find_removals(F.col(spans), F.col(sentences), F.col(text))
-    marked = works.withColumns({"removals": removals, "_labels": labels})
+    marked = works.withColumns({"removals": removals, "_labels": labels, "_chunks": T.chunks(F.col(text))})
+    within = lambda r: words_in(T.cut(F.col("_chunks"), r["start"], r["end"] - r["start"]))
     foreign = F.filter("removals", lambda r: r["reason"] == NOT_ENGLISH)
-    inside = F.aggregate(foreign, F.lit(0), lambda n, r: n + words_in(F.substring(F.col(text), (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))))
+    inside = F.aggregate(foreign, F.lit(0), lambda n, r: n + within(r))
     counted = marked.withColumns({"_kept": words_in(T.kept_text(F.col(text), F.col("removals"))), "_foreign": inside})
     reason = (
         F.when(null_as_false(repair.has_mojibake(F.col(raw))), "mojibake")
@@ -77,9 +78,9 @@ def clean_abstracts(works: DataFrame, least_english: int, text: str = "text", ra
         .when((F.col("_kept") < least_english) & (F.col("_foreign") > F.col("_kept")), NOT_ENGLISH)
         .when(F.col("_kept") < MIN_WORDS, "too_short")
     )
-    long = F.exists(F.col(sentences), lambda x: words_in(F.substring(F.col(text), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))) > MALFORMED_SENTENCE_WORDS)
+    long = F.exists(F.col(sentences), lambda x: within(x) > MALFORMED_SENTENCE_WORDS)
     flags = F.when(long, F.array(F.lit("malformed"))).otherwise(F.array().cast("array<string>"))
-    return counted.withColumns({"flags": flags, "dropped_reason": reason}).drop("_labels", "_kept", "_foreign")
+    return counted.withColumns({"flags": flags, "dropped_reason": reason}).drop("_labels", "_chunks", "_kept", "_foreign")
 
 
 def clean_cell(works: DataFrame, key: str, authors: str, cell: list[str], max_share: float, text: str = "text") -> DataFrame:
@@ -126,7 +127,8 @@ def clean_shared(works: DataFrame, key: str, least: int = 20, text: str = "text"
     rows = works.select(key, F.col(text).alias("_text"), F.posexplode_outer(trimmed_sentences(F.col(text))).alias("_at", "_part"))
     rows = rows.withColumn("_key", F.when(F.length("_part").between(40, 300), F.lower("_part")))
     shared = rows.where("_key is not null").groupBy("_key").agg(F.countDistinct(key).alias("_n")).where(F.col("_n") >= least).select("_key", F.lit(True).alias("_shared"))
-    marked = rows.join(shared, "_key", "left").withColumn("_shared", F.coalesce("_shared", F.lit(False)))
+    # sentences without a key, and those that many texts share, are dealt over several tasks
+    marked = join_salted(rows.withColumn("_spread", F.xxhash64(key, "_at")), shared, ["_key"], "_spread", "left").withColumn("_shared", F.coalesce("_shared", F.lit(False)))
     part = F.struct("_at", "_part")
     found = marked.groupBy(key).agg(
         F.sum(F.when(F.col("_shared"), F.length("_part")).otherwise(0)).alias("_chars"),
