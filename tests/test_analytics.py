@@ -184,3 +184,31 @@ def test_classifier(table):
     rows = table("v array<double>", [([3.0, 0.2],), ([0.1, 5.0],)])
     assert [r.prediction for r in instruments.classify(seeds, "name", rows, "v").collect()] == ["x", "y"]
     assert {r.prediction for r in instruments.classify(seeds.where("name = 'x'"), "name", rows, "v").collect()} == {"x"}
+
+
+def test_version_lines_among_many_ranges(table):
+    """As by looking at every range for every token: ranges overlap, touch, repeat and cut tokens in two; dropped works go."""
+    rng = np.random.default_rng(5)
+    tokens, cuts, want = [], [], {}
+    for k in range(8):
+        starts = np.cumsum(rng.integers(1, 4, 60))
+        mine = [(int(a), int(a + rng.integers(1, 9))) for a in rng.integers(0, 130, 3 * k)]
+        cuts += [(k, a, b) for a, b in mine + mine[:2]]
+        for at, a in enumerate(map(int, starts)):
+            tokens.append((k, at, a, a + 1, f"t{at}"))
+            if k != 6 and not any(a < e and a + 1 > s for s, e in mine):
+                want.setdefault((k, sum(e <= a for _, e in mine + mine[:2])), []).append(f"t{at}")
+    df = table("k int, at int, start long, end long, token string", tokens)
+    out = resample.version_lines(df, "k", table("k int, start long, end long", cuts), table("k int", [(6,)]))
+    assert {(r.k, r.segment): r.line for r in out.collect()} == {g: " ".join(t) for g, t in want.items()}
+    assert "ArrayExists" not in out._jdf.queryExecution().toString() and "exists(cuts" not in out._jdf.queryExecution().toString()
+
+
+def test_inverted_index_moves_no_word(table):
+    from textloom.functions import text as T
+
+    df = table("k int, x string", [(1, 'b "a" b é'), (2, ""), (3, None)])
+    out = df.select("k", T.inverted_index(T.words(F.col("x"))).alias("i"))
+    assert "Exchange" not in out._jdf.queryExecution().toString()
+    back = out.select("k", "i", T.from_inverted_index(F.col("i")).alias("x")).collect()
+    assert [tuple(r) for r in back] == [(1, '{"b": [0, 2], "\\"a\\"": [1], "é": [3]}', 'b "a" b é'), (2, "{}", ""), (3, None, None)]

@@ -7,26 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import materialise, shared_folder  # noqa: F401
+from ..shared import BATCH, bounded_batches, materialise, shared_folder  # noqa: F401
 
 
 def new_table_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-#: Rows and bytes of a batch between the JVM and Python; the session's defaults hold far more texts at once than a task needs.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session's batch settings are made smaller where they stand at their defaults; a setting of the user stays."""
-    conf = df.sparkSession.conf
-    for key, (default, ours) in BATCH.items():
-        if conf.get(key, default) == default:
-            conf.set(key, ours)
-    return df
-
-
 SALTS = 16
 
 
