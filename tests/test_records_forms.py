@@ -285,3 +285,18 @@ def test_not_first_of_hot_and_null_groups(table):
     rows = [("a", k) for k in range(50)] + [(None, 3), (None, 1), ("b", 9), ("c", None), ("c", 1)]
     out = not_first(table("g string, k int", rows), ["g"], ["k"], "later").collect()
     assert {(r.g, r.k) for r in out if not r.later} == {("a", 0), (None, 1), ("b", 9), ("c", None)} and len(out) == len(rows)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 7])
+def test_bigrams_are_counted_in_tasks_of_bounded_words(table, monkeypatch, most):
+    """The texts of one task are dealt over as many as their words need; copies, nulls and texts of one word change nothing."""
+    monkeypatch.setattr(forms, "WORDS_A_TASK", most)
+    texts = table("text string", [("new york is new york",)] * 6 + [(None,), ("",), ("one",), ("York is",)]).coalesce(1)
+    seen = []
+    monkeypatch.setattr(forms, "dealt_finer", lambda t, n, deal=forms.dealt_finer: seen.append(deal(t, n)) or seen[-1])
+    got = {(r.a, r.b): (r.n, round(r.npmi, 6)) for r in forms.bigram_npmi(texts, T.latin_words(F.col("text")), 6, 0.0).collect()}
+    # 33 words: new 12, york 13, is 7
+    assert got == {("new", "york"): (12, 0.920875), ("york", "is"): (7, 0.600774), ("is", "new"): (6, 0.502978)}
+    parts = seen[0].select(F.spark_partition_id().alias("p")).distinct().count()
+    assert seen[0].rdd.getNumPartitions() == (1 if most > 7 else 5) and (most > 7) == (parts == 1)
+    assert forms.bigram_npmi(texts.limit(0), T.latin_words(F.col("text")), 1, 0.0).isEmpty()
