@@ -210,3 +210,16 @@ def test_a_chain_of_buckets_makes_work_in_proportion(spark, monkeypatch):
         assert {r.class_id for r in out} == {0} and all(r.n_links > 0 for r in out)
         sizes[n] = made[0]
     assert 0 < sizes[240] < 6 * sizes[60]
+
+
+def test_tasks_do_not_make_the_bounds(monkeypatch):
+    """The bounds of the pruning are the same for all tasks, which take them as made with the job."""
+    from textloom.llm import minhash
+
+    def made(*_):
+        raise AssertionError("a task made the bounds")
+
+    monkeypatch.setattr(jaccard, "least_matches", made)
+    monkeypatch.setattr(minhash, "least_matches", made, raising=False)
+    assert list(jaccard._prune(iter([]))) == [] and list(jaccard._verify(iter([]))) == []
+    assert callable(minhash._by_sketch())

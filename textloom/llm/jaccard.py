@@ -72,6 +72,10 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
+#: Made once, where the job is built: each task of a few rows would take longer to make them than to compare its rows.
+NEEDED = least_matches()
+
+
 def set_key(shingles: np.ndarray) -> tuple[int, int]:
     a, b = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8")
     return int(a), int(b)
@@ -239,7 +243,6 @@ def _prune(batches):
 
     A member is compared only with members that nothing before has joined to it: of a bucket of near copies, the first with each other.
     """
-    needed = least_matches()
     for (_, first, second), rows in _runs(batches, ("bucket", "first", "second")):
         rows = sorted({r["node"]: r for r in rows}.values(), key=lambda r: r["node"])
         signatures = np.stack([np.frombuffer(r["signature"], "<u2") for r in rows])
@@ -247,7 +250,7 @@ def _prune(batches):
         label, edges = np.arange(len(rows)), []
         for i in range(len(rows) - 1):
             js = comparable(i, sizes, side, first == second)
-            js = unpruned(i, js[label[js] != label[i]], signatures, needed)
+            js = unpruned(i, js[label[js] != label[i]], signatures, NEEDED)
             for j in js.tolist():
                 if label[j] != label[i]:
                     label[label == label[j]] = label[i]
@@ -256,7 +259,7 @@ def _prune(batches):
 
 
 def _verify(batches):
-    memo, needed = WordHashes(), least_matches()
+    memo = WordHashes()
     for (_, first, second), rows in _runs(batches):
         kept = {}
         for row in rows:
@@ -270,7 +273,7 @@ def _verify(batches):
         links, forest = [0] * len(members), Forest(len(members))
         signatures = np.stack([np.frombuffer(x[4], "<u2") for x in members])
         side = np.array([x[2] for x in members])
-        for i, j in links_in_block([x[3] for x in members], signatures, side, first == second, needed):
+        for i, j in links_in_block([x[3] for x in members], signatures, side, first == second, NEEDED):
             links[i] += members[j][1]
             links[j] += members[i][1]
             forest.merge(i, j)

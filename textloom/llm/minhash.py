@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .jaccard import least_matches, set_key
+from .jaccard import NEEDED, set_key
 from .meet import met
 from .shared import bounded_batches, join_salted, materialise
 from .words import WordHashes, mixed, windows
@@ -151,7 +151,7 @@ def near_enough(both, size_a, size_b):
 
 
 def _by_sketch():
-    needed = least_matches()[-1]
+    needed = NEEDED[-1]
 
     def ready(head, row=None):
         if row is None:
@@ -220,7 +220,7 @@ def _suspects(rows: list[dict], needed: int):
 
 def _best_pairs(skipped: int, most: int):
     """For each two components in a block or two blocks of a bucket the pairs whose sketches agree best, from place ``skipped`` to ``most``; ``more``: others follow."""
-    needed = least_matches()[-1]
+    needed = NEEDED[-1]
 
     def judge(rows):
         rows = sorted({r["node"]: r for r in rows}.values(), key=lambda r: r["node"])
