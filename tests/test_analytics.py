@@ -212,3 +212,25 @@ def test_inverted_index_moves_no_word(table):
     assert "Exchange" not in out._jdf.queryExecution().toString()
     back = out.select("k", "i", T.from_inverted_index(F.col("i")).alias("x")).collect()
     assert [tuple(r) for r in back] == [(1, '{"b": [0, 2], "\\"a\\"": [1], "é": [3]}', 'b "a" b é'), (2, "{}", ""), (3, None, None)]
+
+
+def test_top_neighbours_shuffle_rows_once_for_a_block(spark, table):
+    """Whole blocks let all rows pass: ties to the smaller key, keys that repeat and equal vectors count as they do for all pairs."""
+    pick = np.random.default_rng(4)
+    rows = [(k % 290, pick.integers(-2, 3, 3).astype(float).tolist()) for k in range(300)]
+    found = similarity.top_neighbours(table("k long, v array<double>", rows), "k", "v", 4, blocks=3)
+    v = np.array([x for _, x in rows])
+    unit, want = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300), {}
+    for i, (key, _) in enumerate(rows):
+        want.setdefault(key, []).extend((-round(float(unit[i] @ unit[j]), 12), rows[j][0]) for j in range(len(rows)) if rows[j][0] != key)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.k, []).append((-r.similarity, r.other))
+    assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x)[:4] for k, x in want.items()}
+
+
+def test_top_neighbours_take_blocks_of_more_than_four_thousand_rows(spark):
+    rows = spark.range(9000).selectExpr("id as k", "array(cast(id as double), 1D) as v")
+    found = similarity.top_neighbours(rows, "k", "v", 1)
+    assert found.count() == 9000
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
