@@ -300,3 +300,17 @@ def test_bigrams_are_counted_in_tasks_of_bounded_words(table, monkeypatch, most)
     parts = seen[0].select(F.spark_partition_id().alias("p")).distinct().count()
     assert seen[0].rdd.getNumPartitions() == (1 if most > 7 else 5) and (most > 7) == (parts == 1)
     assert forms.bigram_npmi(texts.limit(0), T.latin_words(F.col("text")), 1, 0.0).isEmpty()
+
+
+def test_tokens_go_back_some_texts_at_a_time(monkeypatch):
+    """A batch of texts makes several batches of tokens; texts without tokens and null texts keep their row."""
+    import pyarrow as pa
+
+    from textloom.operators import patterns
+
+    monkeypatch.setattr(patterns, "TOKENS", 3)
+    view = lambda t: [(x, 0, 1, x, True, False) for x in (t or "").split()]
+    given = pa.RecordBatch.from_pydict({"k": [1, 2, 3, 4, 5, 6], "text": ["a b", "c", None, "d e f g", "", "h"]})
+    out = list(patterns.token_batches(view)([given]))
+    assert [b["k"].to_pylist() for b in out] == [[1, 2], [3, 4], [5, 6]]
+    assert [["".join(t["text"] for t in r) for r in b["tokens"].to_pylist()] for b in out] == [["ab", "c"], ["", "defg"], ["", "h"]]
